@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipquarry.skew import with_position
-
 # Fixed value: a progress mark is due every so many frames, and on the last one.
 MARK_EVERY = 20
 
+# Marks made by one row of the block table.
+MARK_BLOCK = 1024
+
 
 def box_area() -> Column:
     return (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
@@ -42,15 +43,19 @@ def detection_coverage(frames: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def progress_marks(frames: DataFrame, every: int = MARK_EVERY) -> DataFrame:
-    """`i/total` for every 20th frame of a job and for its last."""
-    placed = with_position(frames, ["job_id"], ["frame_id"], [F.expr("frame_id div 4096")], "place")
-    totals = frames.groupBy("job_id").agg(F.count("*").alias("total"))
-    done = F.col("place") + 1
-    # Only due marks meet the totals: at most one row in `every`, plus the last row of each job.
-    last = Window.partitionBy("job_id", F.expr("place div 4096")).orderBy(F.desc("place"))
-    candidates = placed.withColumn("_tail", F.row_number().over(last) == 1).filter((done % every == 0) | F.col("_tail"))
-    return (
-        candidates.join(totals, "job_id")
-        .filter((done % every == 0) | (done == F.col("total")))
-        .select("job_id", done.cast("bigint").alias("done"), "total", F.format_string("%d/%d frames", done, F.col("total")).alias("mark"))
+    """`i/total` for every 20th frame of a job and for its last.
+
+    The marks follow from the size of the job alone. They are made in blocks that are spread over tasks,
+    so a job with very many frames neither needs one huge array nor one long task.
+    """
+    blocks = (
+        frames.groupBy("job_id")
+        .agg(F.count("*").alias("total"))
+        .select("job_id", "total", F.explode(F.sequence(F.lit(0), F.expr(f"(total - 1) div {every * MARK_BLOCK}"))).alias("block"))
+        .repartition("job_id", "block")
+    )
+    first = F.col("block") * (every * MARK_BLOCK) + every
+    steps = F.transform(F.sequence(F.lit(0), F.lit(MARK_BLOCK - 1)), lambda i: F.least(first + i * every, F.col("total")))
+    return blocks.select("job_id", "total", F.explode(F.array_distinct(steps)).alias("done")).select(
+        "job_id", "done", "total", F.format_string("%d/%d frames", "done", "total").alias("mark")
     )

@@ -1,0 +1,243 @@
+"""Comparing clips by the perceptual hashes of their frames."""
+
+from __future__ import annotations
+
+from functools import reduce
+from itertools import combinations
+from operator import add
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, hamming, match_verdict, phash64
+from clipquarry.functions.semantics import round_digits
+from clipquarry.skew import HEAVY_KEYS, heavy_keys, salted_join
+
+# Frames hashed per clip and candidates compared per request, both at most.
+CLIP_FRAMES = 12
+CANDIDATE_CAP = 10
+
+BAND_BITS = 16
+BANDS = 64 // BAND_BITS
+SLOTS = [f"h{i}" for i in range(CLIP_FRAMES)]
+
+
+def hash_frames(frames: DataFrame) -> DataFrame:
+    """Replace the gray values by their hash: one batched pass, no shuffle."""
+    return frames.withColumn("phash", phash64("gray")).drop("gray")
+
+
+def hash_frames_relational(spark: SparkSession, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The same hash in joins and sums only.
+
+    Pixels meet the broadcast cosine rows of their column and are summed per frame line, then the lines
+    meet the cosines of their height and are summed per frame. Both sums combine before the shuffle.
+    """
+    basis = cosine_basis()
+    waves = [f"c{u}" for u in range(CORNER)]
+    rows = [(x, *[float(v) for v in basis[:, x]]) for x in range(FRAME_SIDE)]
+    cosines = F.broadcast(spark.createDataFrame(rows, ["at", *waves]))
+
+    pixels = frames.select(*keys, F.posexplode("gray").alias("at", "v")).select(
+        *keys, F.expr(f"at div {FRAME_SIDE}").alias("y"), F.expr(f"at % {FRAME_SIDE}").alias("x"), "v"
+    )
+    lines = (
+        pixels.join(cosines.withColumnRenamed("at", "x"), "x")
+        .groupBy(*keys, "y")
+        .agg(*[F.sum(F.col("v") * F.col(c)).alias(f"r{v}") for v, c in enumerate(waves)])
+    )
+    corners = (
+        lines.join(cosines.withColumnRenamed("at", "y"), "y")
+        .groupBy(*keys)
+        .agg(F.array(*[F.sum(F.col(f"r{v}") * F.col(c)) for c in waves for v in range(CORNER)]).alias("coefs"))
+    )
+    ranked = F.array_sort(F.slice("coefs", 2, CORNER * CORNER - 1))
+    middle = (F.get(ranked, F.lit(30)) + F.get(ranked, F.lit(31))) / 2
+    bits = [F.when(F.col("coefs")[i] > F.col("middle"), F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
+    placed = [F.shiftleft(bit, 63 - i) for i, bit in enumerate(bits)]
+    return corners.withColumn("middle", middle).select(*keys, reduce(lambda a, b: a.bitwiseOR(b), placed).alias("phash"))
+
+
+def clip_signatures(hashes: DataFrame) -> DataFrame:
+    """One row per clip with its frame hashes side by side. Only as many frames as a clip is sampled at
+    are kept, and the pivot combines before the shuffle, so a clip with very many rows is no trouble."""
+    slots = [F.max(F.when(F.col("frame_idx") == i, F.col("phash"))).alias(slot) for i, slot in enumerate(SLOTS)]
+    return hashes.filter(F.col("frame_idx") < CLIP_FRAMES).groupBy("clip_id").agg(*slots)
+
+
+def candidate_pairs(requests: DataFrame) -> DataFrame:
+    """Pairs of each request (base_id, candidates): the first ten, numbered from 1."""
+    listed = F.slice("candidates", 1, CANDIDATE_CAP)
+    return requests.select("base_id", F.posexplode(listed).alias("pos", "candidate_id")).select(
+        "base_id", (F.col("pos") + 1).cast("bigint").alias("index"), "candidate_id"
+    )
+
+
+def _distances(left: list[Column], right: list[Column]) -> tuple[Column, Column, Column]:
+    """Compared frames, summed and greatest distance of two signatures, frame by frame."""
+    each = [hamming(a, b) for a, b in zip(left, right)]
+    compared = reduce(add, [F.when(d.isNotNull(), 1).otherwise(0) for d in each]).cast("bigint")
+    total = reduce(add, [F.coalesce(d, F.lit(0)) for d in each])
+    return compared, total, F.greatest(*each)
+
+
+def phash_distances(requests: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Distance statistics of every listed pair; null where a side has no frames.
+
+    Signatures are one row per clip, so the pairs meet them in two joins and the frames of a pair are
+    compared inside its row. A clip that very many requests name is spread over tasks.
+    """
+    signatures = clip_signatures(hashes)
+    base = signatures.select(F.col("clip_id").alias("base_id"), *[F.col(s).alias(f"b_{s}") for s in SLOTS])
+    other = signatures.select(F.col("clip_id").alias("candidate_id"), *[F.col(s).alias(f"o_{s}") for s in SLOTS])
+    pairs = salted_join(candidate_pairs(requests), base, ["base_id"], ["index"], "left")
+    pairs = salted_join(pairs, other, ["candidate_id"], ["base_id", "index"], "left")
+    compared, total, greatest = _distances([F.col(f"b_{s}") for s in SLOTS], [F.col(f"o_{s}") for s in SLOTS])
+    return pairs.select(
+        "base_id",
+        "index",
+        "candidate_id",
+        F.nullif(compared, F.lit(0)).alias("frames_compared"),
+        (total / F.nullif(compared, F.lit(0))).alias("mean_distance"),
+        greatest.alias("max_distance"),
+    )
+
+
+def compare_results(distances: DataFrame) -> DataFrame:
+    """Result rows and error rows of each request in one list."""
+    done = distances.filter("frames_compared is not null").select(
+        "base_id",
+        "index",
+        "candidate_id",
+        "frames_compared",
+        round_digits(F.col("mean_distance"), 2).alias("avg_distance"),
+        "max_distance",
+        match_verdict(F.col("mean_distance")).alias("verdict"),
+    )
+    failed = distances.filter("frames_compared is null").select(
+        "base_id", "index", "candidate_id", F.lit("No comparable frames").alias("error")
+    )
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
+def phash_compare(requests: DataFrame, hashes: DataFrame) -> DataFrame:
+    return compare_results(phash_distances(requests, hashes))
+
+
+def _flips(most: int) -> list[int]:
+    """Masks of a band with at most `most` bits set."""
+    return [sum(1 << bit for bit in chosen) for n in range(most + 1) for chosen in combinations(range(BAND_BITS), n)]
+
+
+def _lowest_bits(x: Column, count: int) -> Column:
+    """The `count` lowest set bits of x."""
+    kept, rest = F.lit(0).cast("bigint"), x
+    for _ in range(count):
+        lowest = rest.bitwiseAND(-rest)
+        kept, rest = kept.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
+    return kept
+
+
+def _band(hash_: Column, band: int) -> Column:
+    return F.shiftrightunsigned(hash_, band * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+
+
+def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy: int = HEAVY_KEYS, salts: int = 64) -> DataFrame:
+    """Near copies of every clip: how many clips lie within a mean distance of `threshold`, and the nearest.
+
+    1. Clips with equal hashes become one signature with a number of copies (combined before the shuffle),
+       so a group of copies of any size is one row from here on.
+    2. A mean within the threshold needs one frame within it, and that frame one of its four bands within
+       a quarter of it. Signatures therefore meet on (frame, band, value), each side flipping its share of
+       the allowed bits; no near pair is missed, for any threshold.
+    3. A pair may meet in several places and is counted in the first of them only. It is folded into the
+       count and the nearest match of its left side in the task that found it: the result has one row per
+       signature, and pairs are neither written nor shuffled.
+    4. Values shared by very many signatures (a black opening frame) are salted over tasks.
+    """
+    radius = threshold // BANDS
+    left_flips, right_flips = (radius + 1) // 2, radius // 2
+    groups = (
+        clip_signatures(hashes)
+        .groupBy(*SLOTS)
+        .agg(F.min("clip_id").alias("clip_id"), F.count("*").alias("copies"))
+        .select("clip_id", "copies", *SLOTS)
+    )
+
+    places = F.array(
+        *[
+            F.struct(F.lit(i * BANDS + band).alias("place"), _band(F.col(slot), band).alias("value"))
+            for i, slot in enumerate(SLOTS)
+            for band in range(BANDS)
+        ]
+    )
+    placed = groups.withColumn("at", F.explode(F.filter(places, lambda p: p["value"].isNotNull())))
+
+    def keyed(flips: int, prefix: str) -> DataFrame:
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _flips(flips)])
+        return placed.withColumn("mask", F.explode(masks)).select(
+            F.col("at.place").alias("place"),
+            F.col("at.value").bitwiseXOR(F.col("mask")).alias("key"),
+            F.col("at.value").alias(f"{prefix}value"),
+            *[F.col(c).alias(f"{prefix}{c}") for c in ("clip_id", "copies", *SLOTS)],
+        )
+
+    left, right = keyed(left_flips, "l_"), keyed(right_flips, "r_")
+    met = _self_salted(placed, left, right, left_flips, right_flips, heavy, salts)
+
+    lefts, rights = [F.col(f"l_{s}") for s in SLOTS], [F.col(f"r_{s}") for s in SLOTS]
+    compared, total, _ = _distances(lefts, rights)
+    gap = F.col("l_value").bitwiseXOR(F.col("r_value"))
+    first_key = F.col("key") == F.col("l_value").bitwiseXOR(_lowest_bits(gap, left_flips))
+    earlier = [
+        (F.lit(i * BANDS + band) >= F.col("place"))
+        | F.coalesce(F.bit_count(_band(lefts[i].bitwiseXOR(rights[i]), band)) > radius, F.lit(True))
+        for i in range(CLIP_FRAMES)
+        for band in range(BANDS)
+    ]
+    near = (
+        met.filter(F.col("l_clip_id") != F.col("r_clip_id"))
+        .filter(first_key & (total <= compared * threshold))
+        .filter(reduce(lambda a, b: a & b, earlier))
+        .select(F.col("l_clip_id").alias("clip_id"), "r_clip_id", "r_copies", (total / compared).alias("mean"))
+        .groupBy("clip_id")
+        .agg(
+            F.count("*").alias("near_signatures"),
+            F.sum("r_copies").alias("near_clips"),
+            F.min(F.struct("mean", "r_clip_id")).alias("nearest"),
+        )
+    )
+    return (
+        groups.select("clip_id", "copies")
+        .join(near, "clip_id", "left")
+        .select(
+            "clip_id",
+            "copies",
+            F.coalesce("near_signatures", F.lit(0)).cast("bigint").alias("near_signatures"),
+            F.coalesce("near_clips", F.lit(0)).cast("bigint").alias("near_clips"),
+            F.col("nearest.r_clip_id").alias("nearest_id"),
+            F.round("nearest.mean", 6).alias("nearest_mean"),
+        )
+    )
+
+
+def _self_salted(
+    placed: DataFrame, left: DataFrame, right: DataFrame, left_flips: int, right_flips: int, heavy: int, salts: int
+) -> DataFrame:
+    """Join both sides on (place, key); the keys around the most frequent band values are salted: the
+    left rows take one salt by clip, the right rows are repeated for each."""
+    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], heavy)
+    reach = F.array(*[F.lit(m).cast("bigint") for m in _flips(max(left_flips, right_flips))])
+    hot = F.broadcast(
+        common.select("place", F.explode(F.transform(reach, lambda m: F.col("value").bitwiseXOR(m))).alias("key"))
+        .distinct()
+        .withColumn("_hot", F.lit(True))
+    )
+    on = ["place", "key"]
+    split = left.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("l_clip_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    )
+    repeated = right.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    )
+    return split.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"])
