@@ -112,4 +112,5 @@ def artifact_key(kind: Column, created_at: Column, entry: Column) -> Column:
 
 
 def data_url(payload: Column, media_type: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{media_type};base64,"), F.base64(payload))
+    """Payload as one line of base64; `base64` itself breaks lines like mail does."""
+    return F.concat(F.lit(f"data:{media_type};base64,"), F.translate(F.base64(payload), "\r\n", ""))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, hamming, match_verdict, phash64
 from clipquarry.functions.semantics import round_digits
-from clipquarry.skew import HEAVY_KEYS, heavy_keys, salted_join
+from clipquarry.skew import SALTS, heavy_keys, salted_join
 
 # Frames hashed per clip and candidates compared per request, both at most.
 CLIP_FRAMES = 12
 CANDIDATE_CAP = 10
+NO_FRAMES = "No comparable frames"
 
 BAND_BITS = 16
 BANDS = 64 // BAND_BITS
@@ -115,13 +116,23 @@ def compare_results(distances: DataFrame) -> DataFrame:
         match_verdict(F.col("mean_distance")).alias("verdict"),
     )
     failed = distances.filter("frames_compared is null").select(
-        "base_id", "index", "candidate_id", F.lit("No comparable frames").alias("error")
+        "base_id", "index", "candidate_id", F.lit(NO_FRAMES).alias("error")
     )
     return done.unionByName(failed, allowMissingColumns=True)
 
 
 def phash_compare(requests: DataFrame, hashes: DataFrame) -> DataFrame:
-    return compare_results(phash_distances(requests, hashes))
+    """Every listed pair with its rounded distance, greatest distance and verdict, or its error."""
+    return phash_distances(requests, hashes).select(
+        "base_id",
+        "index",
+        "candidate_id",
+        "frames_compared",
+        round_digits(F.col("mean_distance"), 2).alias("avg_distance"),
+        "max_distance",
+        match_verdict(F.col("mean_distance")).alias("verdict"),
+        F.when(F.col("frames_compared").isNull(), NO_FRAMES).alias("error"),
+    )
 
 
 def _flips(most: int) -> list[int]:
@@ -142,7 +153,7 @@ def _band(hash_: Column, band: int) -> Column:
     return F.shiftrightunsigned(hash_, band * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
 
 
-def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy: int = HEAVY_KEYS, salts: int = 64) -> DataFrame:
+def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: int = 2000, salts: int = SALTS) -> DataFrame:
     """Near copies of every clip: how many clips lie within a mean distance of `threshold`, and the nearest.
 
     1. Clips with equal hashes become one signature with a number of copies (combined before the shuffle),
@@ -183,7 +194,7 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy: int =
         )
 
     left, right = keyed(left_flips, "l_"), keyed(right_flips, "r_")
-    met = _self_salted(placed, left, right, left_flips, right_flips, heavy, salts)
+    met = _self_salted(placed, left, right, left_flips, right_flips, heavy_rows, salts)
 
     lefts, rights = [F.col(f"l_{s}") for s in SLOTS], [F.col(f"r_{s}") for s in SLOTS]
     compared, total, _ = _distances(lefts, rights)
@@ -222,11 +233,11 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy: int =
 
 
 def _self_salted(
-    placed: DataFrame, left: DataFrame, right: DataFrame, left_flips: int, right_flips: int, heavy: int, salts: int
+    placed: DataFrame, left: DataFrame, right: DataFrame, left_flips: int, right_flips: int, heavy_rows: int, salts: int
 ) -> DataFrame:
     """Join both sides on (place, key); the keys around the most frequent band values are salted: the
     left rows take one salt by clip, the right rows are repeated for each."""
-    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], heavy)
+    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], min_rows=heavy_rows)
     reach = F.array(*[F.lit(m).cast("bigint") for m in _flips(max(left_flips, right_flips))])
     hot = F.broadcast(
         common.select("place", F.explode(F.transform(reach, lambda m: F.col("value").bitwiseXOR(m))).alias("key"))

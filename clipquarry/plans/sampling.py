@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquarry.functions.semantics import clamp, int_param, or_default, round_digits, round_half_up
@@ -159,3 +159,10 @@ def still_zoom(stills: DataFrame, seconds: Column) -> DataFrame:
         "i",
         F.least(F.lit(1.0) + F.lit(ZOOM_STEP) * (F.col("i") + 1), F.lit(ZOOM_MAX)).alias("zoom"),
     )
+
+
+def name_order(names: DataFrame) -> DataFrame:
+    """0-based place of each frame file of a clip by name. Names are zero-padded, so this is frame order; a
+    clip has as many names as the frame budget allows."""
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("name")) - 1
+    return names.withColumn("place", place.cast("bigint"))

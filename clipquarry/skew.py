@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 HEAVY_KEYS = 256
 SALTS = 64
 
+# A key with fewer rows than this fits one task with ease and is not worth spreading.
+HEAVY_ROWS = 100_000
+
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], name: str) -> DataFrame:
     """Add the 0-based position of a row inside its key, in `order`.
@@ -41,10 +44,11 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     )
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS) -> DataFrame:
-    """The `limit` most frequent keys. A key with more than 1/limit of all rows is always among them,
-    and the result never exceeds `limit` rows, so it is safe to broadcast whatever the table size."""
-    counts = df.select(*keys).dropna().groupBy(*keys).count()
+def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The `limit` most frequent keys among those with `min_rows` rows or more. A large key with more than
+    1/limit of all rows is always among them, and the result never exceeds `limit` rows, so it is safe to
+    broadcast whatever the table size."""
+    counts = df.select(*keys).dropna().groupBy(*keys).count().filter(F.col("count") >= min_rows)
     return counts.orderBy(F.desc("count"), *keys).limit(limit).drop("count")
 
 
@@ -55,6 +59,7 @@ def salted_join(
     spread_by: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
+    min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Join `many` (inner or left) with `side`, spreading the heavy keys of `many` over `salts` tasks.
 
@@ -63,7 +68,7 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps all rows of `many` or only the matching ones")
-    heavy = F.broadcast(heavy_keys(many, keys).withColumn("_heavy", F.lit(True)))
+    heavy = F.broadcast(heavy_keys(many, keys, min_rows=min_rows).withColumn("_heavy", F.lit(True)))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
