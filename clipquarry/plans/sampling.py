@@ -140,6 +140,11 @@ def hash_schedule(requests: DataFrame) -> DataFrame:
     )
 
 
+def frame_file(index: Column) -> Column:
+    """File name of a constant-rate frame."""
+    return F.format_string("frame_%04d.jpg", index + 1)
+
+
 def fixed_rate(clips: DataFrame, seconds: Column, rate: int = FRAME_RATE) -> DataFrame:
     """Constant-rate frames of each clip."""
     count = F.floor(seconds * rate).cast("bigint")
@@ -147,7 +152,7 @@ def fixed_rate(clips: DataFrame, seconds: Column, rate: int = FRAME_RATE) -> Dat
         *clips.columns,
         "i",
         (F.col("i") / F.lit(float(rate))).alias("ts"),
-        F.format_string("frame_%04d.jpg", F.col("i") + 1).alias("name"),
+        frame_file(F.col("i")).alias("name"),
     )
 
 

@@ -236,11 +236,13 @@ def plan_fixed_rate(spark, root):
     return (
         sampling.fixed_rate(clips, F.col("seconds"))
         .groupBy("video_id")
-        .agg(
-            F.count("*").alias("frames"),
-            F.min("name").alias("first_name"),
-            F.max_by("name", "i").alias("last_name"),
-            F.max("ts").alias("last_ts"),
+        .agg(F.count("*").alias("frames"), F.min("i").alias("first"), F.max("i").alias("last"), F.max("ts").alias("last_ts"))
+        .select(
+            "video_id",
+            "frames",
+            sampling.frame_file(F.col("first")).alias("first_name"),
+            sampling.frame_file(F.col("last")).alias("last_name"),
+            "last_ts",
         )
     )
 
