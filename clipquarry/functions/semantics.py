@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 # Fixed value: the blanks that a trim removes.
 BLANK = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
-_DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_HEX = r"^0[xX][0-9a-fA-F]+$"
+_DECIMAL = rf"^{BLANK}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){BLANK}*$"
+_HEX = rf"^{BLANK}*0[xX]([0-9a-fA-F]+){BLANK}*$"
 
 
 def round_half_up(x: Column) -> Column:
@@ -52,13 +52,13 @@ def leading_int(x: Column) -> Column:
 
 
 def to_number(x: Column) -> Column:
-    """The number a text spells, as DOUBLE: null and blank text are 0, any other text is null."""
-    bare = trim_blanks(x)
-    return (
-        F.when(x.isNull() | (bare == ""), F.lit(0.0))
-        .when(bare.rlike(_HEX), F.conv(F.substring(bare, 3, 64), 16, 10).try_cast("double"))
-        .when(bare.rlike(_DECIMAL), bare.try_cast("double"))
+    """The number a text spells, as DOUBLE: null and blank text are 0, any other text is null. A plain
+    decimal is found with one pattern; the other forms are looked at only where it does not match."""
+    decimal = F.regexp_extract(x, _DECIMAL, 1).try_cast("double")
+    special = F.when(x.isNull() | x.rlike(f"^{BLANK}*$"), F.lit(0.0)).when(
+        x.rlike(_HEX), F.conv(F.regexp_extract(x, _HEX, 1), 16, 10).try_cast("double")
     )
+    return F.coalesce(decimal, special)
 
 
 def int_param(raw: Column, default: int, low: int, high: int) -> Column:

@@ -30,13 +30,11 @@ def caption_chunks(words: DataFrame, size: int = WORDS_PER_CHUNK) -> DataFrame:
     )
 
 
-def _is_finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-
-
 def _is_usable() -> Column:
+    """Text, and finite times in order. NaN sorts above every number, so it fails one of the bounds."""
     start, end = F.col("start_s"), F.col("end_s")
-    return (trim_blanks(F.col("text")) != "") & _is_finite(start) & _is_finite(end) & (end > start)
+    in_order = (end > start) & (end < float("inf")) & (start > float("-inf"))
+    return in_order & (trim_blanks(F.col("text")) != "")
 
 
 def usable_chunks(words: DataFrame) -> DataFrame:
@@ -45,14 +43,17 @@ def usable_chunks(words: DataFrame) -> DataFrame:
 
 
 def usable_cues(cues: DataFrame) -> DataFrame:
-    """Cues as clients send them, numbers read from text; here a missing time is 0."""
-    return cues.select(
-        "reel_id",
-        "cue_idx",
+    """Cues as clients send them, numbers read from text; here a missing time is 0.
+
+    The cleaned values pass through a generator, so that the filter reads them instead of cleaning each
+    value again for every comparison.
+    """
+    cleaned = F.struct(
         trim_blanks(F.coalesce("text", F.lit(""))).alias("text"),
         to_number(F.col("start_raw")).alias("start_s"),
         to_number(F.col("end_raw")).alias("end_s"),
-    ).filter(_is_usable())
+    )
+    return cues.select("reel_id", "cue_idx", F.inline(F.array(cleaned))).filter(_is_usable())
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:

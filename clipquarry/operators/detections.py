@@ -55,7 +55,8 @@ def progress_marks(frames: DataFrame, every: int = MARK_EVERY) -> DataFrame:
         .repartition("job_id", "block")
     )
     first = F.col("block") * (every * MARK_BLOCK) + every
-    steps = F.transform(F.sequence(F.lit(0), F.lit(MARK_BLOCK - 1)), lambda i: F.least(first + i * every, F.col("total")))
-    return blocks.select("job_id", "total", F.explode(F.array_distinct(steps)).alias("done")).select(
+    due = F.least(F.lit(MARK_BLOCK), F.ceil(F.col("total") / every) - F.col("block") * MARK_BLOCK)
+    steps = F.transform(F.sequence(F.lit(0).cast("bigint"), due - 1), lambda i: F.least(first + i * every, F.col("total")))
+    return blocks.select("job_id", "total", F.explode(steps).alias("done")).select(
         "job_id", "done", "total", F.format_string("%d/%d frames", "done", "total").alias("mark")
     )

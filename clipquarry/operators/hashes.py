@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from itertools import combinations
+from math import lcm
 from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,11 @@ CLIP_FRAMES = 12
 CANDIDATE_CAP = 10
 NO_FRAMES = "No comparable frames"
 
+# For ranking matches by (mean distance, clip) as one number.
+MEAN_UNITS = lcm(*range(1, CLIP_FRAMES + 1))
+ID_RANGE = Decimal(2**64)
+ID_SHIFT = Decimal(2**63)
+
 BAND_BITS = 16
 BANDS = 64 // BAND_BITS
 SLOTS = [f"h{i}" for i in range(CLIP_FRAMES)]
@@ -153,6 +160,14 @@ def _band(hash_: Column, band: int) -> Column:
     return F.shiftrightunsigned(hash_, band * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
 
 
+def _ranked(total: Column, compared: Column, clip_id: Column) -> Column:
+    """Mean distance and clip in one whole number that sorts by both. A mean of at most 12 frames is a
+    whole multiple of 1/27720. A plain number lets the minimum run in a hash aggregation, where a struct
+    would have every pair sorted first."""
+    units = (total * F.expr(f"{MEAN_UNITS}L") / compared).cast("decimal(10,0)")
+    return (units * F.lit(ID_RANGE) + clip_id.cast("decimal(19,0)") + F.lit(ID_SHIFT)).cast("decimal(38,0)")
+
+
 def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: int = 2000, salts: int = SALTS) -> DataFrame:
     """Near copies of every clip: how many clips lie within a mean distance of `threshold`, and the nearest.
 
@@ -200,24 +215,22 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
     compared, total, _ = _distances(lefts, rights)
     gap = F.col("l_value").bitwiseXOR(F.col("r_value"))
     first_key = F.col("key") == F.col("l_value").bitwiseXOR(_lowest_bits(gap, left_flips))
-    earlier = [
-        (F.lit(i * BANDS + band) >= F.col("place"))
-        | F.coalesce(F.bit_count(_band(lefts[i].bitwiseXOR(rights[i]), band)) > radius, F.lit(True))
-        for i in range(CLIP_FRAMES)
-        for band in range(BANDS)
-    ]
+    differing = F.array(*[a.bitwiseXOR(b) for a, b in zip(lefts, rights)])
+    met_before = F.expr(
+        f"exists(slice(places, 1, place), p -> bit_count(shiftrightunsigned(get(differing, p div {BANDS}), "
+        f"p % {BANDS} * {BAND_BITS}) & {(1 << BAND_BITS) - 1}L) <= {radius})"
+    )
     near = (
         met.filter(F.col("l_clip_id") != F.col("r_clip_id"))
         .filter(first_key & (total <= compared * threshold))
-        .filter(reduce(lambda a, b: a & b, earlier))
-        .select(F.col("l_clip_id").alias("clip_id"), "r_clip_id", "r_copies", (total / compared).alias("mean"))
+        .withColumn("differing", differing)
+        .withColumn("places", F.array(*[F.lit(p) for p in range(CLIP_FRAMES * BANDS)]))
+        .filter(~F.coalesce(met_before, F.lit(False)))
+        .select(F.col("l_clip_id").alias("clip_id"), "r_copies", _ranked(total, compared, F.col("r_clip_id")).alias("rank"))
         .groupBy("clip_id")
-        .agg(
-            F.count("*").alias("near_signatures"),
-            F.sum("r_copies").alias("near_clips"),
-            F.min(F.struct("mean", "r_clip_id")).alias("nearest"),
-        )
+        .agg(F.count("*").alias("near_signatures"), F.sum("r_copies").alias("near_clips"), F.min("rank").alias("nearest"))
     )
+    other = F.pmod("nearest", F.lit(ID_RANGE))
     return (
         groups.select("clip_id", "copies")
         .join(near, "clip_id", "left")
@@ -226,8 +239,8 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
             "copies",
             F.coalesce("near_signatures", F.lit(0)).cast("bigint").alias("near_signatures"),
             F.coalesce("near_clips", F.lit(0)).cast("bigint").alias("near_clips"),
-            F.col("nearest.r_clip_id").alias("nearest_id"),
-            F.round("nearest.mean", 6).alias("nearest_mean"),
+            (other - F.lit(ID_SHIFT)).cast("bigint").alias("nearest_id"),
+            F.round((F.col("nearest") - other).cast("double") / F.lit(float(ID_RANGE)) / MEAN_UNITS, 6).alias("nearest_mean"),
         )
     )
 

@@ -20,9 +20,10 @@ HEAVY_ROWS = 100_000
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], name: str) -> DataFrame:
     """Add the 0-based position of a row inside its key, in `order`.
 
-    `bucket` must not decrease along `order` within a key. Rows are numbered inside (key, bucket), and
-    the sizes of the earlier buckets, which are counted with a map-side combine, are added. A key that
-    holds a third of the table is thus spread over all its buckets.
+    `bucket` must not decrease along `order` within a key, and neither it nor the keys may be null. Rows
+    are numbered inside (key, bucket), and the sizes of the earlier buckets, which are counted with a
+    map-side combine, are added. A key that holds a third of the table is thus spread over all its
+    buckets. Window and join share their partitioning, so the rows are shuffled once.
     """
     names = [f"_bucket{i}" for i in range(len(bucket))]
     parted = df.withColumns(dict(zip(names, bucket)))
@@ -38,8 +39,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     inside = Window.partitionBy(*group).orderBy(*order)
     return (
         parted.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(offsets, group)
-        .withColumn(name, (F.col("_offset") + F.col("_place")).cast("bigint"))
+        .join(offsets, group, "left")
+        .withColumn(name, (F.coalesce("_offset", F.lit(0)) + F.col("_place")).cast("bigint"))
         .drop("_place", "_offset", *names)
     )
 
