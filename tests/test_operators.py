@@ -1,0 +1,368 @@
+"""Edges of the table operators, and hot keys."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clipquarry.functions import phash
+from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, speech
+from clipquarry.plans import sampling
+from clipquarry.skew import heavy_keys, salted_join, with_position
+
+
+def rows(df, *order):
+    return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
+
+
+# --- Hot keys ---
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Half of the rows under one key."""
+    return spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+
+
+def test_position_of_a_hot_key(hot):
+    placed = with_position(hot, ["k"], ["v"], [F.expr("v div 64")], "place")
+    places = rows(placed.filter("k = 7").select("v", "place"), "v")
+    assert [p for _, p in places] == list(range(len(places))) and len(places) == 2001
+    assert placed.count() == 4000
+
+
+def test_heavy_keys(hot):
+    assert rows(heavy_keys(hot, ["k"], limit=1, min_rows=10)) == [(7,)]
+    assert heavy_keys(hot, ["k"]).count() == 0
+    assert heavy_keys(hot, ["k"], limit=5, min_rows=1).count() == 5
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_keeps_every_row(spark, hot, how):
+    many = hot.unionByName(spark.createDataFrame([(None, -1), (None, -2)], "k bigint, v bigint"))
+    side = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    salted = salted_join(many, side, ["k"], ["v"], how, salts=8, min_rows=50)
+    assert rows(salted.select("k", "v", "w"), "v") == rows(many.join(side, "k", how).select("k", "v", "w"), "v")
+
+
+def test_hot_key_is_spread(hot, spark):
+    side = spark.range(0, 3000).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = salted_join(hot, side, ["k"], ["v"], salts=8, min_rows=50).filter("k = 7")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert salted.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+# --- Speech ---
+
+
+def segments(spark, *items):
+    return spark.createDataFrame(
+        [(1, i, *x) for i, x in enumerate(items)],
+        "video_id bigint, seg_idx bigint, text string, no_speech_prob double, avg_logprob double, compression_ratio double",
+    )
+
+
+def test_confidence_limits_are_strict(spark):
+    df = segments(spark, (" a ", None, None, None), ("b", 0.6, 0.0, 1.0), ("c", 0.59, -1.0, 1.0), ("d", 0.0, -0.9, 2.4), (" ", 0.0, 0.0, 1.0))
+    assert rows(speech.transcript_assemble(df)) == [(1, 0, "a", 2, 3, True)]
+
+
+def test_long_transcript_continues_in_parts(spark):
+    df = segments(spark, *[(f"w{i}", 0.0, 0.0, 1.0) for i in range(10)])
+    parts = rows(speech.transcript_assemble(df, part_segments=4).select("part", "text", "kept"))
+    assert parts == [(0, "w0 w1 w2 w3", 4), (1, "w4 w5 w6 w7", 4), (2, "w8 w9", 2)]
+
+
+def test_silent_transcript(spark):
+    df = segments(spark, ("x", 0.9, 0.0, 1.0))
+    assert rows(speech.transcript_assemble(df)) == [(1, 0, "", 0, 1, False)]
+    assert rows(speech.transcript_presence(df)) == [(1, 0, 1, False)]
+
+
+def test_request_bundle_covers_every_clip_and_part(spark):
+    clips = spark.createDataFrame([(1,), (2,)], "video_id bigint")
+    lists = spark.createDataFrame([(1, 80, "0,4", " note"), (2, 5, "0,1", "")], "video_id bigint, n_frames bigint, frame_list string, note string")
+    transcripts = speech.transcript_assemble(segments(spark, *[(f"w{i}", 0.0, 0.0, 1.0) for i in range(3)]), part_segments=2)
+    got = rows(speech.request_bundle(clips, transcripts, lists, "Go.").select("video_id", "part", "request_text"))
+    start = "These %d frames were extracted from the video"
+    assert got == [
+        (1, 0, start % 80 + '. Transcript: "w0 w1"\n\nGo. note'),
+        (1, 1, start % 80 + '. Transcript: "w2"\n\nGo. note'),
+        (2, 0, start % 5 + " (no audio). Go."),
+    ]
+
+
+# --- Captions ---
+
+
+def words(spark, *items):
+    return spark.createDataFrame(
+        [(1, i, *x) for i, x in enumerate(items)], "video_id bigint, word_idx bigint, word string, start_s double, end_s double"
+    )
+
+
+@pytest.mark.parametrize("count,sizes", [(3, [3]), (4, [3, 1]), (6, [3, 3])])
+def test_chunk_sizes(spark, count, sizes):
+    df = words(spark, *[(f" w{i}", i * 1.0, i + 0.5) for i in range(count)])
+    got = rows(captions.caption_chunks(df).select("chunk_idx", "text", "start_s", "end_s"))
+    assert [len(t.split()) for _, t, _, _ in got] == sizes
+    assert got[-1][2:] == (float(count - sizes[-1]), count - 0.5)
+
+
+def test_chunk_keeps_blank_words_and_missing_start(spark):
+    df = words(spark, ("a", None, 1.0), (" ", 1.0, 2.0), ("b", 2.0, 3.0), ("c", 3.0, 3.0))
+    got = rows(captions.caption_chunks(df))
+    assert got[0][2:] == ("a  b", None, 3.0, False) and got[1][2:] == ("c", 3.0, 3.0, False)
+    assert captions.usable_chunks(df).count() == 0
+
+
+def test_missing_times_of_client_cues_are_zero(spark):
+    df = spark.createDataFrame(
+        [(1, 0, "a", None, "1"), (1, 1, "b", "abc", "1"), (1, 2, "c", "1", "1"), (1, 3, " ", "0", "1"), (1, 4, " d ", "", " 2 "), (1, 5, "e", "1", None)],
+        "reel_id bigint, cue_idx bigint, text string, start_raw string, end_raw string",
+    )
+    assert rows(captions.usable_cues(df)) == [(1, 0, "a", 0.0, 1.0), (1, 4, "d", 0.0, 2.0)]
+
+
+def test_overlay_is_closed_on_both_ends(spark):
+    cues = spark.createDataFrame(
+        [(1, 0, "a", "0", "1"), (1, 1, "b", "1", "1.05"), (1, 2, "c", "90", "99"), (2, 0, "z", "0", "9")],
+        "reel_id bigint, cue_idx bigint, text string, start_raw string, end_raw string",
+    )
+    reel = spark.createDataFrame([(1, 2.0)], "reel_id bigint, seconds double")
+    got = rows(captions.cue_frame_overlay(cues, reel), "cue_idx", "frame_idx")
+    assert [(f, c) for _, f, c in got] == [(f, 0) for f in range(25)] + [(24, 1), (25, 1)]
+
+
+def test_overlay_plan_has_no_range_join(spark, data):
+    from clipquarry.queries import QUERIES
+
+    for name in ("cue_frame_overlay", "word_shot_alignment", "near_duplicates", "phash_compare"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().sparkPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_cap_is_applied_before_the_shuffle(spark, data):
+    from clipquarry.queries import QUERIES
+
+    plan = QUERIES["cap_per_group"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+# --- Reels ---
+
+
+def shots(spark, *items):
+    return spark.createDataFrame(
+        [(1, i, *x) for i, x in enumerate(items)],
+        "reel_id bigint, shot_idx bigint, url string, kind string, seconds double, start_at double, fetched boolean",
+    )
+
+
+def test_failed_shot_moves_later_ones_earlier(spark):
+    df = shots(spark, ("u", "still", 2.0, None, True), ("u", "video", 3.0, 70.0, False), (None, "still", 1.0, 0.0, True), ("u", "still", 0.0, 5.0, True), ("u", "still", 99.0, -5.0, True))
+    got = rows(reels.shot_timeline(df).select("shot_idx", "seconds", "start_at", "start_s", "end_s"))
+    assert got == [(0, 2.0, 0.0, 0.0, 2.0), (3, 1.0, 5.0, 2.0, 3.0), (4, 10.0, 0.0, 3.0, 13.0)]
+    assert rows(reels.failed_shots(df)) == [(1, 1, "u")]
+    assert rows(reels.reel_summary(df)) == [(1, 4, 3, 13.0, "ok")]
+
+
+def test_one_prepared_shot_is_refused(spark):
+    df = shots(spark, ("u", "still", 1.0, None, True), ("u", "still", 1.0, None, False))
+    assert rows(reels.reel_summary(df)) == [(1, 2, 1, 1.0, "too_few_prepared")]
+
+
+def test_caps_come_after_the_filter(spark):
+    df = shots(spark, *[(None if i % 2 else f"u{i}", "still", 1.0, None, True) for i in range(100)])
+    assert reels.shot_timeline(df).count() == 40
+    sources = rows(reels.stitch_order(df))
+    assert [(o, u, n) for _, o, u, n in sources] == [(i + 1, f"u{2 * i}", 6) for i in range(6)]
+
+
+def test_words_past_the_picture_are_cut(spark):
+    df = shots(spark, ("u", "still", 1.0, None, True), ("u", "still", 1.0, None, True))
+    spoken = words(spark, ("a", 0.0, 0.1), ("b", 0.5, 0.6), ("c", 1.4, 1.5), ("d", 1.5, 2.0))
+    got = rows(reels.word_shot_alignment(spoken, df, F.lit(0.5)).select("word", "shot_idx", "heard"))
+    assert got == [("a", 0, True), ("b", 1, True), ("c", 1, True), ("d", None, False)]
+
+
+# --- Detections ---
+
+
+def test_largest_box_and_ties(spark):
+    frames = spark.createDataFrame([(1, 1), (2, 1)], "frame_id bigint, job_id bigint")
+    boxes = spark.createDataFrame(
+        [(1, 0, 0.0, 0.0, 1.0, 1.0), (1, 1, 0.0, 0.0, 2.0, 2.0), (1, 2, 0.0, 0.0, 4.0, 1.0)],
+        "frame_id bigint, det_idx bigint, x1 double, y1 double, x2 double, y2 double",
+    )
+    assert [r[:3] for r in rows(detections.largest_detection(frames, boxes), "frame_id")] == [(1, 3, 1), (2, 0, None)]
+    assert rows(detections.detection_coverage(frames, boxes)) == [(1, 2, 1, 0.5)]
+
+
+@pytest.mark.parametrize("total", [1, 19, 20, 21, 40, 20 * 1024, 20 * 1024 + 1, 50_000])
+def test_progress_marks(spark, total):
+    frames = spark.range(total).select(F.col("id").alias("frame_id"), F.lit(1).alias("job_id"))
+    got = [r.done for r in detections.progress_marks(frames).orderBy("done").collect()]
+    assert got == [i for i in range(1, total + 1) if i % 20 == 0 or i == total]
+
+
+# --- Hashes ---
+
+
+def _slow_hash(gray):
+    """Definition of the hash, term by term."""
+    cos = [[np.cos((2 * x + 1) * u * np.pi / 64) for x in range(32)] for u in range(8)]
+    rows_ = []
+    for y in range(32):
+        line = []
+        for u in range(8):
+            s = 0.0
+            for x in range(32):
+                s += float(gray[y * 32 + x]) * cos[u][x]
+            line.append(s)
+        rows_.append(line)
+    coefs = []
+    for u in range(8):
+        for v in range(8):
+            s = 0.0
+            for y in range(32):
+                s += rows_[y][v] * cos[u][y]
+            coefs.append(s)
+    ac = sorted(coefs[1:])
+    middle = (ac[30] + ac[31]) / 2
+    value = sum(1 << (63 - i) for i in range(64) if coefs[i] > middle)
+    return value - 2**64 if value >= 2**63 else value
+
+
+def test_hash_equals_its_definition():
+    rng = np.random.default_rng(5)
+    frames = np.vstack([rng.integers(0, 256, (6, 1024)), np.zeros((1, 1024)), np.full((1, 1024), 200), np.tile(np.arange(32) * 8, (1, 32))])
+    assert phash.hash_frames(frames).tolist() == [_slow_hash(f) for f in frames]
+
+
+def test_bad_frames_have_no_hash(spark):
+    df = spark.createDataFrame([(1, [1] * 1024), (2, [1] * 10), (3, None)], "n int, gray array<int>")
+    got = dict(rows(df.select("n", phash.phash64("gray"))))
+    assert got[1] is not None and got[2] is None and got[3] is None
+
+
+def test_brightness_does_not_move_the_hash(spark, data):
+    from clipquarry.queries import QUERIES
+
+    hashed = QUERIES["phash64"](spark, data)
+    assert hashed.filter("bit_count(phash) <> 33").count() == 0
+    kinds = hashed.filter("clip_id % 3 < 2").groupBy(F.expr("clip_id div 3"), "frame_idx").agg(F.count_distinct("phash").alias("n"))
+    assert kinds.filter("n <> 1").count() == 0
+
+
+@pytest.mark.parametrize("mean,want", [(10.0, "would still match"), (10.01, "borderline"), (20.0, "borderline"), (20.1, "likely distinct"), (None, None)])
+def test_verdict_bands(spark, mean, want):
+    df = spark.createDataFrame([(mean,)], "m double")
+    assert df.select(phash.match_verdict(F.col("m"))).first()[0] == want
+
+
+def _clips(spark, clips):
+    return spark.createDataFrame(
+        [(c, f, h) for c, hs in clips.items() for f, h in enumerate(hs)], "clip_id bigint, frame_idx int, phash bigint"
+    )
+
+
+def test_compare_pairs_up_to_the_shorter_clip(spark):
+    df = _clips(spark, {1: [0, 0, 0], 2: [7, -1], 3: [0] * 12})
+    requests = spark.createDataFrame([(1, [1, 2, 3, 9])], "base_id bigint, candidates array<bigint>")
+    got = rows(hashes.phash_compare(requests, df), "index")
+    assert [r[3:6] for r in got] == [(3, 0.0, 0), (2, 33.5, 64), (3, 0.0, 0), (None, None, None)]
+    assert got[3][7] == "No comparable frames"
+
+
+def test_only_ten_candidates_count(spark):
+    requests = spark.createDataFrame([(1, list(range(100, 115)))], "base_id bigint, candidates array<bigint>")
+    assert rows(hashes.candidate_pairs(requests)) == [(1, i + 1, 100 + i) for i in range(10)]
+
+
+def _brute_force(clips, threshold):
+    groups = {}
+    for clip, hs in sorted(clips.items()):
+        groups.setdefault(tuple(hs), []).append(clip)
+    out = []
+    for a, ids in groups.items():
+        near = []
+        for b, others in groups.items():
+            if a != b:
+                ds = [bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b)]
+                if sum(ds) <= threshold * len(ds):
+                    near.append((sum(ds) / len(ds), others[0], len(others)))
+        best = min(near) if near else (None, None)
+        out.append((ids[0], len(ids), len(near), sum(n[2] for n in near), best[1], None if best[0] is None else round(best[0], 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 4, 10, 13, 17])
+@pytest.mark.parametrize("heavy_rows", [5, 10_000])
+def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows):
+    """Random clips, edited copies at all distances, exact copies, short clips and a frame all share."""
+    rng = np.random.default_rng(threshold)
+
+    def flipped(h, n):
+        for bit in rng.choice(64, n, replace=False):
+            h ^= 1 << int(bit)
+        return h
+
+    clips = {}
+    for i in range(12):
+        frames = [0 if f == 0 else int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2)) for f in range(int(rng.integers(1, 7)))]
+        clips[len(clips)] = frames
+        clips[len(clips)] = list(frames)
+        for _ in range(4):
+            clips[len(clips)] = [flipped(h, int(rng.integers(0, 2 * threshold + 2))) for h in frames]
+    signed = {c: [h - 2**64 if h >= 2**63 else h for h in hs] for c, hs in clips.items()}
+    got = hashes.near_duplicates(_clips(spark, signed), threshold, heavy_rows=heavy_rows, salts=4)
+    assert rows(got, "clip_id") == _brute_force(signed, threshold)
+
+
+# --- Plans ---
+
+
+def test_dense_plan_stays_in_the_clip(spark):
+    df = spark.createDataFrame([(1, None), (2, 0.0), (3, 0.05), (4, 7.3), (5, 599.9)], "video_id bigint, probe_duration double")
+    counts = dict(rows(sampling.dense(df).groupBy("video_id").count()))
+    assert counts == {1: 80, 2: 80, 3: 1, 4: 58, 5: 80}
+
+
+def test_hook_stops_at_the_end(spark):
+    df = spark.createDataFrame([(1, 0.3), (2, 2.0), (3, 9.0)], "video_id bigint, probe_duration double")
+    assert rows(sampling.hook(df).groupBy("video_id").count()) == [(2, 2), (3, 4)]
+
+
+def test_fixed_rate_names(spark):
+    df = spark.createDataFrame([(1, 0.1), (2, 500.0)], "video_id bigint, s double")
+    got = sampling.fixed_rate(df, F.col("s"))
+    assert got.filter("video_id = 1").select("name").collect() == [("frame_0001.jpg",), ("frame_0002.jpg",)]
+    assert got.filter("video_id = 2").count() == 12000 and got.agg(F.max(F.length("name"))).first()[0] == 15
+
+
+# --- Registries and profiles ---
+
+
+def test_profile_levels(spark):
+    df = spark.createDataFrame(
+        [(1, "car", False, None), (2, "car", True, None), (3, "car", True, "x"), (4, None, True, "-3"), (5, "studio", True, "-3")],
+        "n int, profile string, has_level boolean, level_raw string",
+    )
+    got = rows(profiles.profile_lookup(df, profiles.profile_table(spark)).select("n", "profile", "level_db"), "n")
+    assert got == [(1, "car", -26.0), (2, "car", 0.0), (3, "car", -26.0), (4, "room", -3.0), (5, "studio", None)]
+
+
+def test_expiry_is_strict(spark):
+    df = spark.sql(
+        "select * from values ('a', timestamp'2024-01-01 00:00:00'), ('b', timestamp'2024-01-01 00:00:00.001'), "
+        "('c', timestamp'2023-12-31 23:59:59.999'), ('z', timestamp'2024-01-01 00:40:00') t(k, created_at)"
+    )
+    got = rows(jobs.entry_expiry(df, "k", "30 minutes").select("k", "expired"))
+    assert got == [("a", False), ("b", False), ("c", True), ("z", False)]
