@@ -28,9 +28,9 @@ def videos(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _user_events(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Events numbered per user in time order; a busy user is spread over the days of the log."""
+    """Events numbered per user in time order; a very busy user is spread over the minutes of the log."""
     log = events(spark, root)
-    return with_position(log, ["user_id"], ["ts", "event_id"], [F.date_trunc("day", "ts")], name)
+    return with_position(log, ["user_id"], ["ts", "event_id"], [F.date_trunc("minute", "ts")], name)
 
 
 def words(spark: SparkSession, root: str) -> DataFrame:
@@ -69,9 +69,9 @@ def cues(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, root: str, name: str, *extra: str) -> DataFrame:
-    """Order lines numbered per order; a huge order is spread over line number and part range."""
+    """Order lines numbered per order; a huge order is spread over line numbers and parts."""
     lines = table(spark, root, "lineitem").select("l_orderkey", *LINE_ORDER, *extra)
-    bucket = [F.col("l_linenumber"), F.expr("l_partkey div 1024")]
+    bucket = [F.col("l_linenumber"), F.expr("l_partkey div 65536")]
     return with_position(lines, ["l_orderkey"], list(LINE_ORDER), bucket, name)
 
 

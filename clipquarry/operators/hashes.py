@@ -112,8 +112,9 @@ def phash_distances(requests: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def compare_results(distances: DataFrame) -> DataFrame:
-    """Result rows and error rows of each request in one list."""
-    done = distances.filter("frames_compared is not null").select(
+    """Result rows and error rows in one list: the rounded and the greatest distance and the verdict of a
+    pair, or why it has none. One pass over the pairs gives both kinds."""
+    return distances.select(
         "base_id",
         "index",
         "candidate_id",
@@ -121,25 +122,12 @@ def compare_results(distances: DataFrame) -> DataFrame:
         round_digits(F.col("mean_distance"), 2).alias("avg_distance"),
         "max_distance",
         match_verdict(F.col("mean_distance")).alias("verdict"),
+        F.when(F.col("frames_compared").isNull(), NO_FRAMES).alias("error"),
     )
-    failed = distances.filter("frames_compared is null").select(
-        "base_id", "index", "candidate_id", F.lit(NO_FRAMES).alias("error")
-    )
-    return done.unionByName(failed, allowMissingColumns=True)
 
 
 def phash_compare(requests: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Every listed pair with its rounded distance, greatest distance and verdict, or its error."""
-    return phash_distances(requests, hashes).select(
-        "base_id",
-        "index",
-        "candidate_id",
-        "frames_compared",
-        round_digits(F.col("mean_distance"), 2).alias("avg_distance"),
-        "max_distance",
-        match_verdict(F.col("mean_distance")).alias("verdict"),
-        F.when(F.col("frames_compared").isNull(), NO_FRAMES).alias("error"),
-    )
+    return compare_results(phash_distances(requests, hashes))
 
 
 def _flips(most: int) -> list[int]:

@@ -96,14 +96,13 @@ def speech_coverage(words: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def request_bundle(videos: DataFrame, transcripts: DataFrame, frame_lists: DataFrame, closing: str) -> DataFrame:
+def request_bundle(clips: DataFrame, transcripts: DataFrame, closing: str) -> DataFrame:
     """Frame list and text of each model request; no call is made.
 
-    `frame_lists` has (video_id, n_frames, frame_list, note). A clip whose transcript has several parts
+    `clips` has (video_id, n_frames, frame_list, note). A clip whose transcript has several parts
     gets one row per part.
     """
     spoken = transcripts.filter("text <> ''").select("video_id", "part", "text")
-    clips = frame_lists.join(videos.select("video_id"), "video_id")
     with_text = salted_join(spoken, clips, ["video_id"], ["part"])
     silent = clips.join(spoken.select("video_id").distinct(), "video_id", "left_anti").select(
         "*", F.lit(0).cast("bigint").alias("part"), F.lit(None).cast("string").alias("text")

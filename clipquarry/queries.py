@@ -582,16 +582,15 @@ def speech_coverage(spark, root):
 
 @query
 def vision_request_bundle(spark, root):
-    clips = fx.videos(spark, root)
     count = sampling.dense_count(F.col("probe_duration"))
     picks = sampling.even_sample(count, sampling.VISION_FRAMES)
-    lists = clips.select(
+    clips = fx.videos(spark, root).select(
         "video_id",
         count.alias("n_frames"),
         F.array_join(picks.cast("array<string>"), ",").alias("frame_list"),
         sampling.vision_note(count, F.size(picks)).alias("note"),
     )
-    return speech.request_bundle(clips, speech.transcript_assemble(fx.segments(spark, root)), lists, CLOSING)
+    return speech.request_bundle(clips, speech.transcript_assemble(fx.segments(spark, root)), CLOSING)
 
 
 # --- Window functions ---

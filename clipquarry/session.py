@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -30,13 +29,3 @@ def use_utc(spark: SparkSession) -> None:
     """Event times arrive without a zone and mean UTC, so the session has to read them as UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a new temporary one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="run-")

@@ -10,38 +10,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 256
-SALTS = 64
+# The most frequent keys are treated one by one; any other key holds less than 1/10000 of all rows. A list
+# of this length can be broadcast whatever the table size.
+HEAVY_KEYS = 10_000
 
 # A key with fewer rows than this fits one task with ease and is not worth spreading.
 HEAVY_ROWS = 100_000
 
+SALTS = 64
+
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], name: str) -> DataFrame:
+def with_position(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Sequence[Column],
+    name: str,
+    min_rows: int = HEAVY_ROWS,
+) -> DataFrame:
     """Add the 0-based position of a row inside its key, in `order`.
 
-    `bucket` must not decrease along `order` within a key, and neither it nor the keys may be null. Rows
-    are numbered inside (key, bucket), and the sizes of the earlier buckets, which are counted with a
-    map-side combine, are added. A key that holds a third of the table is thus spread over all its
-    buckets. Window and join share their partitioning, so the rows are shuffled once.
+    A heavy key is cut into buckets: its rows are numbered inside (key, bucket), and the sizes of its
+    earlier buckets, which are counted with a map-side combine, are added. `bucket` must not decrease along
+    `order` within a key. Window and join share their partitioning, so the rows are shuffled once; without
+    heavy keys, the adaptive plan drops the join and what is left is a plain window.
     """
     names = [f"_bucket{i}" for i in range(len(bucket))]
-    parted = df.withColumns(dict(zip(names, bucket)))
+    heavy = F.broadcast(heavy_keys(df, keys, min_rows=min_rows).withColumn("_heavy", F.lit(True)))
+    marked = df.join(heavy, list(keys), "left").withColumns({n: F.when(F.col("_heavy"), b) for n, b in zip(names, bucket)})
     group = [*keys, *names]
 
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parted.groupBy(*group)
+        marked.filter("_heavy")
+        .groupBy(*group)
         .agg(F.count("*").alias("_size"))
         .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .drop("_size")
     )
     inside = Window.partitionBy(*group).orderBy(*order)
     return (
-        parted.withColumn("_place", F.row_number().over(inside) - 1)
+        marked.withColumn("_place", F.row_number().over(inside) - 1)
         .join(offsets, group, "left")
         .withColumn(name, (F.coalesce("_offset", F.lit(0)) + F.col("_place")).cast("bigint"))
-        .drop("_place", "_offset", *names)
+        .drop("_heavy", "_place", "_offset", *names)
     )
 
 

@@ -26,10 +26,11 @@ def hot(spark):
 
 
 def test_position_of_a_hot_key(hot):
-    placed = with_position(hot, ["k"], ["v"], [F.expr("v div 64")], "place")
-    places = rows(placed.filter("k = 7").select("v", "place"), "v")
-    assert [p for _, p in places] == list(range(len(places))) and len(places) == 2001
-    assert placed.count() == 4000
+    for min_rows in (1, 50, 10_000):
+        placed = with_position(hot, ["k"], ["v"], [F.expr("v div 640"), F.expr("v div 64")], "place", min_rows)
+        places = rows(placed.filter("k = 7").select("v", "place"), "v")
+        assert [p for _, p in places] == list(range(len(places))) and len(places) == 2001
+        assert placed.count() == 4000 and placed.filter("k <> 7 and place <> 0").count() == 0
 
 
 def test_heavy_keys(hot):
@@ -86,10 +87,9 @@ def test_silent_transcript(spark):
 
 
 def test_request_bundle_covers_every_clip_and_part(spark):
-    clips = spark.createDataFrame([(1,), (2,)], "video_id bigint")
     lists = spark.createDataFrame([(1, 80, "0,4", " note"), (2, 5, "0,1", "")], "video_id bigint, n_frames bigint, frame_list string, note string")
     transcripts = speech.transcript_assemble(segments(spark, *[(f"w{i}", 0.0, 0.0, 1.0) for i in range(3)]), part_segments=2)
-    got = rows(speech.request_bundle(clips, transcripts, lists, "Go.").select("video_id", "part", "request_text"))
+    got = rows(speech.request_bundle(lists, transcripts, "Go.").select("video_id", "part", "request_text"))
     start = "These %d frames were extracted from the video"
     assert got == [
         (1, 0, start % 80 + '. Transcript: "w0 w1"\n\nGo. note'),
@@ -148,6 +148,17 @@ def test_overlay_plan_has_no_range_join(spark, data):
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
 
 
+def test_frames_are_hashed_once(spark, data):
+    """Every use of the hashes reads the same shuffle."""
+    from clipquarry.queries import QUERIES
+
+    for name in ("near_duplicates", "phash_compare"):
+        df = QUERIES[name](spark, data)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("EvalPython") == 1, name
+
+
 def test_cap_is_applied_before_the_shuffle(spark, data):
     from clipquarry.queries import QUERIES
 
