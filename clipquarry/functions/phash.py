@@ -11,7 +11,8 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values of the hash and of the match bands.
 FRAME_SIDE = 32
+FRAME_SIZE = FRAME_SIDE * FRAME_SIDE
 CORNER = 8
 MATCH_MAX = 10
 BORDERLINE_MAX = 20
@@ -29,6 +31,9 @@ MATCH = "would still match"
 BORDERLINE = "borderline"
 DISTINCT = "likely distinct"
 
+# Frames transformed at once, which bounds the memory of a worker whatever the batch size.
+HASH_BLOCK = 1024
+
 
 def cosine_basis() -> np.ndarray:
     """Row u holds the samples of the u-th cosine over the frame side."""
@@ -53,16 +58,19 @@ def hash_frames(gray: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits).view(">i8").ravel().astype(np.int64)
 
 
-@F.pandas_udf(LongType())
-def phash64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Hash of a row-major 32x32 gray frame; null for a frame of any other size."""
-    size = FRAME_SIDE * FRAME_SIDE
+@F.arrow_udf(LongType())
+def phash64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Hash of a row-major 32x32 gray frame; null for a frame of any other size or with missing values."""
     for batch in batches:
-        whole = batch.map(lambda g: g is not None and len(g) == size).to_numpy(dtype=bool)
-        out = pd.Series(pd.array([None] * len(batch), dtype="Int64"), index=batch.index)
-        if whole.any():
-            out[whole] = hash_frames(np.stack(batch[whole].to_list()))
-        yield out
+        whole = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(batch), FRAME_SIZE), False))
+        pixels = batch.filter(pa.array(whole)).flatten()
+        gray = np.asarray(pc.fill_null(pixels, 0)).reshape(-1, FRAME_SIZE)
+        known = np.asarray(pixels.is_valid()).reshape(-1, FRAME_SIZE).all(axis=1)
+        hashed = np.zeros(len(batch), dtype=np.int64)
+        blocks = [hash_frames(gray[i : i + HASH_BLOCK]) for i in range(0, len(gray), HASH_BLOCK)]
+        hashed[whole] = np.concatenate(blocks) if blocks else 0
+        whole[whole] = known
+        yield pa.array(hashed, mask=~whole)
 
 
 def hamming(a: Column, b: Column) -> Column:
