@@ -88,6 +88,14 @@ def shots(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def voices(spark: SparkSession, root: str) -> DataFrame:
+    """Voice-over of each reel, missing or empty for some."""
+    return table(spark, root, "orders").select(
+        F.col("o_orderkey").alias("reel_id"),
+        F.expr("case o_orderkey % 4 when 0 then null when 1 then '' else concat('s3://voice/', o_orderkey) end").alias("audio_url"),
+    )
+
+
 def detections(spark: SparkSession, root: str) -> DataFrame:
     return _numbered_lines(spark, root, "det_idx").select(
         F.col("l_orderkey").alias("frame_id"),

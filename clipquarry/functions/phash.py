@@ -1,4 +1,4 @@
-"""64-bit perceptual hash of gray frames, Hamming distance and match verdict.
+"""64-bit perceptual hash of gray frames and match verdict.
 
 The hash keeps the 8x8 low-frequency corner of the cosine transform of a 32x32 gray frame. A bit is set
 where a coefficient exceeds the middle of the 63 coefficients other than the first, so a change of
@@ -73,10 +73,6 @@ def phash64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(hashed, mask=~whole)
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)).cast("bigint")
-
-
 def match_verdict(mean_distance: Column) -> Column:
     """Band of an unrounded mean distance."""
     return (

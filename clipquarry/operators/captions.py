@@ -91,8 +91,8 @@ def cue_font_size(cues: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def _sized(longest: DataFrame, videos: DataFrame, border: float) -> DataFrame:
-    width = F.coalesce(_positive(F.col("width")), F.lit(geometry.CANVAS_W))
-    height = F.coalesce(_positive(F.col("height")), F.lit(geometry.CANVAS_H))
+    width = F.coalesce(round_half_up(_positive(F.col("width"))), F.lit(geometry.CANVAS_W))
+    height = F.coalesce(round_half_up(_positive(F.col("height"))), F.lit(geometry.CANVAS_H))
     ratio = F.lit(geometry.CAPTION_SIZES[geometry.DEFAULT_SIZE])
     return (
         longest.join(videos.select("video_id", "width", "height"), "video_id", "left")

@@ -6,19 +6,19 @@ from decimal import Decimal
 from functools import reduce
 from itertools import combinations
 from math import lcm
-from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, hamming, match_verdict, phash64
+from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, match_verdict, phash64
 from clipquarry.functions.semantics import round_digits
 from clipquarry.skew import SALTS, heavy_keys, salted_join
 
 # Frames hashed per clip and candidates compared per request, both at most.
 CLIP_FRAMES = 12
 CANDIDATE_CAP = 10
-NO_FRAMES = "No comparable frames"
+NO_FRAMES = "No frames hashed"
+NOT_COMPARABLE = "No comparable frames"
 
 # For ranking matches by (mean distance, clip) as one number.
 MEAN_UNITS = lcm(*range(1, CLIP_FRAMES + 1))
@@ -27,6 +27,7 @@ ID_SHIFT = Decimal(2**63)
 
 BAND_BITS = 16
 BANDS = 64 // BAND_BITS
+BAND_MASK = f"{(1 << BAND_BITS) - 1}L"
 SLOTS = [f"h{i}" for i in range(CLIP_FRAMES)]
 
 
@@ -69,7 +70,7 @@ def hash_frames_relational(spark: SparkSession, frames: DataFrame, keys: list[st
 def clip_signatures(hashes: DataFrame) -> DataFrame:
     """One row per clip with its frame hashes side by side. Only as many frames as a clip is sampled at
     are kept, and the pivot combines before the shuffle, so a clip with very many rows is no trouble."""
-    slots = [F.max(F.when(F.col("frame_idx") == i, F.col("phash"))).alias(slot) for i, slot in enumerate(SLOTS)]
+    slots = [F.expr(f"max(phash) filter (where frame_idx = {i}) as {slot}") for i, slot in enumerate(SLOTS)]
     return hashes.filter(F.col("frame_idx") < CLIP_FRAMES).groupBy("clip_id").agg(*slots)
 
 
@@ -81,12 +82,14 @@ def candidate_pairs(requests: DataFrame) -> DataFrame:
     )
 
 
-def _distances(left: list[Column], right: list[Column]) -> tuple[Column, Column, Column]:
-    """Compared frames, summed and greatest distance of two signatures, frame by frame."""
-    each = [hamming(a, b) for a, b in zip(left, right)]
-    compared = reduce(add, [F.when(d.isNotNull(), 1).otherwise(0) for d in each]).cast("bigint")
-    total = reduce(add, [F.coalesce(d, F.lit(0)) for d in each])
-    return compared, total, F.greatest(*each)
+def _distances(left: str, right: str) -> dict[str, Column]:
+    """Compared frames, summed and greatest distance of two signatures (column prefixes), frame by frame."""
+    each = [f"bit_count({left}{slot} ^ {right}{slot})" for slot in SLOTS]
+    return {
+        "compared": F.expr("cast(" + " + ".join(f"if({d} is null, 0, 1)" for d in each) + " as bigint)"),
+        "total": F.expr("cast(" + " + ".join(f"coalesce({d}, 0)" for d in each) + " as bigint)"),
+        "greatest": F.expr(f"cast(greatest({', '.join(each)}) as bigint)"),
+    }
 
 
 def phash_distances(requests: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -96,33 +99,42 @@ def phash_distances(requests: DataFrame, hashes: DataFrame) -> DataFrame:
     compared inside its row. A clip that very many requests name is spread over tasks.
     """
     signatures = clip_signatures(hashes)
-    base = signatures.select(F.col("clip_id").alias("base_id"), *[F.col(s).alias(f"b_{s}") for s in SLOTS])
-    other = signatures.select(F.col("clip_id").alias("candidate_id"), *[F.col(s).alias(f"o_{s}") for s in SLOTS])
-    pairs = salted_join(candidate_pairs(requests), base, ["base_id"], ["index"], "left")
-    pairs = salted_join(pairs, other, ["candidate_id"], ["base_id", "index"], "left")
-    compared, total, greatest = _distances([F.col(f"b_{s}") for s in SLOTS], [F.col(f"o_{s}") for s in SLOTS])
+    frames = " + ".join(f"if({slot} is null, 0, 1)" for slot in SLOTS)
+    base = signatures.selectExpr("clip_id as base_id", f"{frames} as base_frames", *[f"{s} as b_{s}" for s in SLOTS])
+    other = signatures.selectExpr("clip_id as candidate_id", f"{frames} as other_frames", *[f"{s} as o_{s}" for s in SLOTS])
+    listed = candidate_pairs(requests)
+    pairs = salted_join(listed, base, ["base_id"], ["index"], "left")
+    pairs = salted_join(pairs, other, ["candidate_id"], ["base_id", "index"], "left", counted=listed)
+    found = _distances("b_", "o_")
+    compared = F.nullif(found["compared"], F.lit(0))
     return pairs.select(
         "base_id",
         "index",
         "candidate_id",
-        F.nullif(compared, F.lit(0)).alias("frames_compared"),
-        (total / F.nullif(compared, F.lit(0))).alias("mean_distance"),
-        greatest.alias("max_distance"),
+        F.coalesce("base_frames", F.lit(0)).cast("bigint").alias("base_frames"),
+        F.coalesce("other_frames", F.lit(0)).cast("bigint").alias("other_frames"),
+        compared.alias("frames_compared"),
+        (found["total"] / compared).alias("mean_distance"),
+        found["greatest"].alias("max_distance"),
     )
 
 
 def compare_results(distances: DataFrame) -> DataFrame:
     """Result rows and error rows in one list: the rounded and the greatest distance and the verdict of a
-    pair, or why it has none. One pass over the pairs gives both kinds."""
+    pair, or why it has none. A request whose base has no frames fails as a whole, that is, in every row.
+    One pass over the pairs gives both kinds."""
     return distances.select(
         "base_id",
         "index",
         "candidate_id",
+        "base_frames",
         "frames_compared",
         round_digits(F.col("mean_distance"), 2).alias("avg_distance"),
         "max_distance",
         match_verdict(F.col("mean_distance")).alias("verdict"),
-        F.when(F.col("frames_compared").isNull(), NO_FRAMES).alias("error"),
+        F.when((F.col("base_frames") == 0) | (F.col("other_frames") == 0), NO_FRAMES)
+        .when(F.col("frames_compared").isNull(), NOT_COMPARABLE)
+        .alias("error"),
     )
 
 
@@ -144,10 +156,6 @@ def _lowest_bits(x: Column, count: int) -> Column:
     return kept
 
 
-def _band(hash_: Column, band: int) -> Column:
-    return F.shiftrightunsigned(hash_, band * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
-
-
 def _ranked(total: Column, compared: Column, clip_id: Column) -> Column:
     """Mean distance and clip in one whole number that sorts by both. A mean of at most 12 frames is a
     whole multiple of 1/27720. A plain number lets the minimum run in a hash aggregation, where a struct
@@ -178,41 +186,35 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
         .select("clip_id", "copies", *SLOTS)
     )
 
-    places = F.array(
-        *[
-            F.struct(F.lit(i * BANDS + band).alias("place"), _band(F.col(slot), band).alias("value"))
-            for i, slot in enumerate(SLOTS)
-            for band in range(BANDS)
-        ]
-    )
-    placed = groups.withColumn("at", F.explode(F.filter(places, lambda p: p["value"].isNotNull())))
+    bands = [(i * BANDS + band, f"shiftrightunsigned({slot}, {band * BAND_BITS}) & {BAND_MASK}") for i, slot in enumerate(SLOTS) for band in range(BANDS)]
+    places = ", ".join(f"struct({place} as place, {value} as value)" for place, value in bands)
+    placed = groups.withColumn("at", F.expr(f"explode(filter(array({places}), p -> p.value is not null))"))
 
     def keyed(flips: int, prefix: str) -> DataFrame:
-        masks = F.array(*[F.lit(m).cast("bigint") for m in _flips(flips)])
-        return placed.withColumn("mask", F.explode(masks)).select(
-            F.col("at.place").alias("place"),
-            F.col("at.value").bitwiseXOR(F.col("mask")).alias("key"),
-            F.col("at.value").alias(f"{prefix}value"),
-            *[F.col(c).alias(f"{prefix}{c}") for c in ("clip_id", "copies", *SLOTS)],
+        masks = ", ".join(f"{m}L" for m in _flips(flips))
+        return placed.withColumn("mask", F.expr(f"explode(array({masks}))")).selectExpr(
+            "at.place",
+            "at.value ^ mask as key",
+            f"at.value as {prefix}value",
+            *[f"{c} as {prefix}{c}" for c in ("clip_id", "copies", *SLOTS)],
         )
 
     left, right = keyed(left_flips, "l_"), keyed(right_flips, "r_")
-    met = _self_salted(placed, left, right, left_flips, right_flips, heavy_rows, salts)
+    met = _self_salted(placed, left, right, max(left_flips, right_flips), heavy_rows, salts)
 
-    lefts, rights = [F.col(f"l_{s}") for s in SLOTS], [F.col(f"r_{s}") for s in SLOTS]
-    compared, total, _ = _distances(lefts, rights)
-    gap = F.col("l_value").bitwiseXOR(F.col("r_value"))
-    first_key = F.col("key") == F.col("l_value").bitwiseXOR(_lowest_bits(gap, left_flips))
-    differing = F.array(*[a.bitwiseXOR(b) for a, b in zip(lefts, rights)])
+    found = _distances("l_", "r_")
+    compared, total = found["compared"], found["total"]
+    first_key = F.col("key") == F.col("l_value").bitwiseXOR(_lowest_bits(F.expr("l_value ^ r_value"), left_flips))
+    differing = F.expr(f"array({', '.join(f'l_{slot} ^ r_{slot}' for slot in SLOTS)})")
     met_before = F.expr(
         f"exists(slice(places, 1, place), p -> bit_count(shiftrightunsigned(get(differing, p div {BANDS}), "
-        f"p % {BANDS} * {BAND_BITS}) & {(1 << BAND_BITS) - 1}L) <= {radius})"
+        f"p % {BANDS} * {BAND_BITS}) & {BAND_MASK}) <= {radius})"
     )
     near = (
         met.filter(F.col("l_clip_id") != F.col("r_clip_id"))
         .filter(first_key & (total <= compared * threshold))
         .withColumn("differing", differing)
-        .withColumn("places", F.array(*[F.lit(p) for p in range(CLIP_FRAMES * BANDS)]))
+        .withColumn("places", F.sequence(F.lit(0), F.lit(CLIP_FRAMES * BANDS - 1)))
         .filter(~F.coalesce(met_before, F.lit(False)))
         .select(F.col("l_clip_id").alias("clip_id"), "r_copies", _ranked(total, compared, F.col("r_clip_id")).alias("rank"))
         .groupBy("clip_id")
@@ -233,17 +235,13 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
     )
 
 
-def _self_salted(
-    placed: DataFrame, left: DataFrame, right: DataFrame, left_flips: int, right_flips: int, heavy_rows: int, salts: int
-) -> DataFrame:
+def _self_salted(placed: DataFrame, left: DataFrame, right: DataFrame, flips: int, heavy_rows: int, salts: int) -> DataFrame:
     """Join both sides on (place, key); the keys around the most frequent band values are salted: the
     left rows take one salt by clip, the right rows are repeated for each."""
     common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], min_rows=heavy_rows)
-    reach = F.array(*[F.lit(m).cast("bigint") for m in _flips(max(left_flips, right_flips))])
+    masks = ", ".join(f"{m}L" for m in _flips(flips))
     hot = F.broadcast(
-        common.select("place", F.explode(F.transform(reach, lambda m: F.col("value").bitwiseXOR(m))).alias("key"))
-        .distinct()
-        .withColumn("_hot", F.lit(True))
+        common.selectExpr("place", f"explode(transform(array({masks}), m -> value ^ m)) as key").distinct().withColumn("_hot", F.lit(True))
     )
     on = ["place", "key"]
     split = left.join(hot, on, "left").withColumn(

@@ -55,7 +55,7 @@ def shot_timeline(shots: DataFrame) -> DataFrame:
     )
 
 
-def reel_summary(shots: DataFrame) -> DataFrame:
+def reel_lengths(shots: DataFrame) -> DataFrame:
     """Requested and prepared shots and picture length of each reel; fewer than two are refused."""
     return (
         requested_shots(shots)
@@ -74,6 +74,12 @@ def reel_summary(shots: DataFrame) -> DataFrame:
     )
 
 
+def reel_summary(shots: DataFrame, voices: DataFrame) -> DataFrame:
+    """`reel_lengths`, and whether a voice-over (reel_id, audio_url) goes with the reel."""
+    spoken = voices.filter("audio_url <> ''").select("reel_id").distinct().withColumn("has_audio", F.lit(True))
+    return reel_lengths(shots).join(spoken, "reel_id", "left").withColumn("has_audio", F.coalesce("has_audio", F.lit(False)))
+
+
 def failed_shots(shots: DataFrame) -> DataFrame:
     """Requested shots that were not prepared."""
     requested = requested_shots(shots).select("reel_id", "shot_idx", "url")
@@ -112,7 +118,7 @@ def word_shot_alignment(words: DataFrame, shots: DataFrame, delay: Column) -> Da
         .withColumnRenamed("reel_id", "video_id")
     )
     spoken = word_normalize(words).select("video_id", "word_idx", "word", (F.col("start_s") + delay).alias("at"))
-    joined = salted_join(spoken, timelines, ["video_id"], ["word_idx"], "left")
+    joined = salted_join(spoken, timelines, ["video_id"], ["word_idx"], "left", counted=words)
     on_screen = F.filter("timeline", lambda s: (F.col("at") >= s["start_s"]) & (F.col("at") < s["end_s"]))
     return joined.select(
         "video_id",

@@ -187,10 +187,10 @@ TABLES: dict[str, str] = {
         ) d on d.base_id = p.base_id and d.index = p.index
         group by all""",
     "results": """
-        select base_id, index, candidate_id, frames_compared, floor(mean_distance * 100 + 0.5) / 100 as avg_distance, max_distance,
+        select base_id, index, candidate_id, (select count(*) from hashes where clip_id = base_id) as base_frames, frames_compared, floor(mean_distance * 100 + 0.5) / 100 as avg_distance, max_distance,
                case when mean_distance <= 10 then 'would still match' when mean_distance <= 20 then 'borderline'
                     when mean_distance is not null then 'likely distinct' end as verdict,
-               case when frames_compared is null then 'No comparable frames' end as error
+               case when frames_compared is null then 'No frames hashed' end as error
         from distances""",
     "job_states": """
         select job_id, arg_max(step, (created_at, event_id)) as step, max(created_at) as updated_at, count(*) as events
@@ -474,7 +474,9 @@ QUERIES: dict[str, str] = {
     "detection_coverage": """
         select job_id, count(*) as total, count(*) filter (where hit) as swappable, round(count(*) filter (where hit) / count(*), 6) as coverage
         from (select job_id, frame_id in (select frame_id from fx_detections) as hit from fx_frames) group by job_id""",
-    "reel_summary": "select * from summary",
+    "reel_summary": """
+        select summary.*, o_orderkey is not null as has_audio
+        from summary left join orders on o_orderkey = reel_id and o_orderkey % 4 not in (0, 1)""",
     "speech_coverage": """
         select video_id, last_end, coalesce(probe_duration, 0e0) as duration, round(coalesce(probe_duration, 0e0) - last_end, 6) as trailing_silence
         from fx_videos join (select video_id, max(end_s) as last_end from clean_words group by video_id) using (video_id)""",

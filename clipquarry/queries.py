@@ -454,10 +454,6 @@ def seeded_sample(spark, root):
 # --- Joins ---
 
 
-def _with_rounded_mean(df):
-    return df.withColumn("mean_distance", F.round("mean_distance", 6))
-
-
 @query
 def phash_compare(spark, root):
     return hashes.phash_compare(_compare_requests(spark, root), _hashes(spark, root))
@@ -474,7 +470,7 @@ def near_duplicates(spark, root):
 
 
 def _reel_lengths(spark, root):
-    return reels.reel_summary(fx.shots(spark, root)).filter("status = 'ok'").select("reel_id", "seconds")
+    return reels.reel_lengths(fx.shots(spark, root)).filter("status = 'ok'").select("reel_id", "seconds")
 
 
 @query
@@ -556,8 +552,8 @@ def phash64_relational(spark, root):
 
 @query
 def phash_distance_stats(spark, root):
-    stats = _distances(spark, root).filter("frames_compared is not null")
-    return _with_rounded_mean(stats)
+    stats = _distances(spark, root).filter("frames_compared is not null").drop("base_frames", "other_frames")
+    return stats.withColumn("mean_distance", F.round("mean_distance", 6))
 
 
 @query
@@ -572,7 +568,7 @@ def detection_coverage(spark, root):
 
 @query
 def reel_summary(spark, root):
-    return reels.reel_summary(fx.shots(spark, root))
+    return reels.reel_summary(fx.shots(spark, root), fx.voices(spark, root))
 
 
 @query

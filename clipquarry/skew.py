@@ -73,15 +73,17 @@ def salted_join(
     how: str = "inner",
     salts: int = SALTS,
     min_rows: int = HEAVY_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join `many` (inner or left) with `side`, spreading the heavy keys of `many` over `salts` tasks.
 
     Only the rows of `side` under a heavy key are repeated. `spread_by` names columns of `many` that
     tell the rows of one key apart; the salt is a hash of them, so a lost task recomputes the same rows.
+    `counted` may name a cheaper table that has the keys of `many` equally often.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps all rows of `many` or only the matching ones")
-    heavy = F.broadcast(heavy_keys(many, keys, min_rows=min_rows).withColumn("_heavy", F.lit(True)))
+    heavy = F.broadcast(heavy_keys(many if counted is None else counted, keys, min_rows=min_rows).withColumn("_heavy", F.lit(True)))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

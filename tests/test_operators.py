@@ -181,12 +181,14 @@ def test_failed_shot_moves_later_ones_earlier(spark):
     got = rows(reels.shot_timeline(df).select("shot_idx", "seconds", "start_at", "start_s", "end_s"))
     assert got == [(0, 2.0, 0.0, 0.0, 2.0), (3, 1.0, 5.0, 2.0, 3.0), (4, 10.0, 0.0, 3.0, 13.0)]
     assert rows(reels.failed_shots(df)) == [(1, 1, "u")]
-    assert rows(reels.reel_summary(df)) == [(1, 4, 3, 13.0, "ok")]
+    voices = spark.createDataFrame([(1, "")], "reel_id bigint, audio_url string")
+    assert rows(reels.reel_summary(df, voices)) == [(1, 4, 3, 13.0, "ok", False)]
 
 
 def test_one_prepared_shot_is_refused(spark):
     df = shots(spark, ("u", "still", 1.0, None, True), ("u", "still", 1.0, None, False))
-    assert rows(reels.reel_summary(df)) == [(1, 2, 1, 1.0, "too_few_prepared")]
+    voices = spark.createDataFrame([(1, "s3://a")], "reel_id bigint, audio_url string")
+    assert rows(reels.reel_summary(df, voices)) == [(1, 2, 1, 1.0, "too_few_prepared", True)]
 
 
 def test_caps_come_after_the_filter(spark):
@@ -288,10 +290,10 @@ def _clips(spark, clips):
 
 def test_compare_pairs_up_to_the_shorter_clip(spark):
     df = _clips(spark, {1: [0, 0, 0], 2: [7, -1], 3: [0] * 12})
-    requests = spark.createDataFrame([(1, [1, 2, 3, 9])], "base_id bigint, candidates array<bigint>")
-    got = rows(hashes.phash_compare(requests, df), "index")
-    assert [r[3:6] for r in got] == [(3, 0.0, 0), (2, 33.5, 64), (3, 0.0, 0), (None, None, None)]
-    assert got[3][7] == "No comparable frames"
+    requests = spark.createDataFrame([(1, [1, 2, 3, 9]), (9, [1])], "base_id bigint, candidates array<bigint>")
+    got = rows(hashes.phash_compare(requests, df), "base_id", "index")
+    assert [r[3:7] for r in got[:4]] == [(3, 3, 0.0, 0), (3, 2, 33.5, 64), (3, 3, 0.0, 0), (3, None, None, None)]
+    assert [r[8] for r in got] == [None, None, None, "No frames hashed", "No frames hashed"] and got[4][3] == 0
 
 
 def test_only_ten_candidates_count(spark):
