@@ -7,7 +7,9 @@ import os
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str, cpus: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str, cpus: int | str = "*", shuffle_partitions: int | None = None, checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local session with the settings the operators assume."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -22,6 +24,8 @@ def build_session(app: str, cpus: int | str = "*", shuffle_partitions: int | Non
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
 
 

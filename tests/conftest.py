@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", 8, shuffle_partitions=8)
+    session = build_session("tests", 8, shuffle_partitions=8, checkpoint_dir=tempfile.mkdtemp(prefix="run-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

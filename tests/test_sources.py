@@ -8,7 +8,7 @@ from clipquarry import fixtures as fx
 from clipquarry.operators import jobs
 from clipquarry.sources import requests, sinks
 from clipquarry.sources.tables import events, table
-from clipquarry.streaming import registry
+from clipquarry.streaming import registry, run
 
 
 def rows(df, *order):
@@ -61,16 +61,10 @@ def job_stream(spark, data):
     return fx.job_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def drain(spark, df, name, mode):
-    checkpoint = tempfile.mkdtemp(prefix="run-")
-    running = (
-        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    try:
-        assert running.awaitTermination(240)
-    finally:
-        running.stop()
-    return spark.table(name)
+def drain(spark, df, name):
+    folder = tempfile.mkdtemp(prefix="run-")
+    run.run_available(df, name, folder, timeout_seconds=240)
+    return spark.read.parquet(folder)
 
 
 def batch_jobs(spark, data):
@@ -78,27 +72,28 @@ def batch_jobs(spark, data):
 
 
 def test_latest_state_stream(spark, data):
-    got = drain(spark, registry.latest_job_state(job_stream(spark, data)), "latest_state", "complete")
+    folder = tempfile.mkdtemp(prefix="run-")
+    run.run_available(registry.latest_job_state(job_stream(spark, data)), "latest_state", folder, "update", 240)
     want = jobs.latest_state(batch_jobs(spark, data)).select("job_id", "step", "updated_at", "status")
-    assert rows(got) == rows(want)
+    assert rows(run.latest_rows(spark, folder, "job_id")) == rows(want)
 
 
 def test_window_stream(spark, data):
-    got = drain(spark, registry.activity_windows(job_stream(spark, data), "1 hour"), "windows", "append")
+    got = drain(spark, registry.activity_windows(job_stream(spark, data), "1 hour"), "windows")
     batch = jobs.activity_windows(batch_jobs(spark, data), "1 hour")
     now = jobs.registry_clock(batch_jobs(spark, data)).first().now
     assert rows(got) == rows(batch.filter(F.col("window_end") <= F.lit(now)))
 
 
 def test_session_stream(spark, data):
-    got = drain(spark, registry.activity_sessions(job_stream(spark, data), "30 minutes"), "sessions", "append")
+    got = drain(spark, registry.activity_sessions(job_stream(spark, data), "30 minutes"), "sessions")
     batch = jobs.activity_sessions(batch_jobs(spark, data), 30)
     now = jobs.registry_clock(batch_jobs(spark, data)).first().now
     assert rows(got) == rows(batch.filter(F.col("session_end") <= F.lit(now)).select(got.columns))
 
 
 def test_expiry_stream(spark, data):
-    got = drain(spark, registry.expired_entries(job_stream(spark, data), "job_id", jobs.JOB_TTL), "expired", "append")
+    got = drain(spark, registry.expired_entries(job_stream(spark, data), "job_id", jobs.JOB_TTL), "expired")
     dropped = {(r.job_id, r.last_registered) for r in got.collect()}
     for entry in jobs.entry_expiry(batch_jobs(spark, data), "job_id", jobs.JOB_TTL).collect():
         assert ((entry.job_id, entry.created_at) in dropped) == entry.expired
@@ -106,7 +101,7 @@ def test_expiry_stream(spark, data):
 
 def test_dedup_stream(spark, data):
     keyed = job_stream(spark, data).withColumn("token", F.concat_ws("_", F.col("job_id").cast("string"), "step"))
-    got = drain(spark, registry.deduplicated_artifacts(keyed, "token", "40 days"), "dedup", "append")
+    got = drain(spark, registry.deduplicated_artifacts(keyed, "token", "40 days"), "dedup")
     batch = batch_jobs(spark, data).withColumn("token", F.concat_ws("_", F.col("job_id").cast("string"), "step"))
     want = jobs.first_registrations(batch, "token").select("token").collect()
     assert sorted(r.token for r in got.collect()) == sorted(r.token for r in want)
