@@ -147,6 +147,22 @@ def _flips(most: int) -> list[int]:
     return [sum(1 << bit for bit in chosen) for n in range(most + 1) for chosen in combinations(range(BAND_BITS), n)]
 
 
+def _meeting_places(threshold: int, radius: int) -> list[int]:
+    """The (frame, band) places that signatures need to meet on.
+
+    Two clips of m compared frames differ in at most m * threshold bits, and a band that does not meet
+    differs in more than `radius` of them. So a certain number of the first 4m bands do meet, and for every
+    m one less than that many can be left out.
+    """
+    kept, left_out = [], 0
+    for frame in range(CLIP_FRAMES):
+        certain = -(-(frame + 1) * (BANDS * (radius + 1) - threshold) // (radius + 1))
+        spare = min(BANDS, certain - 1 - left_out)
+        kept += [frame * BANDS + band for band in range(BANDS - spare)]
+        left_out += spare
+    return kept
+
+
 def _lowest_bits(x: Column, count: int) -> Column:
     """The `count` lowest set bits of x."""
     kept, rest = F.lit(0).cast("bigint"), x
@@ -171,7 +187,8 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
        so a group of copies of any size is one row from here on.
     2. A mean within the threshold needs one frame within it, and that frame one of its four bands within
        a quarter of it. Signatures therefore meet on (frame, band, value), each side flipping its share of
-       the allowed bits; no near pair is missed, for any threshold.
+       the allowed bits; no near pair is missed, for any threshold. Places that are not needed for this are
+       left out.
     3. A pair may meet in several places and is counted in the first of them only. It is folded into the
        count and the nearest match of its left side in the task that found it: the result has one row per
        signature, and pairs are neither written nor shuffled.
@@ -186,9 +203,11 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
         .select("clip_id", "copies", *SLOTS)
     )
 
-    bands = [(i * BANDS + band, f"shiftrightunsigned({slot}, {band * BAND_BITS}) & {BAND_MASK}") for i, slot in enumerate(SLOTS) for band in range(BANDS)]
-    places = ", ".join(f"struct({place} as place, {value} as value)" for place, value in bands)
-    placed = groups.withColumn("at", F.expr(f"explode(filter(array({places}), p -> p.value is not null))"))
+    places = _meeting_places(threshold, radius)
+    bands = [
+        f"struct({p} as place, shiftrightunsigned({SLOTS[p // BANDS]}, {p % BANDS * BAND_BITS}) & {BAND_MASK} as value)" for p in places
+    ]
+    placed = groups.withColumn("at", F.expr(f"explode(filter(array({', '.join(bands)}), p -> p.value is not null))"))
 
     def keyed(flips: int, prefix: str) -> DataFrame:
         masks = ", ".join(f"{m}L" for m in _flips(flips))
@@ -207,14 +226,14 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
     first_key = F.col("key") == F.col("l_value").bitwiseXOR(_lowest_bits(F.expr("l_value ^ r_value"), left_flips))
     differing = F.expr(f"array({', '.join(f'l_{slot} ^ r_{slot}' for slot in SLOTS)})")
     met_before = F.expr(
-        f"exists(slice(places, 1, place), p -> bit_count(shiftrightunsigned(get(differing, p div {BANDS}), "
+        f"exists(places, p -> p < place and bit_count(shiftrightunsigned(get(differing, p div {BANDS}), "
         f"p % {BANDS} * {BAND_BITS}) & {BAND_MASK}) <= {radius})"
     )
     near = (
         met.filter(F.col("l_clip_id") != F.col("r_clip_id"))
         .filter(first_key & (total <= compared * threshold))
         .withColumn("differing", differing)
-        .withColumn("places", F.sequence(F.lit(0), F.lit(CLIP_FRAMES * BANDS - 1)))
+        .withColumn("places", F.array(*[F.lit(p) for p in places]))
         .filter(~F.coalesce(met_before, F.lit(False)))
         .select(F.col("l_clip_id").alias("clip_id"), "r_copies", _ranked(total, compared, F.col("r_clip_id")).alias("rank"))
         .groupBy("clip_id")
