@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, match_verdict, phash64
 from clipquarry.functions.semantics import round_digits
-from clipquarry.skew import SALTS, heavy_keys, salted_join
+from clipquarry.skew import HEAVY_JOIN_KEYS, SALTS, heavy_keys, salted_join
 
 # Frames hashed per clip and candidates compared per request, both at most.
 CLIP_FRAMES = 12
@@ -256,8 +256,9 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
 
 def _self_salted(placed: DataFrame, left: DataFrame, right: DataFrame, flips: int, heavy_rows: int, salts: int) -> DataFrame:
     """Join both sides on (place, key); the keys around the most frequent band values are salted: the
-    left rows take one salt by clip, the right rows are repeated for each."""
-    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], min_rows=heavy_rows)
+    left rows take one salt by clip, the right rows are repeated for each. Both sides are many times the
+    size that the planner expects of them, so the join is told to shuffle."""
+    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], HEAVY_JOIN_KEYS, heavy_rows)
     masks = ", ".join(f"{m}L" for m in _flips(flips))
     hot = F.broadcast(
         common.selectExpr("place", f"explode(transform(array({masks}), m -> value ^ m)) as key").distinct().withColumn("_hot", F.lit(True))
@@ -269,4 +270,4 @@ def _self_salted(placed: DataFrame, left: DataFrame, right: DataFrame, flips: in
     repeated = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
-    return split.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"])
+    return split.drop("_hot").hint("merge").join(repeated.drop("_hot").hint("merge"), [*on, "_salt"])

@@ -17,6 +17,9 @@ HEAVY_KEYS = 10_000
 # A key with fewer rows than this fits one task with ease and is not worth spreading.
 HEAVY_ROWS = 100_000
 
+# In joins the rows of the other side are repeated SALTS times for each heavy key, so the list is shorter:
+# 65,536 more rows at most, whatever the table size.
+HEAVY_JOIN_KEYS = 1024
 SALTS = 64
 
 
@@ -83,7 +86,8 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps all rows of `many` or only the matching ones")
-    heavy = F.broadcast(heavy_keys(many if counted is None else counted, keys, min_rows=min_rows).withColumn("_heavy", F.lit(True)))
+    found = heavy_keys(many if counted is None else counted, keys, HEAVY_JOIN_KEYS, min_rows)
+    heavy = F.broadcast(found.withColumn("_heavy", F.lit(True)))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
