@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, match_verdict, phash64
 from clipquarry.functions.semantics import round_digits
-from clipquarry.skew import HEAVY_JOIN_KEYS, SALTS, heavy_keys, salted_join
+from clipquarry.skew import SALTS, heavy_keys, salted_join
 
 # Frames hashed per clip and candidates compared per request, both at most.
 CLIP_FRAMES = 12
@@ -28,6 +28,9 @@ ID_SHIFT = Decimal(2**63)
 BAND_BITS = 16
 BANDS = 64 // BAND_BITS
 BAND_MASK = f"{(1 << BAND_BITS) - 1}L"
+
+# Band values that are salted, the most frequent ones; the keys around them are broadcast.
+HEAVY_BANDS = 256
 SLOTS = [f"h{i}" for i in range(CLIP_FRAMES)]
 
 
@@ -142,9 +145,10 @@ def phash_compare(requests: DataFrame, hashes: DataFrame) -> DataFrame:
     return compare_results(phash_distances(requests, hashes))
 
 
-def _flips(most: int) -> list[int]:
-    """Masks of a band with at most `most` bits set."""
-    return [sum(1 << bit for bit in chosen) for n in range(most + 1) for chosen in combinations(range(BAND_BITS), n)]
+def _flips(most: int) -> list[tuple[int, int]]:
+    """Masks of half a band with at most `most` bits set, and how many are."""
+    bits = range(BAND_BITS // 2)
+    return [(sum(1 << bit for bit in chosen), n) for n in range(min(most, len(bits)) + 1) for chosen in combinations(bits, n)]
 
 
 def _meeting_places(threshold: int, radius: int) -> list[int]:
@@ -163,15 +167,6 @@ def _meeting_places(threshold: int, radius: int) -> list[int]:
     return kept
 
 
-def _lowest_bits(x: Column, count: int) -> Column:
-    """The `count` lowest set bits of x."""
-    kept, rest = F.lit(0).cast("bigint"), x
-    for _ in range(count):
-        lowest = rest.bitwiseAND(-rest)
-        kept, rest = kept.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
-    return kept
-
-
 def _ranked(total: Column, compared: Column, clip_id: Column) -> Column:
     """Mean distance and clip in one whole number that sorts by both. A mean of at most 12 frames is a
     whole multiple of 1/27720. A plain number lets the minimum run in a hash aggregation, where a struct
@@ -186,44 +181,31 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
     1. Clips with equal hashes become one signature with a number of copies (combined before the shuffle),
        so a group of copies of any size is one row from here on.
     2. A mean within the threshold needs one frame within it, and that frame one of its four bands within
-       a quarter of it. Signatures therefore meet on (frame, band, value), each side flipping its share of
-       the allowed bits; no near pair is missed, for any threshold. Places that are not needed for this are
-       left out.
-    3. A pair may meet in several places and is counted in the first of them only. It is folded into the
-       count and the nearest match of its left side in the task that found it: the result has one row per
-       signature, and pairs are neither written nor shuffled.
+       a quarter of it. Signatures therefore meet on (frame, band, value). One side tries all flips of the
+       upper half of a value and the other side of the lower half, and the number of flips is a part of the
+       key. So a pair meets at a place exactly once, if its bands are close enough there, and else not at
+       all; no near pair is missed, for any threshold. Places that are not needed for this are left out.
+    3. A pair counts in the first place where it meets. It is folded into the count and the nearest match of
+       its left side in the task that found it: the result has one row per signature, and pairs are neither
+       written nor shuffled.
     4. Values shared by very many signatures (a black opening frame) are salted over tasks.
     """
     radius = threshold // BANDS
-    left_flips, right_flips = (radius + 1) // 2, radius // 2
     groups = (
         clip_signatures(hashes)
         .groupBy(*SLOTS)
         .agg(F.min("clip_id").alias("clip_id"), F.count("*").alias("copies"))
         .select("clip_id", "copies", *SLOTS)
     )
-
     places = _meeting_places(threshold, radius)
     bands = [
         f"struct({p} as place, shiftrightunsigned({SLOTS[p // BANDS]}, {p % BANDS * BAND_BITS}) & {BAND_MASK} as value)" for p in places
     ]
     placed = groups.withColumn("at", F.expr(f"explode(filter(array({', '.join(bands)}), p -> p.value is not null))"))
-
-    def keyed(flips: int, prefix: str) -> DataFrame:
-        masks = ", ".join(f"{m}L" for m in _flips(flips))
-        return placed.withColumn("mask", F.expr(f"explode(array({masks}))")).selectExpr(
-            "at.place",
-            "at.value ^ mask as key",
-            f"at.value as {prefix}value",
-            *[f"{c} as {prefix}{c}" for c in ("clip_id", "copies", *SLOTS)],
-        )
-
-    left, right = keyed(left_flips, "l_"), keyed(right_flips, "r_")
-    met = _self_salted(placed, left, right, max(left_flips, right_flips), heavy_rows, salts)
+    met = _meet(placed, radius, heavy_rows, salts)
 
     found = _distances("l_", "r_")
     compared, total = found["compared"], found["total"]
-    first_key = F.col("key") == F.col("l_value").bitwiseXOR(_lowest_bits(F.expr("l_value ^ r_value"), left_flips))
     differing = F.expr(f"array({', '.join(f'l_{slot} ^ r_{slot}' for slot in SLOTS)})")
     met_before = F.expr(
         f"exists(places, p -> p < place and bit_count(shiftrightunsigned(get(differing, p div {BANDS}), "
@@ -231,7 +213,7 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
     )
     near = (
         met.filter(F.col("l_clip_id") != F.col("r_clip_id"))
-        .filter(first_key & (total <= compared * threshold))
+        .filter(total <= compared * threshold)
         .withColumn("differing", differing)
         .withColumn("places", F.array(*[F.lit(p) for p in places]))
         .filter(~F.coalesce(met_before, F.lit(False)))
@@ -254,20 +236,41 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
     )
 
 
-def _self_salted(placed: DataFrame, left: DataFrame, right: DataFrame, flips: int, heavy_rows: int, salts: int) -> DataFrame:
-    """Join both sides on (place, key); the keys around the most frequent band values are salted: the
-    left rows take one salt by clip, the right rows are repeated for each. Both sides are many times the
-    size that the planner expects of them, so the join is told to shuffle."""
-    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], HEAVY_JOIN_KEYS, heavy_rows)
-    masks = ", ".join(f"{m}L" for m in _flips(flips))
-    hot = F.broadcast(
-        common.selectExpr("place", f"explode(transform(array({masks}), m -> value ^ m)) as key").distinct().withColumn("_hot", F.lit(True))
-    )
-    on = ["place", "key"]
-    split = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("l_clip_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    )
-    repeated = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return split.drop("_hot").hint("merge").join(repeated.drop("_hot").hint("merge"), [*on, "_salt"])
+def _meet(placed: DataFrame, radius: int, heavy_rows: int, salts: int) -> DataFrame:
+    """Pairs of signatures (columns with l_ and r_) whose bands differ in `radius` bits at most, per place.
+
+    Around the most frequent values, the side that has many rows under a key takes one salt by clip, and
+    the rows of the other side are repeated for each salt. Both sides are many times the size that the
+    planner expects of them, so the join is told to shuffle.
+    """
+    half = BAND_BITS // 2
+    upper = [(mask << half, n) for mask, n in _flips(radius)]
+    lower = [(mask, n) for mask, used in _flips(radius) for n in range(radius - used + 1)]
+    masks = {
+        side: "array(" + ", ".join(f"struct({mask}L as mask, {n} as flips)" for mask, n in tried) + ")"
+        for side, tried in (("l_", upper), ("r_", lower))
+    }
+    on = ["place", "key", "flips"]
+
+    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], HEAVY_BANDS, heavy_rows)
+    reached = [
+        common.selectExpr("place", "value", f"inline({masks[side]})").selectExpr("place", "value ^ mask as key", "flips", f"'{side}' as many")
+        for side in masks
+    ]
+    hot = F.broadcast(reached[0].unionByName(reached[1]).groupBy(*on).agg(F.min("many").alias("many")))
+
+    sides = []
+    for side, tried in masks.items():
+        one = F.array(F.pmod(F.xxhash64(f"{side}clip_id"), F.lit(salts)).cast("int"))
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        salt = F.when(F.col("many").isNull(), F.array(F.lit(0))).when(F.col("many") == side, one).otherwise(every)
+        sides.append(
+            placed.selectExpr("at.place", "at.value", *[f"{c} as {side}{c}" for c in ("clip_id", "copies", *SLOTS)], f"inline({tried})")
+            .withColumn("key", F.expr("value ^ mask"))
+            .drop("value", "mask")
+            .join(hot, on, "left")
+            .withColumn("salt", F.explode(salt))
+            .drop("many")
+            .hint("merge")
+        )
+    return sides[0].join(sides[1], [*on, "salt"])
