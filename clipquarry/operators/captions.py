@@ -15,17 +15,24 @@ CUE_CAP = 200
 
 
 def caption_chunks(words: DataFrame, size: int = WORDS_PER_CHUNK) -> DataFrame:
-    """Words in groups of `size` by position. The group number is part of the key, so no group has
-    more than `size` rows however long the clip is."""
+    """Words in groups of `size` by position. The group number is part of the key, so no group has more
+    than `size` rows however long the clip is. Groups this small gain nothing from a partial aggregation;
+    a window sorts the words once, after the shuffle."""
     text = trim_blanks(F.coalesce("word", F.lit("")))
+    group = Window.partitionBy("video_id", "chunk_idx").orderBy("word_idx")
+    rest = group.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return (
         words.select("video_id", F.expr(f"word_idx div {size}").alias("chunk_idx"), "word_idx", "start_s", "end_s", text.alias("word"))
-        .groupBy("video_id", "chunk_idx")
-        .agg(
-            F.array_join(F.array_sort(F.collect_list(F.struct("word_idx", "word")))["word"], " ").alias("text"),
-            F.min_by("start_s", "word_idx").alias("start_s"),
-            F.max_by("end_s", "word_idx").alias("end_s"),
+        .select(
+            "video_id",
+            "chunk_idx",
+            F.row_number().over(group).alias("place"),
+            F.array_join(F.collect_list("word").over(rest), " ").alias("text"),
+            "start_s",
+            F.last("end_s").over(rest).alias("end_s"),
         )
+        .filter("place = 1")
+        .drop("place")
         .withColumn("usable", F.coalesce(_is_usable(), F.lit(False)))
     )
 

@@ -32,7 +32,8 @@ def speech_segments(segments: DataFrame) -> DataFrame:
 
 
 def transcript_assemble(segments: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Kept segments joined by a blank, in order: one row per clip and part."""
+    """Kept segments joined by a blank, in order: one row per clip and part. The parts of a clip, joined
+    by a blank in turn, are its whole transcript."""
     text = trim_blanks(F.coalesce("text", F.lit("")))
     marked = segments.select(
         "video_id",
