@@ -100,7 +100,7 @@ def speech_coverage(words: DataFrame, videos: DataFrame) -> DataFrame:
 def request_bundle(clips: DataFrame, transcripts: DataFrame, closing: str) -> DataFrame:
     """Frame list and text of each model request; no call is made.
 
-    `clips` has (video_id, n_frames, frame_list, note). A clip whose transcript has several parts
+    `clips` has (video_id, route, n_frames, frame_list, note), one row per route a request may take. A clip whose transcript has several parts
     gets one row per part.
     """
     spoken = transcripts.filter("text <> ''").select("video_id", "part", "text")
@@ -113,6 +113,7 @@ def request_bundle(clips: DataFrame, transcripts: DataFrame, closing: str) -> Da
     unheard = F.concat(opening, F.lit(f" (no audio). {closing}"))
     return with_text.unionByName(silent).select(
         "video_id",
+        "route",
         "part",
         "n_frames",
         "frame_list",

@@ -481,13 +481,17 @@ QUERIES: dict[str, str] = {
         select video_id, last_end, coalesce(probe_duration, 0e0) as duration, round(coalesce(probe_duration, 0e0) - last_end, 6) as trailing_silence
         from fx_videos join (select video_id, max(end_s) as last_end from clean_words group by video_id) using (video_id)""",
     "vision_request_bundle": """
-        with lists as (select video_id, string_agg(frame_idx, ',' order by i) as frame_list from ("""
+        with lists as (
+            select video_id, 'gateway' as route, string_agg(frame_idx, ',' order by i) as frame_list from ("""
     + _PLAN_SAMPLED.format(keep=20, last=19)
-    + """) group by video_id)
-        select video_id, coalesce(part, 0) as part, n_frames, frame_list,
+    + """) group by video_id
+            union all
+            select video_id, 'direct', string_agg(i, ',' order by i) from clips, unnest(range(n_frames)) as places(i) group by video_id)
+        select video_id, route, coalesce(part, 0) as part, n_frames, frame_list,
                concat('These ', n_frames, ' frames were extracted from the video',
                       case when text is null then ' (no audio). Describe the clip.' else concat('. Transcript: "', text, '"', chr(10), chr(10), 'Describe the clip.') end,
-                      case when n_frames > 20 then ' (20 representative frames shown, evenly sampled from the full clip.)' else '' end) as request_text
+                      case when n_frames > 20 and route = 'gateway'
+                           then ' (20 representative frames shown, evenly sampled from the full clip.)' else '' end) as request_text
         from clips join lists using (video_id) left join (select video_id, part, text from transcripts where text <> '') using (video_id)""",
     "shot_timeline": """
         select reel_id, shot_idx, kind, seconds, start_at, round(start_s, 6) as start_s, round(end_s, 6) as end_s from timeline""",

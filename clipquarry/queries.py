@@ -578,13 +578,22 @@ def speech_coverage(spark, root):
 
 @query
 def vision_request_bundle(spark, root):
+    """Requests by way of the gateway, which takes few frames, and direct ones with all frames."""
     count = sampling.dense_count(F.col("probe_duration"))
-    picks = sampling.even_sample(count, sampling.VISION_FRAMES)
-    clips = fx.videos(spark, root).select(
-        "video_id",
-        count.alias("n_frames"),
-        F.array_join(picks.cast("array<string>"), ",").alias("frame_list"),
-        sampling.vision_note(count, F.size(picks)).alias("note"),
+    routes = F.array(
+        F.struct(F.lit("gateway").alias("route"), sampling.even_sample(count, sampling.VISION_FRAMES).alias("picks")),
+        F.struct(F.lit("direct").alias("route"), sampling.indexes(count).alias("picks")),
+    )
+    clips = (
+        fx.videos(spark, root)
+        .select("video_id", count.alias("n_frames"), F.inline(routes))
+        .select(
+            "video_id",
+            "route",
+            "n_frames",
+            F.array_join(F.col("picks").cast("array<string>"), ",").alias("frame_list"),
+            sampling.vision_note(F.col("n_frames"), F.size("picks")).alias("note"),
+        )
     )
     return speech.request_bundle(clips, speech.transcript_assemble(fx.segments(spark, root)), CLOSING)
 

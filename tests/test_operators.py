@@ -87,7 +87,10 @@ def test_silent_transcript(spark):
 
 
 def test_request_bundle_covers_every_clip_and_part(spark):
-    lists = spark.createDataFrame([(1, 80, "0,4", " note"), (2, 5, "0,1", "")], "video_id bigint, n_frames bigint, frame_list string, note string")
+    lists = spark.createDataFrame(
+        [(1, "gateway", 80, "0,4", " note"), (2, "direct", 5, "0,1", "")],
+        "video_id bigint, route string, n_frames bigint, frame_list string, note string",
+    )
     transcripts = speech.transcript_assemble(segments(spark, *[(f"w{i}", 0.0, 0.0, 1.0) for i in range(3)]), part_segments=2)
     got = rows(speech.request_bundle(lists, transcripts, "Go.").select("video_id", "part", "request_text"))
     start = "These %d frames were extracted from the video"
