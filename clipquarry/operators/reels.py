@@ -81,10 +81,10 @@ def reel_summary(shots: DataFrame, voices: DataFrame) -> DataFrame:
 
 
 def failed_shots(shots: DataFrame) -> DataFrame:
-    """Requested shots that were not prepared."""
-    requested = requested_shots(shots).select("reel_id", "shot_idx", "url")
-    prepared = shot_timeline(shots).select("reel_id", "shot_idx")
-    return requested.join(prepared, ["reel_id", "shot_idx"], "left_anti")
+    """Requested shots that were not prepared. Each shot carries its outcome, so this needs no join with the
+    prepared ones."""
+    failed = ~F.coalesce("fetched", F.lit(False))
+    return requested_shots(shots).filter(failed).select("reel_id", "shot_idx", "url")
 
 
 def valid_sources(shots: DataFrame) -> DataFrame:
