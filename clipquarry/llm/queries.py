@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipquarry.llm import fingerprints, simhash, urls
+from clipquarry.llm import fingerprints, language, licenses, secrets, simhash, telephony, urls
 from clipquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,26 @@ def op2_simhash(spark, root):
 def op9_urls(spark, root):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judged(table(spark, root, "pages"), rules)
+
+
+@query
+def op3_telephony(spark, root):
+    return telephony.telephony(table(spark, root, "documents"))
+
+
+@query
+def op4_licenses(spark, root):
+    return licenses.license_scan(table(spark, root, "documents")).drop("spans")
+
+
+@query
+def op6_secrets(spark, root):
+    findings, _ = secrets.scan(table(spark, root, "documents"))
+    return secrets.summarised(findings)
+
+
+@query
+def op10_language(spark, root):
+    docs = table(spark, root, "documents")
+    found = language.identified(docs, language.learnt(docs))
+    return found.select("doc_id", language.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
