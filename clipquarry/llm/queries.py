@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipquarry.llm import fingerprints, language, licenses, secrets, simhash, telephony, urls
+from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, secrets, simhash, telephony, urls
 from clipquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Where the public tokenizer files lie; every machine has them.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 # The rules that the query judges pages by.
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -64,3 +69,18 @@ def op10_language(spark, root):
     docs = table(spark, root, "documents")
     found = language.identified(docs, language.learnt(docs))
     return found.select("doc_id", language.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_bpe(spark, root):
+    return bpe.round_trip(table(spark, root, "documents"), BYTE_BPE)
+
+
+@query
+def op8_packing(spark, root):
+    return packing.packed(table(spark, root, "documents"), WORD_BPE)
+
+
+@query
+def op7_repeats(spark, root):
+    return repeats.measured(table(spark, root, "documents"))

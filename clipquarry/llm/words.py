@@ -21,6 +21,7 @@ INVERSES = _powers(pow(BASE, -1, WORD_BITS))
 
 BLANKS = b" \t\n\v\f\r"
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+AS_IS = np.arange(256, dtype=np.uint8)
 NOT_BLANK = np.array([c not in BLANKS for c in range(256)])
 
 
@@ -44,18 +45,18 @@ def doc_words(flat: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_BL
     return starts, stops, rows
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, A-Z taken as a-z. The spans must not overlap and stand in order."""
+def word_hashes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each span of bytes as `table` shows them (A-Z as a-z). Starts and ends have to rise."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         base = int(starts[at])
         to = int(np.searchsorted(stops, base + STRETCH, side="right"))
         if to <= at:
-            out[at] = _long_hash(flat[base : stops[at]])
+            out[at] = _long_hash(flat[base : stops[at]], table)
             at += 1
             continue
-        part = LOWER[flat[base : stops[to - 1]]].astype(np.uint64) + np.uint64(1)
+        part = table[flat[base : stops[to - 1]]].astype(np.uint64) + np.uint64(1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * POWERS[: len(part)], out=sums[1:])
         s, e = starts[at:to] - base, stops[at:to] - base
@@ -64,10 +65,10 @@ def word_hashes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mixed(out)
 
 
-def _long_hash(span: np.ndarray) -> np.uint64:
+def _long_hash(span: np.ndarray, table: np.ndarray) -> np.uint64:
     total, power, step = 0, 1, pow(BASE, STRETCH, WORD_BITS)
     for at in range(0, len(span), STRETCH):
-        part = LOWER[span[at : at + STRETCH]].astype(np.uint64) + np.uint64(1)
+        part = table[span[at : at + STRETCH]].astype(np.uint64) + np.uint64(1)
         total = (total + int((part * POWERS[: len(part)]).sum(dtype=np.uint64)) * power) % WORD_BITS
         power = power * step % WORD_BITS
     return np.uint64(total)
