@@ -5,8 +5,7 @@ token, and the token fits if the pair of the last two is what their joined text
 in sorted order, which is the depth-first order of their trie, so the states of a shared prefix are computed once.
 Which pairs fit is found by plain merging, once per pair.
 
-Texts are cut into chunks that the tokenizer's own splitting never looks across, and chunks into words by that
-splitting; a worker keeps the ids of recent chunks. Vocabulary and merges come from a public tokenizer file whose
+Texts are cut into words by the tokenizer's own rule; a worker keeps the ids of the words it has seen, up to a bound. Vocabulary and merges come from a public tokenizer file whose
 path is a parameter. Null texts are empty texts and have no ids. Special tokens that stand in a text are one id each.
 Repeated rows get equal results; extra columns are ignored.
 """
@@ -27,16 +26,17 @@ from tokenizers import Tokenizer
 
 from clipquarry.llm.shared import pieces
 
-CACHED = 300_000  # chunks, words and pairs a worker remembers at most, each
+CACHED = 1_000_000  # words a worker remembers at most, and as many pairs
 
-# White space that is neither a single blank nor a single line end between other characters: such texts are split whole.
-ODD_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
-DOUBLE_SPACE = ("  ", "\n\n", " \n", "\n ")
-
-# Chunks of these characters only are split here; the classes of all of them are the same in any Unicode version.
+# Texts of these characters without neighbouring blanks are split here, as the classes of all of them are the same in
+# any Unicode version; other texts are split by the tokenizer's own code, which takes longer.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-PLAIN_CHUNK = re.compile(f" ?[!-~{LATIN}]*")
-PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+")
+PLAIN_TEXT = re.compile(f"[!-~{LATIN} \n]*")
+NEIGHBOURS = ("  ", "\n\n", " \n", "\n ")
+PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \n]")
+
+
+IN_LETTERS = "\0"  # no plain word begins with it
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,10 +69,11 @@ class Bpe:
         back = {c: b for b, c in letters.items()}
         self.raw = {n: bytes(back[c] for c in t) for t, n in self.ids.items()} | {n: t.encode() for t, n in self.special.items()}
         self.packed = {t: n.to_bytes(4, "little") for t, n in self.ids.items()}
+        self.halves = {a + b: (a, b) for a, b in self.ranks}
+        self.made = {a + b: n for (a, b), n in self.ranks.items()}
         self.whole: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {"": b""}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, word: str) -> list[str]:
         """The tokens of a word by plain merging, lowest rank first."""
@@ -84,23 +85,39 @@ class Bpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, token: str) -> bool:
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = self.merged(token) == [token]
-        return known
-
-    def fits(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= CACHED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
-
-    def encode_words(self, words: Iterable[str]) -> None:
-        """Add the ids of all these words, in byte letters, to `words`."""
-        ids, longest, fits, stands = self.ids, self.longest, self.fits, self.stands
+    def look_at(self, pair: tuple[str, str]) -> bool:
+        """Find out whether the second token can follow the first, or begin a word if the first is empty."""
+        first, token = pair
+        if token not in self.whole:
+            self.whole[token] = self.merged(token) == [token]
+        if len(self.pairs) >= CACHED:
+            self.pairs.clear()
+        self.pairs[pair] = self.whole[token] and (not first or self._stay_apart(first, token))
+        return True
+
+    def _stay_apart(self, a: str, b: str) -> bool:
+        """Whether no merge joins the two tokens across their border.
+
+        Merges are taken back, latest first. What then stands at the border must not have been merged before the
+        merge that was taken back; of equal merges the left one came first.
+        """
+        ranks, made, halves = self.ranks, self.made, self.halves
+        before = len(ranks)
+        while True:
+            if ranks.get((a, b), before) < before:
+                return False
+            left, right = made.get(a, -1), made.get(b, -1)
+            if left < 0 and right < 0:
+                return True
+            if left > right:
+                before, a = left, halves[a][1]
+            else:
+                before, b = right + 1, halves[b][0]
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of all these words, which are in byte letters."""
+        out = {}
+        ids, longest, pairs, packed = self.ids, self.longest, self.pairs, self.packed
         before, last = "", [""]  # last token of each prefix of the word before
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
@@ -108,64 +125,51 @@ class Bpe:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                for start in range(end - longest if end > longest else 0, end):
                     token = word[start:end]
-                    if token in ids and stands(token) and (not start or fits(last[start], token)):
-                        last.append(token)
-                        break
+                    if token in ids:
+                        pair = last[start], token
+                        fits = pairs.get(pair)
+                        if pairs[pair] if fits is None and self.look_at(pair) else fits:
+                            last.append(token)
+                            break
                 else:
                     raise ValueError(f"no token ends at {end} in {word!r}")
             before, end, tokens = word, len(word), []
             while end:
-                tokens.append(self.packed[last[end]])
+                tokens.append(packed[last[end]])
                 end -= len(last[end])
-            self.words[word] = b"".join(reversed(tokens))
-
-    def words_of(self, chunk: str) -> list[str]:
-        """A chunk's words in byte letters."""
-        if PLAIN_CHUNK.fullmatch(chunk):
-            return [w.encode().decode("latin-1").translate(self.letters) for w in PLAIN_WORDS.findall(chunk)]
-        return [w for w, _ in self.split(chunk)]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Make sure that the ids of all these chunks are known."""
-        if len(self.chunks) + len(chunks) > CACHED:
-            self.chunks = {"": b""}
-        if len(self.words) > CACHED:
-            self.words = {"": b""}
-        fresh = chunks - self.chunks.keys()
-        split = {c: self.words_of(c) for c in fresh}
-        self.encode_words({w for ws in split.values() for w in ws} - self.words.keys())
-        words = self.words
-        for chunk, ws in split.items():
-            self.chunks[chunk] = b"".join([words[w] for w in ws])
-
-    def chunked(self, text: str) -> list[str]:
-        """The text in pieces whose encodings stand side by side in that of the text."""
-        if ODD_SPACE.search(text) or any(s in text for s in DOUBLE_SPACE):
-            return [text]
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + word for word in rest]
+            out[word] = b"".join(reversed(tokens))
         return out
 
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text: plain ones as they are, others in byte letters after a mark."""
+        if PLAIN_TEXT.fullmatch(text) and not any(n in text for n in NEIGHBOURS):
+            return PLAIN_WORDS.findall(text)
+        return [IN_LETTERS + w for w, _ in self.split(text)]
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure that the ids of all these words are known."""
+        if len(self.words) + len(words) > CACHED:
+            self.words = {}
+        fresh = words - self.words.keys()
+        letters = {w: w[1:] if w[0] == IN_LETTERS else w.encode().decode("latin-1").translate(self.letters) for w in fresh}
+        ids = self.encode_words(set(letters.values()))
+        self.words |= {w: ids[x] for w, x in letters.items()}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each, low byte first."""
-        cut = []
+        split = []
         for text in texts:
             parts = self.cut.split(text) if self.cut and any(t in text for t in self.special) else [text]
-            cut.append([(part, None) if part in self.special else (part, self.chunked(part)) for part in parts])
-        self.learn({c for parts in cut for _, chunks in parts if chunks is not None for c in chunks})
-        known, out = self.chunks.__getitem__, []
-        for parts in cut:
+            split.append([(part, None if part in self.special else self.words_of(part)) for part in parts])
+        self.learn({w for parts in split for _, words in parts if words for w in words})
+        known, out = self.words.__getitem__, []
+        for parts in split:
             out.append(
                 b"".join(
-                    self.special[part].to_bytes(4, "little") if chunks is None else b"".join(map(known, chunks))
-                    for part, chunks in parts
+                    self.special[part].to_bytes(4, "little") if words is None else b"".join(map(known, words))
+                    for part, words in parts
                 )
             )
         return out

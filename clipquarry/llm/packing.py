@@ -13,6 +13,7 @@ same if a task is repeated.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from clipquarry.llm.shared import pieces
 
@@ -32,32 +34,70 @@ END_ID = 1
 LINEAR = 1.0
 QUADRATIC = 1 / LENGTH
 BLOCK = 256  # sequences that are balanced together
-CACHED = 400_000  # words whose ids a worker remembers at most
+CACHED = 1_200_000  # words whose ids a worker remembers at most
+TOGETHER = 64  # words in one call of the model
+
+# Texts of these characters are split here: the classes of all of them are the same in any Unicode version.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN_TEXT = re.compile(rf"[!-~{LATIN} \t-\r]*")
+PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that drops white space and never looks across it."""
+    """Ids of texts under a tokenizer file that lower-cases, drops white space and marks the ends of words.
+
+    Plain texts are split here by the tokenizer's rule, and its model encodes each distinct word once; a worker keeps
+    the ids of words up to a bound. All other texts go through the tokenizer as they are.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError(f"no mark at the ends of words: {path}")
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[n for t, n in vocab.items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Add the ids of words, each of one class of plain characters."""
+        if len(self.known) + len(words) > CACHED:
+            self.known = {}
+        fresh = list(words)
+        groups = [fresh[at : at + TOGETHER] for at in range(0, len(fresh), TOGETHER)]
+        found = self.model.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        flat = np.array([i for e in found for i in e.ids], "<u4")
+        ends = (np.flatnonzero(self.last[flat]) + 1) * 4
+        if len(ends) != len(fresh):
+            raise ValueError("words and their ends do not match")
+        raw = flat.tobytes()
+        self.known |= {w: raw[s:e] for w, s, e in zip(fresh, [0, *ends.tolist()], ends.tolist())}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each, low byte first."""
-        lines = []
-        for text in texts:
-            raw = text.encode()
-            # Letters are lower-cased by the tokenizer too, but not in the names of its special tokens.
-            lines.append((raw if b"<|" in raw else raw.lower()).split())
-        words = set().union(*lines)
-        if len(self.known) + len(words) > CACHED:
-            self.known = {}
-        fresh = list(words - self.known.keys())
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        self.known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, found)}
-        return [b"".join(map(self.known.__getitem__, line)) for line in lines]
+        lines, found, other = [], [], []
+        for n, text in enumerate(texts):
+            if PLAIN_TEXT.fullmatch(text) and "<|" not in text and "\u0130" not in text:
+                lines.append(PLAIN_WORDS.findall(text.lower()))
+            else:
+                other.append(n)
+                lines.append([])
+            found.append(list(map(self.known.get, lines[-1])))
+        gaps = [n for n, ids in enumerate(found) if None in ids]
+        if gaps:
+            missing = {w for n in gaps for w, ids in zip(lines[n], found[n]) if ids is None}
+            self.learn(missing)
+            for n in gaps:
+                found[n] = [self.known[w] if ids is None else ids for w, ids in zip(lines[n], found[n])]
+        out = [b"".join(ids) for ids in found]
+        for n in other:
+            out[n] = np.array(self.tokenizer.encode(texts[n], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(2)
