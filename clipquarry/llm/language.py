@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,10 @@ from clipquarry.llm.shared import pieces
 PROFILE = 300
 UNKNOWN = "und"
 HELD_OUT = 2
+
+# Texts below this are like no profile: a third or less of a usual score, whatever the script.
+LEAST_SCORE = 0.2
+
 EDGE = 1
 LETTER_BITS = 18  # three letters fill 54 bits, which leaves 10 for the row
 ROWS_AT_ONCE = 1 << (64 - 3 * LETTER_BITS)
@@ -155,17 +160,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
+def language_of(text: Column, known: Profiles) -> Column:
+    """STRUCT<lang_pred, score> of a text column, from the text alone."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        column = pa.array(texts, pa.string(), from_pandas=True)
+        names, scores = [], []
+        for piece in pieces([pa.RecordBatch.from_arrays([column], names=["text"])]):
+            lang, score = known.best(pc.fill_null(piece.column(0), "").to_pylist())
+            names += [known.langs[k] if k >= 0 else UNKNOWN for k in lang]
+            scores.append(score)
+        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else []})
+
+    return predicted(text.cast("string"))
+
+
 def identified(docs: DataFrame, known: Profiles) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row, from its text alone."""
+    """(doc_id, held_out, lang_pred, score) for each row."""
+    found = docs.select("doc_id", language_of(F.col("text"), known).alias("found"))
+    return found.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "found.*")
 
-    def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            lang, score = known.best(pc.fill_null(piece.column("text"), "").to_pylist())
-            names = pa.array([known.langs[k] if k >= 0 else UNKNOWN for k in lang], pa.string())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), names, pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(predicted, "doc_id bigint, lang_pred string, score double")
+def in_known_language(docs: DataFrame, known: Profiles, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all columns, whose text is in a language and scores `least` or more."""
+    rows = docs.select(F.struct("*").alias("row"), language_of(F.col("text"), known).alias("found"))
+    return rows.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")
 
 
 def learnt(docs: DataFrame, size: int = PROFILE) -> Profiles:

@@ -37,8 +37,9 @@ BLOCK = 256  # sequences that are balanced together
 CACHED = 1_200_000  # words whose ids a worker remembers at most
 TOGETHER = 64  # words in one call of the model
 
-# Texts of these characters are split here: the classes of all of them are the same in any Unicode version.
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+# Texts of these characters are split here: their classes and cases are the same in any Unicode version, and all of
+# them stay in this range when lower-cased, but for U+0130.
+LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN_TEXT = re.compile(rf"[!-~{LATIN} \t-\r]*")
 PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 

@@ -60,15 +60,14 @@ def op4_licenses(spark, root):
 
 @query
 def op6_secrets(spark, root):
-    findings, _ = secrets.scan(table(spark, root, "documents"))
-    return secrets.summarised(findings)
+    docs = table(spark, root, "documents")
+    return secrets.summarised(secrets.findings(docs, secrets.scan(docs)))
 
 
 @query
 def op10_language(spark, root):
     docs = table(spark, root, "documents")
-    found = language.identified(docs, language.learnt(docs))
-    return found.select("doc_id", language.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+    return language.identified(docs, language.learnt(docs))
 
 
 @query

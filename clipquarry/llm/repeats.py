@@ -32,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipquarry.llm.shared import landed, pieces, text_bytes, whole_groups
+from clipquarry.llm.shared import TAGS, boxed, keyed, landed, pieces, text_bytes, whole_groups
 from clipquarry.llm.words import AS_IS, mixed, word_hashes
 
 LENGTH = 100
 GRAM = 24
 WIDE = LENGTH - GRAM + 1  # grams in a window
 CROWD = 4096
-LAST_ID = 2**63 - 1
-TAGS = 2**30
 
 # Bytes whose places fit beside a hash in one number.
 PLACE_BITS = 24
@@ -57,13 +55,6 @@ STEP2 = np.uint64(0xC2B2AE3D27D4EB4F)
 REPEAT, OPEN, CROWDED = 0, 1, 2
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with (did, tag), which tell rows apart and order them; null texts become empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tag = F.pmod(F.xxhash64(text), F.lit(TAGS)) + F.when(F.col("doc_id").isNull(), F.lit(TAGS)).otherwise(F.lit(0))
-    return docs.withColumns({"text": text, "did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "tag": tag.cast("int")})
-
-
 def eights(flat: np.ndarray, order: str = "<u8") -> np.ndarray:
     """The eight bytes from each place on as a number; beyond the end stand zeros."""
     padded = np.concatenate([flat, np.zeros(8, np.uint8)])
@@ -432,13 +423,10 @@ def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[f.split()[0] for f in OUT.split(", ")])
 
 
-def _with_spans(rows: DataFrame, crowd: int) -> DataFrame:
-    return rows.join(repeated_spans(rows, crowd).hint("shuffle_hash"), ["did", "tag"], "left")
-
-
 def measured(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """What each document loses, and the checksum of what it keeps."""
-    rows = _with_spans(keyed(docs.select("doc_id", "text")).select("did", "tag", "text"), crowd)
+    rows = keyed(docs.select("doc_id", "text")).select("did", "tag", "text")
+    rows = rows.join(repeated_spans(rows, crowd).hint("shuffle_hash"), ["did", "tag"], "left")
     doc_id = F.when(F.col("tag") < TAGS, F.col("did")).alias("doc_id")
     return rows.select(doc_id, "text", "spans").mapInArrow(_measured, OUT)
 
@@ -472,5 +460,7 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    names = docs.columns
-    return _with_spans(keyed(docs), crowd).withColumn("text", cut("text", "spans")).select(*names)
+    spans = repeated_spans(keyed(docs.select("doc_id", "text")), crowd)
+    rows = boxed(docs).join(spans.hint("shuffle_hash"), ["did", "tag"], "left")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return rows.select(F.col("row").withField("text", cut(text, "spans")).alias("row")).select("row.*")

@@ -10,7 +10,6 @@ whole match. Extra columns stay out of the result; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -78,11 +77,11 @@ def blob_of(text: Column) -> Column:
 LEDGER = "blob binary, version int, spans array<struct<kind:string,start:int,stop:int>>"
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Findings for each row of docs (doc_id, text), and the ledger with what was scanned now.
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
+    """The ledger with the contents of docs (doc_id, text) added, as far as it did not have them under these rules.
 
-    Findings are (doc_id, blob, spans), spans in order. `ledger` is what an earlier call returned, if any. Counting
-    contents needs their addresses only; each content's text is shuffled once, from one of its paths.
+    `ledger` is what an earlier call returned, if any. Counting contents needs their addresses only; each new content's
+    text is shuffled once, from one of its paths.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     paths = rows.select("doc_id", blob_of(F.col("text")).alias("blob"))
@@ -117,16 +116,25 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = R
             yield pa.RecordBatch.from_arrays(arrays, names=["blob", "version", "spans"])
 
     new = picked.mapInArrow(scanned, LEDGER).dropDuplicates(["blob", "version"])
-    known = landed(new if ledger is None else ledger.unionByName(new), "ledger")
+    return landed(new if ledger is None else ledger.unionByName(new), "ledger")
 
+
+def by_blob(ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(blob, spans) of the contents in which these rules found something; spans by start, then in the order of rules."""
     order = {r.kind: n for n, r in enumerate(rules)}
     place = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("s.kind"))
-    hits = known.filter(F.col("version").isin(versions)).select("blob", F.explode("spans").alias("s"))
+    hits = ledger.filter(F.col("version").isin({r.version for r in rules})).select("blob", F.explode("spans").alias("s"))
+    hits = hits.filter(F.col("s.kind").isin(list(order)))
     sortable = F.struct(F.col("s.start").alias("start"), place.alias("place"), F.col("s.stop").alias("stop"), F.col("s.kind").alias("kind"))
-    by_blob = hits.groupBy("blob").agg(F.array_sort(F.collect_list(sortable)).alias("spans"))
-    kind = by_blob.schema["spans"].dataType.simpleString()
-    findings = paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.lit(None).cast(kind), F.array().cast(kind)).alias("spans"))
-    return findings, known
+    return hits.groupBy("blob").agg(F.array_sort(F.collect_list(sortable)).alias("spans"))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(doc_id, blob, spans) for every row of docs, from the ledger; spans may be empty."""
+    paths = docs.select(F.col("doc_id").cast("bigint"), blob_of(F.col("text").cast("string")).alias("blob"))
+    found = by_blob(ledger, rules)
+    kind = found.schema["spans"].dataType.simpleString()
+    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
@@ -134,31 +142,33 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def summarised(findings: DataFrame) -> DataFrame:
+def summarised(found: DataFrame) -> DataFrame:
     """Counts of the base kinds and the lists of spans."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     counts = [of(kind).alias(f"n_{kind}") for kind in BASE]
-    return findings.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
 
 
-def redacted(text: Column, rules: list[Rule] = RULES) -> Column:
-    """The text with every found span replaced, overlapping ones together; null stays null."""
+def cut_out(text: str, found: Iterable[tuple[int, int]], mark: str = REDACTED) -> str:
+    """The text with spans, ordered by start, replaced; overlapping ones together."""
+    out, at = [], 0
+    for start, end in found:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    def one(value: str) -> str:
-        out, at = [], 0
-        for _, start, end in spans(value, rules):
-            if start >= at:
-                out += [value[at:start], REDACTED]
-            at = max(at, end)
-        return "".join([*out, value[at:]])
 
-    @F.pandas_udf("string")
-    def made(column: pd.Series) -> pd.Series:
-        return column.map(one, na_action="ignore")
+def redacted(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """docs with all columns, what the ledger has found in their texts replaced. Null texts stay null."""
 
-    return made(text)
-
-
-def content_address(text: str | None) -> bytes:
-    return hashlib.sha256((text or "").encode()).digest()
+    @F.pandas_udf("string")
+    def made(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        pairs = zip(texts, spans)
+        return pd.Series([t if s is None else cut_out(t, [(x["start"], x["stop"]) for x in s]) for t, s in pairs], dtype=object)
+
+    rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text").cast("string")).alias("blob"))
+    rows = rows.join(by_blob(ledger, rules), "blob", "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(made("row.text", "spans"))
+    return rows.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -10,10 +10,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Text bytes that one vectorised step handles at most, unless a single text is longer.
 PIECE_BYTES = 1 << 20
 
+LAST_ID = 2**63 - 1
+TAGS = 2**30
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`, which driver and executors share. A local session without that
@@ -37,6 +41,21 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with (did, tag), which are never null, tell rows apart and order them: the id, null ids last, and a checksum of
+    the text. Tags from `TAGS` on mean a null id. Null texts become empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tag = F.pmod(F.xxhash64(text), F.lit(TAGS)) + F.when(F.col("doc_id").isNull(), F.lit(TAGS)).otherwise(F.lit(0))
+    did = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
+    return docs.withColumns({"text": text, "did": did, "tag": tag.cast("int")})
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(did, tag, row): the key of each row beside all its columns in one, so that no name can clash."""
+    key = keyed(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    return key.select("did", "tag", "row")
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` has `limit` bytes at most in each, or one row."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from clipquarry.llm.components import components
-from clipquarry.llm.shared import landed, whole_groups
+from clipquarry.llm.shared import TAGS, boxed, keyed, landed, whole_groups
 
 BITS = 64
 RADIUS = 2
@@ -65,16 +65,15 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def with_fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for each row, fp as a signed number with the same bits. Reads whole texts, moves none."""
+    """(did, tag, fp) for each keyed row, fp as a signed number with the same bits. Reads whole texts, moves none."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width, seed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-            )
+            arrays = [batch.column("did"), batch.column("tag"), pa.array(np.array(found, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["did", "tag", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id bigint, fp bigint")
+    return keyed(docs.select("doc_id", "text")).select("did", "tag", "text").mapInArrow(hashed, "did bigint, tag int, fp bigint")
 
 
 def block_masks() -> list[list[list[int]]]:
@@ -206,17 +205,32 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return found
 
 
-def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that linked fingerprints reach."""
+def _grouped(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(did, tag, fp) of all rows, and (fp, component) of all fingerprints, where component is one of them."""
     prints = landed(with_fingerprints(docs), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.select("fp").distinct()
     tied = landed(components(links(distinct, crowd), "a", "b"), "components")
-    grouped = distinct.join(tied, distinct["fp"] == tied["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    groups = distinct.join(tied, distinct["fp"] == tied["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return prints, groups
+
+
+def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that linked fingerprints reach."""
+    prints, groups = _grouped(docs, crowd)
+    own_id = F.when(F.col("tag") < TAGS, F.col("did"))
+    first = prints.groupBy("fp").agg(F.min(own_id).alias("first"))
+    smallest = groups.join(first, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = groups.join(smallest, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select(own_id.alias("doc_id"), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """One row of each group with all its columns: that of the smallest doc_id, a null id only if all are null."""
+    prints, groups = _grouped(docs, crowd)
+    first = prints.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"))
+    chosen = groups.join(first, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.did", "first.tag")
+    kept = boxed(docs).join(chosen.hint("shuffle_hash"), ["did", "tag"], "left_semi")
+    return kept.dropDuplicates(["did", "tag"]).select("row.*")
 
 
 def hex_form(column: Column) -> Column:
