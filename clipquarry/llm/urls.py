@@ -119,9 +119,12 @@ def ruled(addresses: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, alias_group) for every page; rules are (host, path, verdict)."""
+    """(page_id, host, path, rule, verdict, alias_group) for every page; rules are (host, path, verdict). A group is
+    named by its first address."""
     edges = landed(alias_edges(pages, redirects), "aliases")
-    groups = components(edges, "a", "b")
+    members = components(edges, "a", "b")
+    names = members.groupBy("component").agg(F.min("node").alias("name"))
+    groups = landed(members.join(names, "component").select("node", F.col("name").alias("component")), "groups")
     url = F.col("url").cast("string")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("node"))
     seen = landed(seen, "addresses")

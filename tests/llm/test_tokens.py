@@ -110,7 +110,7 @@ def test_packing(spark, request, which, block):
 
 def test_costs_are_balanced():
     draw = random.Random(4)
-    work = [packing.Piece(n, 0, min(2047, int(draw.expovariate(1 / 500)) + 1)) for n in range(1200)]
+    work = [packing.Piece(n, 0, min(700, int(draw.expovariate(1 / 300)) + 1)) for n in range(1500)]
     total = sum(p.length for p in work)
     done, rest = packing.filled(work, total // 2048)
     assert all(sum(p.length for p in s) == 2048 for s in done)

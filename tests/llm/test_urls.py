@@ -1,5 +1,7 @@
+import duckdb
 import pytest
 from compare import connect
+from conftest_llm import same
 
 from clipquarry.llm import oracles, urls
 from clipquarry.llm.queries import URL_RULES
@@ -83,5 +85,15 @@ def test_only_dataframe_operations(spark, rules, data):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_sql_shares_the_oracle(duck):
-    assert connect and oracles.oracle_sql()
+@pytest.mark.parametrize("pages", [PAGES, None])
+def test_like_the_sql(spark, rules, data, pages):
+    sql = oracles.oracle_sql()["op9_urls"]
+    if pages is None:
+        df, duck = spark.read.parquet(f"{data}/pages.parquet"), connect(data)
+    else:
+        df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+        duck = duckdb.connect()
+        duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    names = ["page_id", "host", "path", "rule", "verdict", "alias_group"]
+    same(urls.judged(df, rules).select(*names).collect(), duck.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())
