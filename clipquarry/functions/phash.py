@@ -30,6 +30,11 @@ BORDERLINE_MAX = 20
 MATCH = "would still match"
 BORDERLINE = "borderline"
 DISTINCT = "likely distinct"
+DETAILS = {
+    MATCH: "A dedup system would very likely treat this as the same video.",
+    BORDERLINE: "Close enough that a match is plausible.",
+    DISTINCT: "Far enough apart that a perceptual match is unlikely.",
+}
 
 # Frames transformed at once, which bounds the memory of a worker whatever the batch size.
 HASH_BLOCK = 1024
@@ -80,3 +85,8 @@ def match_verdict(mean_distance: Column) -> Column:
         .when(mean_distance <= BORDERLINE_MAX, F.lit(BORDERLINE))
         .when(mean_distance.isNotNull(), F.lit(DISTINCT))
     )
+
+
+def verdict_detail(verdict: Column) -> Column:
+    """What a verdict means, in words."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in DETAILS.items() for x in pair]), verdict)

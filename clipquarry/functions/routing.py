@@ -13,9 +13,9 @@ CLIP_PATTERN = r"tiktok\.com/@[^/]+/video/|tiktok\.com/t/"
 MEDIA_MIN = 1000
 AUDIO_SILENT_MAX = 1000
 AUDIO_MIN = 2000
-CLONE_MAX = 200 * 1024 * 1024
-EXTRACT_MAX = 300 * 1024 * 1024
-SPEECH_MAX = 60 * 1024 * 1024
+ANALYSIS_MAX = {"instagram": 200 * 1024 * 1024, "direct": 200 * 1024 * 1024}
+AUDIO_MAX = {"instagram": 200 * 1024 * 1024, "direct": 300 * 1024 * 1024}
+TIMING_MAX = 60 * 1024 * 1024
 GONE_PATTERN = r"not_?found|no results|does not exist|deleted|removed|no longer available|404"
 RESTRICTED_PATTERN = r"restrict|private|login|unavailable|age|gated|geoblock|forbidden|403|sign in"
 FETCH_MESSAGES = {
@@ -55,12 +55,18 @@ def is_html(content_type: Column, head: Column) -> Column:
     return typed | opened
 
 
+def _over(size: Column, source_platform: Column, limits: dict[str, int]) -> Column:
+    """Whether a payload is larger than its fetcher takes; a platform without a limit takes any size."""
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    return F.coalesce(size > F.try_element_at(most, source_platform), F.lit(False))
+
+
 def analysis_reject_reason(source_platform: Column, content_type: Column, head: Column, size: Column) -> Column:
     """Why a fetched payload is refused for analysis: only direct sources are checked for HTML, only
     the others for being too small."""
     direct = source_platform == "direct"
     return (
-        F.when(size > CLONE_MAX, "too_large")
+        F.when(_over(size, source_platform, ANALYSIS_MAX), "too_large")
         .when(direct & is_html(content_type, head), "html_page")
         .when(~direct & (size < MEDIA_MIN), "too_small")
     )
@@ -68,17 +74,22 @@ def analysis_reject_reason(source_platform: Column, content_type: Column, head:
 
 def audio_reject_reason(source_platform: Column, size: Column) -> Column:
     """Why a fetched payload is refused for audio extraction."""
-    return F.when((source_platform == "direct") & (size > EXTRACT_MAX), "too_large").when(size < MEDIA_MIN, "too_small")
+    return F.when(_over(size, source_platform, AUDIO_MAX), "too_large").when(size < MEDIA_MIN, "too_small")
 
 
-def audio_track_state(size: Column) -> Column:
-    """What an extracted audio file is good for."""
-    return (
-        F.when(size > SPEECH_MAX, "too_large")
-        .when(size <= AUDIO_SILENT_MAX, "silent")
-        .when(size < AUDIO_MIN, "no_audio")
-        .otherwise("usable")
-    )
+def speech_track_state(size: Column) -> Column:
+    """Whether the audio of an analysed clip is worth transcribing."""
+    return F.when(size <= AUDIO_SILENT_MAX, "silent").otherwise("usable")
+
+
+def extracted_track_state(size: Column) -> Column:
+    """Whether an extracted audio file holds anything."""
+    return F.when(size < AUDIO_MIN, "no_audio").otherwise("usable")
+
+
+def timing_track_state(size: Column) -> Column:
+    """Whether an audio file is small enough for word timings."""
+    return F.when(size > TIMING_MAX, "too_large").otherwise("usable")
 
 
 def fetch_error_reason(error: Column, description: Column) -> Column:

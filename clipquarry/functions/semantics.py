@@ -66,6 +66,25 @@ def int_param(raw: Column, default: int, low: int, high: int) -> Column:
     return clamp(or_default(leading_int(raw), float(default)), float(low), float(high)).cast("bigint")
 
 
+def instant_of(wall_time: Column) -> Column:
+    """The instant of a UTC wall time, whatever zone the session has. Instants pass through unchanged."""
+    return F.expr("timestamp'1970-01-01 00:00:00Z'") + (wall_time - F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+
+def utc_wall_time(instant: Column) -> Column:
+    """The UTC wall time of an instant, whatever zone the session has."""
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + (instant - F.expr("timestamp'1970-01-01 00:00:00Z'"))
+
+
 def utf16_length(x: Column) -> Column:
     """Text length in UTF-16 units."""
     return (F.length(F.encode(x, "UTF-16BE")) / 2).cast("bigint")
+
+
+def utf16_prefix(x: Column, units: int) -> Column:
+    """The first `units` UTF-16 units of a text; a character that would be cut in two is left out."""
+    plain = F.substring(x, 1, units)
+    raw = F.encode(plain, "UTF-16BE")
+    half = F.hex(F.substring(raw, 2 * units - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(raw, F.lit(1), F.when(half, F.lit(2 * units - 2)).otherwise(F.lit(2 * units))), "UTF-16BE")
+    return F.when(plain.rlike(r"[\x{10000}-\x{10FFFF}]"), cut).otherwise(plain)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clipquarry.functions.semantics import BLANK, non_empty, or_default, trim_blanks
+from clipquarry.functions.semantics import BLANK, non_empty, or_default, trim_blanks, utc_wall_time, utf16_prefix
 
 # Legal metadata keys, value length, response header and section patterns, text limits.
 METADATA_KEYS = [
@@ -34,7 +34,7 @@ DEFAULT_STATUS = 500
 
 def clean_metadata_value(value: Column) -> Column:
     """Control characters out, trimmed, cut to length; null where nothing is left."""
-    return non_empty(F.substring(trim_blanks(F.regexp_replace(value, CONTROL_CHARS, "")), 1, METADATA_MAX))
+    return non_empty(utf16_prefix(trim_blanks(F.regexp_replace(value, CONTROL_CHARS, "")), METADATA_MAX))
 
 
 def allowed_metadata(pairs: Column) -> Column:
@@ -98,11 +98,12 @@ def error_status(status: Column) -> Column:
 
 
 def truncated(text: Column, limit: int) -> Column:
-    return F.substring(text, 1, limit)
+    """The text cut to `limit` UTF-16 units."""
+    return utf16_prefix(text, limit)
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(utc_wall_time(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def artifact_key(kind: Column, created_at: Column, entry: Column) -> Column:

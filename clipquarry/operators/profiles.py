@@ -31,10 +31,17 @@ def profile_lookup(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     An unknown name falls back to the default. A level that is sent replaces the profile's where it
     spells a number: null spells 0, an absent level or other text leaves the profile's own.
     """
-    known = F.broadcast(profiles)
-    named = requests.join(known.select("profile").withColumn("_known", F.lit(True)), "profile", "left").withColumn(
-        "profile", F.when(F.col("_known"), F.col("profile")).otherwise(F.lit(DEFAULT_PROFILE))
+    found = requests.join(F.broadcast(profiles.withColumn("_known", F.lit(True))), "profile", "left")
+    bed, bed_db, phone = ROOM_PROFILES[DEFAULT_PROFILE]
+    known = F.coalesce("_known", F.lit(False))
+    filled = found.withColumns(
+        {
+            "profile": F.when(known, F.col("profile")).otherwise(F.lit(DEFAULT_PROFILE)),
+            "bed": F.when(known, F.col("bed")).otherwise(F.lit(bed)),
+            "bed_db": F.when(known, F.col("bed_db")).otherwise(F.lit(bed_db)),
+            "phone": F.when(known, F.col("phone")).otherwise(F.lit(phone)),
+        }
     )
     sent = F.when(F.col("has_level"), to_number(F.col("level_raw")))
     level = F.when(F.col("bed").isNotNull(), F.coalesce(sent, F.col("bed_db")))
-    return named.join(known, "profile").withColumn("level_db", level).drop("_known", "bed_db", "has_level", "level_raw")
+    return filled.withColumn("level_db", level).drop("_known", "bed_db", "has_level", "level_raw")

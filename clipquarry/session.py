@@ -27,9 +27,3 @@ def build_session(
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
-
-
-def use_utc(spark: SparkSession) -> None:
-    """Event times arrive without a zone and mean UTC, so the session has to read them as UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -1,6 +1,7 @@
 """Helpers that keep one hot key from landing in one task.
 
-All of them are exact: rows are spread differently, never dropped or capped.
+All of them are exact: rows are spread differently, never dropped or capped. How many keys are hot is counted
+before the plan is made, from the key columns alone. Mostly none are, and the plan stays a plain window or join.
 """
 
 from __future__ import annotations
@@ -10,62 +11,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The most frequent keys are treated one by one; any other key holds less than 1/10000 of all rows. A list
-# of this length can be broadcast whatever the table size.
-HEAVY_KEYS = 10_000
-
 # A key with fewer rows than this fits one task with ease and is not worth spreading.
 HEAVY_ROWS = 100_000
 
-# In joins the rows of the other side are repeated SALTS times for each heavy key, so the list is shorter:
-# 65,536 more rows at most, whatever the table size.
-HEAVY_JOIN_KEYS = 1024
-SALTS = 64
+# Hot keys that are broadcast at most; a longer list is joined by shuffle.
+BROADCAST_KEYS = 10_000
 
 
-def with_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Sequence[Column],
-    name: str,
-    min_rows: int = HEAVY_ROWS,
+def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """All keys with `min_rows` rows or more and their `count`, which combines before the shuffle."""
+    counts = df.select(*keys).dropna().groupBy(*keys).count()
+    return counts.filter(F.col("count") >= min_rows)
+
+
+def _listed(heavy: DataFrame) -> DataFrame | None:
+    """The hot keys, marked for broadcast while they are few; nothing if there are none."""
+    size = heavy.limit(BROADCAST_KEYS + 1).count()
+    if not size:
+        return None
+    return F.broadcast(heavy) if size <= BROADCAST_KEYS else heavy
+
+
+def with_running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], value: Column, name: str, min_rows: int = HEAVY_ROWS
 ) -> DataFrame:
-    """Add the 0-based position of a row inside its key, in `order`.
+    """Add the sum of `value` over the rows of a key up to and with this one, in `order`, which tells them apart.
 
-    A heavy key is cut into buckets: its rows are numbered inside (key, bucket), and the sizes of its
-    earlier buckets, which are counted with a map-side combine, are added. `bucket` must not decrease along
-    `order` within a key. Window and join share their partitioning, so the rows are shuffled once; without
-    heavy keys, the adaptive plan drops the join and what is left is a plain window.
+    A hot key is cut into buckets: totals run inside (key, bucket), and the totals of its earlier buckets, which are
+    made with a map-side combine, are added. `bucket` must not decrease along `order` within a key. Window and join
+    share their partitioning, so the rows are shuffled once.
     """
+    run = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    heavy = _listed(heavy_keys(df, keys, min_rows))
+    if heavy is None:
+        return df.withColumn(name, F.sum(value).over(run(keys)))
     names = [f"_bucket{i}" for i in range(len(bucket))]
-    heavy = F.broadcast(heavy_keys(df, keys, min_rows=min_rows).withColumn("_heavy", F.lit(True)))
-    marked = df.join(heavy, list(keys), "left").withColumns({n: F.when(F.col("_heavy"), b) for n, b in zip(names, bucket)})
+    marked = df.join(heavy, list(keys), "left").withColumns({n: F.when(F.col("count").isNotNull(), b) for n, b in zip(names, bucket)})
     group = [*keys, *names]
 
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.filter("_heavy")
+        marked.filter(F.col("count").isNotNull())
         .groupBy(*group)
-        .agg(F.count("*").alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .agg(F.sum(value).alias("_size"))
+        .withColumn("_offset", F.sum("_size").over(before))
         .drop("_size")
     )
-    inside = Window.partitionBy(*group).orderBy(*order)
     return (
-        marked.withColumn("_place", F.row_number().over(inside) - 1)
+        marked.withColumn("_inside", F.sum(value).over(run(group)))
         .join(offsets, group, "left")
-        .withColumn(name, (F.coalesce("_offset", F.lit(0)) + F.col("_place")).cast("bigint"))
-        .drop("_heavy", "_place", "_offset", *names)
+        .withColumn(name, F.col("_inside") + F.coalesce("_offset", F.lit(0)))
+        .drop("count", "_inside", "_offset", *names)
     )
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS, min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The `limit` most frequent keys among those with `min_rows` rows or more. A large key with more than
-    1/limit of all rows is always among them, and the result never exceeds `limit` rows, so it is safe to
-    broadcast whatever the table size."""
-    counts = df.select(*keys).dropna().groupBy(*keys).count().filter(F.col("count") >= min_rows)
-    return counts.orderBy(F.desc("count"), *keys).limit(limit).drop("count")
+def with_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], name: str, min_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """Add the 0-based position of a row inside its key, in `order`; see `with_running_total`."""
+    counted = with_running_total(df, keys, order, bucket, F.lit(1).cast("bigint"), name, min_rows)
+    return counted.withColumn(name, F.col(name) - 1)
 
 
 def salted_join(
@@ -74,33 +79,23 @@ def salted_join(
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
     min_rows: int = HEAVY_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Join `many` (inner or left) with `side`, spreading the heavy keys of `many` over `salts` tasks.
+    """Join `many` (inner or left) with `side`, spreading the hot keys of `many` over tasks.
 
-    Only the rows of `side` under a heavy key are repeated. `spread_by` names columns of `many` that
-    tell the rows of one key apart; the salt is a hash of them, so a lost task recomputes the same rows.
-    `counted` may name a cheaper table that has the keys of `many` equally often.
+    A key gets a salt for every `min_rows` rows it has, and the rows of `side` under it are repeated that often.
+    `spread_by` names columns of `many` that tell the rows of one key apart; the salt is a hash of them, so a lost
+    task recomputes the same rows. `counted` may name a cheaper table that has the keys of `many` equally often.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps all rows of `many` or only the matching ones")
-    found = heavy_keys(many if counted is None else counted, keys, HEAVY_JOIN_KEYS, min_rows)
-    heavy = F.broadcast(found.withColumn("_heavy", F.lit(True)))
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    salted = many.join(heavy, list(keys), "left").withColumn(
-        "_salt",
-        F.when(F.col("_heavy") | no_key, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-    )
-    repeated = (
-        side.join(heavy, list(keys), "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_heavy")
-    )
-    return salted.drop("_heavy").join(repeated, [*keys, "_salt"], how).drop("_salt")
+    heavy = _listed(heavy_keys(many if counted is None else counted, keys, min_rows))
+    if heavy is None:
+        return many.join(side, list(keys), how)
+    salts = F.ceil(F.col("count") / min_rows)
+    salt = F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread_by), salts))
+    salted = many.join(heavy, list(keys), "left").withColumn("_salt", salt.cast("bigint")).drop("count")
+    every = F.sequence(F.lit(0).cast("bigint"), F.coalesce(salts, F.lit(1)).cast("bigint") - 1)
+    repeated = side.join(heavy, list(keys), "left").withColumn("_salt", F.explode(every)).drop("count")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquarry.functions.routing import CLONE_MAX, MEDIA_MIN
+from clipquarry.functions.routing import ANALYSIS_MAX, MEDIA_MIN
 
 
 def scan_media_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -15,7 +15,7 @@ def scan_media_files(spark: SparkSession, folder: str, glob: str = "*") -> DataF
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("name"),
         "length",
-        F.when(F.col("length") < MEDIA_MIN, "too_small").when(F.col("length") > CLONE_MAX, "too_large").alias("reject_reason"),
+        F.when(F.col("length") < MEDIA_MIN, "too_small").when(F.col("length") > ANALYSIS_MAX["direct"], "too_large").alias("reject_reason"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquarry.session import use_utc
+from clipquarry.functions.semantics import instant_of
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -13,7 +13,5 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    """The event log with `ts` as an instant (it is stored without a zone)."""
-    use_utc(spark)
-    raw = table(spark, root, "events")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The event log with `ts` as an instant; it is stored as UTC wall time without a zone."""
+    return table(spark, root, "events").withColumn("ts", instant_of(F.col("ts")))
