@@ -11,7 +11,7 @@ from clipquarry.plans.sampling import FRAME_RATE
 
 # Fixed values.
 WORDS_PER_CHUNK = 3
-CUE_CAP = 200
+NO_CUES = "no usable cues"
 
 
 def caption_chunks(words: DataFrame, size: int = WORDS_PER_CHUNK) -> DataFrame:
@@ -63,17 +63,15 @@ def usable_cues(cues: DataFrame) -> DataFrame:
     return cues.select("reel_id", "cue_idx", F.inline(F.array(cleaned))).filter(_is_usable())
 
 
-def first_per_group(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
-    """The first `cap` rows of each group. The rank limit is applied before the shuffle as well, so a
+def first_per_group(df: DataFrame, keys: list[str], order: list[str], cap: int | None) -> DataFrame:
+    """The first `cap` rows of each group, or all. The rank limit is applied before the shuffle as well, so a
     hot group sends at most `cap` rows per task."""
+    if cap is None:
+        return df
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
 
 
-def capped_cues(cues: DataFrame, cap: int = CUE_CAP) -> DataFrame:
-    return first_per_group(cues, ["reel_id"], ["cue_idx"], cap)
-
-
 def longest_chunk(words: DataFrame) -> DataFrame:
     return caption_chunks(words).groupBy("video_id").agg(F.max(utf16_length(F.col("text"))).alias("longest"))
 
@@ -89,32 +87,42 @@ def _positive(x: Column) -> Column:
 def chunk_font_size(words: DataFrame, videos: DataFrame) -> DataFrame:
     """Font size of word captions: the longest of all chunks counts, usable or not."""
     longest = longest_chunk(words).select("video_id", F.greatest("longest", F.lit(1)).alias("longest"))
-    return _sized(longest, videos, geometry.CHUNK_BORDER)
+    return _sized(longest, videos.withColumn("size_name", F.lit(geometry.DEFAULT_SIZE)), geometry.CHUNK_BORDER)
 
 
 def cue_font_size(cues: DataFrame, videos: DataFrame) -> DataFrame:
-    """Font size of client cues: only usable cues count."""
+    """Font size of client cues: only usable cues count, and the size that was asked for (`size_name` of `videos`)."""
     return _sized(longest_cue(cues).withColumnRenamed("reel_id", "video_id"), videos, geometry.CUE_BORDER)
 
 
 def _sized(longest: DataFrame, videos: DataFrame, border: float) -> DataFrame:
     width = F.coalesce(round_half_up(_positive(F.col("width"))), F.lit(geometry.CANVAS_W))
     height = F.coalesce(round_half_up(_positive(F.col("height"))), F.lit(geometry.CANVAS_H))
-    ratio = F.lit(geometry.CAPTION_SIZES[geometry.DEFAULT_SIZE])
+    ratio = geometry.caption_ratio(F.col("size_name"))
     return (
-        longest.join(videos.select("video_id", "width", "height"), "video_id", "left")
+        longest.join(videos.select("video_id", "width", "height", "size_name"), "video_id", "left")
         .select("video_id", "longest", geometry.caption_font_px(width, height, F.col("longest"), ratio).alias("font_px"))
         .withColumn("border_px", round_half_up(F.col("font_px") * F.lit(border)))
     )
 
 
-def cue_frame_overlay(cues: DataFrame, reels: DataFrame, rate: int = FRAME_RATE) -> DataFrame:
-    """Cues visible on each output frame, both ends included.
+def caption_outcome(cues: DataFrame) -> DataFrame:
+    """Per reel with cues: whether captions are burned in, and if not, why."""
+    usable = usable_cues(cues).groupBy("reel_id").agg(F.count("*").alias("usable"))
+    asked = cues.select("reel_id").distinct()
+    burned = F.col("usable").isNotNull()
+    return asked.join(usable, "reel_id", "left").select(
+        "reel_id", burned.alias("captions_burned"), F.when(~burned, NO_CUES).alias("caption_error")
+    )
+
+
+def cue_frame_overlay(cues: DataFrame, reels: DataFrame, rate: int = FRAME_RATE, cap: int | None = None) -> DataFrame:
+    """Cues visible on each output frame, both ends included; all cues of a reel or the first `cap`.
 
     A cue lists its own frames up to the end of its reel, so the only join is an equi-join of cues with
     one row per reel (`reels`: reel_id, seconds); there is no range join and no frame table.
     """
-    usable = usable_cues(capped_cues(cues)).select(
+    usable = usable_cues(first_per_group(cues, ["reel_id"], ["cue_idx"], cap)).select(
         "reel_id", "cue_idx", round_digits(F.col("start_s"), 3).alias("start_s"), round_digits(F.col("end_s"), 3).alias("end_s")
     )
     last_frame = F.floor(F.col("seconds") * rate).cast("bigint") - 1

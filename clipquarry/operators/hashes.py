@@ -1,37 +1,30 @@
-"""Comparing clips by the perceptual hashes of their frames."""
+"""Comparing clips by the perceptual hashes of their frames.
+
+Hash rows are (clip_id, frame_idx, phash), one for each frame of a clip; `frame_idx` is its 0-based position. Clips
+may have any number of frames; two clips are compared frame by frame up to the shorter one's end.
+"""
 
 from __future__ import annotations
 
-from decimal import Decimal
 from functools import reduce
 from itertools import combinations
-from math import lcm
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, match_verdict, phash64
+from clipquarry.functions.phash import CORNER, FRAME_SIDE, MATCH_MAX, cosine_basis, match_verdict, phash64, verdict_detail
 from clipquarry.functions.semantics import round_digits
-from clipquarry.skew import SALTS, heavy_keys, salted_join
+from clipquarry.skew import HEAVY_ROWS, heavy_keys, salted_join
 
-# Frames hashed per clip and candidates compared per request, both at most.
-CLIP_FRAMES = 12
-CANDIDATE_CAP = 10
+# Fixed values.
 NO_FRAMES = "No frames hashed"
 NOT_COMPARABLE = "No comparable frames"
 
-# For ranking matches by (mean distance, clip) as one number.
-MEAN_UNITS = lcm(*range(1, CLIP_FRAMES + 1))
-ID_RANGE = Decimal(2**64)
-ID_SHIFT = Decimal(2**63)
+HASH_BITS = 64
 
+# Bits of a hash that near duplicates meet on. Fewer bits need fewer rows per frame, more bits bring fewer
+# unrelated frames together.
 BAND_BITS = 16
-BANDS = 64 // BAND_BITS
-BAND_MASK = f"{(1 << BAND_BITS) - 1}L"
-
-# Band values that are salted, the most frequent ones; the keys around them are broadcast.
-HEAVY_BANDS = 256
-SLOTS = [f"h{i}" for i in range(CLIP_FRAMES)]
 
 
 def hash_frames(frames: DataFrame) -> DataFrame:
@@ -70,55 +63,52 @@ def hash_frames_relational(spark: SparkSession, frames: DataFrame, keys: list[st
     return corners.withColumn("middle", middle).select(*keys, reduce(lambda a, b: a.bitwiseOR(b), placed).alias("phash"))
 
 
-def clip_signatures(hashes: DataFrame) -> DataFrame:
-    """One row per clip with its frame hashes side by side. Only as many frames as a clip is sampled at
-    are kept, and the pivot combines before the shuffle, so a clip with very many rows is no trouble."""
-    slots = [F.expr(f"max(phash) filter (where frame_idx = {i}) as {slot}") for i, slot in enumerate(SLOTS)]
-    return hashes.filter(F.col("frame_idx") < CLIP_FRAMES).groupBy("clip_id").agg(*slots)
-
-
-def candidate_pairs(requests: DataFrame) -> DataFrame:
-    """Pairs of each request (base_id, candidates): the first ten, numbered from 1."""
-    listed = F.slice("candidates", 1, CANDIDATE_CAP)
+def candidate_pairs(requests: DataFrame, cap: int | None = None) -> DataFrame:
+    """Pairs of each request (base_id, candidates), numbered from 1: all of them, or the first `cap`."""
+    listed = F.col("candidates") if cap is None else F.slice("candidates", 1, cap)
     return requests.select("base_id", F.posexplode(listed).alias("pos", "candidate_id")).select(
         "base_id", (F.col("pos") + 1).cast("bigint").alias("index"), "candidate_id"
     )
 
 
-def _distances(left: str, right: str) -> dict[str, Column]:
-    """Compared frames, summed and greatest distance of two signatures (column prefixes), frame by frame."""
-    each = [f"bit_count({left}{slot} ^ {right}{slot})" for slot in SLOTS]
-    return {
-        "compared": F.expr("cast(" + " + ".join(f"if({d} is null, 0, 1)" for d in each) + " as bigint)"),
-        "total": F.expr("cast(" + " + ".join(f"coalesce({d}, 0)" for d in each) + " as bigint)"),
-        "greatest": F.expr(f"cast(greatest({', '.join(each)}) as bigint)"),
-    }
-
-
-def phash_distances(requests: DataFrame, hashes: DataFrame) -> DataFrame:
+def phash_distances(requests: DataFrame, hashes: DataFrame, cap: int | None = None) -> DataFrame:
     """Distance statistics of every listed pair; null where a side has no frames.
 
-    Signatures are one row per clip, so the pairs meet them in two joins and the frames of a pair are
-    compared inside its row. A clip that very many requests name is spread over tasks.
+    Pairs meet the frames of their base, and these the frames of the candidate at the same position, so a clip of any
+    length is spread over its frames. A clip that very many requests name is salted.
     """
-    signatures = clip_signatures(hashes)
-    frames = " + ".join(f"if({slot} is null, 0, 1)" for slot in SLOTS)
-    base = signatures.selectExpr("clip_id as base_id", f"{frames} as base_frames", *[f"{s} as b_{s}" for s in SLOTS])
-    other = signatures.selectExpr("clip_id as candidate_id", f"{frames} as other_frames", *[f"{s} as o_{s}" for s in SLOTS])
-    listed = candidate_pairs(requests)
-    pairs = salted_join(listed, base, ["base_id"], ["index"], "left")
-    pairs = salted_join(pairs, other, ["candidate_id"], ["base_id", "index"], "left", counted=listed)
-    found = _distances("b_", "o_")
-    compared = F.nullif(found["compared"], F.lit(0))
-    return pairs.select(
-        "base_id",
-        "index",
-        "candidate_id",
+    # Laid out by clip once, with all three columns, so that each use reads the same shuffle and nothing is hashed twice.
+    placed = hashes.filter("clip_id is not null and frame_idx is not null")
+    known = placed.select("clip_id", "frame_idx", "phash").repartition("clip_id")
+    pairs = candidate_pairs(requests, cap)
+    pair = ["base_id", "index", "candidate_id"]
+    base = known.withColumnsRenamed({"clip_id": "base_id", "phash": "base_hash"})
+    other = known.withColumnsRenamed({"clip_id": "candidate_id", "phash": "other_hash"})
+    met = salted_join(pairs, base, ["base_id"], ["index"])
+    met = salted_join(met, other, ["candidate_id", "frame_idx"], ["base_id", "index"])
+    apart = F.expr("bit_count(base_hash ^ other_hash)")
+    found = met.groupBy(*pair).agg(
+        F.count(apart).alias("frames_compared"),
+        F.sum(apart).cast("bigint").alias("total"),
+        F.max(apart).cast("bigint").alias("max_distance"),
+    )
+    frames = known.groupBy("clip_id").agg(F.count_if(F.col("phash").isNotNull() & F.col("frame_idx").isNotNull()).alias("frames"))
+    listed = salted_join(pairs, frames.withColumnsRenamed({"clip_id": "base_id", "frames": "base_frames"}), ["base_id"], ["index"], "left")
+    listed = salted_join(
+        listed,
+        frames.withColumnsRenamed({"clip_id": "candidate_id", "frames": "other_frames"}),
+        ["candidate_id"],
+        ["base_id", "index"],
+        "left",
+        counted=pairs,
+    )
+    return listed.join(found, pair, "left").select(
+        *pair,
         F.coalesce("base_frames", F.lit(0)).cast("bigint").alias("base_frames"),
         F.coalesce("other_frames", F.lit(0)).cast("bigint").alias("other_frames"),
-        compared.alias("frames_compared"),
-        (found["total"] / compared).alias("mean_distance"),
-        found["greatest"].alias("max_distance"),
+        F.nullif("frames_compared", F.lit(0)).alias("frames_compared"),
+        (F.col("total") / F.nullif("frames_compared", F.lit(0))).alias("mean_distance"),
+        "max_distance",
     )
 
 
@@ -126,7 +116,8 @@ def compare_results(distances: DataFrame) -> DataFrame:
     """Result rows and error rows in one list: the rounded and the greatest distance and the verdict of a
     pair, or why it has none. A request whose base has no frames fails as a whole, that is, in every row.
     One pass over the pairs gives both kinds."""
-    return distances.select(
+    judged = distances.withColumn("verdict", match_verdict(F.col("mean_distance")))
+    return judged.select(
         "base_id",
         "index",
         "candidate_id",
@@ -134,94 +125,85 @@ def compare_results(distances: DataFrame) -> DataFrame:
         "frames_compared",
         round_digits(F.col("mean_distance"), 2).alias("avg_distance"),
         "max_distance",
-        match_verdict(F.col("mean_distance")).alias("verdict"),
+        "verdict",
+        verdict_detail(F.col("verdict")).alias("detail"),
         F.when((F.col("base_frames") == 0) | (F.col("other_frames") == 0), NO_FRAMES)
         .when(F.col("frames_compared").isNull(), NOT_COMPARABLE)
         .alias("error"),
     )
 
 
-def phash_compare(requests: DataFrame, hashes: DataFrame) -> DataFrame:
-    return compare_results(phash_distances(requests, hashes))
+def phash_compare(requests: DataFrame, hashes: DataFrame, cap: int | None = None) -> DataFrame:
+    return compare_results(phash_distances(requests, hashes, cap))
 
 
-def _flips(most: int) -> list[tuple[int, int]]:
-    """Masks of half a band with at most `most` bits set, and how many are."""
-    bits = range(BAND_BITS // 2)
-    return [(sum(1 << bit for bit in chosen), n) for n in range(min(most, len(bits)) + 1) for chosen in combinations(bits, n)]
+# --- near duplicates ---
 
 
-def _meeting_places(threshold: int, radius: int) -> list[int]:
-    """The (frame, band) places that signatures need to meet on.
+def _bands(band_bits: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of each band of a hash, as even as they come."""
+    count = -(-HASH_BITS // band_bits)
+    edges = [HASH_BITS * b // count for b in range(count + 1)]
+    return list(zip(edges, (y - x for x, y in zip(edges, edges[1:]))))
 
-    Two clips of m compared frames differ in at most m * threshold bits, and a band that does not meet
-    differs in more than `radius` of them. So a certain number of the first 4m bands do meet, and for every
-    m one less than that many can be left out.
-    """
-    kept, left_out = [], 0
-    for frame in range(CLIP_FRAMES):
-        certain = -(-(frame + 1) * (BANDS * (radius + 1) - threshold) // (radius + 1))
-        spare = min(BANDS, certain - 1 - left_out)
-        kept += [frame * BANDS + band for band in range(BANDS - spare)]
-        left_out += spare
-    return kept
+
+def _flips(bits: int, most: int) -> list[tuple[int, int]]:
+    """Masks of `bits` bits with at most `most` of them set, and how many are."""
+    return [(sum(1 << bit for bit in chosen), n) for n in range(min(most, bits) + 1) for chosen in combinations(range(bits), n)]
 
 
-def _ranked(total: Column, compared: Column, clip_id: Column) -> Column:
-    """Mean distance and clip in one whole number that sorts by both. A mean of at most 12 frames is a
-    whole multiple of 1/27720. A plain number lets the minimum run in a hash aggregation, where a struct
-    would have every pair sorted first."""
-    units = (total * F.expr(f"{MEAN_UNITS}L") / compared).cast("decimal(10,0)")
-    return (units * F.lit(ID_RANGE) + clip_id.cast("decimal(19,0)") + F.lit(ID_SHIFT)).cast("decimal(38,0)")
+def meeting_rows(threshold: int = MATCH_MAX, band_bits: int = BAND_BITS) -> int:
+    """Rows that a frame sends, both sides together: what a band width costs."""
+    bands = _bands(band_bits)
+    return sum(len(upper) + len(lower) for _, _, upper, lower in _tried(bands, threshold // len(bands)))
 
 
-def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: int = 2000, salts: int = SALTS) -> DataFrame:
+def _tried(bands: list[tuple[int, int]], radius: int) -> list[tuple[int, int, list, list]]:
+    """For each band its first bit, its width, and the (mask, flips) that either side tries: one all flips of the
+    upper half, the other all of the lower half for each number of flips that is left."""
+    out = []
+    for first, width in bands:
+        half = width // 2
+        upper = [(mask << half, n) for mask, n in _flips(width - half, radius)]
+        lower = [(mask, n) for mask, used in _flips(half, radius) for n in range(radius - used + 1)]
+        out.append((first, width, upper, lower))
+    return out
+
+
+def near_duplicates(
+    hashes: DataFrame, threshold: int = MATCH_MAX, band_bits: int = BAND_BITS, heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
     """Near copies of every clip: how many clips lie within a mean distance of `threshold`, and the nearest.
 
-    1. Clips with equal hashes become one signature with a number of copies (combined before the shuffle),
-       so a group of copies of any size is one row from here on.
-    2. A mean within the threshold needs one frame within it, and that frame one of its four bands within
-       a quarter of it. Signatures therefore meet on (frame, band, value). One side tries all flips of the
-       upper half of a value and the other side of the lower half, and the number of flips is a part of the
-       key. So a pair meets at a place exactly once, if its bands are close enough there, and else not at
-       all; no near pair is missed, for any threshold. Places that are not needed for this are left out.
-    3. A pair counts in the first place where it meets. It is folded into the count and the nearest match of
-       its left side in the task that found it: the result has one row per signature, and pairs are neither
-       written nor shuffled.
+    1. Clips with equal hashes become one signature with a number of copies (combined before the shuffle), so a group
+       of copies of any size is one row from here on.
+    2. A mean within the threshold needs one frame within it, and that frame one band within its share of it.
+       Frames therefore meet on (position, band, value). One side tries all flips of the upper half of a value and the
+       other side of the lower half, and the number of flips is a part of the key, so two frames whose bands are close
+       enough meet there once, and others not at all. No near pair is missed, for any threshold and band width.
+    3. Rows that meet carry one hash each, not a clip. Two frames that are not within the threshold themselves are
+       dropped on the spot; that leaves nearly nothing but near frames. Their clips become pairs, once each, and only
+       these are compared as a whole.
     4. Values shared by very many signatures (a black opening frame) are salted over tasks.
     """
-    radius = threshold // BANDS
-    groups = (
-        clip_signatures(hashes)
-        .groupBy(*SLOTS)
-        .agg(F.min("clip_id").alias("clip_id"), F.count("*").alias("copies"))
-        .select("clip_id", "copies", *SLOTS)
-    )
-    places = _meeting_places(threshold, radius)
-    bands = [
-        f"struct({p} as place, shiftrightunsigned({SLOTS[p // BANDS]}, {p % BANDS * BAND_BITS}) & {BAND_MASK} as value)" for p in places
-    ]
-    placed = groups.withColumn("at", F.expr(f"explode(filter(array({', '.join(bands)}), p -> p.value is not null))"))
-    met = _meet(placed, radius, heavy_rows, salts)
-
-    found = _distances("l_", "r_")
-    compared, total = found["compared"], found["total"]
-    differing = F.expr(f"array({', '.join(f'l_{slot} ^ r_{slot}' for slot in SLOTS)})")
-    met_before = F.expr(
-        f"exists(places, p -> p < place and bit_count(shiftrightunsigned(get(differing, p div {BANDS}), "
-        f"p % {BANDS} * {BAND_BITS}) & {BAND_MASK}) <= {radius})"
-    )
+    hashed = F.when(F.col("phash").isNotNull(), F.struct("frame_idx", "phash"))
+    signatures = hashes.groupBy("clip_id").agg(F.array_sort(F.collect_list(hashed))["phash"].alias("signature")).filter(F.size("signature") > 0)
+    groups = signatures.groupBy("signature").agg(F.min("clip_id").alias("clip_id"), F.count("*").alias("copies"))
+    frames = groups.select("clip_id", F.posexplode("signature").alias("pos", "h"))
+    pairs = _meet(frames, threshold, band_bits, heavy_rows).distinct()
+
+    left = groups.select(F.col("clip_id").alias("l"), F.col("signature").alias("l_hashes"))
+    right = groups.select(F.col("clip_id").alias("r"), F.col("signature").alias("r_hashes"), F.col("copies").alias("r_copies"))
+    compared = "least(size(l_hashes), size(r_hashes))"
+    total = f"aggregate(sequence(0, {compared} - 1), 0L, (sum, i) -> sum + bit_count(get(l_hashes, i) ^ get(r_hashes, i)))"
     near = (
-        met.filter(F.col("l_clip_id") != F.col("r_clip_id"))
-        .filter(total <= compared * threshold)
-        .withColumn("differing", differing)
-        .withColumn("places", F.array(*[F.lit(p) for p in places]))
-        .filter(~F.coalesce(met_before, F.lit(False)))
-        .select(F.col("l_clip_id").alias("clip_id"), "r_copies", _ranked(total, compared, F.col("r_clip_id")).alias("rank"))
-        .groupBy("clip_id")
-        .agg(F.count("*").alias("near_signatures"), F.sum("r_copies").alias("near_clips"), F.min("rank").alias("nearest"))
+        pairs.join(left, "l")
+        .join(right, "r")
+        .select("l", "r", "r_copies", (F.expr(total) / F.expr(compared)).alias("mean"))
+        .filter(F.col("mean") <= threshold)
+        .groupBy(F.col("l").alias("clip_id"))
+        .agg(F.count("*").alias("near_signatures"), F.sum("r_copies").alias("near_clips"), F.min(F.struct("mean", "r")).alias("nearest"))
     )
-    other = F.pmod("nearest", F.lit(ID_RANGE))
     return (
         groups.select("clip_id", "copies")
         .join(near, "clip_id", "left")
@@ -230,47 +212,55 @@ def near_duplicates(hashes: DataFrame, threshold: int = MATCH_MAX, heavy_rows: i
             "copies",
             F.coalesce("near_signatures", F.lit(0)).cast("bigint").alias("near_signatures"),
             F.coalesce("near_clips", F.lit(0)).cast("bigint").alias("near_clips"),
-            (other - F.lit(ID_SHIFT)).cast("bigint").alias("nearest_id"),
-            F.round((F.col("nearest") - other).cast("double") / F.lit(float(ID_RANGE)) / MEAN_UNITS, 6).alias("nearest_mean"),
+            F.col("nearest.r").alias("nearest_id"),
+            F.round("nearest.mean", 6).alias("nearest_mean"),
         )
     )
 
 
-def _meet(placed: DataFrame, radius: int, heavy_rows: int, salts: int) -> DataFrame:
-    """Pairs of signatures (columns with l_ and r_) whose bands differ in `radius` bits at most, per place.
+def _meet(frames: DataFrame, threshold: int, band_bits: int, heavy_rows: int) -> DataFrame:
+    """Pairs (l, r) of different clips of `frames` (clip_id, pos, h) that have two frames within the threshold at one
+    position; a pair may come several times.
 
     Around the most frequent values, the side that has many rows under a key takes one salt by clip, and
     the rows of the other side are repeated for each salt. Both sides are many times the size that the
     planner expects of them, so the join is told to shuffle.
     """
-    half = BAND_BITS // 2
-    upper = [(mask << half, n) for mask, n in _flips(radius)]
-    lower = [(mask, n) for mask, used in _flips(radius) for n in range(radius - used + 1)]
-    masks = {
-        side: "array(" + ", ".join(f"struct({mask}L as mask, {n} as flips)" for mask, n in tried) + ")"
-        for side, tried in (("l_", upper), ("r_", lower))
-    }
-    on = ["place", "key", "flips"]
-
-    common = heavy_keys(placed.select("at.place", "at.value"), ["place", "value"], HEAVY_BANDS, heavy_rows)
-    reached = [
-        common.selectExpr("place", "value", f"inline({masks[side]})").selectExpr("place", "value ^ mask as key", "flips", f"'{side}' as many")
-        for side in masks
-    ]
-    hot = F.broadcast(reached[0].unionByName(reached[1]).groupBy(*on).agg(F.min("many").alias("many")))
+    bands = _bands(band_bits)
+    tried = _tried(bands, threshold // len(bands))
+    value = lambda first, width: f"shiftrightunsigned(h, {first}) & {(1 << width) - 1}L"
+
+    def listed(side: int) -> str:
+        """All (band, mask, flips) of one side, as an array."""
+        return "array(" + ", ".join(f"struct({b} as band, {m}L as mask, {n} as flips)" for b, t in enumerate(tried) for m, n in t[side]) + ")"
+
+    at = "array(" + ", ".join(value(first, width) for first, width, _, _ in tried) + ")"
+    on = ["pos", "band", "key", "flips"]
+    common = heavy_keys(frames.selectExpr("pos", f"posexplode({at}) as (band, value)"), ["pos", "band", "value"], heavy_rows)
+    hot = None
+    if not common.isEmpty():
+        reached = [
+            common.selectExpr("pos", "band", "value", "count", f"inline({listed(side)}) as (at_band, mask, flips)")
+            .filter("band = at_band")
+            .selectExpr("pos", "band", "value ^ mask as key", "flips", "count", f"'{name}' as many")
+            for side, name in ((2, "l"), (3, "r"))
+        ]
+        salts = F.ceil(F.max("count") / heavy_rows).cast("bigint").alias("salts")
+        hot = reached[0].unionByName(reached[1]).groupBy(*on).agg(F.max_by("many", "count").alias("many"), salts)
 
     sides = []
-    for side, tried in masks.items():
-        one = F.array(F.pmod(F.xxhash64(f"{side}clip_id"), F.lit(salts)).cast("int"))
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
-        salt = F.when(F.col("many").isNull(), F.array(F.lit(0))).when(F.col("many") == side, one).otherwise(every)
-        sides.append(
-            placed.selectExpr("at.place", "at.value", *[f"{c} as {side}{c}" for c in ("clip_id", "copies", *SLOTS)], f"inline({tried})")
-            .withColumn("key", F.expr("value ^ mask"))
-            .drop("value", "mask")
-            .join(hot, on, "left")
-            .withColumn("salt", F.explode(salt))
-            .drop("many")
-            .hint("merge")
+    for side, name in ((2, "l"), (3, "r")):
+        rows = (
+            frames.selectExpr("clip_id", "pos", "h", f"{at} as bands", f"inline({listed(side)})")
+            .selectExpr(f"clip_id as {name}", "pos", f"h as {name}_h", "band", "get(bands, band) ^ mask as key", "flips")
         )
-    return sides[0].join(sides[1], [*on, "salt"])
+        if hot is None:
+            rows = rows.withColumn("salt", F.lit(0).cast("bigint"))
+        else:
+            one = F.array(F.pmod(F.xxhash64(name), F.col("salts")))
+            every = F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)
+            salt = F.when(F.col("many").isNull(), F.array(F.lit(0).cast("bigint"))).when(F.col("many") == name, one).otherwise(every)
+            rows = rows.join(hot, on, "left").withColumn("salt", F.explode(salt)).drop("many", "salts")
+        sides.append(rows.hint("merge"))
+    met = sides[0].join(sides[1], [*on, "salt"])
+    return met.filter(f"l <> r and bit_count(l_h ^ r_h) <= {threshold}").select("l", "r")

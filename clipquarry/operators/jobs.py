@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,48 @@ JOB_TTL = "60 minutes"
 LATENESS = "10 minutes"
 
 
+# The steps of a job.
+STEPS = ["queued", "downloading", "extracting_frames", "swapping_faces", "reassembling", "processing", "done", "error"]
+
+# An entry's place in time is one whole number: microseconds, event, step. It sorts like the three of them, and the
+# least or greatest of plain numbers is found in a hash aggregation.
+EVENTS = Decimal(10) ** 19
+CODES = Decimal(100)
+
+
 def job_status(step: Column) -> Column:
     return F.when(step.isin("done", "error"), step).otherwise(F.lit("processing"))
 
 
+def entry_order(created_at: Column, event_id: Column, step: Column) -> Column:
+    """Time, event and step of an entry as one number. Events are not negative; a step that is not in STEPS is lost."""
+    code = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STEPS]), step), F.lit(0)).cast("decimal(2,0)")
+    moment = F.unix_micros(created_at).cast("decimal(17,0)")
+    exact = F.lit(EVENTS * CODES).cast("decimal(22,0)")
+    return (moment * exact + event_id.cast("decimal(19,0)") * F.lit(CODES) + code).cast("decimal(38,0)")
+
+
+def ordered_entry(order: Column) -> dict[str, Column]:
+    """What `entry_order` was made of."""
+    exact = F.lit(EVENTS * CODES).cast("decimal(22,0)")
+    rest = F.pmod(order, exact)
+    code = F.pmod(rest, F.lit(CODES)).cast("int")
+    micros = ((order - rest) / exact).cast("decimal(20,0)").cast("bigint")
+    return {
+        "created_at": F.timestamp_micros(micros),
+        "event_id": ((rest - code) / F.lit(CODES)).cast("decimal(20,0)").cast("bigint"),
+        "step": F.get(F.array(*[F.lit(s) for s in STEPS]), code - 1),
+    }
+
+
 def latest_state(jobs: DataFrame) -> DataFrame:
     """Last step of each job; the maximum combines before the shuffle."""
-    newest = F.struct("created_at", "event_id")
+    newest = F.max(entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))).alias("newest")
+    found = ordered_entry(F.col("newest"))
     return (
         jobs.groupBy("job_id")
-        .agg(F.max_by("step", newest).alias("step"), F.max("created_at").alias("updated_at"), F.count("*").alias("events"))
+        .agg(newest, F.count("*").alias("events"))
+        .select("job_id", found["step"].alias("step"), found["created_at"].alias("updated_at"), "events")
         .withColumn("status", job_status(F.col("step")))
     )
 
@@ -56,8 +90,9 @@ def entry_expiry(entries: DataFrame, key: str, ttl: str, lateness: str = LATENES
 
 def first_registrations(entries: DataFrame, key: str) -> DataFrame:
     """One row per key, the earliest; ties go to the lower event."""
-    first = F.min(F.struct("created_at", "event_id", "step")).alias("first")
-    return entries.groupBy(key).agg(first).select(key, "first.*")
+    first = F.min(entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))).alias("first")
+    found = ordered_entry(F.col("first"))
+    return entries.groupBy(key).agg(first).select(key, *[c.alias(name) for name, c in found.items()])
 
 
 def activity_windows(jobs: DataFrame, width: str, slide: str | None = None) -> DataFrame:

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipquarry.functions.semantics import clamp, or_default, trim_blanks
-from clipquarry.operators.captions import first_per_group
+from clipquarry.operators.captions import caption_outcome, first_per_group
 from clipquarry.operators.speech import word_normalize
-from clipquarry.skew import salted_join
+from clipquarry.skew import with_running_total
 
 # Fixed values.
-SOURCE_CAP = 6
-SHOT_CAP = 40
 MIN_CLIPS = 2
+SHOT_LONGEST = 10.0
 
 
 def shot_seconds(raw: Column) -> Column:
-    return clamp(or_default(raw, 1.0), 0.3, 10.0)
+    return clamp(or_default(raw, 1.0), 0.3, SHOT_LONGEST)
 
 
 def shot_start(raw: Column) -> Column:
@@ -28,43 +27,35 @@ def voice_delay(raw: Column) -> Column:
     return clamp(or_default(raw, 0.0), 0.0, 15.0)
 
 
-def requested_shots(shots: DataFrame) -> DataFrame:
-    """Shots with a source, the first 40 of each reel, with their clamped cut."""
-    listed = first_per_group(shots.filter("url is not null and url <> ''"), ["reel_id"], ["shot_idx"], SHOT_CAP)
+def requested_shots(shots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Shots with a source, all or the first `cap` of each reel, with their clamped cut."""
+    listed = first_per_group(shots.filter("url is not null and url <> ''"), ["reel_id"], ["shot_idx"], cap)
     return listed.select(
         "reel_id",
         "shot_idx",
         "url",
         "kind",
-        "fetched",
+        F.coalesce("fetched", F.lit(False)).alias("fetched"),
         shot_seconds(F.col("seconds")).alias("seconds"),
         shot_start(F.col("start_at")).alias("start_at"),
     )
 
 
-def shot_timeline(shots: DataFrame) -> DataFrame:
-    """Running start and end of the prepared shots; a failed shot moves later ones earlier. The window
-    reuses the partitioning of the shot cap, which also bounds it."""
-    played = Window.partitionBy("reel_id").orderBy("shot_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        requested_shots(shots)
-        .filter("fetched")
-        .withColumn("end_s", F.sum("seconds").over(played))
-        .withColumn("start_s", F.col("end_s") - F.col("seconds"))
-        .select("reel_id", "shot_idx", "kind", "seconds", "start_at", "start_s", "end_s")
-    )
-
-
-def reel_lengths(shots: DataFrame) -> DataFrame:
-    """Requested and prepared shots and picture length of each reel; fewer than two are refused."""
-    return (
-        requested_shots(shots)
+def reel_lengths(requests: DataFrame, shots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Requested and prepared shots and picture length of every request (reel_id); fewer than two are refused."""
+    counted = (
+        requested_shots(shots, cap)
         .groupBy("reel_id")
         .agg(
             F.count("*").alias("requested"),
             F.count_if("fetched").alias("prepared"),
             F.round(F.sum(F.when(F.col("fetched"), F.col("seconds")).otherwise(F.lit(0.0))), 6).alias("seconds"),
         )
+    )
+    return (
+        requests.select("reel_id")
+        .join(counted, "reel_id", "left")
+        .fillna({"requested": 0, "prepared": 0, "seconds": 0.0})
         .withColumn(
             "status",
             F.when(F.col("requested") < MIN_CLIPS, "too_few_requested")
@@ -74,56 +65,98 @@ def reel_lengths(shots: DataFrame) -> DataFrame:
     )
 
 
-def reel_summary(shots: DataFrame, voices: DataFrame) -> DataFrame:
-    """`reel_lengths`, and whether a voice-over (reel_id, audio_url) goes with the reel."""
+def accepted_reels(shots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Reels with enough prepared shots, and their picture length."""
+    named = shots.select("reel_id").distinct()
+    return reel_lengths(named, shots, cap).filter("status = 'ok'").select("reel_id", "seconds")
+
+
+def shot_timeline(shots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Running start and end of the prepared shots of accepted reels; a failed shot moves later ones earlier."""
+    prepared = requested_shots(shots, cap).filter("fetched").join(accepted_reels(shots, cap).select("reel_id"), "reel_id", "left_semi")
+    bucket = [F.expr("shot_idx div 65536")]
+    return (
+        with_running_total(prepared, ["reel_id"], ["shot_idx"], bucket, F.col("seconds"), "end_s")
+        .withColumn("start_s", F.col("end_s") - F.col("seconds"))
+        .select("reel_id", "shot_idx", "kind", "seconds", "start_at", "start_s", "end_s")
+    )
+
+
+def reel_summary(requests: DataFrame, shots: DataFrame, voices: DataFrame, cues: DataFrame, cap: int | None = None) -> DataFrame:
+    """`reel_lengths`, whether a voice-over (reel_id, audio_url) goes with the reel, and what became of its captions."""
     spoken = voices.filter("audio_url <> ''").select("reel_id").distinct().withColumn("has_audio", F.lit(True))
-    return reel_lengths(shots).join(spoken, "reel_id", "left").withColumn("has_audio", F.coalesce("has_audio", F.lit(False)))
+    accepted = F.col("status") == "ok"
+    return (
+        reel_lengths(requests, shots, cap)
+        .join(spoken, "reel_id", "left")
+        .join(caption_outcome(cues), "reel_id", "left")
+        .withColumn("has_audio", F.coalesce("has_audio", F.lit(False)))
+        .withColumn("captions_burned", accepted & F.coalesce("captions_burned", F.lit(False)))
+        .withColumn("caption_error", F.when(accepted, F.col("caption_error")))
+    )
 
 
-def failed_shots(shots: DataFrame) -> DataFrame:
+def failed_shots(shots: DataFrame, cap: int | None = None) -> DataFrame:
     """Requested shots that were not prepared. Each shot carries its outcome, so this needs no join with the
     prepared ones."""
-    failed = ~F.coalesce("fetched", F.lit(False))
-    return requested_shots(shots).filter(failed).select("reel_id", "shot_idx", "url")
+    return requested_shots(shots, cap).filter(~F.col("fetched")).select("reel_id", "shot_idx", "url")
 
 
-def valid_sources(shots: DataFrame) -> DataFrame:
-    """Non-blank sources, the first six of each request, and whether two or more are left."""
+def valid_sources(requests: DataFrame, shots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Non-blank sources of every request (reel_id), all or the first `cap`, and whether two or more are left. A
+    request without any is one row without a source."""
     named = shots.filter(trim_blanks(F.coalesce("url", F.lit(""))) != "").select("reel_id", "shot_idx", "url")
-    capped = first_per_group(named, ["reel_id"], ["shot_idx"], SOURCE_CAP)
-    left = F.count("*").over(Window.partitionBy("reel_id"))
-    return capped.withColumn("sources", left).withColumn("accepted", F.col("sources") >= MIN_CLIPS)
+    listed = first_per_group(named, ["reel_id"], ["shot_idx"], cap)
+    counts = listed.groupBy("reel_id").agg(F.count("*").alias("sources"))
+    return (
+        requests.select("reel_id")
+        .join(counts, "reel_id", "left")
+        .withColumn("sources", F.coalesce("sources", F.lit(0).cast("bigint")))
+        .join(listed, "reel_id", "left")
+        .select("reel_id", "shot_idx", "url", "sources", (F.col("sources") >= MIN_CLIPS).alias("accepted"))
+    )
 
 
-def stitch_order(shots: DataFrame) -> DataFrame:
+def stitch_order(requests: DataFrame, shots: DataFrame, cap: int | None = None) -> DataFrame:
     """1-based place of each source in the stitched clip of an accepted request."""
-    place = F.row_number().over(Window.partitionBy("reel_id").orderBy("shot_idx"))
-    return (
-        valid_sources(shots)
-        .filter("accepted")
-        .select("reel_id", place.cast("bigint").alias("clip_order"), "url", F.col("sources").alias("clip_count"))
-    )
+    accepted = valid_sources(requests, shots, cap).filter("accepted")
+    bucket = [F.expr("shot_idx div 65536")]
+    placed = with_running_total(accepted, ["reel_id"], ["shot_idx"], bucket, F.lit(1).cast("bigint"), "clip_order")
+    return placed.select("reel_id", "clip_order", "url", F.col("sources").alias("clip_count"))
 
 
-def word_shot_alignment(words: DataFrame, shots: DataFrame, delay: Column) -> DataFrame:
-    """The shot on screen while each word is spoken; none past the end of the picture.
+def word_shot_alignment(words: DataFrame, shots: DataFrame, voices: DataFrame, cap: int | None = None) -> DataFrame:
+    """The shot on screen while each word is spoken; none past the end of the picture, or without one. The words of a
+    reel start late by its own delay (`voices`: reel_id, delay_raw).
 
-    The timeline of a reel is one row with 40 shots at most, so the words meet it in an equi-join and
-    find their shot in that row. Long recordings are spread over tasks.
+    A shot lasts ten seconds at most, so it lies in one or two tens of seconds. Words and shots meet on
+    (reel, ten seconds) in an equi-join, which also spreads long reels.
     """
-    timelines = (
-        shot_timeline(shots)
-        .groupBy("reel_id")
-        .agg(F.collect_list(F.struct("shot_idx", "start_s", "end_s")).alias("timeline"))
-        .withColumnRenamed("reel_id", "video_id")
+    span = lambda at: F.floor(at / SHOT_LONGEST).cast("bigint")
+    shown = shot_timeline(shots, cap).select(
+        F.col("reel_id").alias("video_id"),
+        "shot_idx",
+        "start_s",
+        "end_s",
+        F.explode(F.sequence(span(F.col("start_s")), span(F.col("end_s")))).alias("span"),
+    )
+    delays = voices.select(F.col("reel_id").alias("video_id"), voice_delay(F.col("delay_raw")).alias("delay"))
+    spoken = (
+        word_normalize(words)
+        .select("video_id", "word_idx", "word", "start_s")
+        .join(delays, "video_id", "left")
+        .select("video_id", "word_idx", "word", (F.col("start_s") + F.coalesce("delay", F.lit(0.0))).alias("at"))
+        .withColumn("span", span(F.col("at")))
+    )
+    w, s = spoken.alias("w"), shown.alias("s")
+    met = w.join(
+        s,
+        (F.col("w.video_id") == F.col("s.video_id"))
+        & (F.col("w.span") == F.col("s.span"))
+        & (F.col("w.at") >= F.col("s.start_s"))
+        & (F.col("w.at") < F.col("s.end_s")),
+        "left",
+    )
+    return met.select(
+        "w.video_id", "w.word_idx", "w.word", F.round("w.at", 6).alias("at"), "s.shot_idx", F.col("s.shot_idx").isNotNull().alias("heard")
     )
-    spoken = word_normalize(words).select("video_id", "word_idx", "word", (F.col("start_s") + delay).alias("at"))
-    joined = salted_join(spoken, timelines, ["video_id"], ["word_idx"], "left", counted=words)
-    on_screen = F.filter("timeline", lambda s: (F.col("at") >= s["start_s"]) & (F.col("at") < s["end_s"]))
-    return joined.select(
-        "video_id",
-        "word_idx",
-        "word",
-        F.round("at", 6).alias("at"),
-        F.get(on_screen, F.lit(0))["shot_idx"].alias("shot_idx"),
-    ).withColumn("heard", F.col("shot_idx").isNotNull())

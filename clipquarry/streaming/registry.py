@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipquarry.operators.jobs import LATENESS, job_status
+from clipquarry.operators.jobs import JOB_TTL, LATENESS, entry_order, job_status, ordered_entry
 
 
 def expired_entries(entries: DataFrame, key: str, ttl: str, lateness: str = LATENESS) -> DataFrame:
@@ -25,11 +25,16 @@ def expired_entries(entries: DataFrame, key: str, ttl: str, lateness: str = LATE
     )
 
 
-def latest_job_state(jobs: DataFrame) -> DataFrame:
-    """Last step of each job so far (update mode)."""
+def latest_job_state(jobs: DataFrame, ttl: str = JOB_TTL, lateness: str = LATENESS) -> DataFrame:
+    """Last step of each job so far (update mode), one row per job and lifetime-long window of time. A job lives no
+    longer than that, so a window's state goes once the watermark has passed it; `run.latest_rows` gives the newest."""
+    newest = F.max(entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))).alias("newest")
+    found = ordered_entry(F.col("newest"))
     return (
-        jobs.groupBy("job_id")
-        .agg(F.max_by("step", F.struct("created_at", "event_id")).alias("step"), F.max("created_at").alias("updated_at"))
+        jobs.withWatermark("created_at", lateness)
+        .groupBy(F.window("created_at", ttl).alias("alive"), "job_id")
+        .agg(newest)
+        .select("job_id", found["step"].alias("step"), found["created_at"].alias("updated_at"))
         .withColumn("status", job_status(F.col("step")))
     )
 
