@@ -24,13 +24,18 @@ def videos(spark: SparkSession, root: str) -> DataFrame:
         F.expr("if(p_partkey % 17 = 0, null, cast(200 + p_size * 37 as int))").alias("width"),
         F.expr("if(p_partkey % 17 = 0, null, cast(300 + p_size * 61 as int))").alias("height"),
         F.expr("cast(500 + (p_partkey * 7919) % 5000 as bigint)").alias("bytes"),
+        F.expr("case p_partkey % 3 when 0 then null when 1 then '  ' else p_name end").alias("brief"),
+        F.expr(
+            "case p_partkey % 6 when 0 then 'small' when 1 then 'MEDIUM' when 2 then 'large' when 3 then 'XLarge' "
+            "when 4 then null else 'huge' end"
+        ).alias("size_name"),
     )
 
 
 def _user_events(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Events numbered per user in time order; a very busy user is spread over the minutes of the log."""
+    """Events numbered per user in time order; a very busy user is spread over the seconds of the log."""
     log = events(spark, root)
-    return with_position(log, ["user_id"], ["ts", "event_id"], [F.date_trunc("minute", "ts")], name)
+    return with_position(log, ["user_id"], ["ts", "event_id"], [F.date_trunc("second", "ts")], name)
 
 
 def words(spark: SparkSession, root: str) -> DataFrame:
@@ -80,7 +85,7 @@ def shots(spark: SparkSession, root: str) -> DataFrame:
     return _numbered_lines(spark, root, "shot_idx", *extra).select(
         F.col("l_orderkey").alias("reel_id"),
         "shot_idx",
-        F.expr("if(l_linenumber = 7, null, concat('s3://shots/', cast(l_partkey as string)))").alias("url"),
+        F.expr("if(l_linenumber = 7, null, concat('shots/', cast(l_partkey as string)))").alias("url"),
         F.expr("if(l_returnflag = 'R', 'video', 'still')").alias("kind"),
         F.expr("l_quantity / 4e0").alias("seconds"),
         F.expr("if(l_linestatus = 'F', l_discount * 1000e0, null)").alias("start_at"),
@@ -88,11 +93,17 @@ def shots(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def reel_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Every reel that was asked for, with or without shots."""
+    return table(spark, root, "orders").select(F.col("o_orderkey").alias("reel_id"))
+
+
 def voices(spark: SparkSession, root: str) -> DataFrame:
-    """Voice-over of each reel, missing or empty for some."""
+    """Voice-over of each reel, missing or empty for some, and how late it is to start."""
     return table(spark, root, "orders").select(
         F.col("o_orderkey").alias("reel_id"),
-        F.expr("case o_orderkey % 4 when 0 then null when 1 then '' else concat('s3://voice/', o_orderkey) end").alias("audio_url"),
+        F.expr("case o_orderkey % 4 when 0 then null when 1 then '' else concat('voice/', o_orderkey) end").alias("audio_url"),
+        F.expr("case o_orderkey % 5 when 0 then null when 1 then 0.5e0 when 2 then 99e0 when 3 then -1e0 else 2.25e0 end").alias("delay_raw"),
     )
 
 
@@ -108,10 +119,11 @@ def detections(spark: SparkSession, root: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded frames: every order is one frame of the job of its customer."""
+    """Decoded frames: every order is one frame of the job of its customer; some cannot be read."""
     return table(spark, root, "orders").select(
         F.col("o_orderkey").alias("frame_id"),
         F.col("o_custkey").alias("job_id"),
+        F.expr("o_orderkey % 23 <> 0").alias("readable"),
     )
 
 
@@ -130,7 +142,11 @@ def urls(spark: SparkSession, root: str) -> DataFrame:
             "else 'application/octet-stream' end"
         ).alias("content_type"),
         F.expr("case page_id % 3 when 0 then 'ftypmp42' when 1 then substring(html, 1, 20) else '<html>' end").alias("head"),
-        F.expr("cast(length(html) as bigint)").alias("bytes"),
+        F.expr(
+            "case page_id % 13 when 0 then 62914560L when 1 then 62914561L when 2 then 209715200L when 3 then 209715201L "
+            "when 4 then 314572800L when 5 then 314572801L when 6 then 999L when 7 then 1000L when 8 then 1001L when 9 then 1999L "
+            "else cast(length(html) as bigint) end"
+        ).alias("bytes"),
     )
 
 
@@ -147,10 +163,9 @@ def fetch_errors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lane_responses(spark: SparkSession, root: str) -> DataFrame:
-    """Model responses with header lines: the assistant turns of the conversations."""
+    """Model responses with header lines, one for each turn of the conversations."""
     return (
         table(spark, root, "conversations")
-        .filter("role = 'assistant'")
         .select(
             "conv_id",
             "turn",
@@ -167,7 +182,6 @@ def lane_responses(spark: SparkSession, root: str) -> DataFrame:
 def section_responses(spark: SparkSession, root: str) -> DataFrame:
     return (
         table(spark, root, "conversations")
-        .filter("role = 'assistant'")
         .select(
             "conv_id",
             "turn",
@@ -219,14 +233,14 @@ def params(spark: SparkSession, root: str) -> DataFrame:
 
 
 def gray_frames(spark: SparkSession, root: str) -> DataFrame:
-    """One row per frame with its 32x32 gray values, row by row; six frames make a clip."""
+    """One row per frame with its 32x32 gray values, row by row; fifteen frames make a clip."""
     pixel = (
         "transform(sequence(0, {n}), i -> cast(floor(least(greatest(128e0 + 400e0 * cast(embedding[i div {side}] as double) "
         "* cast(embedding[{side} + i % {side}] as double), 0e0), 255e0)) as int))"
     ).format(n=FRAME_SIDE * FRAME_SIDE - 1, side=FRAME_SIDE)
     return table(spark, root, "embeddings").select(
-        F.expr("vec_id div 6").alias("video_id"),
-        F.expr("cast(vec_id % 6 as int)").alias("frame_idx"),
+        F.expr("vec_id div 15").alias("video_id"),
+        F.expr("cast(vec_id % 15 as int)").alias("frame_idx"),
         F.expr(pixel).alias("gray"),
     )
 

@@ -1,7 +1,8 @@
 """The queries as SQL over the same tables, for an independent engine (DuckDB).
 
-The texts share no code with the operators. Windows run over whole keys and pairs are compared by brute
-force: the SQL states results, not how to get them at scale.
+The texts share no code with the operators, and state what a request is answered with: no caps beyond those that a
+query is about, one transcript per clip, refused requests as rows. Windows run over whole keys and pairs are compared
+by brute force.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ TABLES: dict[str, str] = {
                case when p_partkey % 13 = 0 then null else cast((p_partkey * 37) % 6000 as double) / 10e0 end as probe_duration,
                case when p_partkey % 17 = 0 then null else cast(200 + p_size * 37 as int) end as width,
                case when p_partkey % 17 = 0 then null else cast(300 + p_size * 61 as int) end as height,
-               cast(500 + (p_partkey * 7919) % 5000 as bigint) as bytes
+               cast(500 + (p_partkey * 7919) % 5000 as bigint) as bytes,
+               case p_partkey % 3 when 0 then null when 1 then '  ' else p_name end as brief
         from part""",
     "fx_words": f"""
         with w as (select user_id as video_id, event_type, value, event_id, {_NUMBERED_EVENTS} as word_idx from events)
@@ -42,7 +44,7 @@ TABLES: dict[str, str] = {
         from events""",
     "fx_shots": f"""
         select l_orderkey as reel_id, {_NUMBERED_LINES} as shot_idx,
-               case when l_linenumber = 7 then null else concat('s3://shots/', cast(l_partkey as varchar)) end as url,
+               case when l_linenumber = 7 then null else concat('shots/', cast(l_partkey as varchar)) end as url,
                case when l_returnflag = 'R' then 'video' else 'still' end as kind,
                l_quantity / 4e0 as seconds,
                case when l_linestatus = 'F' then l_discount * 1000e0 else null end as start_at,
@@ -52,7 +54,7 @@ TABLES: dict[str, str] = {
         select l_orderkey as frame_id, {_NUMBERED_LINES} as det_idx,
                10e0 as x1, 20e0 as y1, 10e0 + l_quantity as x2, 20e0 + cast(l_linenumber as double) * 3e0 as y2
         from lineitem""",
-    "fx_frames": "select o_orderkey as frame_id, o_custkey as job_id from orders",
+    "fx_frames": "select o_orderkey as frame_id, o_custkey as job_id, o_orderkey % 23 <> 0 as readable from orders",
     "fx_urls": """
         select page_id,
                case page_id % 7 when 0 then concat('https://www.instagram.com/reel/', cast(page_id as varchar), '/')
@@ -63,7 +65,9 @@ TABLES: dict[str, str] = {
                case when page_id % 4 = 0 then 'video/mp4' when page_id % 4 = 1 then 'text/html; charset=utf-8'
                     when page_id % 4 = 2 then null else 'application/octet-stream' end as content_type,
                case when page_id % 3 = 0 then 'ftypmp42' when page_id % 3 = 1 then substring(html, 1, 20) else '<html>' end as head,
-               cast(length(html) as bigint) as bytes
+               cast(case page_id % 13 when 0 then 62914560 when 1 then 62914561 when 2 then 209715200 when 3 then 209715201
+                                      when 4 then 314572800 when 5 then 314572801 when 6 then 999 when 7 then 1000 when 8 then 1001
+                                      when 9 then 1999 else length(html) end as bigint) as bytes
         from pages""",
     "fx_fetch_errors": """
         select event_id,
@@ -78,14 +82,14 @@ TABLES: dict[str, str] = {
                                        when 2 then concat('LANE: OTHER', chr(10)) else '' end,
                       case turn % 3 when 0 then concat('TALKING: YES', chr(10), chr(10)) when 1 then concat('talking: no', chr(10)) else '' end,
                       text) as response
-        from conversations where role = 'assistant'""",
+        from conversations""",
     "fx_section_responses": """
         select conv_id, turn,
                concat(case when conv_id % 5 = 0 then '' else concat('ANALYSIS', chr(10)) end, 'summary ', cast(conv_id as varchar), chr(10),
                       'PROMPT A | warm', chr(10), 'first body ', cast(turn as varchar), chr(10),
                       case conv_id % 3 when 0 then concat('PROMPT B', chr(10), 'second body', chr(10))
                                        when 1 then concat('PROMPT B | empty', chr(10)) else '' end) as response
-        from conversations where role = 'assistant'""",
+        from conversations""",
     "fx_job_events": """
         select event_id, user_id as job_id, ts as created_at,
                case event_type when 'signup' then 'downloading' when 'view' then 'extracting_frames' when 'click' then 'processing'
@@ -105,7 +109,7 @@ TABLES: dict[str, str] = {
         from orders""",
     # Plans and operators that other queries build on.
     "clips": """
-        select video_id, probe_duration, width, height, bytes, duration, fps,
+        select video_id, probe_duration, width, height, bytes, brief, duration, fps,
                cast(least(80, floor(duration * fps + 0.5)) as bigint) as n_frames
         from (select *, least(8e0, 80e0 / greatest(duration, 0.1e0)) as fps
               from (select *, coalesce(nullif(probe_duration, 0), 15e0) as duration from fx_videos))""",
@@ -115,7 +119,7 @@ TABLES: dict[str, str] = {
                coalesce(no_speech_prob, 0) < 0.6e0 and coalesce(avg_logprob, 0) > -1e0 and coalesce(compression_ratio, 1) < 2.4e0 as keep
         from fx_segments""",
     "transcripts": """
-        select video_id, seg_idx // 4096 as part,
+        select video_id,
                coalesce(string_agg(clean, ' ' order by seg_idx) filter (where keep and clean <> ''), '') as text,
                count(*) filter (where keep) as kept, count(*) filter (where not keep) as rejected
         from scored group by all""",
@@ -137,23 +141,21 @@ TABLES: dict[str, str] = {
         select reel_id, shot_idx, url, kind, fetched,
                least(10e0, greatest(0.3e0, coalesce(nullif(seconds, 0), 1e0))) as seconds,
                least(60e0, greatest(0e0, coalesce(start_at, 0e0))) as start_at
-        from (select *, row_number() over (partition by reel_id order by shot_idx) as place from fx_shots where url is not null)
-        where place <= 40""",
-    "timeline": """
-        select reel_id, shot_idx, kind, seconds, start_at, end_s - seconds as start_s, end_s
-        from (select *, sum(seconds) over (partition by reel_id order by shot_idx rows unbounded preceding) as end_s
-              from requested where fetched)""",
+        from fx_shots where url is not null""",
     "summary": """
         select *, case when requested < 2 then 'too_few_requested' when prepared < 2 then 'too_few_prepared' else 'ok' end as status
-        from (select reel_id, count(*) as requested, count(*) filter (where fetched) as prepared,
+        from (select o_orderkey as reel_id, count(shot_idx) as requested, count(*) filter (where fetched) as prepared,
                      round(sum(case when fetched then seconds else 0e0 end), 6) as seconds
-              from requested group by reel_id)""",
+              from orders left join requested r on r.reel_id = o_orderkey group by o_orderkey)""",
+    "timeline": """
+        select reel_id, shot_idx, kind, seconds, start_at, end_s - seconds as start_s, end_s
+        from (select *, sum(seconds) over (partition by reel_id order by shot_idx rows unbounded preceding) as end_s
+              from requested where fetched and reel_id in (select reel_id from summary where status = 'ok'))""",
     "sources": """
-        select reel_id, shot_idx, url, count(*) over (partition by reel_id) as sources
-        from (select *, row_number() over (partition by reel_id order by shot_idx) as place from fx_shots where trim(coalesce(url, '')) <> '')
-        where place <= 6""",
+        select o_orderkey as reel_id, shot_idx, url, count(shot_idx) over (partition by o_orderkey) as sources
+        from orders left join (select * from fx_shots where trim(coalesce(url, '')) <> '') s on s.reel_id = o_orderkey""",
     "pixels": """
-        select vec_id // 6 as video_id, vec_id % 6 as frame_idx, y, x,
+        select vec_id // 15 as video_id, vec_id % 15 as frame_idx, y, x,
                floor(least(greatest(128e0 + 400e0 * cast(embedding[y + 1] as double) * cast(embedding[33 + x] as double), 0e0), 255e0)) as v
         from embeddings, range(32) as ys(y), range(32) as xs(x)""",
     "edited": """
@@ -178,7 +180,7 @@ TABLES: dict[str, str] = {
     "pairs": """
         select video_id * 3 as base_id, cast(i as bigint) as index,
                case when i <= 3 then video_id * 3 + i - 1 else (video_id + i - 3) * 3 end as candidate_id
-        from (select distinct vec_id // 6 as video_id from embeddings), range(1, 11) as places(i)""",
+        from (select distinct vec_id // 15 as video_id from embeddings), range(1, 13) as places(i)""",
     "distances": """
         select p.base_id, p.index, p.candidate_id, nullif(count(d), 0) as frames_compared, avg(d) as mean_distance, max(d) as max_distance
         from pairs p left join (
@@ -187,11 +189,15 @@ TABLES: dict[str, str] = {
         ) d on d.base_id = p.base_id and d.index = p.index
         group by all""",
     "results": """
-        select base_id, index, candidate_id, (select count(*) from hashes where clip_id = base_id) as base_frames, frames_compared, floor(mean_distance * 100 + 0.5) / 100 as avg_distance, max_distance,
-               case when mean_distance <= 10 then 'would still match' when mean_distance <= 20 then 'borderline'
-                    when mean_distance is not null then 'likely distinct' end as verdict,
-               case when frames_compared is null then 'No frames hashed' end as error
-        from distances""",
+        select *, case verdict when 'would still match' then 'A dedup system would very likely treat this as the same video.'
+                               when 'borderline' then 'Close enough that a match is plausible.'
+                               when 'likely distinct' then 'Far enough apart that a perceptual match is unlikely.' end as detail
+        from (select base_id, index, candidate_id, (select count(*) from hashes where clip_id = base_id) as base_frames, frames_compared,
+                     floor(mean_distance * 100 + 0.5) / 100 as avg_distance, max_distance,
+                     case when mean_distance <= 10 then 'would still match' when mean_distance <= 20 then 'borderline'
+                          when mean_distance is not null then 'likely distinct' end as verdict,
+                     case when frames_compared is null then 'No frames hashed' end as error
+              from distances)""",
     "job_states": """
         select job_id, arg_max(step, (created_at, event_id)) as step, max(created_at) as updated_at, count(*) as events
         from fx_job_events group by job_id""",
@@ -264,13 +270,15 @@ QUERIES: dict[str, str] = {
         from (select page_id, {_PLATFORM} as platform from fx_urls)""",
     "payload_guard": f"""
         select page_id,
-               case when bytes > 209715200 then 'too_large'
+               case when platform <> 'tiktok' and bytes > 209715200 then 'too_large'
                     when platform = 'direct' and (coalesce(contains(content_type, 'text/html'), false)
                                                   or starts_with(head, '<!') or starts_with(head, '<h')) then 'html_page'
                     when platform <> 'direct' and bytes < 1000 then 'too_small' end as analysis_reject,
-               case when platform = 'direct' and bytes > 314572800 then 'too_large' when bytes < 1000 then 'too_small' end as audio_reject,
-               case when bytes > 62914560 then 'too_large' when bytes <= 1000 then 'silent' when bytes < 2000 then 'no_audio'
-                    else 'usable' end as audio_state
+               case when platform = 'direct' and bytes > 314572800 or platform = 'instagram' and bytes > 209715200 then 'too_large'
+                    when bytes < 1000 then 'too_small' end as audio_reject,
+               case when bytes > 1000 then 'usable' else 'silent' end as speech_track,
+               case when bytes >= 2000 then 'usable' else 'no_audio' end as extracted_track,
+               case when bytes <= 62914560 then 'usable' else 'too_large' end as timing_track
         from (select *, {_PLATFORM} as platform from fx_urls)""",
     "fetch_error_reason": """
         select event_id, reason,
@@ -287,7 +295,7 @@ QUERIES: dict[str, str] = {
     "usable_cues_strict": "select video_id, chunk_idx, text, start_s, end_s from checked_chunks where usable",
     "usable_cues_coerced": "select * from good_cues",
     "valid_sources": "select *, sources >= 2 as accepted from sources",
-    "match_verdict": "select base_id, index, verdict from results",
+    "match_verdict": "select base_id, index, verdict, detail from results",
     "plan_dense": """
         select video_id, i, i / fps as ts, concat('frame-', lpad(cast(i + 1 as varchar), 3, '0'), '.jpg') as name
         from clips, unnest(range(n_frames)) as places(i)""",
@@ -316,13 +324,15 @@ QUERIES: dict[str, str] = {
         from (select *, case when seconds > 0.1e0 then n / seconds else 1e0 end as exact
               from (select *, {_int_param(6, 3, 12)} as n from plan_params)), unnest(range(n)) as places(i)""",
     "plan_fixed_rate": """
-        select video_id, count(*) as frames, 'frame_0001.jpg' as first_name,
-               concat('frame_', lpad(cast(max(i) + 1 as varchar), cast(greatest(4, length(cast(max(i) + 1 as varchar))) as int), '0'), '.jpg') as last_name,
-               max(i / 24e0) as last_ts
-        from clips, unnest(range(cast(floor(duration * 24) as bigint))) as places(i) group by video_id""",
+        select video_id, count(*) as frames, cast(sum(i) as bigint) as index_sum, round(sum(i) / 24e0, 3) as ts_sum, max(i) / 24e0 as last_ts,
+               cast(sum(i + 1) as bigint) as name_sum, cast(sum(length(name)) as bigint) as name_length, min(name) as first_name, max(name) as last_name
+        from (select video_id, i, concat('frame_', lpad(cast(i + 1 as varchar), cast(greatest(4, length(cast(i + 1 as varchar))) as int), '0'), '.jpg') as name
+              from clips, unnest(range(cast(floor(duration * 24) as bigint))) as places(i))
+        group by video_id""",
     "plan_still_zoom": """
-        select reel_id, shot_idx, count(*) as frames, round(max(zoom), 6) as last_zoom, round(avg(zoom), 6) as mean_zoom
-        from (select reel_id, shot_idx, least(1e0 + 0.0015e0 * (i + 1), 1.1e0) as zoom
+        select reel_id, shot_idx, count(*) as frames, cast(sum(i) as bigint) as index_sum, round(sum(zoom), 6) as zoom_sum,
+               round(sum(zoom * i), 4) as zoom_moment, round(min(zoom), 6) as first_zoom, round(max(zoom), 6) as last_zoom
+        from (select reel_id, shot_idx, i, least(1e0 + 0.0015e0 * (i + 1), 1.1e0) as zoom
               from (select reel_id, shot_idx, least(10e0, greatest(0.3e0, coalesce(nullif(seconds, 0), 1e0))) as secs
                     from fx_shots where kind = 'still' and url is not null),
                    unnest(range(cast(greatest(2, floor(secs * 24 + 0.5)) as bigint))) as places(i))
@@ -357,8 +367,10 @@ QUERIES: dict[str, str] = {
         from fx_videos""",
     "caption_font_size": """
         select video_id, source, longest, font_px, cast(floor(font_px * border + 0.5) as bigint) as border_px
-        from (select *, cast(greatest(16, least(floor(h * 0.0175e0 + 0.5), floor((w * 0.92e0) / (longest * 0.62e0)))) as bigint) as font_px
-              from (select l.*, case when width > 0 then width else 1080 end as w, case when height > 0 then height else 1920 end as h
+        from (select *, cast(greatest(16, least(floor(h * ratio + 0.5), floor((w * 0.92e0) / (longest * 0.62e0)))) as bigint) as font_px
+              from (select l.*, case when source = 'chunks' then 0.0175e0
+                                     else case video_id % 6 when 0 then 0.014e0 when 2 then 0.022e0 when 3 then 0.028e0 else 0.0175e0 end end as ratio,
+                           case when width > 0 then width else 1080 end as w, case when height > 0 then height else 1920 end as h
                     from (select video_id, 'chunks' as source, 0.12e0 as border, greatest(max(length(text)), 1) as longest from chunks group by video_id
                           union all
                           select reel_id, 'cues', 0.14e0, max(length(text)) from good_cues group by reel_id) l
@@ -427,12 +439,15 @@ QUERIES: dict[str, str] = {
         group by a.clip_id""",
     "cue_frame_overlay": """
         select reel_id, frame_idx, cue_idx
-        from (select * from good_cues where cue_idx < 200) join summary s using (reel_id),
+        from good_cues join summary s using (reel_id),
              unnest(range(cast(floor(s.seconds * 24) as bigint))) as frames(frame_idx)
         where status = 'ok' and frame_idx / 24e0 >= start_s and frame_idx / 24e0 <= end_s""",
     "word_shot_alignment": """
-        select video_id, word_idx, word, round(w.start_s + 0.5e0, 6) as at, shot_idx, shot_idx is not null as heard
-        from clean_words w left join timeline t on t.reel_id = w.video_id and w.start_s + 0.5e0 >= t.start_s and w.start_s + 0.5e0 < t.end_s""",
+        select video_id, word_idx, word, round(moment, 6) as at, shot_idx, shot_idx is not null as heard
+        from (select w.*, w.start_s + case when o_orderkey is null then 0e0
+                                           else case o_orderkey % 5 when 1 then 0.5e0 when 2 then 15e0 when 4 then 2.25e0 else 0e0 end end as moment
+              from clean_words w left join orders on o_orderkey = video_id) w
+             left join timeline t on t.reel_id = w.video_id and moment >= t.start_s and moment < t.end_s""",
     "profile_lookup": """
         select event_id, case when event_type = 'error' then 'room' else asked end as profile, bed,
                case when bed is null then null when sent is not null then sent else bed_db end as level_db, bed is not null as phone
@@ -452,9 +467,9 @@ QUERIES: dict[str, str] = {
     "missing_jobs": "select c_custkey as job_id from customer where c_custkey not in (select job_id from fx_job_events)",
     "failed_shots": "select reel_id, shot_idx, url from requested where not fetched",
     "transcript_assemble": """
-        select video_id, part, text, kept, rejected, text <> '' as has_audio from transcripts
+        select video_id, text, kept, rejected, text <> '' as has_audio from transcripts
         union all
-        select -1 - doc_id, 0, coalesce(text, ''), 0, 0, coalesce(text, '') <> '' from documents""",
+        select -1 - doc_id, coalesce(text, ''), 0, 0, coalesce(text, '') <> '' from documents""",
     "caption_chunks": "select * from checked_chunks",
     "caption_longest": """
         select video_id, longest, longest_cue
@@ -464,22 +479,27 @@ QUERIES: dict[str, str] = {
     "phash64_relational": "select * from hashes",
     "phash_distance_stats": """
         select base_id, index, candidate_id, frames_compared, round(mean_distance, 6) as mean_distance, max_distance
-        from distances where frames_compared is not null""",
+        from distances""",
     "largest_detection": """
-        select f.frame_id, coalesce(boxes, 0) as boxes, det_idx, x1, y1, x2, y2
+        select f.frame_id, case when readable then coalesce(boxes, 0) else 0 end as boxes,
+               case when readable then det_idx end as det_idx, case when readable then x1 end as x1, case when readable then y1 end as y1,
+               case when readable then x2 end as x2, case when readable then y2 end as y2
         from fx_frames f left join (
             select *, count(*) over (partition by frame_id) as boxes,
                    row_number() over (partition by frame_id order by (x2 - x1) * (y2 - y1) desc, det_idx) as place
             from fx_detections) d on d.frame_id = f.frame_id and place = 1""",
     "detection_coverage": """
         select job_id, count(*) as total, count(*) filter (where hit) as swappable, round(count(*) filter (where hit) / count(*), 6) as coverage
-        from (select job_id, frame_id in (select frame_id from fx_detections) as hit from fx_frames) group by job_id""",
+        from (select job_id, frame_id in (select frame_id from fx_detections) and readable as hit from fx_frames) group by job_id""",
     "reel_summary": """
-        select summary.*, o_orderkey is not null as has_audio
-        from summary left join orders on o_orderkey = reel_id and o_orderkey % 4 not in (0, 1)""",
+        select s.*, reel_id % 4 not in (0, 1) as has_audio, status = 'ok' and reel_id in (select reel_id from good_cues) as captions_burned,
+               case when status = 'ok' and reel_id in (select reel_id from fx_cues) and reel_id not in (select reel_id from good_cues)
+                    then 'no usable cues' end as caption_error
+        from summary s""",
     "speech_coverage": """
-        select video_id, last_end, coalesce(probe_duration, 0e0) as duration, round(coalesce(probe_duration, 0e0) - last_end, 6) as trailing_silence
-        from fx_videos join (select video_id, max(end_s) as last_end from clean_words group by video_id) using (video_id)""",
+        select video_id, coalesce(last_end, 0e0) as last_end, coalesce(probe_duration, 0e0) as duration,
+               round(coalesce(probe_duration, 0e0) - coalesce(last_end, 0e0), 6) as trailing_silence
+        from fx_videos left join (select video_id, max(end_s) as last_end from clean_words group by video_id) using (video_id)""",
     "vision_request_bundle": """
         with lists as (
             select video_id, 'gateway' as route, string_agg(frame_idx, ',' order by i) as frame_list from ("""
@@ -487,25 +507,31 @@ QUERIES: dict[str, str] = {
     + """) group by video_id
             union all
             select video_id, 'direct', string_agg(i, ',' order by i) from clips, unnest(range(n_frames)) as places(i) group by video_id)
-        select video_id, route, coalesce(part, 0) as part, n_frames, frame_list,
-               concat('These ', n_frames, ' frames were extracted from the video',
-                      case when text is null then ' (no audio). Describe the clip.' else concat('. Transcript: "', text, '"', chr(10), chr(10), 'Describe the clip.') end,
+        select video_id, route, kind, n_frames, frame_list,
+               concat('These ', n_frames, case kind when 'background' then concat(
+                          ' frames were extracted from my own source video. Its exact duration is ',
+                          regexp_replace(cast(floor(duration * 10 + 0.5) / 10 as varchar), '[.]0$', ''),
+                          ' seconds — use this figure, do not estimate.', chr(10), chr(10), 'The background change I want: ',
+                          coalesce(nullif(trim(brief), ''), '(none specified — ask one clarifying question in the ANALYSIS instead of guessing)'))
+                      else concat(' frames were extracted from the video', case when text is null then ' (no audio). Describe the clip.'
+                          else concat('. Transcript: "', text, '"', chr(10), chr(10), 'Describe the clip.') end) end,
                       case when n_frames > 20 and route = 'gateway'
                            then ' (20 representative frames shown, evenly sampled from the full clip.)' else '' end) as request_text
-        from clips join lists using (video_id) left join (select video_id, part, text from transcripts where text <> '') using (video_id)""",
+        from clips join lists using (video_id) left join (select video_id, text from transcripts where text <> '') using (video_id),
+             (values ('describe'), ('background')) as kinds(kind)""",
     "shot_timeline": """
         select reel_id, shot_idx, kind, seconds, start_at, round(start_s, 6) as start_s, round(end_s, 6) as end_s from timeline""",
     "stitch_order": """
         select reel_id, row_number() over (partition by reel_id order by shot_idx) as clip_order, url, sources as clip_count
         from sources where sources >= 2""",
     "cap_per_group": """
-        select reel_id, cue_idx, text, 'sources' as cap from fx_cues where cue_idx < 6
-        union all select reel_id, cue_idx, text, 'shots' from fx_cues where cue_idx < 40""",
+        select reel_id, cue_idx, text, cap
+        from fx_cues join (values ('sources', 6), ('candidates', 10), ('shots', 40), ('cues', 200)) as caps(cap, most) on cue_idx < most""",
     "progress_marks": """
         select job_id, done, total, concat(done, '/', total, ' frames') as mark
-        from (select job_id, row_number() over (partition by job_id order by frame_id) as done, count(*) over (partition by job_id) as total
+        from (select job_id, readable, row_number() over (partition by job_id order by frame_id) as done, count(*) over (partition by job_id) as total
               from fx_frames)
-        where done % 20 = 0 or done = total""",
+        where readable and (done % 20 = 0 or done = total)""",
     "frame_name_order": """
         select video_id, name, row_number() over (partition by video_id order by name) - 1 as place
         from (select video_id, concat('frame-', lpad(cast(i + 1 as varchar), 3, '0'), '.jpg') as name from clips, unnest(range(n_frames)) as places(i))""",
@@ -513,7 +539,11 @@ QUERIES: dict[str, str] = {
         select * from (select doc_id, concat(lang, '_', doc_id, case doc_id % 6 when 0 then '.jpg' when 1 then '.JPEG' when 2 then '.png'
                                              when 3 then '.gif' when 4 then '.jpg.tmp' else '.PnG' end) as name from documents)
         where doc_id % 6 not in (3, 4)""",
-    "compare_results_union": "select * from results order by base_id, index",
+    "compare_results_union": """
+        select * exclude (index), cast(case when index <= 3 then index - 1 else index - 3 end as bigint) as index,
+               case when index <= 3 then 'edits' else 'neighbours' end as list
+        from results where index between 2 and 6
+        order by base_id, list, index""",
     "artifact_expiry": """
         select token, max(created_at) as created_at, max(created_at) < any_value(now) - interval 30 minutes as expired
         from fx_artifacts, clock group by token""",

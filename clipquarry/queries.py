@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from clipquarry import fixtures as fx
 from clipquarry.functions import draws, geometry, routing, text
 from clipquarry.functions import phash as hashing
-from clipquarry.functions.semantics import int_param, round_digits, round_half_up
+from clipquarry.functions.semantics import int_param, round_digits, round_half_up, utc_wall_time
 from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, speech
 from clipquarry.plans import sampling
 from clipquarry.sources import media, requests, sinks
@@ -18,8 +19,8 @@ from clipquarry.sources.tables import events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-VOICE_DELAY = 0.5
 CLOSING = "Describe the clip."
+ROW_CAPS = {"sources": 6, "candidates": 10, "shots": 40, "cues": 200}
 LANE_LAYERS = {"AUTHENTIC": "Handheld phone look.", "HIGH-END": "Cinema camera look."}
 LANE_SUFFIX = "Keep the setting."
 SAMPLE_SEED = "run"
@@ -38,7 +39,7 @@ def _plain_times(df: DataFrame) -> DataFrame:
     """Instants as UTC wall times, like the tables store them."""
     for name, kind in df.dtypes:
         if kind == "timestamp":
-            df = df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+            df = df.withColumn(name, utc_wall_time(F.col(name)))
     return df
 
 
@@ -56,11 +57,6 @@ def scan_requests(spark, root):
     return requests.scan_requests(fx.params(spark, root).select("req_id", body.alias("body")))
 
 
-@query
-def scan_media_files(spark, root):
-    return media.scan_media_files(spark, root)
-
-
 def _responses(spark, root):
     """One transcription response per document, its words spoken at a steady pace."""
     body = F.expr(
@@ -123,7 +119,9 @@ def payload_guard(spark, root):
         "page_id",
         routing.analysis_reject_reason(source, F.col("content_type"), F.col("head"), F.col("bytes")).alias("analysis_reject"),
         routing.audio_reject_reason(source, F.col("bytes")).alias("audio_reject"),
-        routing.audio_track_state(F.col("bytes")).alias("audio_state"),
+        routing.speech_track_state(F.col("bytes")).alias("speech_track"),
+        routing.extracted_track_state(F.col("bytes")).alias("extracted_track"),
+        routing.timing_track_state(F.col("bytes")).alias("timing_track"),
     )
 
 
@@ -159,7 +157,7 @@ def usable_cues_coerced(spark, root):
 
 @query
 def valid_sources(spark, root):
-    return reels.valid_sources(fx.shots(spark, root))
+    return reels.valid_sources(fx.reel_requests(spark, root), fx.shots(spark, root))
 
 
 def _hashes(spark, root):
@@ -167,7 +165,7 @@ def _hashes(spark, root):
 
 
 def _compare_requests(spark, root):
-    """Each clip against its own edits and against the clips after it: twelve candidates, of which ten count."""
+    """Each clip against its own edits and against the nine clips after it."""
     clips = fx.gray_frames(spark, root).select("video_id").distinct()
     candidates = F.expr(
         "concat(array(video_id * 3, video_id * 3 + 1, video_id * 3 + 2), "
@@ -182,7 +180,8 @@ def _distances(spark, root):
 
 @query
 def match_verdict(spark, root):
-    return _distances(spark, root).select("base_id", "index", hashing.match_verdict(F.col("mean_distance")).alias("verdict"))
+    judged = _distances(spark, root).select("base_id", "index", hashing.match_verdict(F.col("mean_distance")).alias("verdict"))
+    return judged.withColumn("detail", hashing.verdict_detail(F.col("verdict")))
 
 
 # --- Frame-sampling plans ---
@@ -231,32 +230,42 @@ def plan_hash(spark, root):
 
 @query
 def plan_fixed_rate(spark, root):
-    """All frames of all clips, then one line per clip about them."""
+    """All frames of all clips, then figures per clip that every one of its frames goes into."""
     clips = fx.videos(spark, root).select("video_id", sampling.clip_seconds(F.col("probe_duration")).alias("seconds"))
+    number = F.expr("cast(substring(name, 7, length(name) - 10) as bigint)")
     return (
         sampling.fixed_rate(clips, F.col("seconds"))
         .groupBy("video_id")
-        .agg(F.count("*").alias("frames"), F.min("i").alias("first"), F.max("i").alias("last"), F.max("ts").alias("last_ts"))
-        .select(
-            "video_id",
-            "frames",
-            sampling.frame_file(F.col("first")).alias("first_name"),
-            sampling.frame_file(F.col("last")).alias("last_name"),
-            "last_ts",
+        .agg(
+            F.count("*").alias("frames"),
+            F.sum("i").alias("index_sum"),
+            F.round(F.sum("ts"), 3).alias("ts_sum"),
+            F.max("ts").alias("last_ts"),
+            F.sum(number).alias("name_sum"),
+            F.sum(F.length("name")).alias("name_length"),
+            F.min("name").alias("first_name"),
+            F.max("name").alias("last_name"),
         )
     )
 
 
 @query
 def plan_still_zoom(spark, root):
-    """All frames of all stills, then one line per shot about them."""
+    """All frames of all stills, then figures per shot that every one of its frames goes into."""
     stills = fx.shots(spark, root).filter("kind = 'still' and url is not null").select(
         "reel_id", "shot_idx", reels.shot_seconds(F.col("seconds")).alias("seconds")
     )
     return (
         sampling.still_zoom(stills, F.col("seconds"))
         .groupBy("reel_id", "shot_idx")
-        .agg(F.count("*").alias("frames"), F.round(F.max("zoom"), 6).alias("last_zoom"), F.round(F.avg("zoom"), 6).alias("mean_zoom"))
+        .agg(
+            F.count("*").alias("frames"),
+            F.sum("i").alias("index_sum"),
+            F.round(F.sum("zoom"), 6).alias("zoom_sum"),
+            F.round(F.sum(F.col("zoom") * F.col("i")), 4).alias("zoom_moment"),
+            F.round(F.min("zoom"), 6).alias("first_zoom"),
+            F.round(F.max("zoom"), 6).alias("last_zoom"),
+        )
     )
 
 
@@ -307,10 +316,7 @@ def caption_style(spark, root):
     asked = fx.videos(spark, root).select(
         "video_id",
         F.expr("coalesce(nullif(height, 0), 1920)").alias("height"),
-        F.expr(
-            "case video_id % 6 when 0 then 'small' when 1 then 'MEDIUM' when 2 then 'large' when 3 then 'XLarge' "
-            "when 4 then null else 'huge' end"
-        ).alias("size_name"),
+        "size_name",
         F.expr("case video_id % 4 when 0 then 'middle' when 1 then 'Bottom' when 2 then 'lower' else null end").alias("position"),
         F.expr(
             "case video_id % 5 when 0 then 'Strong' when 1 then 'clean' when 2 then 'TypeWriter' when 3 then null else 'comic' end"
@@ -470,7 +476,7 @@ def near_duplicates(spark, root):
 
 
 def _reel_lengths(spark, root):
-    return reels.reel_lengths(fx.shots(spark, root)).filter("status = 'ok'").select("reel_id", "seconds")
+    return reels.accepted_reels(fx.shots(spark, root))
 
 
 @query
@@ -480,7 +486,7 @@ def cue_frame_overlay(spark, root):
 
 @query
 def word_shot_alignment(spark, root):
-    return reels.word_shot_alignment(fx.words(spark, root), fx.shots(spark, root), F.lit(VOICE_DELAY))
+    return reels.word_shot_alignment(fx.words(spark, root), fx.shots(spark, root), fx.voices(spark, root))
 
 
 @query
@@ -552,7 +558,7 @@ def phash64_relational(spark, root):
 
 @query
 def phash_distance_stats(spark, root):
-    stats = _distances(spark, root).filter("frames_compared is not null").drop("base_frames", "other_frames")
+    stats = _distances(spark, root).drop("base_frames", "other_frames")
     return stats.withColumn("mean_distance", F.round("mean_distance", 6))
 
 
@@ -568,7 +574,7 @@ def detection_coverage(spark, root):
 
 @query
 def reel_summary(spark, root):
-    return reels.reel_summary(fx.shots(spark, root), fx.voices(spark, root))
+    return reels.reel_summary(fx.reel_requests(spark, root), fx.shots(spark, root), fx.voices(spark, root), fx.cues(spark, root))
 
 
 @query
@@ -586,11 +592,13 @@ def vision_request_bundle(spark, root):
     )
     clips = (
         fx.videos(spark, root)
-        .select("video_id", count.alias("n_frames"), F.inline(routes))
+        .select("video_id", "brief", sampling.clip_seconds(F.col("probe_duration")).alias("seconds"), count.alias("n_frames"), F.inline(routes))
         .select(
             "video_id",
             "route",
             "n_frames",
+            "seconds",
+            "brief",
             F.array_join(F.col("picks").cast("array<string>"), ",").alias("frame_list"),
             sampling.vision_note(F.col("n_frames"), F.size("picks")).alias("note"),
         )
@@ -612,16 +620,15 @@ def shot_timeline(spark, root):
 
 @query
 def stitch_order(spark, root):
-    return reels.stitch_order(fx.shots(spark, root))
+    return reels.stitch_order(fx.reel_requests(spark, root), fx.shots(spark, root))
 
 
 @query
 def cap_per_group(spark, root):
-    """The first 6 and the first 40 cues of each reel, as two of the caps in use."""
+    """The first cues of each reel under each of the caps that requests can ask for."""
     cues = fx.cues(spark, root).select("reel_id", "cue_idx", "text")
-    six = captions.first_per_group(cues, ["reel_id"], ["cue_idx"], reels.SOURCE_CAP).withColumn("cap", F.lit("sources"))
-    forty = captions.first_per_group(cues, ["reel_id"], ["cue_idx"], reels.SHOT_CAP).withColumn("cap", F.lit("shots"))
-    return six.unionByName(forty)
+    capped = [captions.first_per_group(cues, ["reel_id"], ["cue_idx"], n).withColumn("cap", F.lit(name)) for name, n in ROW_CAPS.items()]
+    return reduce(DataFrame.unionByName, capped)
 
 
 @query
@@ -651,7 +658,17 @@ def image_file_filter(spark, root):
 
 @query
 def compare_results_union(spark, root):
-    return hashes.compare_results(_distances(spark, root)).orderBy("base_id", "index")
+    """Two lists of requests, each clip against its own edits and against the clips after it, as one sorted list."""
+    clips = fx.gray_frames(spark, root).select(F.expr("video_id * 3").alias("base_id")).distinct()
+    lists = {
+        "edits": F.expr("array(base_id + 1, base_id + 2)"),
+        "neighbours": F.expr("transform(sequence(1, 3), k -> base_id + 3 * k)"),
+    }
+    compared = [
+        hashes.phash_compare(clips.withColumn("candidates", candidates), _hashes(spark, root)).withColumn("list", F.lit(name))
+        for name, candidates in lists.items()
+    ]
+    return reduce(DataFrame.unionByName, compared).orderBy("base_id", "list", "index")
 
 
 # --- Registries (batch forms of the streams) ---

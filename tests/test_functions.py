@@ -47,10 +47,18 @@ def test_fetch_error_reason(spark, error, description, want):
 
 
 @pytest.mark.parametrize(
-    "size,direct,indirect,audio",
-    [(999, None, "too_small", "silent"), (1000, None, None, "silent"), (1001, None, None, "no_audio"), (2000, None, None, "usable")],
+    "size,direct,indirect,tracks",
+    [
+        (999, None, "too_small", ("silent", "no_audio", "usable")),
+        (1000, None, None, ("silent", "no_audio", "usable")),
+        (1001, None, None, ("usable", "no_audio", "usable")),
+        (2000, None, None, ("usable", "usable", "usable")),
+        (60 * 2**20 + 1, None, None, ("usable", "usable", "too_large")),
+        (200 * 2**20 + 1, "too_large", None, ("usable", "usable", "too_large")),
+        (900 * 2**20, "too_large", None, ("usable", "usable", "too_large")),
+    ],
 )
-def test_payload_limits(spark, size, direct, indirect, audio):
+def test_payload_limits(spark, size, direct, indirect, tracks):
     row = ("direct", "tiktok", "video/mp4", "ftyp", size)
     got = one(
         spark,
@@ -58,9 +66,28 @@ def test_payload_limits(spark, size, direct, indirect, audio):
         row,
         routing.analysis_reject_reason(F.col("a"), F.col("t"), F.col("h"), F.col("s")),
         routing.analysis_reject_reason(F.col("b"), F.col("t"), F.col("h"), F.col("s")),
-        routing.audio_track_state(F.col("s")),
+        routing.speech_track_state(F.col("s")),
+        routing.extracted_track_state(F.col("s")),
+        routing.timing_track_state(F.col("s")),
+    )
+    assert got == (direct, indirect, *tracks)
+
+
+@pytest.mark.parametrize(
+    "size,reasons",
+    [(200, ("too_large", None, None)), (250, ("too_large", None, None)), (300, ("too_large", None, "too_large")), (0, ("too_small",) * 3)],
+)
+def test_audio_limits_by_platform(spark, size, reasons):
+    row = ("instagram", "tiktok", "direct", size * 2**20 + 1)
+    sources = [routing.audio_reject_reason(F.col(c), F.col("s")) for c in "abc"]
+    assert one(spark, "a string, b string, c string, s bigint", row, *sources) == reasons
+
+
+def test_texts_are_cut_by_utf16_units(spark):
+    got = one(
+        spark, "x string, y string", ("ab🙂cd", "é" * 9), *[text.truncated(F.col("x"), n) for n in (2, 3, 4, 5, 9)], text.truncated(F.col("y"), 3)
     )
-    assert got == (direct, indirect, audio)
+    assert got == ("ab", "ab", "ab🙂", "ab🙂c", "ab🙂cd", "ééé")
 
 
 @pytest.mark.parametrize(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from clipquarry.functions import phash
 from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, speech
 from clipquarry.plans import sampling
-from clipquarry.skew import heavy_keys, salted_join, with_position
+from clipquarry import skew
+from clipquarry.skew import heavy_keys, salted_join, with_position, with_running_total
 
 
 def rows(df, *order):
@@ -34,29 +35,61 @@ def test_position_of_a_hot_key(hot):
 
 
 def test_heavy_keys(hot):
-    assert rows(heavy_keys(hot, ["k"], limit=1, min_rows=10)) == [(7,)]
+    assert rows(heavy_keys(hot, ["k"], min_rows=10)) == [(7, 2001)]
     assert heavy_keys(hot, ["k"]).count() == 0
-    assert heavy_keys(hot, ["k"], limit=5, min_rows=1).count() == 5
+    assert heavy_keys(hot, ["k"], min_rows=1).count() == 2000
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_keeps_every_row(spark, hot, how):
+@pytest.mark.parametrize("broadcast_keys", [0, 10_000])
+def test_salted_join_keeps_every_row(spark, hot, how, broadcast_keys, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", broadcast_keys)
     many = hot.unionByName(spark.createDataFrame([(None, -1), (None, -2)], "k bigint, v bigint"))
     side = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    salted = salted_join(many, side, ["k"], ["v"], how, salts=8, min_rows=50)
-    assert rows(salted.select("k", "v", "w"), "v") == rows(many.join(side, "k", how).select("k", "v", "w"), "v")
+    for min_rows in (1, 50, 100_000):
+        salted = salted_join(many, side, ["k"], ["v"], how, min_rows=min_rows)
+        assert rows(salted.select("k", "v", "w"), "v") == rows(many.join(side, "k", how).select("k", "v", "w"), "v")
 
 
-def test_hot_key_is_spread(hot, spark):
-    side = spark.range(0, 3000).select(F.col("id").alias("k"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def _tasks_of(spark, df, key):
+    """Tasks that the rows of a key lie in after the join, without adaptive coalescing and broadcasts."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    kept = {k: spark.conf.get(k) for k in settings}
     try:
-        salted = salted_join(hot, side, ["k"], ["v"], salts=8, min_rows=50).filter("k = 7")
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-        assert salted.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return df().filter(F.col("k") == key).select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_every_hot_key_is_spread_by_its_size(spark):
+    """A key of a third of all rows, and one of rank 10,001 among the hot ones."""
+    ranks = spark.range(10_001).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
+    more = spark.range(10_000).select(F.col("id").alias("k"), F.lit(7).alias("n"))
+    third = spark.range(30_000).select(F.lit(-1).cast("bigint").alias("k"), (F.col("id") + 100).cast("int").alias("n"))
+    many = ranks.unionByName(more).unionByName(third)
+    side = many.select("k").distinct()
+    spread = lambda: salted_join(many, side, ["k"], ["n"], min_rows=3)
+    assert _tasks_of(spark, spread, 10_000) > 1 and _tasks_of(spark, spread, -1) == 32
+
+
+def test_running_total_of_a_hot_key(hot):
+    for min_rows in (1, 50, 10_000):
+        total = with_running_total(hot, ["k"], ["v"], [F.expr("v div 640")], F.col("v"), "sum", min_rows)
+        got = rows(total.filter("k = 7").select("v", "sum"), "v")
+        assert [s for _, s in got] == np.cumsum([v for v, _ in got]).tolist() and total.count() == 4000
+
+
+def test_without_hot_keys_the_plan_is_plain(spark, data):
+    """One window or join, one scan of each table, and no more than that."""
+    from clipquarry.queries import QUERIES
+
+    plan = QUERIES["word_normalize"](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Window") == 1 and "Join" not in plan
+    plan = QUERIES["vision_request_bundle"](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") <= 4
 
 
 # --- Speech ---
@@ -71,36 +104,47 @@ def segments(spark, *items):
 
 def test_confidence_limits_are_strict(spark):
     df = segments(spark, (" a ", None, None, None), ("b", 0.6, 0.0, 1.0), ("c", 0.59, -1.0, 1.0), ("d", 0.0, -0.9, 2.4), (" ", 0.0, 0.0, 1.0))
-    assert rows(speech.transcript_assemble(df)) == [(1, 0, "a", 2, 3, True)]
+    assert rows(speech.transcript_assemble(df)) == [(1, "a", 2, 3, True)]
 
 
-def test_long_transcript_continues_in_parts(spark):
-    df = segments(spark, *[(f"w{i}", 0.0, 0.0, 1.0) for i in range(10)])
-    parts = rows(speech.transcript_assemble(df, part_segments=4).select("part", "text", "kept"))
-    assert parts == [(0, "w0 w1 w2 w3", 4), (1, "w4 w5 w6 w7", 4), (2, "w8 w9", 2)]
+@pytest.mark.parametrize("part_segments", [4, 4096])
+def test_long_transcript_is_one_row(spark, part_segments):
+    said = [(f"w{i}", 0.9 if i < 4096 else 0.0, 0.0, 1.0) for i in range(5000)]
+    got = rows(speech.transcript_assemble(segments(spark, *said), part_segments))
+    assert got == [(1, " ".join(f"w{i}" for i in range(4096, 5000)), 904, 4096, True)]
 
 
 def test_silent_transcript(spark):
     df = segments(spark, ("x", 0.9, 0.0, 1.0))
-    assert rows(speech.transcript_assemble(df)) == [(1, 0, "", 0, 1, False)]
+    assert rows(speech.transcript_assemble(df)) == [(1, "", 0, 1, False)]
     assert rows(speech.transcript_presence(df)) == [(1, 0, 1, False)]
 
 
-def test_request_bundle_covers_every_clip_and_part(spark):
+def test_request_bundle_has_one_request_of_each_kind(spark):
     lists = spark.createDataFrame(
-        [(1, "gateway", 80, "0,4", " note"), (2, "direct", 5, "0,1", "")],
-        "video_id bigint, route string, n_frames bigint, frame_list string, note string",
+        [(1, "gateway", 80, 12.0, " a beach ", "0,4", " note"), (2, "direct", 5, 1.26, "  ", "0,1", ""), (3, "direct", 5, 1.0, None, "0", "")],
+        "video_id bigint, route string, n_frames bigint, seconds double, brief string, frame_list string, note string",
     )
     transcripts = speech.transcript_assemble(segments(spark, *[(f"w{i}", 0.0, 0.0, 1.0) for i in range(3)]), part_segments=2)
-    got = rows(speech.request_bundle(lists, transcripts, "Go.").select("video_id", "part", "request_text"))
+    got = rows(speech.request_bundle(lists, transcripts, "Go.").select("video_id", "kind", "request_text"))
     start = "These %d frames were extracted from the video"
+    own = "These %d frames were extracted from my own source video. Its exact duration is %s seconds — use this figure, do not estimate.\n\n"
+    wish = "The background change I want: %s"
     assert got == [
-        (1, 0, start % 80 + '. Transcript: "w0 w1"\n\nGo. note'),
-        (1, 1, start % 80 + '. Transcript: "w2"\n\nGo. note'),
-        (2, 0, start % 5 + " (no audio). Go."),
+        (1, "background", own % (80, "12") + wish % "a beach" + " note"),
+        (1, "describe", start % 80 + '. Transcript: "w0 w1 w2"\n\nGo. note'),
+        (2, "background", own % (5, "1.3") + wish % speech.NO_BRIEF),
+        (2, "describe", start % 5 + " (no audio). Go."),
+        (3, "background", own % (5, "1") + wish % speech.NO_BRIEF),
+        (3, "describe", start % 5 + " (no audio). Go."),
     ]
 
 
+def test_clips_without_words_are_silent(spark):
+    clips = spark.createDataFrame([(1, 9.0), (2, 4.0), (3, None)], "video_id bigint, probe_duration double")
+    assert rows(speech.speech_coverage(words(spark, ("a", 0.0, 1.5)), clips)) == [(1, 9.0, 1.5, 7.5), (2, 4.0, 0.0, 4.0), (3, 0.0, 0.0, 0.0)]
+
+
 # --- Captions ---
 
 
@@ -143,6 +187,26 @@ def test_overlay_is_closed_on_both_ends(spark):
     assert [(f, c) for _, f, c in got] == [(f, 0) for f in range(25)] + [(24, 1), (25, 1)]
 
 
+def test_all_cues_count_unless_capped(spark):
+    cues = spark.createDataFrame(
+        [(1, i, f"c{i}", "0", "0.01") for i in range(300)], "reel_id bigint, cue_idx bigint, text string, start_raw string, end_raw string"
+    )
+    reel = spark.createDataFrame([(1, 2.0)], "reel_id bigint, seconds double")
+    assert captions.cue_frame_overlay(cues, reel).count() == 300 and captions.cue_frame_overlay(cues, reel, cap=200).count() == 200
+
+
+def test_caption_outcome_and_size(spark):
+    cues = spark.createDataFrame(
+        [(1, 0, "a", "0", "1"), (1, 1, " ", "0", "1"), (2, 0, "b", "x", "1")],
+        "reel_id bigint, cue_idx bigint, text string, start_raw string, end_raw string",
+    )
+    assert rows(captions.caption_outcome(cues)) == [(1, True, None), (2, False, "no usable cues")]
+    sized = lambda size: captions.cue_font_size(
+        cues, spark.createDataFrame([(1, 1080, 1920, size)], "video_id bigint, width int, height int, size_name string")
+    )
+    assert [rows(sized(s))[0][2] for s in ("small", "XLARGE", None)] == [27, 54, 34]
+
+
 def test_overlay_plan_has_no_range_join(spark, data):
     from clipquarry.queries import QUERIES
 
@@ -162,11 +226,14 @@ def test_frames_are_hashed_once(spark, data):
         assert plan.count("EvalPython") == 1, name
 
 
-def test_cap_is_applied_before_the_shuffle(spark, data):
+def test_cap_shuffles_nothing_again(spark, data):
+    """The rank limit runs where the rows were numbered; on another table it runs before the shuffle too."""
     from clipquarry.queries import QUERIES
 
     plan = QUERIES["cap_per_group"](spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert plan.count("WindowGroupLimit") == plan.count("Exchange hashpartitioning") == 4
+    capped = captions.first_per_group(spark.range(9).selectExpr("id % 2 as k", "id"), ["k"], ["id"], 2)
+    assert capped._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
 
 
 # --- Reels ---
@@ -184,48 +251,96 @@ def test_failed_shot_moves_later_ones_earlier(spark):
     got = rows(reels.shot_timeline(df).select("shot_idx", "seconds", "start_at", "start_s", "end_s"))
     assert got == [(0, 2.0, 0.0, 0.0, 2.0), (3, 1.0, 5.0, 2.0, 3.0), (4, 10.0, 0.0, 3.0, 13.0)]
     assert rows(reels.failed_shots(df)) == [(1, 1, "u")]
-    voices = spark.createDataFrame([(1, "")], "reel_id bigint, audio_url string")
-    assert rows(reels.reel_summary(df, voices)) == [(1, 4, 3, 13.0, "ok", False)]
+    assert rows(reels.reel_summary(*reel_inputs(spark, df, [(1, "", None)]))) == [(1, 4, 3, 13.0, "ok", False, False, None)]
+
+
+def reel_inputs(spark, df, voices, ids=(1,), cues=()):
+    return (
+        spark.createDataFrame([(i,) for i in ids], "reel_id bigint"),
+        df,
+        spark.createDataFrame(voices, "reel_id bigint, audio_url string, delay_raw double"),
+        spark.createDataFrame(list(cues), "reel_id bigint, cue_idx bigint, text string, start_raw string, end_raw string"),
+    )
 
 
-def test_one_prepared_shot_is_refused(spark):
+def test_refused_reels_are_rows_and_are_not_processed(spark):
     df = shots(spark, ("u", "still", 1.0, None, True), ("u", "still", 1.0, None, False))
-    voices = spark.createDataFrame([(1, "s3://a")], "reel_id bigint, audio_url string")
-    assert rows(reels.reel_summary(df, voices)) == [(1, 2, 1, 1.0, "too_few_prepared", True)]
+    inputs = reel_inputs(spark, df, [(1, "a", None)], ids=(1, 2), cues=[(1, 0, "x", "0", "1")])
+    assert rows(reels.reel_summary(*inputs)) == [(1, 2, 1, 1.0, "too_few_prepared", True, False, None), (2, 0, 0, 0.0, "too_few_requested", False, False, None)]
+    assert reels.shot_timeline(df).count() == 0
+    heard = rows(reels.word_shot_alignment(words(spark, ("a", 0.0, 0.1)), df, inputs[2]).select("word", "heard"))
+    assert heard == [("a", False)]
+    sources = rows(reels.valid_sources(inputs[0], df))
+    assert sources == [(1, 0, "u", 2, True), (1, 1, "u", 2, True), (2, None, None, 0, False)]
+
 
+def test_captions_of_accepted_reels(spark):
+    df = shots(spark, ("u", "still", 1.0, None, True), ("u", "still", 1.0, None, True))
+    burned = rows(reels.reel_summary(*reel_inputs(spark, df, [], cues=[(1, 0, "x", "0", "1")])))
+    failed = rows(reels.reel_summary(*reel_inputs(spark, df, [], cues=[(1, 0, " ", "0", "1")])))
+    assert burned[0][6:] == (True, None) and failed[0][6:] == (False, "no usable cues")
 
-def test_caps_come_after_the_filter(spark):
-    df = shots(spark, *[(None if i % 2 else f"u{i}", "still", 1.0, None, True) for i in range(100)])
-    assert reels.shot_timeline(df).count() == 40
-    sources = rows(reels.stitch_order(df))
+
+def test_caps_are_off_unless_asked_for_and_come_after_the_filter(spark):
+    df = shots(spark, *[(None if i % 2 else f"u{i}", "still", 1.0, None, True) for i in range(120)])
+    asked = spark.createDataFrame([(1,)], "reel_id bigint")
+    assert reels.shot_timeline(df).count() == 60 and reels.shot_timeline(df, cap=40).count() == 40
+    assert reels.stitch_order(asked, df).count() == 60
+    sources = rows(reels.stitch_order(asked, df, cap=6))
     assert [(o, u, n) for _, o, u, n in sources] == [(i + 1, f"u{2 * i}", 6) for i in range(6)]
 
 
 def test_words_past_the_picture_are_cut(spark):
     df = shots(spark, ("u", "still", 1.0, None, True), ("u", "still", 1.0, None, True))
     spoken = words(spark, ("a", 0.0, 0.1), ("b", 0.5, 0.6), ("c", 1.4, 1.5), ("d", 1.5, 2.0))
-    got = rows(reels.word_shot_alignment(spoken, df, F.lit(0.5)).select("word", "shot_idx", "heard"))
+    voices = spark.createDataFrame([(1, "a", 0.5)], "reel_id bigint, audio_url string, delay_raw double")
+    got = rows(reels.word_shot_alignment(spoken, df, voices).select("word", "shot_idx", "heard"))
     assert got == [("a", 0, True), ("b", 1, True), ("c", 1, True), ("d", None, False)]
 
 
+def test_long_reels_are_aligned_across_tens_of_seconds(spark):
+    df = shots(spark, *[("u", "video", 7.0, None, True) for _ in range(60)])
+    spoken = words(spark, *[(f"w{i}", i * 3.5, i * 3.5 + 1) for i in range(130)])
+    voices = spark.createDataFrame([], "reel_id bigint, audio_url string, delay_raw double")
+    got = rows(reels.word_shot_alignment(spoken, df, voices).select("word_idx", "shot_idx"))
+    assert got == [(i, i // 2 if i < 120 else None) for i in range(130)]
+
+
 # --- Detections ---
 
 
 def test_largest_box_and_ties(spark):
-    frames = spark.createDataFrame([(1, 1), (2, 1)], "frame_id bigint, job_id bigint")
+    frames = spark.createDataFrame([(1, 1, True), (2, 1, True), (3, 1, False)], "frame_id bigint, job_id bigint, readable boolean")
     boxes = spark.createDataFrame(
-        [(1, 0, 0.0, 0.0, 1.0, 1.0), (1, 1, 0.0, 0.0, 2.0, 2.0), (1, 2, 0.0, 0.0, 4.0, 1.0)],
+        [(1, 0, 0.0, 0.0, 1.0, 1.0), (1, 2, 0.0, 0.0, 4.0, 1.0), (1, 1, 0.0, 0.0, 2.0, 2.0), (3, 0, 0.0, 0.0, 2.0, 2.0)],
         "frame_id bigint, det_idx bigint, x1 double, y1 double, x2 double, y2 double",
     )
-    assert [r[:3] for r in rows(detections.largest_detection(frames, boxes), "frame_id")] == [(1, 3, 1), (2, 0, None)]
-    assert rows(detections.detection_coverage(frames, boxes)) == [(1, 2, 1, 0.5)]
+    got = rows(detections.largest_detection(frames, boxes), "frame_id")
+    assert got == [(1, 3, 1, 0.0, 0.0, 2.0, 2.0), (2, 0, None, None, None, None, None), (3, 0, None, None, None, None, None)]
+    assert rows(detections.detection_coverage(frames, boxes)) == [(1, 3, 1, 0.333333)]
 
 
-@pytest.mark.parametrize("total", [1, 19, 20, 21, 40, 20 * 1024, 20 * 1024 + 1, 50_000])
+@pytest.mark.parametrize("total", [1, 19, 20, 21, 40, 5000])
 def test_progress_marks(spark, total):
-    frames = spark.range(total).select(F.col("id").alias("frame_id"), F.lit(1).alias("job_id"))
+    frames = spark.range(total).select(F.col("id").alias("frame_id"), F.lit(1).alias("job_id"), (F.col("id") != 39).alias("readable"))
     got = [r.done for r in detections.progress_marks(frames).orderBy("done").collect()]
-    assert got == [i for i in range(1, total + 1) if i % 20 == 0 or i == total]
+    assert got == [i for i in range(1, total + 1) if (i % 20 == 0 or i == total) and i != 40]
+
+
+def test_numbers_are_folded_by_hashing(spark, data):
+    from clipquarry.queries import QUERIES
+
+    for name in ("largest_detection", "job_latest_state", "known_jobs", "artifact_dedup"):
+        assert "SortAggregate" not in QUERIES[name](spark, data)._jdf.queryExecution().sparkPlan().toString(), name
+
+
+def test_entry_order_is_that_of_its_parts(spark):
+    entries = [("2024-01-01 00:00:00.000001", 5, "done"), ("2024-01-01 00:00:00.000001", 4, "error"), ("1969-12-31 23:59:59", 2**62, "odd")]
+    df = spark.createDataFrame(entries, "t string, event_id bigint, step string").withColumn("created_at", F.col("t").cast("timestamp"))
+    df = df.withColumn("order", jobs.entry_order(F.col("created_at"), F.col("event_id"), F.col("step")))
+    back = df.orderBy("order").select(*[c.alias(n) for n, c in jobs.ordered_entry(F.col("order")).items()], "t")
+    got = [(r.event_id, r.step, str(r.created_at) == r.t) for r in back.collect()]
+    assert got == [(2**62, None, True), (4, "error", True), (5, "done", True)]
 
 
 # --- Hashes ---
@@ -296,12 +411,23 @@ def test_compare_pairs_up_to_the_shorter_clip(spark):
     requests = spark.createDataFrame([(1, [1, 2, 3, 9]), (9, [1])], "base_id bigint, candidates array<bigint>")
     got = rows(hashes.phash_compare(requests, df), "base_id", "index")
     assert [r[3:7] for r in got[:4]] == [(3, 3, 0.0, 0), (3, 2, 33.5, 64), (3, 3, 0.0, 0), (3, None, None, None)]
-    assert [r[8] for r in got] == [None, None, None, "No frames hashed", "No frames hashed"] and got[4][3] == 0
+    assert [r[9] for r in got] == [None, None, None, "No frames hashed", "No frames hashed"] and got[4][3] == 0
+    assert got[0][8] == phash.DETAILS["would still match"] and got[3][8] is None
 
 
-def test_only_ten_candidates_count(spark):
+def test_all_candidates_count_unless_capped(spark):
     requests = spark.createDataFrame([(1, list(range(100, 115)))], "base_id bigint, candidates array<bigint>")
-    assert rows(hashes.candidate_pairs(requests)) == [(1, i + 1, 100 + i) for i in range(10)]
+    assert rows(hashes.candidate_pairs(requests)) == [(1, i + 1, 100 + i) for i in range(15)]
+    assert rows(hashes.candidate_pairs(requests, cap=10)) == [(1, i + 1, 100 + i) for i in range(10)]
+
+
+def test_long_clips_are_compared_to_the_end(spark):
+    """Equal in twelve frames and opposite in eight: no copies."""
+    df = _clips(spark, {1: [0] * 20, 2: [0] * 12 + [-1] * 8})
+    requests = spark.createDataFrame([(1, [2])], "base_id bigint, candidates array<bigint>")
+    got = rows(hashes.phash_compare(requests, df))[0]
+    assert got[4:8] == (20, 25.6, 64, "likely distinct")
+    assert [r[1:4] for r in rows(hashes.near_duplicates(df))] == [(1, 0, 0), (1, 0, 0)]
 
 
 def _brute_force(clips, threshold):
@@ -322,9 +448,9 @@ def _brute_force(clips, threshold):
 
 
 @pytest.mark.parametrize("threshold", [0, 3, 4, 10, 13, 17])
-@pytest.mark.parametrize("heavy_rows", [5, 10_000])
-def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows):
-    """Random clips, edited copies at all distances, exact copies, short clips and a frame all share."""
+@pytest.mark.parametrize("heavy_rows,band_bits", [(5, 16), (10_000, 16), (5, 24), (10_000, 13)])
+def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows, band_bits):
+    """Random clips of up to fifteen frames, edited copies at all distances, exact copies and a frame all share."""
     rng = np.random.default_rng(threshold)
 
     def flipped(h, n):
@@ -334,13 +460,13 @@ def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows):
 
     clips = {}
     for i in range(12):
-        frames = [0 if f == 0 else int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2)) for f in range(int(rng.integers(1, 7)))]
+        frames = [0 if f == 0 else int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2)) for f in range(int(rng.integers(1, 16)))]
         clips[len(clips)] = frames
         clips[len(clips)] = list(frames)
         for _ in range(4):
             clips[len(clips)] = [flipped(h, int(rng.integers(0, 2 * threshold + 2))) for h in frames]
     signed = {c: [h - 2**64 if h >= 2**63 else h for h in hs] for c, hs in clips.items()}
-    got = hashes.near_duplicates(_clips(spark, signed), threshold, heavy_rows=heavy_rows, salts=4)
+    got = hashes.near_duplicates(_clips(spark, signed), threshold, band_bits, heavy_rows)
     assert rows(got, "clip_id") == _brute_force(signed, threshold)
 
 

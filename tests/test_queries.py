@@ -4,17 +4,17 @@ import pytest
 from compare import difference
 
 import __spark_entry__ as entry_module
+from clipquarry import oracles
+from clipquarry.queries import QUERIES
+from clipquarry.sources import media
 
-SQL = entry_module.oracle_sql()
-QUERIES = entry_module.queries()
-
-# Nothing to compare with: the files of a folder are not in any table.
-WITHOUT_SQL = {"scan_media_files"}
+SQL = oracles.oracle_sql()
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -28,5 +28,5 @@ def test_entry_gives_verdicts(spark):
 
 
 def test_media_files(spark, data):
-    files = {r.name: r.length for r in QUERIES["scan_media_files"](spark, data).collect()}
+    files = {r.name: r.length for r in media.scan_media_files(spark, data).collect()}
     assert files["events.parquet"] > 0 and len(files) == 14

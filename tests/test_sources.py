@@ -73,9 +73,32 @@ def batch_jobs(spark, data):
 
 def test_latest_state_stream(spark, data):
     folder = tempfile.mkdtemp(prefix="run-")
-    run.run_available(registry.latest_job_state(job_stream(spark, data)), "latest_state", folder, "update", 240)
+    stream = registry.latest_job_state(job_stream(spark, data))
+    run.run_available(stream, "latest_state", folder, "update", 240, key="job_id", newest_by="updated_at")
     want = jobs.latest_state(batch_jobs(spark, data)).select("job_id", "step", "updated_at", "status")
-    assert rows(run.latest_rows(spark, folder, "job_id")) == rows(want)
+    assert rows(run.latest_rows(spark, folder).select(want.columns)) == rows(want)
+    assert {r.turn for r in spark.read.parquet(folder).select("turn").distinct().collect()} == {0, 1}
+
+
+def test_sliding_window_stream(spark, data):
+    got = drain(spark, registry.activity_windows(job_stream(spark, data), "1 hour", "15 minutes"), "sliding")
+    batch = jobs.activity_windows(batch_jobs(spark, data), "1 hour", "15 minutes")
+    now = jobs.registry_clock(batch_jobs(spark, data)).first().now
+    assert rows(got) == rows(batch.filter(F.col("window_end") <= F.lit(now)))
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, data):
+    from clipquarry.queries import QUERIES
+
+    names = ("iso_utc_timestamp", "job_latest_state", "job_activity_session", "artifact_expiry")
+    want = {n: rows(QUERIES[n](spark, data)) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {n: rows(QUERIES[n](spark, data)) for n in names}
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want
 
 
 def test_window_stream(spark, data):
