@@ -30,6 +30,7 @@ HELD_OUT = 2
 # Texts below this are like no profile: a third or less of a usual score, whatever the script.
 LEAST_SCORE = 0.2
 
+PIECE = 1 << 19  # text bytes whose n-grams are sorted together
 EDGE = 1
 LETTER_BITS = 18  # three letters fill 54 bits, which leaves 10 for the row
 ROWS_AT_ONCE = 1 << (64 - 3 * LETTER_BITS)
@@ -82,7 +83,7 @@ def gram_counts(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, limit=1 << 22):
+    for piece in pieces(batches, limit=PIECE):
         for at in range(0, piece.num_rows, ROWS_AT_ONCE):
             part = piece.slice(at, ROWS_AT_ONCE)
             coded = part.column("lang").dictionary_encode()
@@ -167,7 +168,7 @@ def language_of(text: Column, known: Profiles) -> Column:
     def predicted(texts: pd.Series) -> pd.DataFrame:
         column = pa.array(texts, pa.string(), from_pandas=True)
         names, scores = [], []
-        for piece in pieces([pa.RecordBatch.from_arrays([column], names=["text"])]):
+        for piece in pieces([pa.RecordBatch.from_arrays([column], names=["text"])], limit=PIECE):
             lang, score = known.best(pc.fill_null(piece.column(0), "").to_pylist())
             names += [known.langs[k] if k >= 0 else UNKNOWN for k in lang]
             scores.append(score)

@@ -34,7 +34,7 @@ END_ID = 1
 LINEAR = 1.0
 QUADRATIC = 1 / LENGTH
 BLOCK = 256  # sequences that are balanced together
-CACHED = 1_200_000  # words whose ids a worker remembers at most
+CACHED = 500_000  # words whose ids a worker remembers at most
 TOGETHER = 64  # words in one call of the model
 
 # Texts of these characters are split here: their classes and cases are the same in any Unicode version, and all of
