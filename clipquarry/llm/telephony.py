@@ -200,7 +200,7 @@ READ = (
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "media", 2 * WINDOW):
+    for piece in pieces(batches, "media", WINDOW):
         files = piece.column("media").to_pylist()
         read = [parsed(f) for f in files]
         small = [i for i, (codec, _, payload) in enumerate(read) if codec == ADPCM and len(payload) <= WINDOW]
