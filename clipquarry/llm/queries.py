@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, secrets, simhash, telephony, urls
+from clipquarry.llm.shared import prepared
 from clipquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,8 +29,12 @@ URL_RULES = [
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark, root):
+        return fn(prepared(spark), root)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query

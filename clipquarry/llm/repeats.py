@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipquarry.llm.shared import TAGS, boxed, keyed, landed, pieces, text_bytes, whole_groups
+from clipquarry.llm.shared import TAGS, boxed, gathered, keyed, landed, pieces, text_bytes, whole_groups
 from clipquarry.llm.words import AS_IS, mixed, word_hashes
 
 LENGTH = 100
@@ -46,6 +46,9 @@ SECTION = 1 << (PLACE_BITS - 1)
 PLACE_MASK = np.uint64((1 << PLACE_BITS) - 1)
 SIZE_BITS = 9  # of a stretch, in a packed place
 
+# Text bytes within which equal stretches are settled before the shuffle.
+SETTLED_BYTES = 32 << 20
+
 # Bytes of stretches whose suffixes are sorted together; one anchor may have more, CROWD stretches at most.
 SORTED_BYTES = 1 << 20
 
@@ -110,9 +113,8 @@ MET = "route bigint, whole bigint, did bigint, tag int, place bigint, repeat boo
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first of equal stretches in each batch, routed by anchor, and spans of the others as packed places."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    """The first of equal stretches in each part of a task, routed by anchor, and spans of the others as packed places."""
+    for table in gathered(batches, SETTLED_BYTES):
         order = np.lexsort((table.column("tag").to_numpy(), table.column("did").to_numpy()))
         table = table.take(pa.array(order)).combine_chunks()
         did, tag = table.column("did").to_numpy(), table.column("tag").to_numpy()

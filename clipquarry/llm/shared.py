@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +20,46 @@ from pyspark.sql import functions as F
 # Text bytes that one vectorised step handles at most, unless a single text is longer.
 PIECE_BYTES = 1 << 20
 
+# Bytes in a batch between Spark and Python; texts may be long, and a worker holds a batch in several forms.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+ROOT = Path(__file__).resolve().parents[2]
+
 LAST_ID = 2**63 - 1
 TAGS = 2**30
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with batches of bounded size, and with this package where workers find it.
+
+    Only queries and pipeline stages call this; operators leave the session as it is.
+    """
+    size = spark.conf.get(BATCH_SETTING, None)
+    if size is None or not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    found = [Path.cwd(), *[Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]]
+    if ROOT not in [p.resolve() for p in found] and id(spark.sparkContext) not in SHIPPED:
+        copy = shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/package", "zip", ROOT, "clipquarry")
+        spark.sparkContext.addPyFile(copy)
+        SHIPPED.add(id(spark.sparkContext))
+    return spark
+
+
+SHIPPED: set[int] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`, which driver and executors share. A local session without that
     setting gets a folder of its own; a cluster has to name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="landed-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="landed-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +101,27 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def gathered(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Join batches to tables of about `limit` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def give_back() -> None:
+    """Return memory that was freed to the system, as far as it lets us."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array, and where each row starts and the last one ends. Null is empty."""
     column = pc.fill_null(column, "")
