@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from clipquarry.llm.shared import pieces
+from clipquarry.llm.shared import give_back, pieces
 
 LENGTH = 2048
 END_ID = 1
 LINEAR = 1.0
 QUADRATIC = 1 / LENGTH
 BLOCK = 256  # sequences that are balanced together
-CACHED = 500_000  # words whose ids a worker remembers at most
+CACHED = 500_000  # words whose ids a task remembers at most
 TOGETHER = 64  # words in one call of the model
 
 # Texts of these characters are split here: their classes and cases are the same in any Unicode version, and all of
@@ -47,7 +47,7 @@ PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[!-/:-@\[-`
 class WordIds:
     """Ids of texts under a tokenizer file that lower-cases, drops white space and marks the ends of words.
 
-    Plain texts are split here by the tokenizer's rule, and its model encodes each distinct word once; a worker keeps
+    Plain texts are split here by the tokenizer's rule, and its model encodes each distinct word once; a task keeps
     the ids of words up to a bound. All other texts go through the tokenizer as they are.
     """
 
@@ -206,6 +206,9 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
             done, work = filled(work, 1, size)
             yield rows(done)
             total -= size
+        # Idle workers stay for later stages, so a task leaves no memory behind.
+        loaded(path).known = {}
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return texts.mapInArrow(made, OUT)
