@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipquarry.llm.shared import landed
+from clipquarry.skew import salted_join
 
 
 class Rule(NamedTuple):
@@ -130,11 +131,13 @@ def by_blob(ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(doc_id, blob, spans) for every row of docs, from the ledger; spans may be empty."""
-    paths = docs.select(F.col("doc_id").cast("bigint"), blob_of(F.col("text").cast("string")).alias("blob"))
+    """(doc_id, blob, spans) for every row of docs, from the ledger; spans may be empty. A content with very many paths
+    is spread over tasks."""
+    paths = landed(docs.select(F.col("doc_id").cast("bigint"), blob_of(F.col("text").cast("string")).alias("blob")), "paths")
     found = by_blob(ledger, rules)
     kind = found.schema["spans"].dataType.simpleString()
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    joined = salted_join(paths, found, ["blob"], ["doc_id"], "left")
+    return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
@@ -168,7 +171,8 @@ def redacted(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> D
         pairs = zip(texts, spans)
         return pd.Series([t if s is None else cut_out(t, [(x["start"], x["stop"]) for x in s]) for t, s in pairs], dtype=object)
 
-    rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text").cast("string")).alias("blob"))
-    rows = rows.join(by_blob(ledger, rules), "blob", "left")
+    blob = blob_of(F.col("text").cast("string")).alias("blob")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("path"), blob)
+    rows = salted_join(rows, by_blob(ledger, rules), ["blob"], ["path"], "left", counted=landed(docs.select(blob), "blobs"))
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(made("row.text", "spans"))
     return rows.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -27,6 +27,7 @@ from xxhash import xxh64_intdigest
 
 from clipquarry.llm.components import components
 from clipquarry.llm.shared import TAGS, boxed, keyed, landed, whole_groups
+from clipquarry.skew import salted_join
 
 BITS = 64
 RADIUS = 2
@@ -221,7 +222,7 @@ def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     first = prints.groupBy("fp").agg(F.min(own_id).alias("first"))
     smallest = groups.join(first, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(own_id.alias("doc_id"), "fp", "component_id")
+    return salted_join(prints, named, ["fp"], ["did", "tag"]).select(own_id.alias("doc_id"), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from clipquarry.llm.components import components
 from clipquarry.llm.shared import landed
+from clipquarry.skew import salted_join
 
 ALLOW, BLOCK = "allow", "block"
 TRACKING = r"(?i)^(utm_\w*|gclid|fbclid|ref)="
@@ -140,15 +141,13 @@ def judged(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = Non
         .select("component", F.when(F.col("open") == 1, ALLOW).otherwise(BLOCK).alias("shared"))
     )
     aliases = groups.join(decided, "component", "left").select("node", F.col("component").alias("alias_group"), "shared")
-    return (
-        seen.join(best, ["host", "path"], "left")
-        .join(aliases, "node", "left")
-        .select(
-            "page_id",
-            "host",
-            "path",
-            "rule",
-            F.coalesce("ruled", "shared", F.lit(ALLOW)).alias("verdict"),
-            F.coalesce("alias_group", "node").alias("alias_group"),
-        )
+    known = salted_join(seen, best, ["host", "path"], ["page_id"], "left")
+    known = salted_join(known, aliases, ["node"], ["page_id"], "left", counted=seen)
+    return known.select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce("ruled", "shared", F.lit(ALLOW)).alias("verdict"),
+        F.coalesce("alias_group", "node").alias("alias_group"),
     )
