@@ -325,7 +325,7 @@ QUERIES: dict[str, str] = {
               from (select *, {_int_param(6, 3, 12)} as n from plan_params)), unnest(range(n)) as places(i)""",
     "plan_fixed_rate": """
         select video_id, count(*) as frames, cast(sum(i) as bigint) as index_sum, round(sum(i) / 24e0, 3) as ts_sum, max(i) / 24e0 as last_ts,
-               cast(sum(i + 1) as bigint) as name_sum, cast(sum(length(name)) as bigint) as name_length, min(name) as first_name, max(name) as last_name
+               cast(sum(i + 1) as bigint) as name_sum, cast(sum(length(name)) as bigint) as name_length
         from (select video_id, i, concat('frame_', lpad(cast(i + 1 as varchar), cast(greatest(4, length(cast(i + 1 as varchar))) as int), '0'), '.jpg') as name
               from clips, unnest(range(cast(floor(duration * 24) as bigint))) as places(i))
         group by video_id""",

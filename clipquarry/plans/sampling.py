@@ -142,7 +142,8 @@ def hash_schedule(requests: DataFrame) -> DataFrame:
 
 def frame_file(index: Column) -> Column:
     """File name of a constant-rate frame."""
-    return F.format_string("frame_%04d.jpg", index + 1)
+    number = (index + 1).cast("string")
+    return F.concat(F.lit("frame_"), F.when(index < 9999, F.lpad(number, 4, "0")).otherwise(number), F.lit(".jpg"))
 
 
 def fixed_rate(clips: DataFrame, seconds: Column, rate: int = FRAME_RATE) -> DataFrame:
