@@ -3,11 +3,11 @@
 For every prefix of a word only its last token is kept: the encoding of a prefix is that of a shorter prefix plus one
 token, and the token fits if the pair of the last two is what their joined text would be encoded to. Words are walked
 in sorted order, which is the depth-first order of their trie, so the states of a shared prefix are computed once.
-Which pairs fit is found by plain merging, once per pair.
+Which pairs fit is found by taking merges back at their border, once per pair.
 
-Texts are cut into words by the tokenizer's own rule; a worker keeps the ids of the words it has seen, up to a bound. Vocabulary and merges come from a public tokenizer file whose
-path is a parameter. Null texts are empty texts and have no ids. Special tokens that stand in a text are one id each.
-Repeated rows get equal results; extra columns are ignored.
+Texts are cut into words by the tokenizer's own rule; a worker keeps the ids of the words it has seen, up to a bound.
+Vocabulary and merges come from a public tokenizer file whose path is a parameter. Null texts are empty texts and have
+no ids. Special tokens that stand in a text are one id each. Repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN_TEXT = re.compile(f"[!-~{LATIN} \n]*")
 NEIGHBOURS = ("  ", "\n\n", " \n", "\n ")
 PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \n]")
-
-
 IN_LETTERS = "\0"  # no plain word begins with it
 
 
