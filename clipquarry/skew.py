@@ -7,6 +7,7 @@ before the plan is made, from the key columns alone. Mostly none are, and the pl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,20 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS) -
     return counts.filter(F.col("count") >= min_rows)
 
 
-def _listed(heavy: DataFrame) -> DataFrame | None:
-    """The hot keys, marked for broadcast while they are few; nothing if there are none."""
-    size = heavy.limit(BROADCAST_KEYS + 1).count()
-    if not size:
-        return None
-    return F.broadcast(heavy) if size <= BROADCAST_KEYS else heavy
+def _null_in(keys: Sequence[str]) -> Column:
+    """Whether a key is missing."""
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+
+def _listed(df: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[DataFrame | None, bool]:
+    """The hot keys, marked for broadcast while they are few, or nothing; and whether missing keys are hot."""
+    counts = df.select(*keys).groupBy(*keys).count().filter(F.col("count") >= min_rows)
+    seen = counts.select(_null_in(keys).cast("int").alias("missing")).limit(BROADCAST_KEYS + 2)
+    size, missing = seen.agg(F.count("*"), F.coalesce(F.max("missing"), F.lit(0))).first()
+    if size == missing:
+        return None, bool(missing)
+    heavy = counts.dropna()
+    return (F.broadcast(heavy) if size <= BROADCAST_KEYS else heavy), bool(missing)
 
 
 def with_running_total(
@@ -42,7 +51,7 @@ def with_running_total(
     share their partitioning, so the rows are shuffled once.
     """
     run = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    heavy = _listed(heavy_keys(df, keys, min_rows))
+    heavy, _ = _listed(df, keys, min_rows)
     if heavy is None:
         return df.withColumn(name, F.sum(value).over(run(keys)))
     names = [f"_bucket{i}" for i in range(len(bucket))]
@@ -84,17 +93,25 @@ def salted_join(
 ) -> DataFrame:
     """Join `many` (inner or left) with `side`, spreading the hot keys of `many` over tasks.
 
-    A key gets a salt for every `min_rows` rows it has, and the rows of `side` under it are repeated that often.
+    A key gets a salt for every `min_rows` rows it has, and the rows of `side` under it are repeated that often. Rows of
+    `many` without a key are spread too, where there are as many.
     `spread_by` names columns of `many` that tell the rows of one key apart; the salt is a hash of them, so a lost
     task recomputes the same rows. `counted` may name a cheaper table that has the keys of `many` equally often.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps all rows of `many` or only the matching ones")
-    heavy = _listed(heavy_keys(many if counted is None else counted, keys, min_rows))
-    if heavy is None:
+    heavy, missing = _listed(many if counted is None else counted, keys, min_rows)
+    if heavy is None and not missing:
         return many.join(side, list(keys), how)
+    # A missing key meets nothing, so its rows may go anywhere.
+    hashed = F.xxhash64(*spread_by)
+    if heavy is None:
+        salted = many.withColumn("_salt", F.when(_null_in(keys), hashed).otherwise(F.lit(0).cast("bigint")))
+        # A plain 0 would be folded into the condition, and the salt would no longer be a key.
+        zero = F.explode(F.array(F.lit(0).cast("bigint")))
+        return salted.join(side.withColumn("_salt", zero), [*keys, "_salt"], how).drop("_salt")
     salts = F.ceil(F.col("count") / min_rows)
-    salt = F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread_by), salts))
+    salt = F.when(_null_in(keys), hashed).when(F.col("count").isNull(), F.lit(0)).otherwise(F.pmod(hashed, salts))
     salted = many.join(heavy, list(keys), "left").withColumn("_salt", salt.cast("bigint")).drop("count")
     every = F.sequence(F.lit(0).cast("bigint"), F.coalesce(salts, F.lit(1)).cast("bigint") - 1)
     repeated = side.join(heavy, list(keys), "left").withColumn("_salt", F.explode(every)).drop("count")

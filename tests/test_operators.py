@@ -51,6 +51,13 @@ def test_salted_join_keeps_every_row(spark, hot, how, broadcast_keys, monkeypatc
         assert rows(salted.select("k", "v", "w"), "v") == rows(many.join(side, "k", how).select("k", "v", "w"), "v")
 
 
+def test_missing_keys_are_spread(spark):
+    many = spark.range(2000).select(F.when(F.col("id") > 1500, F.col("id")).alias("k"), F.col("id").alias("v"))
+    side = spark.range(1400, 1900).select(F.col("id").alias("k"))
+    assert _tasks_of(spark, lambda: salted_join(many, side, ["k"], ["v"], "left", min_rows=100), None) == 32
+    assert rows(salted_join(many, side, ["k"], ["v"], min_rows=100).select("v")) == [(v,) for v in range(1501, 1900)]
+
+
 def _tasks_of(spark, df, key):
     """Tasks that the rows of a key lie in after the join, without adaptive coalescing and broadcasts."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32"}
@@ -58,7 +65,7 @@ def _tasks_of(spark, df, key):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        return df().filter(F.col("k") == key).select(F.spark_partition_id().alias("p")).distinct().count()
+        return df().filter(F.col("k").eqNullSafe(F.lit(key))).select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
