@@ -29,6 +29,10 @@ ROOT = Path(__file__).resolve().parents[2]
 LAST_ID = 2**63 - 1
 TAGS = 2**30
 
+# What `keyed` tells rows apart by.
+KEY = ["did", "tag"]
+KEY_TYPES = "did bigint, tag int"
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with batches of bounded size, and with this package where workers find it.
@@ -83,7 +87,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def boxed(docs: DataFrame) -> DataFrame:
     """(did, tag, row): the key of each row beside all its columns in one, so that no name can clash."""
     key = keyed(docs.select("doc_id", "text", F.struct("*").alias("row")))
-    return key.select("did", "tag", "row")
+    return key.select(*KEY, "row")
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
