@@ -17,7 +17,7 @@ anchors. Neighbouring windows with one anchor are a stretch of up to 176 bytes.
    with a map-side combine, so no task holds the crowd.
 
 Stretches and windows are taken as equal if their hashes of 128 bits are. Null texts are empty and lose nothing.
-Null ids come after all others. Rows that repeat an id are ordered by a checksum of their text; rows equal in both are
+Null ids come after all others. Rows that repeat an id are ordered by a hash of their text; rows equal in both are
 one document given twice, and get equal results. Extra columns stay where the function keeps the frame's columns.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipquarry.llm.shared import TAGS, boxed, gathered, keyed, landed, pieces, text_bytes, whole_groups
+from clipquarry.llm.shared import KEY, KEY_TYPES, TAGS, boxed, gathered, keyed, landed, pieces, text_bytes, whole_groups
 from clipquarry.llm.words import AS_IS, mixed, word_hashes
 
 LENGTH = 100
@@ -109,15 +109,15 @@ def joined_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[new], stop[np.r_[new[1:] - 1, len(stop) - 1]] if len(new) else new
 
 
-MET = "route bigint, whole bigint, did bigint, tag int, place bigint, repeat boolean"
+MET = f"route bigint, whole bigint, {KEY_TYPES}, place bigint, repeat boolean"
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first of equal stretches in each part of a task, routed by anchor, and spans of the others as packed places."""
     for table in gathered(batches, SETTLED_BYTES):
-        order = np.lexsort((table.column("tag").to_numpy(), table.column("did").to_numpy()))
+        order = np.lexsort([table.column(c).to_numpy() for c in reversed(KEY)])
         table = table.take(pa.array(order)).combine_chunks()
-        did, tag = table.column("did").to_numpy(), table.column("tag").to_numpy()
+        key = np.column_stack([table.column(c).to_numpy() for c in KEY])
         parts, seen = [], 0
         for piece in pieces(table.to_batches()):
             flat, offsets = text_bytes(piece.column("text"))
@@ -134,9 +134,9 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.empty(len(order), np.int64)
         first[order] = order[head]
         own = first == np.arange(len(first))
-        again = (did[row] == did[row[first]]) & (tag[row] == tag[row[first]]) & (start == start[first])
+        again = (key[row] == key[row[first]]).all(axis=1) & (start == start[first])
         gone = ~own & ~again
-        yield _met_rows(anchor[own].view(np.int64), whole[own].view(np.int64), did[row[own]], tag[row[own]], start[own], stop[own], False)
+        yield _met_rows(anchor[own].view(np.int64), whole[own].view(np.int64), key[row[own]], start[own], stop[own], False)
         if gone.any():
             # Touching spans of one document become one row, in pieces that a packed place can hold.
             base = row[gone] << 40
@@ -146,35 +146,35 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = np.repeat(low, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * most
             high = np.minimum(low + most, np.repeat(high, count))
             doc = low >> 40
-            spread = mixed(low.astype(np.uint64) + did[doc].astype(np.uint64) * STEP).view(np.int64)
+            spread = mixed(low.astype(np.uint64) + key[doc, 0].astype(np.uint64) * STEP).view(np.int64)
             low, high = low & ((1 << 40) - 1), high - (doc << 40)
-            yield _met_rows(spread, np.zeros(len(low), np.int64), did[doc], tag[doc], low, high, True)
+            yield _met_rows(spread, np.zeros(len(low), np.int64), key[doc], low, high, True)
 
 
-def _met_rows(route, whole, did, tag, start, stop, repeat) -> pa.RecordBatch:
+def _met_rows(route, whole, key, start, stop, repeat) -> pa.RecordBatch:
     place = (start << SIZE_BITS) | (stop - start)
-    arrays = [pa.array(route), pa.array(whole), pa.array(did), pa.array(tag.astype(np.int32)), pa.array(place), pa.array(np.full(len(route), repeat))]
+    arrays = [pa.array(route), pa.array(whole), *map(pa.array, key.T), pa.array(place), pa.array(np.full(len(route), repeat))]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in MET.split(", ")])
 
 
-SETTLED = "did bigint, tag int, place bigint, kind int, route bigint"
+SETTLED = f"{KEY_TYPES}, place bigint, kind int, route bigint"
 
 
 def _settled(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted by (route, whole, did, tag, place): later equals are repeats; first ones whose anchor has several stay open."""
-    none = np.empty((0, 5), np.int64)
+    """Sorted by (route, whole, did, tag, tie, place): later equals are repeats; first ones whose anchor has several stay open."""
+    none = np.empty((0, 3 + len(KEY)), np.int64)
     last = None  # the row before, and the first row of its stretch
     head = None
     waiting, crowded_route = none, None  # first rows of the open anchor; the anchor if they were sent as a crowd
 
     def out(rows: np.ndarray, kind) -> pa.RecordBatch:
         kinds = np.broadcast_to(np.asarray(kind, np.int32), len(rows))
-        arrays = [pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4]), pa.array(kinds), pa.array(rows[:, 0])]
+        arrays = [*map(pa.array, rows[:, 2:].T), pa.array(kinds), pa.array(rows[:, 0])]
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SETTLED.split(", ")])
 
     for batch in batches:
         repeat = batch.column("repeat").to_numpy(zero_copy_only=False)
-        rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("route", "whole", "did", "tag", "place")])
+        rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("route", "whole", *KEY, "place")])
         if repeat.any():
             yield out(rows[repeat], REPEAT)
             rows = rows[~repeat]
@@ -284,18 +284,18 @@ def longest_previous_factors(flat: np.ndarray, starts: np.ndarray, cap: int = LE
     return factor
 
 
-SPANS = "did bigint, tag int, start bigint, stop bigint"
+SPANS = f"{KEY_TYPES}, start bigint, stop bigint"
 
 
 def _factored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by (route, did, tag, start): spans of windows that begin earlier among them."""
+    """Stretches sorted by (route, did, tag, tie, start): spans of windows that begin earlier among them."""
     held: list[pa.Table] = []
     size = 0
 
     def out() -> pa.RecordBatch:
         table = pa.concat_tables(held).combine_chunks()
         flat, offsets = text_bytes(table.column("raw").combine_chunks())
-        did, tag, start = (table.column(c).to_numpy() for c in ("did", "tag", "start"))
+        *key, start = (table.column(c).to_numpy() for c in (*KEY, "start"))
         windows = np.diff(offsets) - LENGTH + 1
         row = np.repeat(np.arange(len(windows)), windows)
         within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -305,8 +305,8 @@ def _factored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = joined_spans(base + within, base + within + LENGTH)
         row = low >> 20
         low, high = low - (row << 20), high - (row << 20)
-        arrays = [pa.array(did[row]), pa.array(tag[row]), pa.array(start[row] + low), pa.array(start[row] + high)]
-        return pa.RecordBatch.from_arrays(arrays, names=["did", "tag", "start", "stop"])
+        arrays = [*[pa.array(k[row]) for k in key], pa.array(start[row] + low), pa.array(start[row] + high)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*KEY, "start", "stop"])
 
     for groups in whole_groups(batches, ["route"]):
         route = groups.column("route").to_numpy()
@@ -328,7 +328,7 @@ def _factored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-RAW = "route bigint, did bigint, tag int, start bigint, stop bigint, raw binary"
+RAW = f"route bigint, {KEY_TYPES}, start bigint, stop bigint, raw binary"
 
 
 def _fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,12 +343,12 @@ def _fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, size = place >> SIZE_BITS, place & ((1 << SIZE_BITS) - 1)
         data = flat.tobytes()
         raw = [data[s : s + n] for s, n in zip((offsets[row] + start).tolist(), size.tolist())]
-        arrays = [pa.array(route), piece.column("did").take(pa.array(row)), piece.column("tag").take(pa.array(row))]
+        arrays = [pa.array(route), *[piece.column(c).take(pa.array(row)) for c in KEY]]
         arrays += [pa.array(start), pa.array(start + size), pa.array(raw, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in RAW.split(", ")])
 
 
-WINDOWS = "one bigint, two bigint, did bigint, tag int, start bigint"
+WINDOWS = f"one bigint, two bigint, {KEY_TYPES}, start bigint"
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,8 +364,8 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.zeros(len(at), np.uint64)
         for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
             two = mixed(two * STEP + eight[at + k])
-        did, tag, start = (batch.column(c).to_numpy() for c in ("did", "tag", "start"))
-        arrays = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(did[row]), pa.array(tag[row]), pa.array(start[row] + within)]
+        *key, start = (batch.column(c).to_numpy() for c in (*KEY, "start"))
+        arrays = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.array(k[row]) for k in key], pa.array(start[row] + within)]
         yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in WINDOWS.split(", ")])
 
 
@@ -375,26 +375,26 @@ def _packed_span() -> list[Column]:
 
 
 def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(did, tag, spans) of keyed documents that lose something; spans are byte ranges, not in order and overlapping."""
-    texts = rows.select("did", "tag", "text")
-    met = texts.mapInArrow(_met, MET).repartition("route").sortWithinPartitions("route", "whole", "did", "tag", "place")
+    """(did, tag, tie, spans) of keyed documents that lose something; spans are byte ranges, not in order and overlapping."""
+    texts = rows.select(*KEY, "text")
+    met = texts.mapInArrow(_met, MET).repartition("route").sortWithinPartitions("route", "whole", *KEY, "place")
     settled = landed(met.mapInArrow(lambda batches: _settled(batches, crowd), SETTLED), "settled")
 
     def fetched(kind: int) -> DataFrame:
-        asked = settled.filter(F.col("kind") == kind).groupBy("did", "tag")
+        asked = settled.filter(F.col("kind") == kind).groupBy(*KEY)
         asked = asked.agg(F.collect_list(F.struct("place", "route")).alias("wanted")).hint("shuffle_hash")
-        return texts.join(asked, ["did", "tag"]).mapInArrow(_fetched, RAW)
+        return texts.join(asked, KEY).mapInArrow(_fetched, RAW)
 
-    spans = settled.filter(F.col("kind") == REPEAT).select("did", "tag", *_packed_span())
-    by_anchor = fetched(OPEN).repartition("route").sortWithinPartitions("route", "did", "tag", "start")
+    spans = settled.filter(F.col("kind") == REPEAT).select(*KEY, *_packed_span())
+    by_anchor = fetched(OPEN).repartition("route").sortWithinPartitions("route", *KEY, "start")
     spans = spans.unionByName(by_anchor.mapInArrow(_factored, SPANS))
     if not settled.filter(F.col("kind") == CROWDED).isEmpty():
         windows = landed(fetched(CROWDED).mapInArrow(_windows, WINDOWS), "windows")
-        order = F.struct("did", "tag", "start")
+        order = F.struct(*KEY, "start")
         first = windows.groupBy("one", "two").agg(F.min(order).alias("first"))
         later = windows.join(first, ["one", "two"]).filter(order != F.col("first"))
-        spans = spans.unionByName(later.select("did", "tag", "start", (F.col("start") + LENGTH).alias("stop")))
-    return spans.groupBy("did", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        spans = spans.unionByName(later.select(*KEY, "start", (F.col("start") + LENGTH).alias("stop")))
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _runs(spans: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -427,8 +427,8 @@ def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """What each document loses, and the checksum of what it keeps."""
-    rows = keyed(docs.select("doc_id", "text")).select("did", "tag", "text")
-    rows = rows.join(repeated_spans(rows, crowd).hint("shuffle_hash"), ["did", "tag"], "left")
+    rows = keyed(docs.select("doc_id", "text")).select(*KEY, "text")
+    rows = rows.join(repeated_spans(rows, crowd).hint("shuffle_hash"), KEY, "left")
     doc_id = F.when(F.col("tag") < TAGS, F.col("did")).alias("doc_id")
     return rows.select(doc_id, "text", "spans").mapInArrow(_measured, OUT)
 
@@ -463,6 +463,6 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
     spans = repeated_spans(keyed(docs.select("doc_id", "text")), crowd)
-    rows = boxed(docs).join(spans.hint("shuffle_hash"), ["did", "tag"], "left")
+    rows = boxed(docs).join(spans.hint("shuffle_hash"), KEY, "left")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     return rows.select(F.col("row").withField("text", cut(text, "spans")).alias("row")).select("row.*")

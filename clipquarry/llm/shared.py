@@ -27,11 +27,11 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = Path(__file__).resolve().parents[2]
 
 LAST_ID = 2**63 - 1
-TAGS = 2**30
+TAGS = 2**62
 
 # What `keyed` tells rows apart by.
-KEY = ["did", "tag"]
-KEY_TYPES = "did bigint, tag int"
+KEY = ["did", "tag", "tie"]
+KEY_TYPES = "did bigint, tag bigint, tie bigint"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -76,16 +76,22 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with (did, tag), which are never null, tell rows apart and order them: the id, null ids last, and a checksum of
-    the text. Tags from `TAGS` on mean a null id. Null texts become empty."""
+    """docs with (did, tag, tie), which are never null, tell rows apart and order them: the id, null ids last, and a hash of
+    the text. Tags from `TAGS` on mean a null id. Null texts become empty.
+
+    The hash has 62 bits; null ids, which may be very many, have another 64 in `tie`, which is 0 for all others, as it
+    goes with every row that is shuffled. Different texts of a million rows of one id share a key with a chance of 1e-7.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tag = F.pmod(F.xxhash64(text), F.lit(TAGS)) + F.when(F.col("doc_id").isNull(), F.lit(TAGS)).otherwise(F.lit(0))
+    absent = F.col("doc_id").isNull()
+    tag = F.pmod(F.xxhash64(text), F.lit(TAGS)) + F.when(absent, F.lit(TAGS)).otherwise(F.lit(0))
+    tie = F.when(absent, F.xxhash64(F.lit(1), text)).otherwise(F.lit(0))
     did = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
-    return docs.withColumns({"text": text, "did": did, "tag": tag.cast("int")})
+    return docs.withColumns({"text": text, "did": did, "tag": tag.cast("bigint"), "tie": tie.cast("bigint")})
 
 
 def boxed(docs: DataFrame) -> DataFrame:
-    """(did, tag, row): the key of each row beside all its columns in one, so that no name can clash."""
+    """(did, tag, tie, row): the key of each row beside all its columns in one, so that no name can clash."""
     key = keyed(docs.select("doc_id", "text", F.struct("*").alias("row")))
     return key.select(*KEY, "row")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from clipquarry.llm.components import components
-from clipquarry.llm.shared import TAGS, boxed, keyed, landed, whole_groups
+from clipquarry.llm.shared import KEY, KEY_TYPES, TAGS, boxed, keyed, landed, whole_groups
 from clipquarry.skew import salted_join
 
 BITS = 64
@@ -66,15 +66,15 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def with_fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(did, tag, fp) for each keyed row, fp as a signed number with the same bits. Reads whole texts, moves none."""
+    """(did, tag, tie, fp) for each keyed row, fp as a signed number with the same bits. Reads whole texts, moves none."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width, seed) for t in batch.column("text").to_pylist()]
-            arrays = [batch.column("did"), batch.column("tag"), pa.array(np.array(found, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["did", "tag", "fp"])
+            arrays = [*[batch.column(c) for c in KEY], pa.array(np.array(found, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*KEY, "fp"])
 
-    return keyed(docs.select("doc_id", "text")).select("did", "tag", "text").mapInArrow(hashed, "did bigint, tag int, fp bigint")
+    return keyed(docs.select("doc_id", "text")).select(*KEY, "text").mapInArrow(hashed, f"{KEY_TYPES}, fp bigint")
 
 
 def block_masks() -> list[list[list[int]]]:
@@ -207,7 +207,7 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(did, tag, fp) of all rows, and (fp, component) of all fingerprints, where component is one of them."""
+    """(did, tag, tie, fp) of all rows, and (fp, component) of all fingerprints, where component is one of them."""
     prints = landed(with_fingerprints(docs), "prints")
     distinct = prints.select("fp").distinct()
     tied = landed(components(links(distinct, crowd), "a", "b"), "components")
@@ -222,16 +222,16 @@ def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     first = prints.groupBy("fp").agg(F.min(own_id).alias("first"))
     smallest = groups.join(first, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "component").select("fp", "component_id")
-    return salted_join(prints, named, ["fp"], ["did", "tag"]).select(own_id.alias("doc_id"), "fp", "component_id")
+    return salted_join(prints, named, ["fp"], KEY).select(own_id.alias("doc_id"), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row of each group with all its columns: that of the smallest doc_id, a null id only if all are null."""
     prints, groups = _grouped(docs, crowd)
-    first = prints.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"))
-    chosen = groups.join(first, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.did", "first.tag")
-    kept = boxed(docs).join(chosen.hint("shuffle_hash"), ["did", "tag"], "left_semi")
-    return kept.dropDuplicates(["did", "tag"]).select("row.*")
+    first = prints.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first"))
+    chosen = groups.join(first, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    kept = boxed(docs).join(chosen.hint("shuffle_hash"), KEY, "left_semi")
+    return kept.dropDuplicates(KEY).select("row.*")
 
 
 def hex_form(column: Column) -> Column:

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 from conftest_llm import frame, prose, same
+from xxhash import xxh64_intdigest
 
+from clipquarry.llm import nearcopies, simhash
 from clipquarry.llm import repeats as rep
 
 
@@ -124,3 +126,25 @@ def test_one_passage_in_many_documents(spark):
 
 def test_empty_table(none):
     assert rep.measured(none).count() == 0 and rep.without_repeats(none).count() == 0
+
+
+def alike_in_30_bits():
+    """Two texts without ids whose XXH64 agree in the lowest 30 bits; one shares a passage with a third."""
+    passage = prose(61, 40)
+    rows = [(None, f"4225 {passage}"), (None, " ".join(str(14810 * k) for k in range(1, 40))), (1, passage)]
+    assert (xxh64_intdigest(rows[0][1], 42) - xxh64_intdigest(rows[1][1], 42)) % 2**30 == 0
+    return rows
+
+
+def test_texts_without_ids_keep_their_own_spans(spark):
+    rows = alike_in_30_bits()
+    learn_tags(spark, rows)
+    same(rep.measured(frame(spark, rows)).collect(), expected(rows))
+    keys = rep.keyed(frame(spark, rows)).select(*rep.KEY).collect()
+    assert len({tuple(k) for k in keys}) == 3 and [k.tie != 0 for k in keys] == [True, True, False]
+
+
+def test_texts_without_ids_are_no_copies(spark):
+    rows = [r for r in alike_in_30_bits() if r[0] is None]
+    for kept in (simhash.one_of_each, nearcopies.one_of_each):
+        assert kept(frame(spark, rows)).count() == 2
