@@ -170,10 +170,57 @@ def _tried(bands: list[tuple[int, int]], radius: int) -> list[tuple[int, int, li
     return out
 
 
+def _signatures(hashes: DataFrame) -> DataFrame:
+    """(clip_id, signature) of each clip with a hash."""
+    hashed = F.when(F.col("phash").isNotNull(), F.struct("frame_idx", "phash"))
+    return hashes.groupBy("clip_id").agg(F.array_sort(F.collect_list(hashed))["phash"].alias("signature")).filter(F.size("signature") > 0)
+
+
+def _classes(signatures: DataFrame) -> DataFrame:
+    """Each signature with its smallest clip and number of clips."""
+    return signatures.groupBy("signature").agg(F.min("clip_id").alias("clip_id"), F.count("*").alias("copies"))
+
+
+def _near(groups: DataFrame, threshold: int, band_bits: int, heavy_rows: int) -> DataFrame:
+    """(l, r, r_copies, mean) for each two signatures within the threshold, both ways round."""
+    frames = groups.select("clip_id", F.posexplode("signature").alias("pos", "h"))
+    pairs = _meet(frames, threshold, band_bits, heavy_rows).distinct()
+
+    left = groups.select(F.col("clip_id").alias("l"), F.col("signature").alias("l_hashes"))
+    right = groups.select(F.col("clip_id").alias("r"), F.col("signature").alias("r_hashes"), F.col("copies").alias("r_copies"))
+    compared = "least(size(l_hashes), size(r_hashes))"
+    total = f"aggregate(sequence(0, {compared} - 1), 0L, (sum, i) -> sum + bit_count(get(l_hashes, i) ^ get(r_hashes, i)))"
+    return (
+        pairs.join(left, "l")
+        .join(right, "r")
+        .select("l", "r", "r_copies", (F.expr(total) / F.expr(compared)).alias("mean"))
+        .filter(F.col("mean") <= threshold)
+    )
+
+
+def near_duplicate_members(hashes: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Each clip with its class, the smallest clip of equal hashes, and how many clips are in it. Classes are what
+    `near_duplicates` and `near_duplicate_pairs` speak of. A signature that very many clips share is salted."""
+    signatures = _signatures(hashes)
+    named = _classes(signatures).withColumnRenamed("clip_id", "class_id")
+    return salted_join(signatures, named, ["signature"], ["clip_id"], min_rows=heavy_rows).select("clip_id", "class_id", "copies")
+
+
+def near_duplicate_pairs(
+    hashes: DataFrame, threshold: int = MATCH_MAX, band_bits: int = BAND_BITS, heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """All pairs of classes within the threshold, each once, with their mean distance."""
+    near = _near(_classes(_signatures(hashes)), threshold, band_bits, heavy_rows).filter("l < r")
+    return near.select(F.col("l").alias("class_id"), F.col("r").alias("other_id"), F.round("mean", 6).alias("mean_distance"))
+
+
 def near_duplicates(
     hashes: DataFrame, threshold: int = MATCH_MAX, band_bits: int = BAND_BITS, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
-    """Near copies of every clip: how many clips lie within a mean distance of `threshold`, and the nearest.
+    """Near copies of every signature: how many clips lie within a mean distance of `threshold`, and the nearest.
+
+    One row per signature, named by its smallest clip; `near_duplicate_members` names all clips of each and
+    `near_duplicate_pairs` all near partners.
 
     1. Clips with equal hashes become one signature with a number of copies (combined before the shuffle), so a group
        of copies of any size is one row from here on.
@@ -186,21 +233,9 @@ def near_duplicates(
        these are compared as a whole.
     4. Values shared by very many signatures (a black opening frame) are salted over tasks.
     """
-    hashed = F.when(F.col("phash").isNotNull(), F.struct("frame_idx", "phash"))
-    signatures = hashes.groupBy("clip_id").agg(F.array_sort(F.collect_list(hashed))["phash"].alias("signature")).filter(F.size("signature") > 0)
-    groups = signatures.groupBy("signature").agg(F.min("clip_id").alias("clip_id"), F.count("*").alias("copies"))
-    frames = groups.select("clip_id", F.posexplode("signature").alias("pos", "h"))
-    pairs = _meet(frames, threshold, band_bits, heavy_rows).distinct()
-
-    left = groups.select(F.col("clip_id").alias("l"), F.col("signature").alias("l_hashes"))
-    right = groups.select(F.col("clip_id").alias("r"), F.col("signature").alias("r_hashes"), F.col("copies").alias("r_copies"))
-    compared = "least(size(l_hashes), size(r_hashes))"
-    total = f"aggregate(sequence(0, {compared} - 1), 0L, (sum, i) -> sum + bit_count(get(l_hashes, i) ^ get(r_hashes, i)))"
+    groups = _classes(_signatures(hashes))
     near = (
-        pairs.join(left, "l")
-        .join(right, "r")
-        .select("l", "r", "r_copies", (F.expr(total) / F.expr(compared)).alias("mean"))
-        .filter(F.col("mean") <= threshold)
+        _near(groups, threshold, band_bits, heavy_rows)
         .groupBy(F.col("l").alias("clip_id"))
         .agg(F.count("*").alias("near_signatures"), F.sum("r_copies").alias("near_clips"), F.min(F.struct("mean", "r")).alias("nearest"))
     )

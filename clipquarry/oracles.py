@@ -437,6 +437,17 @@ QUERIES: dict[str, str] = {
                arg_min(other_id, (mean, other_id)) as nearest_id, round(min(mean), 6) as nearest_mean
         from firsts a left join near n on n.clip_id = a.clip_id left join firsts o on o.clip_id = other_id
         group by a.clip_id""",
+    "near_duplicate_members": """
+        with signatures as (select clip_id, string_agg(phash, ',' order by frame_idx) as signature from hashes group by clip_id)
+        select clip_id, min(clip_id) over same as class_id, count(*) over same as copies
+        from signatures window same as (partition by signature)""",
+    "near_duplicate_pairs": """
+        with signatures as (select clip_id, string_agg(phash, ',' order by frame_idx) as signature from hashes group by clip_id),
+        firsts as (select min(clip_id) as clip_id from signatures group by signature)
+        select a.clip_id as class_id, b.clip_id as other_id, round(avg(bit_count(xor(x.phash, y.phash))), 6) as mean_distance
+        from firsts a join firsts b on a.clip_id < b.clip_id
+        join hashes x on x.clip_id = a.clip_id join hashes y on y.clip_id = b.clip_id and y.frame_idx = x.frame_idx
+        group by all having avg(bit_count(xor(x.phash, y.phash))) <= 10""",
     "cue_frame_overlay": """
         select reel_id, frame_idx, cue_idx
         from good_cues join summary s using (reel_id),

@@ -475,6 +475,16 @@ def near_duplicates(spark, root):
     return hashes.near_duplicates(_hashes(spark, root))
 
 
+@query
+def near_duplicate_members(spark, root):
+    return hashes.near_duplicate_members(_hashes(spark, root))
+
+
+@query
+def near_duplicate_pairs(spark, root):
+    return hashes.near_duplicate_pairs(_hashes(spark, root))
+
+
 def _reel_lengths(spark, root):
     return reels.accepted_reels(fx.shots(spark, root))
 

@@ -477,6 +477,19 @@ def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows, band_bi
     assert rows(got, "clip_id") == _brute_force(signed, threshold)
 
 
+def test_every_copy_and_every_near_partner_is_named(spark):
+    """Copies beside the smallest clip, and partners beside the nearest, whether or not the signature is salted."""
+    clips = {n: [5, 9] for n in range(20, 40)} | {3: [5, 9], 50: [4, 9], 51: [4, 9], 60: [7, 9], 70: [-1, -1], 80: []}
+    df = _clips(spark, clips)
+    classes = {n: 3 for n in (3, *range(20, 40))} | {50: 50, 51: 50, 60: 60, 70: 70}
+    sizes = {3: 21, 50: 2, 60: 1, 70: 1}
+    for heavy_rows in (5, 10_000):
+        got = rows(hashes.near_duplicate_members(df, heavy_rows), "clip_id")
+        assert got == [(n, c, sizes[c]) for n, c in sorted(classes.items())]
+        pairs = rows(hashes.near_duplicate_pairs(df, 4, heavy_rows=heavy_rows), "class_id", "other_id")
+        assert pairs == [(3, 50, 0.5), (3, 60, 0.5), (50, 60, 1.0)]
+
+
 # --- Plans ---
 
 
