@@ -29,11 +29,13 @@ def job_status(step: Column) -> Column:
 
 
 def entry_order(created_at: Column, event_id: Column, step: Column) -> Column:
-    """Time, event and step of an entry as one number. Events are not negative; a step that is not in STEPS is lost."""
+    """Time, event and step of an entry as one number. Events are not negative, and a null one comes before all others. A
+    step that is not in STEPS is not in the number; `with_other_steps` finds it."""
     code = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STEPS]), step), F.lit(0)).cast("decimal(2,0)")
     moment = F.unix_micros(created_at).cast("decimal(17,0)")
     exact = F.lit(EVENTS * CODES).cast("decimal(22,0)")
-    return (moment * exact + event_id.cast("decimal(19,0)") * F.lit(CODES) + code).cast("decimal(38,0)")
+    event = F.coalesce(event_id.cast("decimal(19,0)") + 1, F.lit(0)).cast("decimal(19,0)")
+    return (moment * exact + event * F.lit(CODES) + code).cast("decimal(38,0)")
 
 
 def ordered_entry(order: Column) -> dict[str, Column]:
@@ -44,19 +46,29 @@ def ordered_entry(order: Column) -> dict[str, Column]:
     micros = ((order - rest) / exact).cast("decimal(20,0)").cast("bigint")
     return {
         "created_at": F.timestamp_micros(micros),
-        "event_id": ((rest - code) / F.lit(CODES)).cast("decimal(20,0)").cast("bigint"),
+        "event_id": (F.nullif(((rest - code) / F.lit(CODES)).cast("decimal(20,0)"), F.lit(0)) - 1).cast("bigint"),
         "step": F.get(F.array(*[F.lit(s) for s in STEPS]), code - 1),
     }
 
 
+def with_other_steps(found: DataFrame, entries: DataFrame, key: str, order: str) -> DataFrame:
+    """Add `other_step`, the step of the entry that `order` stands for if it is not in STEPS; of several the last in order.
+    Only entries with such a step are joined."""
+    entry = entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))
+    others = entries.filter(~F.col("step").isin(STEPS)).groupBy(F.col(key).alias("_key"), entry.alias("_order"))
+    others = others.agg(F.array_max(F.collect_set("step")).alias("other_step"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_order"))
+    return found.join(others, same, "left").drop("_key", "_order")
+
+
 def latest_state(jobs: DataFrame) -> DataFrame:
     """Last step of each job; the maximum combines before the shuffle."""
     newest = F.max(entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))).alias("newest")
     found = ordered_entry(F.col("newest"))
+    folded = jobs.groupBy("job_id").agg(newest, F.count("*").alias("events"))
     return (
-        jobs.groupBy("job_id")
-        .agg(newest, F.count("*").alias("events"))
-        .select("job_id", found["step"].alias("step"), found["created_at"].alias("updated_at"), "events")
+        with_other_steps(folded, jobs, "job_id", "newest")
+        .select("job_id", F.coalesce(found["step"], "other_step").alias("step"), found["created_at"].alias("updated_at"), "events")
         .withColumn("status", job_status(F.col("step")))
     )
 
@@ -92,7 +104,9 @@ def first_registrations(entries: DataFrame, key: str) -> DataFrame:
     """One row per key, the earliest; ties go to the lower event."""
     first = F.min(entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))).alias("first")
     found = ordered_entry(F.col("first"))
-    return entries.groupBy(key).agg(first).select(key, *[c.alias(name) for name, c in found.items()])
+    found["step"] = F.coalesce(found["step"], F.col("other_step"))
+    folded = with_other_steps(entries.groupBy(key).agg(first), entries, key, "first")
+    return folded.select(key, *[c.alias(name) for name, c in found.items()])
 
 
 def activity_windows(jobs: DataFrame, width: str, slide: str | None = None) -> DataFrame:

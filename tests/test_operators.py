@@ -350,6 +350,16 @@ def test_entry_order_is_that_of_its_parts(spark):
     assert got == [(2**62, None, True), (4, "error", True), (5, "done", True)]
 
 
+def test_any_step_and_entries_without_event_come_back(spark):
+    entries = [("a", 1, 1, "queued"), ("a", 2, 2, "paused"), ("b", 1, None, "waiting"), ("c", 3, None, "done"), ("c", 3, 0, "odd"), ("d", 1, 1, None)]
+    df = spark.createDataFrame(entries, "job_id string, at int, event_id bigint, step string")
+    df = df.withColumn("created_at", F.timestamp_seconds("at"))
+    got = rows(jobs.latest_state(df).select("job_id", "step", "status", "events"), "job_id")
+    assert got == [("a", "paused", "processing", 2), ("b", "waiting", "processing", 1), ("c", "odd", "processing", 2), ("d", None, "processing", 1)]
+    first = rows(jobs.first_registrations(df, "job_id").select("job_id", "event_id", "step"), "job_id")
+    assert first == [("a", 1, "queued"), ("b", None, "waiting"), ("c", None, "done"), ("d", 1, None)]
+
+
 # --- Hashes ---
 
 
