@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, secrets, simhash, telephony, urls
+from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, secrets, simhash, telephony, tokencounts, urls
 from clipquarry.llm.shared import prepared
 from clipquarry.sources.tables import table
 
@@ -89,3 +89,8 @@ def op8_packing(spark, root):
 @query
 def op7_repeats(spark, root):
     return repeats.measured(table(spark, root, "documents"))
+
+
+@query
+def op11_token_counts(spark, root):
+    return tokencounts.counted(table(spark, root, "documents"), BYTE_BPE)
