@@ -30,6 +30,7 @@ from clipquarry.llm.shared import pieces
 
 LIMIT = 512  # tokens of a document within the limit
 CACHED = 1_000_000  # merged words a worker remembers at most
+LONG_WORD = 100  # characters from which a word's pairs are kept in a heap
 
 PLAIN_CHARACTER = f"[!-~{LATIN}]"
 RUN_ENDS = re.compile(f"(?<={PLAIN_CHARACTER})(?=[ \n]{PLAIN_CHARACTER})")
@@ -55,6 +56,27 @@ def merge_ranks(spec: dict) -> dict[tuple[str, str], int]:
 
 def merged_count(word: str, ranks: dict[tuple[str, str], int]) -> int:
     """How many tokens a word in byte letters is merged to: the pair of lowest rank first, of equal ones the leftmost."""
+    if len(word) > LONG_WORD:
+        return _merged_count_of_long(word, ranks)
+    parts, none = list(word), len(ranks)
+    known = ranks.get
+    found = [known(p, none) for p in zip(parts, parts[1:])]
+    while found:
+        rank = min(found)
+        if rank == none:
+            break
+        at = found.index(rank)
+        parts[at] += parts.pop(at + 1)
+        del found[at]
+        if at:
+            found[at - 1] = known((parts[at - 1], parts[at]), none)
+        if at < len(found):
+            found[at] = known((parts[at], parts[at + 1]), none)
+    return len(parts)
+
+
+def _merged_count_of_long(word: str, ranks: dict[tuple[str, str], int]) -> int:
+    """The same with a heap of pairs, as looking at every pair for each merge would take a square of the length."""
     parts: list[str | None] = list(word)
     after = list(range(1, len(parts) + 1))
     ahead = list(range(-1, len(parts) - 1))
@@ -121,10 +143,10 @@ class Counts:
         return PLAIN_WORDS.findall(plain) + [IN_LETTERS + w for w, _ in self.split(odd)]
 
     def learn(self, words: Iterable[str]) -> None:
-        fresh = set(words) - self.known.keys()
+        fresh = {w for w in words if w not in self.known}
         if len(self.known) - len(self.whole) + len(fresh) > CACHED:
             self.known = dict(self.whole)
-            fresh = set(words) - self.known.keys()
+            fresh = {w for w in words if w not in self.known}
         for word in fresh:
             letters = word[1:] if word[0] == IN_LETTERS else word.encode().decode("latin-1").translate(self.letters)
             self.known[word] = merged_count(letters, self.ranks)

@@ -48,6 +48,13 @@ def test_bounded_memory_changes_nothing(monkeypatch, counts):
     assert [small.count(t) for t in texts()] == wanted
 
 
+def test_heap_merges_alike(monkeypatch, counts):
+    words = [w for t in texts() for w in counts.words(t) if not w.startswith(tokencounts.IN_LETTERS) and w.isascii() and w.isalpha()]
+    wanted = [tokencounts.merged_count(w, counts.ranks) for w in words]
+    monkeypatch.setattr(tokencounts, "LONG_WORD", 0)
+    assert [tokencounts.merged_count(w, counts.ranks) for w in words] == wanted
+
+
 def test_very_long_words(counts):
     lib, draw = library(BYTES), np.random.default_rng(1)
     for text in ("a" * 50_000, "".join(draw.choice(list("etaoin"), 60_000)), "中文" * 20_000):
