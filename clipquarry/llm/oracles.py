@@ -90,5 +90,27 @@ FROM seen LEFT JOIN ruled USING (host, path) LEFT JOIN named USING (node) LEFT J
 """
 
 
+def _search() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    terms = f"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}'))"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, text FROM documents),
+held AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, {terms} AS term FROM docs) GROUP BY doc, term),
+sizes AS (SELECT doc, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY doc),
+whole AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, whole GROUP BY term),
+impacts AS (SELECT doc, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * documents) // total))) AS impact
+  FROM held JOIN sizes USING (doc) JOIN weights USING (term), whole),
+asked AS (SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT item, item_id, {terms} AS term FROM (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, text FROM benchmark)))
+  GROUP BY item, item_id, term),
+scores AS (SELECT item, item_id, doc, CAST(sum(times * impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY item, item_id, doc)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN docs USING (doc) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": _urls()}
+    return {"op9_urls": _urls(), "op13_search": _search()}

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, secrets, simhash, telephony, tokencounts, urls
+from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, search, secrets, simhash, telephony, tokencounts, urls
 from clipquarry.llm.shared import prepared
 from clipquarry.sources.tables import table
 
@@ -94,3 +94,8 @@ def op7_repeats(spark, root):
 @query
 def op11_token_counts(spark, root):
     return tokencounts.counted(table(spark, root, "documents"), BYTE_BPE)
+
+
+@query
+def op13_search(spark, root):
+    return search.top_documents(table(spark, root, "documents"), table(spark, root, "benchmark"))
