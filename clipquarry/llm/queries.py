@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, search, secrets, simhash, telephony, tokencounts, urls
+from clipquarry.llm import bpe, fingerprints, language, licenses, packing, repeats, search, secrets, simhash, telephony, tokencounts, urls, whitening
 from clipquarry.llm.shared import prepared
 from clipquarry.sources.tables import table
 
@@ -99,3 +99,8 @@ def op11_token_counts(spark, root):
 @query
 def op13_search(spark, root):
     return search.top_documents(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query
+def op12_whitening(spark, root):
+    return whitening.whitened(table(spark, root, "embeddings"))
