@@ -96,7 +96,7 @@ def test_great_values(spark):
     assert {r.vec_id for r in found if r.deviation is None} == {i for i in range(60) if i % 3 != 1} and max(r.component for r in found) == 1
     x = np.array([[64 * int(c) for c in v] for _, v in rows], object)
     fit = whitening.Fit(60, x.sum(0).tolist())
-    small = x // 2**20
+    small = x // 2**22
     fit_small = whitening.Fit(60, small.sum(0).tolist())
     want = ((60 * small - small.sum(0)) ** 2).sum(1).tolist()
     assert whitening.deviations(small.astype(np.int64), fit_small) == want
