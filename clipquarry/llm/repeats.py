@@ -46,6 +46,12 @@ SECTION = 1 << (PLACE_BITS - 1)
 PLACE_MASK = np.uint64((1 << PLACE_BITS) - 1)
 SIZE_BITS = 9  # of a stretch, in a packed place
 
+# Of a window's bytes besides its anchor at least this many lie on one side of it. While stretches meet, a packed place also has a short hash
+# of so many bytes on either side, 0 where a stretch has fewer.
+SIDE = -(-(LENGTH - GRAM) // 2)
+PLACE_OF = (1 << 40) - 1
+SIDE_BITS = 11
+
 # Text bytes within which equal stretches are settled before the shuffle.
 SETTLED_BYTES = 32 << 20
 
@@ -64,8 +70,18 @@ def eights(flat: np.ndarray, order: str = "<u8") -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(flat)]).view(order)[:, 0]
 
 
-def stretches(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, stretch hash, start, stop) of all stretches in a batch of texts, by place."""
+def side_hash(eight: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """A hash of the `SIDE` bytes from each place on, 1 at least; 0 where they are not there."""
+    out = np.zeros(len(at), np.uint64)
+    at, h = at[there], np.zeros(np.count_nonzero(there), np.uint64)
+    for k in (*range(0, SIDE - 8, 8), SIDE - 8):
+        h = mixed(h * STEP + eight[at + k])
+    out[there] = 1 + h % np.uint64((1 << SIDE_BITS) - 1)
+    return out
+
+
+def stretches(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, stretch hash, start, stop, sides) of all stretches in a batch of texts, by place."""
     found = []
     for at in range(0, max(1, len(flat)), SECTION):
         part = flat[at : at + SECTION + LENGTH - 1]
@@ -94,10 +110,13 @@ def stretches(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         inside = (anchor[first] - start).astype(np.uint64)
         whole = word_hashes(part, start, stop, AS_IS)
         whole = mixed(whole + inside * STEP + (stop - start).astype(np.uint64) * STEP2)
-        found.append((h[anchor[first]], whole, at + start, at + stop))
+        mid = anchor[first]
+        left = side_hash(eight, mid - SIDE, mid - start >= SIDE)
+        right = side_hash(eight, mid + GRAM, stop - mid - GRAM >= SIDE)
+        found.append((h[mid], whole, at + start, at + stop, (left | right << np.uint64(SIDE_BITS)).astype(np.int64)))
     if not found:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -121,13 +140,13 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, seen = [], 0
         for piece in pieces(table.to_batches()):
             flat, offsets = text_bytes(piece.column("text"))
-            anchor, whole, start, stop = stretches(flat, offsets)
+            anchor, whole, start, stop, sides = stretches(flat, offsets)
             row = np.searchsorted(offsets, start, side="right") - 1
-            parts.append((anchor, whole, row + seen, start - offsets[row], stop - offsets[row]))
+            parts.append((anchor, whole, row + seen, start - offsets[row], stop - offsets[row], sides))
             seen += piece.num_rows
         if not parts:
             continue
-        anchor, whole, row, start, stop = (np.concatenate(x) for x in zip(*parts))
+        anchor, whole, row, start, stop, sides = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(mixed(anchor + whole * STEP), kind="stable")
         same = (anchor[order][1:] == anchor[order][:-1]) & (whole[order][1:] == whole[order][:-1])
         head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0)) if len(order) else order
@@ -136,7 +155,7 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = first == np.arange(len(first))
         again = (key[row] == key[row[first]]).all(axis=1) & (start == start[first])
         gone = ~own & ~again
-        yield _met_rows(anchor[own].view(np.int64), whole[own].view(np.int64), key[row[own]], start[own], stop[own], False)
+        yield _met_rows(anchor[own].view(np.int64), whole[own].view(np.int64), key[row[own]], start[own], stop[own], False, sides[own])
         if gone.any():
             # Touching spans of one document become one row, in pieces that a packed place can hold.
             base = row[gone] << 40
@@ -151,8 +170,8 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _met_rows(spread, np.zeros(len(low), np.int64), key[doc], low, high, True)
 
 
-def _met_rows(route, whole, key, start, stop, repeat) -> pa.RecordBatch:
-    place = (start << SIZE_BITS) | (stop - start)
+def _met_rows(route, whole, key, start, stop, repeat, sides=0) -> pa.RecordBatch:
+    place = sides * (PLACE_OF + 1) | (start << SIZE_BITS) | (stop - start)
     arrays = [pa.array(route), pa.array(whole), *map(pa.array, key.T), pa.array(place), pa.array(np.full(len(route), repeat))]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in MET.split(", ")])
 
@@ -161,7 +180,8 @@ SETTLED = f"{KEY_TYPES}, place bigint, kind int, route bigint"
 
 
 def _settled(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted by (route, whole, did, tag, tie, place): later equals are repeats; first ones whose anchor has several stay open."""
+    """Sorted by (route, whole, did, tag, tie, place): later equals are repeats. First ones stay open if their anchor has several, and
+    another of them shares the bytes on one side: windows that are equal share them on the side where they have more."""
     none = np.empty((0, 3 + len(KEY)), np.int64)
     last = None  # the row before, and the first row of its stretch
     head = None
@@ -169,9 +189,19 @@ def _settled(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
     def out(rows: np.ndarray, kind) -> pa.RecordBatch:
         kinds = np.broadcast_to(np.asarray(kind, np.int32), len(rows))
-        arrays = [*map(pa.array, rows[:, 2:].T), pa.array(kinds), pa.array(rows[:, 0])]
+        arrays = [*map(pa.array, rows[:, 2:-1].T), pa.array(rows[:, -1] & PLACE_OF), pa.array(kinds), pa.array(rows[:, 0])]
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SETTLED.split(", ")])
 
+    def open_ones(firsts: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.r_[False, firsts[1:, 0] != firsts[:-1, 0]])
+        size = np.bincount(group)[group]
+        sides = firsts[:, -1] >> 40
+        shared = np.zeros(len(firsts), bool)
+        for side in (sides & (1 << SIDE_BITS) - 1, sides >> SIDE_BITS):
+            _, number, count = np.unique(group << SIDE_BITS | side, return_inverse=True, return_counts=True)
+            shared |= (side > 0) & (count[number] > 1)
+        return out(firsts[shared], np.where(size[shared] > most, CROWDED, OPEN))
+
     for batch in batches:
         repeat = batch.column("repeat").to_numpy(zero_copy_only=False)
         rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("route", "whole", *KEY, "place")])
@@ -203,16 +233,12 @@ def _settled(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 crowded_route = None
         closed, waiting = firsts[route != last_route], firsts[route == last_route]
         if len(closed):
-            group = np.cumsum(np.r_[False, closed[1:, 0] != closed[:-1, 0]])
-            size = np.bincount(group)[group]
-            several = size > 1
-            if several.any():
-                yield out(closed[several], np.where(size[several] > most, CROWDED, OPEN))
+            yield open_ones(closed)
         if len(waiting) > most:
             yield out(waiting, CROWDED)
             waiting, crowded_route = none, last_route
     if len(waiting) > 1:
-        yield out(waiting, OPEN)
+        yield open_ones(waiting)
 
 
 # --- suffix order ---

@@ -5,8 +5,8 @@ import numpy as np
 import public_tokenizers
 from conftest_llm import frame, prose, same
 from test_language import expected as plain_languages
+from test_nearcopies import first_of_each
 from test_repeats import covered, learn_tags
-from test_simhash import expected as plain_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -45,7 +45,7 @@ def test_stages_like_brute_force(spark, given):
     same([(r.doc_id, r.text) for r in found["language"].collect()], rows)
     assert not {100_007, 100_008, 100_009} & kept and {100_001, 100_006} <= kept
 
-    first = {i for i, _, group in plain_groups(rows) if i == group}
+    first = set(first_of_each(rows))
     rows = [(i, t) for i, t in rows if i in first]
     same([(r.doc_id, r.text) for r in found["near copies"].collect()], rows)
     assert 100_002 not in first
@@ -86,7 +86,7 @@ def test_run_is_the_registered_query(spark, data):
 
     queries = __spark_entry__.queries()
     assert queries["pipeline"] is corpus_pipeline.run
-    assert sorted(n.split("_")[0] for n in queries if n.startswith("op") and n[2].isdigit()) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries if n.startswith("op") and n[2].isdigit()) == sorted(f"op{n}" for n in range(1, 14))
     assert corpus_pipeline.run(spark, data).count() > 0
 
 
