@@ -208,6 +208,24 @@ def job_events(log: DataFrame) -> DataFrame:
     )
 
 
+def registry_log(log: DataFrame) -> DataFrame:
+    """What events ask of the two registries. Any route may register an artifact, but only the upload route sweeps; a job's route does both.
+    Some reads name a key that nothing registers."""
+    kind = F.col("event_type")
+    return log.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit("artifacts").alias("registry"), (kind == "signup").alias("sweeps"), kind.isin("signup", "purchase").alias("registers")),
+                F.struct(F.lit("jobs").alias("registry"), (kind == "error").alias("sweeps"), (kind == "error").alias("registers")),
+            )
+        ),
+        F.concat_ws("_", F.lit("key"), F.when((kind == "click") & (F.col("event_id") % 7 == 0), -1).otherwise(F.col("user_id") % 15).cast("string")).alias("key"),
+        "event_id",
+        F.col("ts").alias("at"),
+        kind.isin("view", "click").alias("reads"),
+    )
+
+
 def metadata(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select(
         F.col("p_partkey").alias("video_id"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from datetime import timedelta
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +96,7 @@ def registry_clock(entries: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def entry_expiry(entries: DataFrame, key: str, ttl: str, lateness: str = LATENESS) -> DataFrame:
     """Newest registration of each key and whether a sweep at "now" drops it: strictly older than the
-    lifetime. The clock is a single row."""
+    lifetime. Registering a key again renews it. The clock is a single row."""
     now = registry_clock(entries, lateness)
     newest = entries.groupBy(key).agg(F.max("created_at").alias("created_at"))
     return newest.select(
@@ -100,6 +104,60 @@ def entry_expiry(entries: DataFrame, key: str, ttl: str, lateness: str = LATENES
     )
 
 
+LIVES = "job_id bigint, created_at timestamp, updated_at timestamp, step string, events bigint"
+
+
+def job_lifetimes(jobs: DataFrame, ttl: timedelta = timedelta(minutes=60)) -> DataFrame:
+    """One row per entry of a job: an event of a job that has none, or one strictly older than the lifetime, opens it. Later events do not renew
+    it: they count and change its step until the lifetime is over.
+
+    Each job's events go through one task in order, as where an entry opens depends on the one before; of a batch only the places where
+    entries begin are looked up, and one open entry is carried on. Events without a moment are left out.
+    """
+    ordered = jobs.select(F.col("job_id").cast("bigint"), "created_at", "event_id", "step").filter(F.col("created_at").isNotNull())
+    ordered = ordered.repartition("job_id").sortWithinPartitions("job_id", "created_at", "event_id")
+    length = ttl // timedelta(microseconds=1)
+
+    def rows(lives: list[list]) -> pa.RecordBatch:
+        ids, opened, updated, steps, events = zip(*lives)
+        stamp = pa.timestamp("us", "UTC")
+        columns = [pa.array(ids, pa.int64()), pa.array(opened, pa.int64()).cast(stamp), pa.array(updated, pa.int64()).cast(stamp)]
+        columns += [pa.array(steps, pa.string()), pa.array(events, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LIVES.split(", ")])
+
+    def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        life: list | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, at, done = batch.column("job_id").to_pylist(), batch.column("created_at").cast(pa.int64()).to_numpy(), []
+            number, missing = batch.column("job_id").fill_null(0).to_numpy(), batch.column("job_id").is_null().to_numpy(zero_copy_only=False)
+            new = (number[1:] != number[:-1]) | (missing[1:] != missing[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(at)]
+            for start, stop in zip(cuts, cuts[1:]):
+                while start < stop:
+                    if life is None or life[0] != ids[start] or at[start] > life[1] + length:
+                        if life is not None:
+                            done.append(life)
+                        life = [ids[start], int(at[start]), 0, None, 0]
+                    end = start + int(np.searchsorted(at[start:stop], life[1] + length, side="right"))
+                    life[2:] = int(at[end - 1]), batch.column("step")[end - 1].as_py(), life[4] + end - start
+                    start = end
+            if done:
+                yield rows(done)
+        if life is not None:
+            yield rows([life])
+
+    return ordered.mapInArrow(folded, LIVES).withColumn("status", job_status(F.col("step")))
+
+
+def job_expiry(jobs: DataFrame, ttl: timedelta = timedelta(minutes=60), lateness: str = LATENESS) -> DataFrame:
+    """The newest entry of each job and whether a sweep at "now" drops it. Its age counts from when it was opened; steps do not renew it."""
+    now = registry_clock(jobs, lateness)
+    newest = job_lifetimes(jobs, ttl).groupBy("job_id").agg(F.max("created_at").alias("created_at"))
+    return newest.select("job_id", "created_at", (F.col("created_at") < now.scalar() - F.lit(ttl)).alias("expired"))
+
+
 def first_registrations(entries: DataFrame, key: str) -> DataFrame:
     """One row per key, the earliest; ties go to the lower event."""
     first = F.min(entry_order(F.col("created_at"), F.col("event_id"), F.col("step"))).alias("first")

@@ -96,6 +96,13 @@ TABLES: dict[str, str] = {
                                when 'purchase' then 'done' else 'error' end as step
         from events""",
     "fx_artifacts": "select *, concat_ws('_', 'art', cast(job_id as varchar), step) as token from fx_job_events",
+    "fx_registry_log": """
+        select registry, concat('key_', case when event_type = 'click' and event_id % 7 = 0 then -1 else user_id % 15 end) as key, event_id, ts as moment,
+               case registry when 'artifacts' then event_type = 'signup' else event_type = 'error' end as sweeps,
+               case registry when 'artifacts' then event_type in ('signup', 'purchase') else event_type = 'error' end as registers,
+               event_type in ('view', 'click') as reads,
+               case registry when 'artifacts' then interval 30 minutes else interval 60 minutes end as lifetime
+        from events, (values ('artifacts'), ('jobs')) as registries(registry)""",
     "fx_metadata": """
         select p_partkey as video_id,
                case p_partkey % 5 when 0 then 'make' when 1 then 'model' when 2 then 'creation_time' when 3 then 'location' else 'x-evil' end as key,
@@ -201,6 +208,11 @@ TABLES: dict[str, str] = {
     "job_states": """
         select job_id, arg_max(step, (created_at, event_id)) as step, max(created_at) as updated_at, count(*) as events
         from fx_job_events group by job_id""",
+    "job_starts": """
+        select job_id, min(created_at) as created_at from fx_job_events group by job_id
+        union all
+        select s.job_id, min(e.created_at) from job_starts s join fx_job_events e on e.job_id = s.job_id and e.created_at > s.created_at + interval 60 minutes
+        group by s.job_id""",
     "clock": "select date_trunc('millisecond', max(ts)) - interval 10 minutes as now from events",
 }
 
@@ -560,7 +572,29 @@ QUERIES: dict[str, str] = {
         from fx_artifacts, clock group by token""",
     "job_expiry": """
         select job_id, max(created_at) as created_at, max(created_at) < any_value(now) - interval 60 minutes as expired
-        from fx_job_events, clock group by job_id""",
+        from job_starts, clock group by job_id""",
+    "job_lifetimes": f"""
+        select *, {_STATUS} as status
+        from (select job_id, opened as created_at, max(created_at) as updated_at, arg_max(step, (created_at, event_id)) as step, count(*) as events
+              from (select e.*, (select max(s.created_at) from job_starts s where s.job_id = e.job_id and s.created_at <= e.created_at) as opened
+                    from fx_job_events e)
+              group by job_id, opened)""",
+    "registry_reads": """
+        select registry, key, event_id, moment as read_at, case when served then registered_at end as registered_at, swept_at, served,
+               case when served then 200 else 404 end as status
+        from (select *, registered_at is not null and not coalesce(registered_at < swept_at - lifetime, false) as served
+              from (select r.*, (select max(e.moment) from fx_registry_log e where e.registers and e.registry = r.registry and e.key = r.key
+                                   and (e.moment < r.moment or e.moment = r.moment and e.event_id <= r.event_id)) as registered_at,
+                           (select max(s.moment) from fx_registry_log s where s.sweeps and s.registry = r.registry
+                                   and (s.moment < r.moment or s.moment = r.moment and s.event_id <= r.event_id)) as swept_at
+                    from fx_registry_log r where r.reads))""",
+    "registry_lifetimes": """
+        select registry, key, event_id, moment as registered_at, least(swept_at, replaced_at) as served_until,
+               case when swept_at <= coalesce(replaced_at, swept_at) then 'swept' when replaced_at is not null then 'replaced' else 'alive' end as fate
+        from (select e.*, (select min(n.moment) from fx_registry_log n where n.registers and n.registry = e.registry and n.key = e.key
+                             and (n.moment > e.moment or n.moment = e.moment and n.event_id > e.event_id)) as replaced_at,
+                     (select min(s.moment) from fx_registry_log s where s.sweeps and s.registry = e.registry and s.moment > e.moment + e.lifetime) as swept_at
+              from fx_registry_log e where e.registers)""",
     "job_latest_state": f"select *, {_STATUS} as status from job_states",
     "artifact_dedup": """
         select token, created_at, event_id, step
@@ -604,6 +638,8 @@ def oracle_sql() -> dict[str, str]:
     texts = {}
     for name, sql in QUERIES.items():
         ctes = ",\n".join(f"{t} as ({TABLES[t]})" for t in _needed(sql))
+        if any("job_starts" in t for t in _needed(sql)):
+            ctes = f"recursive {ctes}"
         body = sql.strip()
         if body.startswith("with ") and ctes:
             texts[name] = f"with {ctes},\n{body[5:]}"

@@ -12,7 +12,7 @@ from clipquarry import fixtures as fx
 from clipquarry.functions import draws, geometry, routing, text
 from clipquarry.functions import phash as hashing
 from clipquarry.functions.semantics import int_param, round_digits, round_half_up, utc_wall_time
-from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, speech
+from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, registry, speech
 from clipquarry.plans import sampling
 from clipquarry.sources import media, requests, sinks
 from clipquarry.sources.tables import events, table
@@ -696,7 +696,22 @@ def artifact_expiry(spark, root):
 
 @query
 def job_expiry(spark, root):
-    return _plain_times(jobs.entry_expiry(fx.job_events(events(spark, root)), "job_id", jobs.JOB_TTL))
+    return _plain_times(jobs.job_expiry(fx.job_events(events(spark, root))))
+
+
+@query
+def job_lifetimes(spark, root):
+    return _plain_times(jobs.job_lifetimes(fx.job_events(events(spark, root))))
+
+
+@query
+def registry_reads(spark, root):
+    return _plain_times(registry.registry_reads(fx.registry_log(events(spark, root))))
+
+
+@query
+def registry_lifetimes(spark, root):
+    return _plain_times(registry.registry_lifetimes(fx.registry_log(events(spark, root))))
 
 
 @query

@@ -82,6 +82,40 @@ def with_position(
     return counted.withColumn(name, F.col(name) - 1)
 
 
+def with_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], value: Column, name: str, min_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """Add the newest `value` that is not null among the rows of a key up to and with this one, in `order`: an as-of lookup.
+
+    A hot key is cut into buckets like in `with_running_total`: the lookup runs inside (key, bucket), and where a bucket has no value yet
+    the last one of the earlier buckets is taken, of which each bucket has one row.
+    """
+    run = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    heavy, _ = _listed(df, keys, min_rows)
+    if heavy is None:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(run(keys)))
+    names = [f"_bucket{i}" for i in range(len(bucket))]
+    marked = df.join(heavy, list(keys), "left").withColumns({n: F.when(F.col("count").isNotNull(), b) for n, b in zip(names, bucket)})
+    group = [*keys, *names]
+
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    # Max of (order, value) is the newest value; null orders come first, as they do in a window.
+    newest = F.max(F.when(value.isNotNull(), F.struct(*order, value.alias("_value"))))
+    carried = (
+        marked.filter(F.col("count").isNotNull())
+        .groupBy(*group)
+        .agg(newest.alias("_newest"))
+        .withColumn("_carried", F.last("_newest._value", ignorenulls=True).over(before))
+        .drop("_newest")
+    )
+    return (
+        marked.withColumn("_inside", F.last(value, ignorenulls=True).over(run(group)))
+        .join(carried, group, "left")
+        .withColumn(name, F.coalesce("_inside", "_carried"))
+        .drop("count", "_inside", "_carried", *names)
+    )
+
+
 def salted_join(
     many: DataFrame,
     side: DataFrame,

@@ -14,7 +14,7 @@ from clipquarry.operators.jobs import JOB_TTL, LATENESS, entry_order, job_status
 
 def expired_entries(entries: DataFrame, key: str, ttl: str, lateness: str = LATENESS) -> DataFrame:
     """Entries whose lifetime is over (append mode): each run of registrations no further apart than the
-    lifetime is one entry, as registering a key again renews it. The window is one millisecond longer
+    lifetime is one entry, as registering a key again renews it. Steps of a job do not; see `job_state`. The window is one millisecond longer
     than the lifetime, because only entries strictly older are dropped."""
     alive = F.session_window("created_at", f"{ttl} 1 millisecond")
     return (

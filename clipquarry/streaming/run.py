@@ -36,7 +36,7 @@ def run_available(
     else:
 
         def fold(rows: DataFrame, batch: int) -> None:
-            earlier = _snapshot(rows.sparkSession, folder, batch - 1) if batch else None
+            earlier = snapshot(rows.sparkSession, folder, batch - 1) if batch else None
             if earlier is not None:
                 rows = rows.unionByName(earlier.drop("batch"))
             values = [c for c in rows.columns if c != key]
@@ -51,7 +51,7 @@ def run_available(
         running.stop()
 
 
-def _snapshot(spark: SparkSession, folder: str, batch: int) -> DataFrame:
+def snapshot(spark: SparkSession, folder: str, batch: int) -> DataFrame:
     """The snapshot that a batch left."""
     return spark.read.parquet(f"{folder}/turn={batch % 2}").filter(F.col("batch") == batch)
 
