@@ -487,6 +487,44 @@ def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows, band_bi
     assert rows(got, "clip_id") == _brute_force(signed, threshold)
 
 
+@pytest.mark.parametrize("threshold, band_bits", [(4, 16), (10, 16), (20, 16)])
+def test_common_frames_lose_no_near_pair(spark, threshold, band_bits):
+    """Clips of one to nine frames of which up to all are shared by many, with copies near and far in the frames that are not."""
+    rng = np.random.default_rng(threshold + 1)
+    shared = [0, -1, 0x5555555555555555, 0x00FF00FF00FF00FF]
+    clips = {}
+    for i in range(20):
+        size = int(rng.integers(1, 10))
+        base = [shared[int(rng.integers(0, 4))] if rng.random() < 0.45 else int(rng.integers(-(2**63), 2**63 - 1)) for _ in range(size)]
+        clips[len(clips)] = base
+        for _ in range(3):
+            copy = []
+            for h in base:
+                bits = rng.choice(64, int(rng.integers(0, 3 * threshold)), replace=False) if rng.random() < 0.5 else []
+                for bit in bits:
+                    h ^= (1 << int(bit)) if bit < 63 else -(2**63)
+                copy.append(h)
+            clips[len(clips)] = copy[: int(rng.integers(1, size + 1))]
+    df = _clips(spark, clips)
+    wanted = _brute_force(clips, threshold)
+    for common_rows, heavy_rows in ((3, 10_000), (5, 6)):
+        got = hashes.near_duplicates(df, threshold, band_bits, heavy_rows, common_rows)
+        assert rows(got, "clip_id") == wanted
+
+
+def test_one_shared_frame_brings_nobody_together(spark):
+    """A hundred thousand clips that open with the same black frame, and one true copy."""
+    count = 100_000
+    made = [F.lit(0).cast("bigint"), *[F.xxhash64("id", F.lit(k)) for k in range(5)]]
+    clips = spark.range(count).select(F.col("id").alias("clip_id"), F.array(*made).alias("signature"), F.lit(1).cast("bigint").alias("copies"))
+    near = clips.filter("clip_id = 77").select(F.lit(count).cast("bigint").alias("clip_id"), F.expr("transform(signature, (h, i) -> if(i = 3, h ^ 5, h))").alias("signature"), "copies")
+    groups = clips.unionByName(near)
+    met = hashes._candidates(groups, 3, 16, hashes.HEAVY_ROWS, hashes.COMMON_ROWS)
+    assert [tuple(r) for r in met.collect()] == [(77, count)]
+    frames = spark.range(40).select(F.col("id").alias("clip_id"), F.array(*made).alias("signature"), F.lit(1).cast("bigint").alias("copies"))
+    assert hashes._candidates(frames, 3, 16, 10_000, 10_000).count() == 40 * 39 // 2  # what a shared frame does where it is looked up
+
+
 def test_every_copy_and_every_near_partner_is_named(spark):
     """Copies beside the smallest clip, and partners beside the nearest, whether or not the signature is salted."""
     clips = {n: [5, 9] for n in range(20, 40)} | {3: [5, 9], 50: [4, 9], 51: [4, 9], 60: [7, 9], 70: [-1, -1], 80: []}
