@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipquarry.functions import geometry
 from clipquarry.functions.semantics import round_digits, round_half_up, to_number, trim_blanks, utf16_length
 from clipquarry.plans.sampling import FRAME_RATE
+from clipquarry.skew import salted_join, with_position
 
 # Fixed values.
 WORDS_PER_CHUNK = 3
@@ -138,3 +139,34 @@ def cue_frame_overlay(cues: DataFrame, reels: DataFrame, rate: int = FRAME_RATE,
         .filter((moment >= F.col("start_s")) & (moment <= F.col("end_s")))
         .select("reel_id", "frame_idx", "cue_idx")
     )
+
+
+def cue_overlay_runs(cues: DataFrame, reels: DataFrame, rate: int = FRAME_RATE, cap: int | None = None) -> DataFrame:
+    """`cue_frame_overlay` as runs of frames that show the same cues: (reel_id, first_frame, last_frame, cues), cues in order, comma-joined.
+
+    A sweep line over the frames at which a cue starts, or has just stopped: they cut a reel into runs, and a cue lies in those from its start to its
+    stop. Rows grow with the cues, not with the frame rate; a reel of very many cues is numbered in buckets (`with_position`).
+    """
+    usable = usable_cues(first_per_group(cues, ["reel_id"], ["cue_idx"], cap)).select(
+        "reel_id", "cue_idx", round_digits(F.col("start_s"), 3).alias("start_s"), round_digits(F.col("end_s"), 3).alias("end_s")
+    )
+    last_frame = F.floor(F.col("seconds") * rate).cast("bigint") - 1
+    near = lambda side, steps: [F.floor(F.col(side) * rate).cast("bigint") + k for k in steps]
+    moment = lambda frame: frame / F.lit(float(rate))
+    # The product may be off by a rounding, so neighbours are tried with the comparison that decides.
+    first = F.least(*[F.when(moment(f) >= F.col("start_s"), f) for f in near("start_s", (-1, 0, 1, 2))])
+    last = F.greatest(*[F.when(moment(f) <= F.col("end_s"), f) for f in near("end_s", (-1, 0, 1, 2))])
+    shown = (
+        salted_join(usable, reels.select("reel_id", "seconds"), ["reel_id"], ["cue_idx"])
+        .select("reel_id", "cue_idx", F.greatest(first, F.lit(0).cast("bigint")).alias("first"), (F.least(last, last_frame) + 1).alias("stop"))
+        .filter("first < stop")
+    )
+    edges = shown.select("reel_id", F.explode(F.array("first", "stop")).alias("frame")).distinct()
+    runs = with_position(edges, ["reel_id"], ["frame"], [F.expr("frame div 65536")], "run")
+    of = lambda side: runs.select("reel_id", F.col("frame").alias(side), F.col("run").alias(f"{side}_run"))
+    placed = shown.join(of("first"), ["reel_id", "first"]).join(of("stop"), ["reel_id", "stop"])
+    covered = placed.select("reel_id", "cue_idx", F.explode(F.sequence("first_run", F.col("stop_run") - 1)).alias("run"))
+    sets = covered.groupBy("reel_id", "run").agg(F.array_join(F.array_sort(F.collect_list("cue_idx")).cast("array<string>"), ",").alias("cues"))
+    starts = runs.select("reel_id", "run", F.col("frame").alias("first_frame"))
+    stops = runs.select("reel_id", (F.col("run") - 1).alias("run"), (F.col("frame") - 1).alias("last_frame"))
+    return sets.join(starts, ["reel_id", "run"]).join(stops, ["reel_id", "run"]).select("reel_id", "first_frame", "last_frame", "cues")

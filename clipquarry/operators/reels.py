@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquarry.functions.semantics import clamp, or_default, trim_blanks
 from clipquarry.operators.captions import caption_outcome, first_per_group
 from clipquarry.operators.speech import word_normalize
-from clipquarry.skew import with_running_total
+from clipquarry.skew import salted_join, with_running_total
 
 # Fixed values.
 MIN_CLIPS = 2
 SHOT_LONGEST = 10.0
 
+# Silence, in seconds, that parts two islands of speech.
+ISLAND_GAP = 0.3
+
 
 def shot_seconds(raw: Column) -> Column:
     return clamp(or_default(raw, 1.0), 0.3, SHOT_LONGEST)
@@ -160,3 +163,75 @@ def word_shot_alignment(words: DataFrame, shots: DataFrame, voices: DataFrame, c
     return met.select(
         "w.video_id", "w.word_idx", "w.word", F.round("w.at", 6).alias("at"), "s.shot_idx", F.col("s.shot_idx").isNotNull().alias("heard")
     )
+
+
+def _joined_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The union of the spans (start_s, end_s) of a key as spans that do not touch."""
+    line = Window.partitionBy(*keys).orderBy("start_s", "end_s")
+    reached = F.max("end_s").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reached.isNull() | (F.col("start_s") > reached), 1).otherwise(0)
+    numbered = spans.withColumn("opens", opens).withColumn("span", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "span").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("span")
+
+
+def voice_over_fit(words: DataFrame, shots: DataFrame, voices: DataFrame, cap: int | None = None) -> DataFrame:
+    """How the voice-over of each accepted reel fits its picture, one row per reel that has one.
+
+    The voice starts `delay_s` late and ends with its last word. If it is shorter than the picture it is padded with silence, if longer it is cut
+    where the picture ends: `cut_words` start after that, `clipped_words` before and end after it. What is heard forms `islands` of speech,
+    apart by more than `ISLAND_GAP`; `longest_silence_s` also counts the time before the first and after the last of them.
+
+    Spans of words are united inside stretches of ten seconds first, so a reel of very many words enters its own window with few.
+    """
+    voiced = voices.filter("audio_url <> ''").select("reel_id", voice_delay(F.col("delay_raw")).alias("delay_s"))
+    reels = accepted_reels(shots, cap).join(voiced, "reel_id").withColumnRenamed("seconds", "picture_s")
+    spoken = word_normalize(words).select(F.col("video_id").alias("reel_id"), "word_idx", "start_s", "end_s")
+    placed = salted_join(spoken, reels, ["reel_id"], ["word_idx"]).select(
+        "reel_id",
+        "picture_s",
+        (F.col("start_s") + F.col("delay_s")).alias("start_s"),
+        (F.greatest("end_s", "start_s") + F.col("delay_s")).alias("end_s"),
+    )
+    starts_in = F.col("start_s") < F.col("picture_s")
+    counted = placed.groupBy("reel_id").agg(
+        F.max("end_s").alias("voice_end"),
+        F.count("*").alias("words"),
+        F.count_if(~starts_in).alias("cut_words"),
+        F.count_if(starts_in & (F.col("end_s") > F.col("picture_s"))).alias("clipped_words"),
+    )
+    heard = placed.filter(starts_in).select("reel_id", "start_s", F.least("end_s", "picture_s").alias("end_s"))
+    parts = _joined_spans(heard.withColumn("stretch", F.floor(F.col("start_s") / SHOT_LONGEST).cast("bigint")), ["reel_id", "stretch"])
+    whole = _joined_spans(parts.drop("stretch"), ["reel_id"])
+    silence = F.col("start_s") - F.lag("end_s").over(Window.partitionBy("reel_id").orderBy("start_s"))
+    islands = (
+        whole.withColumn("silence", silence)
+        .groupBy("reel_id")
+        .agg(
+            (F.count_if(F.col("silence") > ISLAND_GAP) + 1).alias("islands"),
+            F.sum(F.col("end_s") - F.col("start_s")).alias("speech_s"),
+            F.greatest(F.max("silence"), F.min("start_s")).alias("gap_s"),
+            F.max("end_s").alias("heard_until"),
+        )
+    )
+    none = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
+    seconds = lambda column, name: F.round(column, 6).alias(name)
+    voice_end = F.coalesce("voice_end", "delay_s")
+    zero = F.lit(0.0)
+    return (
+        reels.join(counted, "reel_id", "left")
+        .join(islands, "reel_id", "left")
+        .select(
+            "reel_id",
+            seconds(F.col("picture_s"), "picture_s"),
+            "delay_s",
+            seconds(voice_end, "voice_end_s"),
+            seconds(F.greatest(F.col("picture_s") - voice_end, zero), "pad_s"),
+            seconds(F.greatest(voice_end - F.col("picture_s"), zero), "cut_s"),
+            none("words"),
+            none("cut_words"),
+            none("clipped_words"),
+            none("islands"),
+            seconds(F.coalesce("speech_s", zero), "speech_s"),
+            seconds(F.greatest(F.coalesce("gap_s", zero), F.col("picture_s") - F.coalesce("heard_until", zero)), "longest_silence_s"),
+        )
+    )

@@ -465,6 +465,37 @@ QUERIES: dict[str, str] = {
         from good_cues join summary s using (reel_id),
              unnest(range(cast(floor(s.seconds * 24) as bigint))) as frames(frame_idx)
         where status = 'ok' and frame_idx / 24e0 >= start_s and frame_idx / 24e0 <= end_s""",
+    "cue_overlay_runs": """
+        select reel_id, min(frame_idx) as first_frame, max(frame_idx) as last_frame, cues
+        from (select *, frame_idx - row_number() over (partition by reel_id, cues order by frame_idx) as island
+              from (select reel_id, frame_idx, string_agg(cue_idx, ',' order by cue_idx) as cues
+                    from good_cues join summary s using (reel_id), unnest(range(cast(floor(s.seconds * 24) as bigint))) as frames(frame_idx)
+                    where status = 'ok' and frame_idx / 24e0 >= start_s and frame_idx / 24e0 <= end_s
+                    group by reel_id, frame_idx))
+        group by reel_id, cues, island""",
+    "voice_over_fit": """
+        with voiced as (
+            select reel_id, seconds as picture_s, case reel_id % 5 when 1 then 0.5e0 when 2 then 15e0 when 4 then 2.25e0 else 0e0 end as delay_s
+            from summary where status = 'ok' and reel_id % 4 not in (0, 1)),
+        spoken as (select reel_id, picture_s, w.start_s + delay_s as start_s, greatest(w.end_s, w.start_s) + delay_s as end_s
+                   from voiced join clean_words w on w.video_id = reel_id),
+        totals as (select reel_id, max(end_s) as voice_end, count(*) as words, count(*) filter (where start_s >= picture_s) as cut_words,
+                          count(*) filter (where start_s < picture_s and end_s > picture_s) as clipped_words from spoken group by reel_id),
+        heard as (select reel_id, start_s, least(end_s, picture_s) as end_s from spoken where start_s < picture_s),
+        joined as (select reel_id, span, min(start_s) as start_s, max(end_s) as end_s
+                   from (select *, sum(opens) over (partition by reel_id order by start_s, end_s rows unbounded preceding) as span
+                         from (select *, case when start_s <= max(end_s) over (partition by reel_id order by start_s, end_s
+                                                                            rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens
+                               from heard)) group by reel_id, span),
+        apart as (select reel_id, count(*) filter (where silence > 0.3e0) + 1 as islands, sum(end_s - start_s) as speech_s,
+                         greatest(coalesce(max(silence), 0e0), min(start_s)) as gap_s, max(end_s) as heard_until
+                  from (select *, start_s - lag(end_s) over (partition by reel_id order by start_s) as silence from joined) group by reel_id)
+        select reel_id, round(picture_s, 6) as picture_s, delay_s, round(coalesce(voice_end, delay_s), 6) as voice_end_s,
+               round(greatest(picture_s - coalesce(voice_end, delay_s), 0e0), 6) as pad_s, round(greatest(coalesce(voice_end, delay_s) - picture_s, 0e0), 6) as cut_s,
+               coalesce(words, 0) as words, coalesce(cut_words, 0) as cut_words, coalesce(clipped_words, 0) as clipped_words,
+               coalesce(islands, 0) as islands, round(coalesce(speech_s, 0e0), 6) as speech_s,
+               round(greatest(coalesce(gap_s, 0e0), picture_s - coalesce(heard_until, 0e0)), 6) as longest_silence_s
+        from voiced left join totals using (reel_id) left join apart using (reel_id)""",
     "word_shot_alignment": """
         select video_id, word_idx, word, round(moment, 6) as at, shot_idx, shot_idx is not null as heard
         from (select w.*, w.start_s + case when o_orderkey is null then 0e0

@@ -494,6 +494,16 @@ def cue_frame_overlay(spark, root):
     return captions.cue_frame_overlay(fx.cues(spark, root), _reel_lengths(spark, root))
 
 
+@query
+def cue_overlay_runs(spark, root):
+    return captions.cue_overlay_runs(fx.cues(spark, root), _reel_lengths(spark, root))
+
+
+@query
+def voice_over_fit(spark, root):
+    return reels.voice_over_fit(fx.words(spark, root), fx.shots(spark, root), fx.voices(spark, root))
+
+
 @query
 def word_shot_alignment(spark, root):
     return reels.word_shot_alignment(fx.words(spark, root), fx.shots(spark, root), fx.voices(spark, root))

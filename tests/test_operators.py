@@ -487,6 +487,46 @@ def test_near_duplicates_equal_brute_force(spark, threshold, heavy_rows, band_bi
     assert rows(got, "clip_id") == _brute_force(signed, threshold)
 
 
+@pytest.mark.parametrize("rate", [24, 30, 7])
+def test_overlay_runs_expand_to_the_overlay(spark, rate):
+    rng = np.random.default_rng(rate)
+    cues, reels_ = [], []
+    for reel in range(12):
+        reels_.append((reel, float(rng.integers(0, 200)) / 10))
+        for cue in range(int(rng.integers(0, 14))):
+            start = round(float(rng.integers(-10, 180)) / 12, 3)
+            length = rng.choice([0.001, 0.5, 1 / 24, 1 / 7, 3.0, 0.0])
+            cues.append((reel, cue, rng.choice(["hi", "hi", " "]), str(start), str(round(start + length, 3))))
+    cues += [(99, 0, "no reel", "0", "5"), (3, 50, "null start", None, "1")]
+    df = spark.createDataFrame(cues, "reel_id int, cue_idx int, text string, start_raw string, end_raw string")
+    lengths = spark.createDataFrame(reels_, "reel_id int, seconds double")
+    frames = {}
+    for reel, frame, cue in rows(captions.cue_frame_overlay(df, lengths, rate).select("reel_id", "frame_idx", "cue_idx")):
+        frames.setdefault((reel, frame), []).append(cue)
+    runs = rows(captions.cue_overlay_runs(df, lengths, rate))
+    opened = {(reel, f): sorted(map(int, shown.split(","))) for reel, first, last, shown in runs for f in range(first, last + 1)}
+    assert opened == {k: sorted(v) for k, v in frames.items()} and frames
+    assert sum(last - first + 1 for _, first, last, _ in runs) == len(frames)  # runs do not overlap
+    assert all(not (a[0] == b[0] and a[2] + 1 == b[1] and a[3] == b[3]) for a in runs for b in runs)  # and are as long as they can be
+
+
+def test_voice_over_fit(spark):
+    shots = [(r, i, f"u{i}", "video", 4.0, 0.0, True) for r in (1, 2, 3, 4) for i in range(2)] + [(5, 0, "u", "video", 4.0, 0.0, True)]
+    shots = spark.createDataFrame(shots, "reel_id bigint, shot_idx int, url string, kind string, seconds double, start_at double, fetched boolean")
+    voices = [(1, "v", None), (2, "v", 6.0), (3, "v", 20.0), (4, "", None), (5, "v", None)]
+    voices = spark.createDataFrame(voices, "reel_id bigint, audio_url string, delay_raw double")
+    said = [("a", 0.5, 1.0), ("b", 0.8, 1.5), ("c", 1.75, 1.8), (" ", 5.0, 30.0), ("d", 3.0, 3.0)]
+    words = spark.createDataFrame(
+        [(r, i, *w) for r in (1, 2, 9) for i, w in enumerate(said)], "video_id bigint, word_idx int, word string, start_s double, end_s double"
+    )
+    got = rows(reels.voice_over_fit(words, shots, voices))
+    assert got == [
+        (1, 8.0, 0.0, 3.0, 5.0, 0.0, 4, 0, 0, 2, 1.05, 5.0),
+        (2, 8.0, 6.0, 9.0, 0.0, 1.0, 4, 1, 0, 1, 1.05, 6.5),
+        (3, 8.0, 15.0, 15.0, 0.0, 7.0, 0, 0, 0, 0, 0.0, 8.0),
+    ]
+
+
 @pytest.mark.parametrize("threshold, band_bits", [(4, 16), (10, 16), (20, 16)])
 def test_common_frames_lose_no_near_pair(spark, threshold, band_bits):
     """Clips of one to nine frames of which up to all are shared by many, with copies near and far in the frames that are not."""
