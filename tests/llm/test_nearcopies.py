@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import frame, prose
 
@@ -79,3 +81,54 @@ def test_chains_are_walked():
 def test_columns_and_empty_table(odd, none):
     assert nc.one_of_each(odd).dtypes == odd.dtypes
     assert nc.one_of_each(none).count() == 0
+
+
+def band_sets(spark, rows):
+    """(name, sketch, bands) with given numbers for the minima's low bits and bands."""
+    data = [(n.to_bytes(16, "big"), low.tobytes(), bands.tobytes()) for n, low, bands in rows]
+    return spark.createDataFrame(data, "name binary, sketch binary, bands binary")
+
+
+def sizes(groups):
+    return [max((r["count"] for r in g.groupBy("key").count().collect()), default=0) for g in groups]
+
+
+def test_crowded_band_is_split(spark):
+    draw = np.random.default_rng(5)
+    n, crowd = 50_000, 2000
+    bands = draw.integers(0, 2**63, (n, nc.BANDS)).astype(np.uint64)
+    bands[:, 7] = 12345  # boilerplate: all unlike, one band in common
+    low = draw.integers(0, 256, (n, 128)).astype(np.uint8)
+    bands[n // 2, 9], low[n // 2] = bands[n // 3, 9], low[n // 3]  # and one pair that is alike
+    sets = band_sets(spark, zip(range(n), low, bands))
+    groups, edges = nc.small_groups(sets, nc.LIKENESS, crowd)
+    assert max(sizes(groups)) <= 2
+    assert all(e.count() == 0 for e in edges)
+    links = [{int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")} for r in nc.loose_links(sets, crowd=crowd).collect()]
+    assert {n // 2, n // 3} in links and all(x == {n // 2, n // 3} for x in links)
+
+
+def test_crowd_of_near_copies_is_linked_to_its_leader(spark):
+    draw = np.random.default_rng(6)
+    n, crowd = 5000, 500
+    bands = np.tile(draw.integers(0, 2**63, nc.BANDS).astype(np.uint64), (n, 1))
+    low = np.tile(draw.integers(0, 256, 128).astype(np.uint8), (n, 1))
+    low[np.arange(n), draw.integers(0, 128, n)] ^= 1
+    sets = band_sets(spark, zip(range(n), low, bands))
+    groups, edges = nc.small_groups(sets, nc.LIKENESS, crowd)
+    assert max(sizes(groups)) == 0 and len(edges) == 1
+    assert edges[0].distinct().count() == n - 1
+
+
+def test_rows_of_one_key_are_not_gathered():
+    keys = [1, 2, 2, 2, 3, 4, 4, 5, 6, 6]
+    rows = pa.table({"key": pa.array(keys, pa.int64()), "name": [str(n) for n in range(10)]})
+    for size in range(1, 11):
+        out = [r for b in nc._several(iter(rows.to_batches(size))) for r in b.column("key").to_pylist()]
+        assert out == [2, 2, 2, 4, 4, 6, 6]
+
+
+def test_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c", x) for x in range(20)]
+    make = lambda r: spark.createDataFrame(r, "doc_id bigint, text string, extra int").repartition(4)
+    assert len({nc.one_of_each(make(r)).first().extra for r in (rows, rows[::-1])}) == 1
