@@ -57,6 +57,12 @@ RULES = [
 BASE = ("assign", "access", "hex")
 REDACTED = "[secret]"
 
+# Unseen contents whose addresses go to every task; about 100 bytes each.
+BROADCAST_PATHS = 100_000
+
+# Contents that a task remembers, so that it scans one that lies under many null ids once.
+REMEMBERED = 10_000
+
 
 def spans(text: str, rules: Iterable[Rule]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all matches, by start and then in the order of the rules."""
@@ -78,37 +84,56 @@ def blob_of(text: Column) -> Column:
 LEDGER = "blob binary, version int, spans array<struct<kind:string,start:int,stop:int>>"
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
-    """The ledger with the contents of docs (doc_id, text) added, as far as it did not have them under these rules.
-
-    `ledger` is what an earlier call returned, if any. Counting contents needs their addresses only; each new content's
-    text is shuffled once, from one of its paths.
-    """
+def unseen_texts(docs: DataFrame, ledger: DataFrame | None, rules: list[Rule], broadcast_paths: int) -> DataFrame:
+    """(blob, text, versions): each content that the ledger lacks under some rule versions, from one of its paths; under null
+    ids from all of them."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     paths = rows.select("doc_id", blob_of(F.col("text")).alias("blob"))
-    versions = sorted({r.version for r in rules})
     unseen = (
         paths.groupBy("blob")
         .agg(F.min("doc_id").alias("from_id"))
-        .withColumn("version", F.explode(F.array(*[F.lit(v) for v in versions])))
+        .withColumn("version", F.explode(F.array(*[F.lit(r) for r in sorted({r.version for r in rules})])))
     )
     if ledger is not None:
         unseen = unseen.join(ledger.select("blob", "version").distinct(), ["blob", "version"], "left_anti")
     todo = unseen.groupBy("blob").agg(F.max("from_id").alias("from_id"), F.array_sort(F.collect_set("version")).alias("versions"))
 
+    hint = "shuffle_hash"
+    if ledger is not None:
+        todo = landed(todo, "unseen")
+        hint = "broadcast" if todo.count() <= broadcast_paths else hint
     texts = rows.withColumn("blob", blob_of(F.col("text"))).alias("t")
-    todo = todo.alias("d").hint("shuffle_hash")
     same = (F.col("t.blob") == F.col("d.blob")) & F.col("t.doc_id").eqNullSafe(F.col("d.from_id"))
-    picked = texts.join(todo, same).select("t.blob", "t.text", "d.versions")
+    return texts.join(todo.alias("d").hint(hint), same).select("t.blob", "t.text", "d.versions")
+
+
+def scan(
+    docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES, broadcast_paths: int = BROADCAST_PATHS
+) -> DataFrame:
+    """The ledger with the contents of docs (doc_id, text) added, as far as it did not have them under these rules.
+
+    `ledger` is what an earlier call returned, if any. Counting contents needs their addresses only. With a ledger, while the new
+    contents are `broadcast_paths` at most (counted), their addresses go to every task, which scans where the texts lie, and no text
+    moves. More of them, and a first scan, meet the texts by shuffle.
+    """
+    versions = sorted({r.version for r in rules})
+    picked = unseen_texts(docs, ledger, rules, broadcast_paths)
 
     def scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
         by_version = {v: [r for r in rules if r.version == v] for v in versions}
+        seen: set[bytes] = set()
         for batch in batches:
             blobs, numbers, found = [], [], []
             columns = [batch.column(c) for c in ("blob", "text", "versions")]
             for i in range(batch.num_rows):
-                blob, text, open_versions = (c[i].as_py() for c in columns)
+                blob = columns[0][i].as_py()
+                if blob in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(blob)
+                text, open_versions = columns[1][i].as_py(), columns[2][i].as_py()
                 for v in open_versions:
                     blobs.append(blob)
                     numbers.append(v)

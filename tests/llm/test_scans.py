@@ -133,6 +133,17 @@ def test_ledger_scans_what_is_new(spark, monkeypatch):
     assert all(s.split(":")[0] in sec.BASE for r in by_old for s in r.spans.split(",") if s)
 
 
+def test_few_new_contents_move_no_text(spark):
+    old, new = SECRET_ROWS[:4], [*SECRET_ROWS, *[(None, "a new password=abcdefghijklmnop")] * 30]
+    ledger = sec.scan(frame(spark, old))
+    wanted = sorted((r.blob, r.version, r.spans) for r in sec.scan(frame(spark, new)).collect())
+    for limit, joins in ((100, "BroadcastHashJoin"), (0, "ShuffledHashJoin")):
+        plan = sec.unseen_texts(frame(spark, new), ledger, sec.RULES, limit)._jdf.queryExecution().executedPlan().toString()
+        assert joins in plan and ("hashpartitioning" in plan) == (limit == 0)
+        both = sec.scan(frame(spark, new), ledger, broadcast_paths=limit).collect()
+        assert sorted((r.blob, r.version, r.spans) for r in both) == wanted
+
+
 def test_redacted_keeps_columns_and_rows(odd, rows):
     found = sec.redacted(odd, sec.scan(odd))
     assert found.dtypes == odd.dtypes
