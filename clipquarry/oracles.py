@@ -274,6 +274,11 @@ QUERIES: dict[str, str] = {
                     else concat('{"success":true,"durationSec":', cast(floor(duration * 10 + 0.5) / 10 as varchar),
                                 case when width is null then '' else concat(',"width":', width) end, '}') end as envelope
         from clips""",
+    "sink_runs": """
+        select video_id, case when probe_duration is null then 'failed' else 'ok' end as state,
+               case when probe_duration is null then 'again' else concat('first ', probe_duration) end as result,
+               cast(case when probe_duration is null then 2 else 1 end as bigint) as run_number
+        from clips""",
     "frame_data_url": "select doc_id, concat('data:image/jpeg;base64,', to_base64(encode(text))) as data_url from documents",
     "url_route": f"""
         select page_id, platform,

@@ -14,7 +14,7 @@ from clipquarry.functions import phash as hashing
 from clipquarry.functions.semantics import int_param, round_digits, round_half_up, utc_wall_time
 from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, registry, speech
 from clipquarry.plans import sampling
-from clipquarry.sources import media, requests, sinks
+from clipquarry.sources import media, requests, runs, sinks
 from clipquarry.sources.tables import events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,23 @@ def sink_results(spark, root):
     return fx.videos(spark, root).select("video_id", envelope.alias("envelope"))
 
 
+@query
+def sink_runs(spark, root):
+    """All clips' results, then those that failed again, a repeated run, a run that stops before it is published, and a compaction."""
+    folder = runs.scratch_folder(spark, "sink_runs")
+    state = F.when(F.col("probe_duration").isNull(), "failed").otherwise("ok").alias("state")
+    result = lambda text: F.concat_ws(" ", F.lit(text), "probe_duration").alias("result")
+    clips = fx.videos(spark, root)
+    first = clips.select("video_id", state, result("first"))
+    again = clips.filter(F.col("probe_duration").isNull()).select("video_id", state, result("again"))
+    runs.commit_run(first, 1, folder, "state")
+    runs.commit_run(again, 2, folder, "state")
+    runs.commit_run(clips.select("video_id", state, result("repeated")), 2, folder, "state")
+    runs.stage_run(clips.select("video_id", state, result("stopped")), folder, "state")
+    runs.compact(spark, folder, first.schema, "state")
+    return runs.read_runs(spark, folder, first.schema, "run_number")
+
+
 @query
 def frame_data_url(spark, root):
     return table(spark, root, "documents").select("doc_id", text.data_url(F.encode("text", "UTF-8")).alias("data_url"))

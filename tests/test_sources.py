@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipquarry import fixtures as fx
 from clipquarry.operators import jobs
-from clipquarry.sources import requests, sinks
+from clipquarry.sources import requests, runs, sinks
 from clipquarry.sources.tables import events, table
 from clipquarry.streaming import registry, run
 
@@ -39,6 +39,49 @@ def test_results_replace_their_partitions_only(spark):
     assert rows(spark.read.parquet(folder).select("day", "x")) == [(1, "a"), (2, "c")]
 
 
+def test_runs_are_whole_and_repeatable(spark):
+    folder = f"{tempfile.mkdtemp(prefix='run-')}/results"
+    make = lambda *r: spark.createDataFrame(r, "day int, x string")
+    schema = make((1, "a")).schema
+    read = lambda: rows(runs.read_runs(spark, folder, schema))
+    assert read() == []
+    runs.stage_run(make((1, "lost")), folder, "day")
+    assert read() == []
+    assert runs.commit_run(make((1, "a"), (2, "b"), (None, "n"), (2, "b")), 1, folder, "day")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    seen = lambda: sorted((tuple(r) for r in runs.read_runs(spark, folder, schema).collect()), key=key)
+    one = [(1, "a"), (2, "b"), (2, "b"), (None, "n")]
+    assert seen() == one
+    assert not runs.commit_run(make((1, "other")), 1, folder, "day") and seen() == one
+    staged = runs.stage_run(make((2, "c")), folder, "day")
+    assert seen() == one
+    earlier = runs.read_runs(spark, folder, schema)
+    runs.publish_run(spark, staged, 2, folder, schema)
+    two = [(1, "a"), (2, "c"), (None, "n")]
+    assert seen() == two and sorted((tuple(r) for r in earlier.collect()), key=key) == one
+    runs.compact(spark, folder, schema, "day")
+    assert seen() == two and {r.level for r in runs.newest_runs(spark, folder).collect()} == {1}
+    runs.commit_run(make((1, "late")), 3, folder, "day")
+    assert seen() == [(1, "late"), (2, "c"), (None, "n")]
+
+
+def test_a_run_published_during_compaction_stays_the_newest(spark, monkeypatch):
+    folder = f"{tempfile.mkdtemp(prefix='run-')}/results"
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "day int, x string")
+    runs.commit_run(old, 1, folder, "day")
+    stage = runs.stage_run
+
+    def and_meanwhile(results, *args):
+        run = stage(results, *args)
+        monkeypatch.setattr(runs, "stage_run", stage)
+        runs.commit_run(spark.createDataFrame([(2, "new")], "day int, x string"), 2, folder, "day")
+        return run
+
+    monkeypatch.setattr(runs, "stage_run", and_meanwhile)
+    runs.compact(spark, folder, old.schema, "day")
+    assert rows(runs.read_runs(spark, folder, old.schema)) == [(1, "a"), (2, "new")]
+
+
 def test_envelope(spark):
     df = spark.createDataFrame([(True, 1, None), (False, 2, "bad")], "ok boolean, n int, e string")
     got = [r[0] for r in df.select(sinks.result_envelope(F.col("ok"), [F.col("n")], F.col("e"))).collect()]
