@@ -76,7 +76,8 @@ def commit_run(results: DataFrame, number: int, folder: str, partition: str) ->
 def newest_runs(spark: SparkSession, folder: str) -> DataFrame:
     """(part, number, level, run): the run that each partition is read from."""
     newest = F.max(F.struct("number", "level", "run")).alias("newest")
-    return manifests(spark, folder).groupBy("part").agg(newest).select("part", "newest.*")
+    # All levels are 0 or more; the planner prunes folders by a joined table only if that has a condition.
+    return manifests(spark, folder).groupBy("part").agg(newest).select("part", "newest.*").filter("level >= 0")
 
 
 def read_runs(spark: SparkSession, folder: str, schema: StructType, number: str | None = None) -> DataFrame:
