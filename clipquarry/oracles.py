@@ -465,6 +465,20 @@ QUERIES: dict[str, str] = {
         from firsts a join firsts b on a.clip_id < b.clip_id
         join hashes x on x.clip_id = a.clip_id join hashes y on y.clip_id = b.clip_id and y.frame_idx = x.frame_idx
         group by all having avg(bit_count(xor(x.phash, y.phash))) <= 10""",
+    "near_duplicate_arrivals": """
+        with comers as (select clip_id, clip_id // 2 % 3 + 1 as arrival from (select distinct clip_id from hashes)),
+        near as (
+            select a.clip_id as one, b.clip_id as other, greatest(a.arrival, b.arrival) as since
+            from comers a join comers b on a.clip_id <> b.clip_id
+            join hashes x on x.clip_id = a.clip_id join hashes y on y.clip_id = b.clip_id and y.frame_idx = x.frame_idx
+            group by all having avg(bit_count(xor(x.phash, y.phash))) <= 10),
+        reached as (
+            select clip_id, clip_id as other, k from comers, range(1, 4) as ks(k) where arrival <= k
+            union
+            select r.clip_id, n.other, k from reached r join near n on n.one = r.other and since <= k),
+        named as (select clip_id, k, min(other) as group_id, count(*) as group_clips from reached group by all)
+        select clip_id, cast(arrival as bigint) as arrival, a.group_id as group_then, b.group_id, b.group_clips
+        from comers join named a using (clip_id) join named b using (clip_id) where a.k = arrival and b.k = 3""",
     "cue_frame_overlay": """
         select reel_id, frame_idx, cue_idx
         from good_cues join summary s using (reel_id),
@@ -659,6 +673,10 @@ QUERIES: dict[str, str] = {
 }
 
 
+# Texts that refer to themselves.
+RECURSIVE = {"near_duplicate_arrivals"}
+
+
 def _needed(sql: str) -> list[str]:
     """Input tables a text uses, directly or through others, in the order they are defined."""
     used = {name for name in TABLES if name in sql}
@@ -674,7 +692,7 @@ def oracle_sql() -> dict[str, str]:
     texts = {}
     for name, sql in QUERIES.items():
         ctes = ",\n".join(f"{t} as ({TABLES[t]})" for t in _needed(sql))
-        if any("job_starts" in t for t in _needed(sql)):
+        if name in RECURSIVE or any("job_starts" in t for t in _needed(sql)):
             ctes = f"recursive {ctes}"
         body = sql.strip()
         if body.startswith("with ") and ctes:

@@ -12,7 +12,7 @@ from clipquarry import fixtures as fx
 from clipquarry.functions import draws, geometry, routing, text
 from clipquarry.functions import phash as hashing
 from clipquarry.functions.semantics import int_param, round_digits, round_half_up, utc_wall_time
-from clipquarry.operators import captions, detections, hashes, jobs, profiles, reels, registry, speech
+from clipquarry.operators import captions, detections, hashes, hashindex, jobs, profiles, reels, registry, speech
 from clipquarry.plans import sampling
 from clipquarry.sources import media, requests, runs, sinks
 from clipquarry.sources.tables import events, table
@@ -502,6 +502,19 @@ def near_duplicate_pairs(spark, root):
     return hashes.near_duplicate_pairs(_hashes(spark, root))
 
 
+@query
+def near_duplicate_arrivals(spark, root):
+    """Groups of near copies over three arrivals: each clip's group when it came, and when all have come."""
+    index = hashindex.Index(spark, runs.scratch_folder(spark, "near_duplicate_arrivals"), buckets=8)
+    arrival = F.expr("cast(clip_id div 2 % 3 + 1 as bigint)").alias("arrival")
+    hashed = _hashes(spark, root).select("*", arrival)
+    then = []
+    for number in (1, 2, 3):
+        index.arrive(hashed.filter(F.col("arrival") == number).drop("arrival"), number)
+        then.append(index.groups().filter(F.expr(f"clip_id div 2 % 3 + 1 = {number}")).select("clip_id", F.col("group_id").alias("group_then")))
+    return reduce(DataFrame.unionByName, then).join(index.groups(), "clip_id").select("*", arrival)
+
+
 def _reel_lengths(spark, root):
     return reels.accepted_reels(fx.shots(spark, root))
 
