@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -54,6 +55,27 @@ def test_wordings_with_edits(spark):
     assert len(found[8].spans) == 6000
 
 
+@pytest.mark.parametrize("width", [2, 4])
+@pytest.mark.parametrize("words", [63, 64, 171, 1600])
+def test_whole_license_texts(spark, words, width):
+    """Templates of any length, whole, with words lost and put in, in long texts of the same words; half a template is not one."""
+    draw = random.Random(words)
+    common = [f"w{i}" for i in range(120)]
+    template = [draw.choice(common) for _ in range(words)]
+    around = [draw.choice(common) for _ in range(3000)]
+    edited = [w for i, w in enumerate(template) if i % 61 != 50]
+    edited[words // 2 : words // 2] = ["other", "words"]
+    texts = [template, [*around, *template, *around], [*around, *edited, *around], [*around, *template[: words // 2], *around], around]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    given = lic.license_scan(docs, [], [("long", " ".join(template))], width).collect()
+    found = {r.doc_id: (r.labels, round(r.score, 6), [(s["start"], s["end"]) for s in r.spans]) for r in given}
+    assert found[0][0] == "long" and found[0][1] == 1 and found[0][2] == [(0, words)]
+    assert found[1][0] == "long" and found[1][1] == 1
+    assert found[2][0] == "long" and 0.8 <= found[2][1] < 1
+    assert found[3][0] == found[4][0] == ""
+    assert found[3][2] == found[4][2] == []
+
+
 def test_large_template_sets_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lic, "BROADCAST_GRAMS", 0)
     same(
