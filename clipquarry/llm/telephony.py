@@ -1,8 +1,8 @@
 """Telephony audio as a column: WAV bytes in mu-law, A-law or IMA ADPCM, expanded to PCM and resampled.
 
 The two laws are expanded by tables of 256 values. ADPCM blocks are decoded together: step k of all blocks of a
-batch is one set of array operations. PCM is resampled by linear interpolation, in windows, so memory does not
-grow with the length of a recording.
+batch is one set of array operations. PCM is resampled by linear interpolation, in windows, into a column of its own, from
+which features are read.
 
 Null payloads are stored as empty recordings. Equal payloads give equal media and features. Extra columns stay
 where the function keeps the frame's columns; repeated rows are handled one by one. Empty tables give no rows.
@@ -47,6 +47,9 @@ MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 # Payload bytes that are expanded at a time.
 WINDOW = BLOCK * 4096
 
+# Media bytes whose PCM is made at a time, unless one file is longer; PCM is up to eight times as large.
+PCM_BYTES = 1 << 20
+
 
 def mulaw_table() -> np.ndarray:
     """The PCM value of each mu-law byte."""
@@ -140,20 +143,35 @@ def resampled(windows: Iterable[np.ndarray], rate: int, to: int) -> Iterator[np.
             seen, held = seen + len(held) - 1, held[-1:]
 
 
-def feature_line(codec: str, windows: Iterable[np.ndarray], rate: int, to: int = RESAMPLED) -> str:
-    """Peak, loudness and sign changes of the resampled sound, and a checksum of its PCM."""
-    samples, peak, power, crossings, crc, below = 0, 0, 0, 0, 0, None
-    for pcm in resampled(windows, rate, to):
-        wide = pcm.astype(np.int64)
-        samples += len(pcm)
+def pcm_of(files: list[bytes], to: int = RESAMPLED) -> list[bytes]:
+    """Resampled 16-bit PCM of each file. The ADPCM blocks of all small files are decoded together."""
+    read = [parsed(f) for f in files]
+    small = [i for i, (codec, _, payload) in enumerate(read) if codec == ADPCM and len(payload) <= WINDOW]
+    ready = {}
+    if small:
+        counts = [len(read[i][2]) // BLOCK for i in small]
+        blocks = np.frombuffer(b"".join(read[i][2] for i in small), np.uint8).reshape(-1, BLOCK)
+        parts = np.split(adpcm_decoded(blocks), np.cumsum(counts)[:-1])
+        ready = {i: [part.ravel()] for i, part in zip(small, parts)}
+    sounds = (resampled(ready.pop(i, None) or expanded(codec, payload), rate, to) for i, (codec, rate, payload) in enumerate(read))
+    return [b"".join(p.astype("<i2").tobytes() for p in sound) for sound in sounds]
+
+
+def feature_line(codec: str, pcm: bytes, rate: int = RESAMPLED) -> str:
+    """Peak, loudness and sign changes of 16-bit PCM, and its checksum."""
+    sound = np.frombuffer(pcm, "<i2")
+    peak, power, crossings, crc, below = 0, 0, 0, 0, None
+    for at in range(0, len(sound), WINDOW):
+        part = sound[at : at + WINDOW]
+        wide = part.astype(np.int64)
         peak = max(peak, int(np.abs(wide).max()))
         power += int(wide @ wide)
-        sign = pcm < 0
+        sign = part < 0
         crossings += int((sign[1:] != sign[:-1]).sum()) + (below is not None and bool(sign[0] != below))
         below = sign[-1]
-        crc = zlib.crc32(pcm.astype("<i2").tobytes(), crc)
-    loud = (power / samples) ** 0.5 if samples else 0.0
-    return f"codec={codec};rate={to};samples={samples};peak={peak};rms={loud:.3f};crossings={crossings};pcm_crc32={crc:08x}"
+        crc = zlib.crc32(part.tobytes(), crc)
+    loud = (power / len(sound)) ** 0.5 if len(sound) else 0.0
+    return f"codec={codec};rate={rate};samples={len(sound)};peak={peak};rms={loud:.3f};crossings={crossings};pcm_crc32={crc:08x}"
 
 
 def padded(text: Column) -> Column:
@@ -184,15 +202,26 @@ def with_pcm(frame: DataFrame, media: str, name: str = "pcm", to: int = RESAMPLE
 
     @F.pandas_udf("binary")
     def made(column: pd.Series) -> pd.Series:
-        def one(raw):
-            codec, rate, payload = parsed(raw)
-            return b"".join(p.astype("<i2").tobytes() for p in resampled(expanded(codec, payload), rate, to))
-
-        return pd.Series([None if raw is None else one(raw) for raw in column], dtype=object)
+        batch = pa.RecordBatch.from_arrays([pa.array(column, pa.binary(), from_pandas=True)], names=["media"])
+        out = []
+        for piece in pieces([batch], "media", PCM_BYTES):
+            files = piece.column(0).to_pylist()
+            pcm = iter(pcm_of([f for f in files if f is not None], to))
+            out += [None if f is None else next(pcm) for f in files]
+        return pd.Series(out, dtype=object)
 
     return frame.withColumn(name, made(media))
 
 
+STORED = "doc_id bigint, n_bytes bigint, media binary, pcm binary"
+
+
+def _decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "media", PCM_BYTES):
+        pcm = pa.array(pcm_of(piece.column("media").to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([*piece.columns, pcm], names=[f.split()[0] for f in STORED.split(", ")])
+
+
 READ = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
     "media_sha256 string, feature string"
@@ -200,19 +229,10 @@ READ = (
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "media", WINDOW):
-        files = piece.column("media").to_pylist()
-        read = [parsed(f) for f in files]
-        small = [i for i, (codec, _, payload) in enumerate(read) if codec == ADPCM and len(payload) <= WINDOW]
-        ready = {}
-        if small:  # blocks of all small files at once
-            counts = [len(read[i][2]) // BLOCK for i in small]
-            blocks = np.frombuffer(b"".join(read[i][2] for i in small), np.uint8).reshape(-1, BLOCK)
-            parts = np.split(adpcm_decoded(blocks), np.cumsum(counts)[:-1])
-            ready = {i: [part.ravel()] for i, part in zip(small, parts)}
+    for piece in pieces(batches, "media", PCM_BYTES):
         rows = []
-        for i, (file, (codec, rate, payload)) in enumerate(zip(files, read)):
-            feature = feature_line(codec, ready.pop(i, None) or expanded(codec, payload), rate)
+        for file, pcm in zip(piece.column("media").to_pylist(), piece.column("pcm").to_pylist()):
+            codec, _, payload = parsed(file)
             rows.append(
                 (
                     len(payload),
@@ -220,7 +240,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     zlib.crc32(payload[-32:]),
                     len(file),
                     hashlib.sha256(file).hexdigest(),
-                    feature,
+                    feature_line(codec, pcm),
                 )
             )
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -229,9 +249,15 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("n_bytes"), *columns], names=names)
 
 
-def telephony(docs: DataFrame) -> DataFrame:
-    """Store each text as a recording, read the stored bytes back and describe them. Nothing is shuffled."""
+def recordings(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, pcm): each text as a recording, and the resampled PCM read from its stored bytes, to be written
+    as a table. Nothing is shuffled."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = docs.select(F.col("doc_id").cast("bigint"), F.octet_length(text).cast("bigint").alias("n_bytes"), padded(text).alias("payload"))
     files = made.select("doc_id", "n_bytes", stored(F.col("payload"), codec_of(F.col("payload"))).alias("media"))
-    return files.mapInArrow(_read, READ)
+    return files.mapInArrow(_decoded, STORED)
+
+
+def telephony(docs: DataFrame) -> DataFrame:
+    """Store each text as a recording with its PCM, read the stored bytes back and describe them."""
+    return recordings(docs).mapInArrow(_read, READ)

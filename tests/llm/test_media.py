@@ -81,3 +81,53 @@ def test_stored_media_and_pcm(spark):
 
 def test_empty_table(none):
     assert tel.telephony(none).count() == 0
+
+
+def _features(codec, payload):
+    """Sample by sample, with no arrays: expansion, every second sample the middle of its neighbours, and the figures of the result."""
+    if codec == "ima_adpcm":
+        pcm = []
+        for at in range(0, len(payload), 576):
+            block = payload[at : at + 576]
+            value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+            pcm.append(value)
+            for half in (h for b in block[4:] for h in (b & 15, b >> 4)):
+                step = int(tel.STEPS[index])
+                change = (step >> 3) + (step if half & 4 else 0) + (step >> 1 if half & 2 else 0) + (step >> 2 if half & 1 else 0)
+                value = max(-32768, min(32767, value - change if half & 8 else value + change))
+                pcm.append(value)
+                index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][half & 7]))
+    else:
+        pcm = []
+        for b in payload:
+            if codec == "mulaw":
+                b ^= 255
+                size = ((((b & 15) << 3) + 132) << ((b >> 4) & 7)) - 132
+                pcm.append(-size if b & 128 else size)
+            else:
+                b ^= 0x55
+                part, low = (b >> 4) & 7, ((b & 15) << 4) + 8
+                size = low if not part else (low + 256) << (part - 1)
+                pcm.append(size if b & 128 else -size)
+    out = []
+    for a, b in zip(pcm, [*pcm[1:], pcm[-1]]):
+        out += [a, a + (b - a) // 2]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:]))
+    loud = (sum(x * x for x in out) / len(out)) ** 0.5
+    crc = zlib.crc32(b"".join(x.to_bytes(2, "little", signed=True) for x in out))
+    peak = max(abs(x) for x in out)
+    return f"codec={codec};rate=16000;samples={len(out)};peak={peak};rms={loud:.3f};crossings={crossings};pcm_crc32={crc:08x}", out
+
+
+def test_features_sample_by_sample(odd):
+    """Features are those of the stored PCM, which is that of a plain decoder."""
+    stored = {(r.doc_id, r.media): r.pcm for r in tel.recordings(odd).collect()}
+    lines = {r.media_sha256: r.feature for r in tel.telephony(odd).collect()}
+    codecs = set()
+    for (_, media), pcm in stored.items():
+        codec, _, payload = tel.parsed(bytes(media))
+        line, sound = _features(codec, bytes(payload))
+        assert lines[hashlib.sha256(media).hexdigest()] == line
+        assert bytes(pcm) == b"".join(x.to_bytes(2, "little", signed=True) for x in sound)
+        codecs.add(codec)
+    assert codecs == {tel.MULAW, tel.ALAW, tel.ADPCM}
