@@ -45,7 +45,7 @@ class Index:
     """The tables in `folder`, which driver and executors share. Band width and number of buckets stay as they were at the first arrival."""
 
     def __init__(self, spark: SparkSession, folder: str, band_bits: int = BAND_BITS, buckets: int = BUCKETS):
-        self.spark, self.folder, self.bands = spark, folder.rstrip("/"), _bands(band_bits)
+        self.spark, self.folder, self.bands, self.buckets = spark, folder.rstrip("/"), _bands(band_bits), buckets
         tag = uuid.uuid4().hex
         self.named = {table: f"{table}_{tag}" for table in TABLES}
         counts = self.newest() is not None
@@ -84,7 +84,8 @@ class Index:
     def _insert(self, name: str, rows: DataFrame, number: int) -> None:
         columns = [c.split()[0] for c in TABLES[name][0].split(", ")]
         view = f"{self.named[name]}_rows"
-        rows.select(*columns).createOrReplaceTempView(view)
+        # Dealt like the buckets, so that each is one file of an arrival.
+        rows.select(*columns).repartition(self.buckets, *TABLES[name][1]).createOrReplaceTempView(view)
         self.spark.sql(f"insert overwrite table {self.named[name]} partition (arrival = {int(number)}) select * from {view}")
         self.spark.catalog.dropTempView(view)
 
