@@ -415,7 +415,8 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     by_anchor = fetched(OPEN).repartition("route").sortWithinPartitions("route", *KEY, "start")
     spans = spans.unionByName(by_anchor.mapInArrow(_factored, SPANS))
     if not settled.filter(F.col("kind") == CROWDED).isEmpty():
-        windows = landed(fetched(CROWDED).mapInArrow(_windows, WINDOWS), "windows")
+        # Not landed: as a part of the caller's query it reads the shuffle of the texts that open stretches are fetched from.
+        windows = fetched(CROWDED).mapInArrow(_windows, WINDOWS)
         order = F.struct(*KEY, "start")
         first = windows.groupBy("one", "two").agg(F.min(order).alias("first"))
         later = windows.join(first, ["one", "two"]).filter(order != F.col("first"))

@@ -148,3 +148,15 @@ def test_texts_without_ids_are_no_copies(spark):
     rows = [r for r in alike_in_30_bits() if r[0] is None]
     for kept in (simhash.one_of_each, nearcopies.one_of_each):
         assert kept(frame(spark, rows)).count() == 2
+
+
+def test_texts_are_shuffled_once(spark):
+    """Open and crowded stretches are fetched from the shuffle that the result reads."""
+    rows = shared_passages()
+    learn_tags(spark, rows)
+    found = rep.measured(frame(spark, rows).repartition(6), crowd=1)
+    same(found.collect(), expected(rows))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    texts = [line for line in plan if "ReusedExchange" in line and "text#" in line]
+    # Crowded stretches twice: their windows meet the first of equal ones.
+    assert sum("_windows" in line for line in plan) == 2 and len(texts) >= 2
