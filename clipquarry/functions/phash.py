@@ -63,19 +63,24 @@ def hash_frames(gray: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits).view(">i8").ravel().astype(np.int64)
 
 
+def _hashed(frames: pa.Array) -> pa.Array:
+    """Hashes of a block of frames. A block is all that is held in a second form, whatever the size of a batch."""
+    whole = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(frames), FRAME_SIZE), False))
+    pixels = frames.filter(pa.array(whole)).flatten()
+    gray = np.asarray(pc.fill_null(pixels, 0)).reshape(-1, FRAME_SIZE)
+    known = np.asarray(pixels.is_valid()).reshape(-1, FRAME_SIZE).all(axis=1)
+    hashed = np.zeros(len(frames), dtype=np.int64)
+    hashed[whole] = hash_frames(gray) if len(gray) else 0
+    whole[whole] = known
+    return pa.array(hashed, mask=~whole)
+
+
 @F.arrow_udf(LongType())
 def phash64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Hash of a row-major 32x32 gray frame; null for a frame of any other size or with missing values."""
     for batch in batches:
-        whole = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(batch), FRAME_SIZE), False))
-        pixels = batch.filter(pa.array(whole)).flatten()
-        gray = np.asarray(pc.fill_null(pixels, 0)).reshape(-1, FRAME_SIZE)
-        known = np.asarray(pixels.is_valid()).reshape(-1, FRAME_SIZE).all(axis=1)
-        hashed = np.zeros(len(batch), dtype=np.int64)
-        blocks = [hash_frames(gray[i : i + HASH_BLOCK]) for i in range(0, len(gray), HASH_BLOCK)]
-        hashed[whole] = np.concatenate(blocks) if blocks else 0
-        whole[whole] = known
-        yield pa.array(hashed, mask=~whole)
+        parts = [_hashed(batch.slice(i, HASH_BLOCK)) for i in range(0, len(batch), HASH_BLOCK)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
 
 
 def match_verdict(mean_distance: Column) -> Column:

@@ -14,6 +14,7 @@ from clipquarry.functions import phash as hashing
 from clipquarry.functions.semantics import int_param, round_digits, round_half_up, utc_wall_time
 from clipquarry.operators import captions, detections, hashes, hashindex, jobs, profiles, reels, registry, speech
 from clipquarry.plans import sampling
+from clipquarry.session import bounded_batches
 from clipquarry.sources import media, requests, runs, sinks
 from clipquarry.sources.tables import events, table
 
@@ -178,7 +179,7 @@ def valid_sources(spark, root):
 
 
 def _hashes(spark, root):
-    return hashes.hash_frames(fx.edited_frames(spark, root)).select("clip_id", "frame_idx", "phash")
+    return hashes.hash_frames(fx.edited_frames(bounded_batches(spark), root)).select("clip_id", "frame_idx", "phash")
 
 
 def _compare_requests(spark, root):

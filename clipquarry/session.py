@@ -7,6 +7,19 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Bytes in a batch between Spark and Python: a frame has 4 KB, so the usual number of rows would be 40 MB in each worker.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session with batches of bounded size. Only queries call this; operators leave the session as it is."""
+    size = spark.conf.get(BATCH_SETTING, None)
+    if size is None or not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return spark
+
+
 def build_session(
     app: str, cpus: int | str = "*", shuffle_partitions: int | None = None, checkpoint_dir: str | None = None
 ) -> SparkSession:

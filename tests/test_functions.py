@@ -1,9 +1,11 @@
 """Routing, responses, metadata, captions, draws."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clipquarry.functions import draws, geometry, routing, text
+from clipquarry.functions import draws, geometry, phash, routing, text
 
 
 def one(spark, schema, row, *columns):
@@ -183,3 +185,31 @@ def test_draws(spark):
 def test_data_url_is_one_line(spark):
     got = one(spark, "b binary", (bytes(range(256)),), text.data_url(F.col("b")))
     assert got.startswith("data:image/jpeg;base64,AAEC") and "\n" not in got and "\r" not in got
+
+
+def test_frames_are_hashed_in_blocks(monkeypatch):
+    """A batch of any size is worked on block by block; odd frames keep their places."""
+    draw = np.random.default_rng(3)
+    frames = [[int(v) for v in draw.integers(0, 256, 1024)] for _ in range(40)]
+    frames[3], frames[17], frames[39] = None, [1, 2], [None] * 1024
+    whole = phash._hashed(pa.array(frames, pa.list_(pa.int32()))).to_pylist()
+    assert [n for n, h in enumerate(whole) if h is None] == [3, 17, 39]
+    sizes, hashed = [], phash._hashed
+    monkeypatch.setattr(phash, "HASH_BLOCK", 7)
+    monkeypatch.setattr(phash, "_hashed", lambda part: sizes.append(len(part)) or hashed(part))
+    out = [a.to_pylist() for a in phash.phash64.func(iter([pa.array(frames, pa.list_(pa.int32())), pa.array([], pa.list_(pa.int32()))]))]
+    assert out == [whole, []] and max(sizes) == 7 and sum(sizes) == 40
+
+
+def test_queries_on_frames_bound_their_batches(spark, data):
+    from clipquarry.queries import QUERIES
+    from clipquarry.session import BATCH_BYTES, BATCH_SETTING
+
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for name in ("phash_distance_stats", "near_duplicate_members"):
+            spark.conf.set(BATCH_SETTING, str(256 << 20))
+            QUERIES[name](spark, data)
+            assert int(spark.conf.get(BATCH_SETTING)) == BATCH_BYTES
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
