@@ -678,8 +678,7 @@ def stitch_order(spark, root):
 def cap_per_group(spark, root):
     """The first cues of each reel under each of the caps that requests can ask for."""
     cues = fx.cues(spark, root).select("reel_id", "cue_idx", "text")
-    capped = [captions.first_per_group(cues, ["reel_id"], ["cue_idx"], n).withColumn("cap", F.lit(name)) for name, n in ROW_CAPS.items()]
-    return reduce(DataFrame.unionByName, capped)
+    return captions.first_per_caps(cues, ["reel_id"], ["cue_idx"], ROW_CAPS, "cap")
 
 
 @query
