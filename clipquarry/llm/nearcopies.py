@@ -1,6 +1,8 @@
 """Groups of documents that are near copies: a Jaccard likeness of `LIKENESS` or more on `fingerprints.SHINGLE`-word shingles.
 
-Every link is judged on the whole shingle sets. What is looked at comes from one-permutation MinHash (256 bins):
+Every link is judged on the whole shingle sets. What is looked at comes from SimHash fingerprints that link (`simhash`: three words,
+two bits; the smallest set of a fingerprint stands for it), and, as most near copies are further apart than that, from
+one-permutation MinHash (256 bins):
 
 1. Documents with equal shingle sets (128-bit hash) become one set, so copies cost nothing further.
 2. Sets meet under the hash of any of 51 bands of five bins. Two sets at 0.8 miss each other with a chance of
@@ -11,7 +13,7 @@ Every link is judged on the whole shingle sets. What is looked at comes from one
    with a band that the key does not have yet, until no group is larger, or `LEVELS` bands are in the key.
 3. Under a key each set reached so far is held against those not yet reached, by four bits a bin, with a margin of nine
    standard errors below 0.8. What is left are loose groups, which hold every group of near copies as a whole.
-4. The shingle sets of a loose group come together, and the same walk is made with their exact likeness. A group of more than
+4. SimHash links join loose groups further. The shingle sets of a loose group come together, and the same walk is made with their exact likeness. A group of more than
    `CHUNK` sets is cut into chunks, and every two chunks meet, so no task holds more than two.
 
 Linked documents form groups. Texts without a word are alike. Repeated rows are one document.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipquarry.llm import simhash
 from clipquarry.llm.components import components
 from clipquarry.llm.fingerprints import BINS, LOW_BITS, STEP, bin_minima, shingles
 from clipquarry.llm.shared import KEY, KEY_TYPES, boxed, keyed, landed, pieces, text_bytes, whole_groups
@@ -76,7 +79,7 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
     return keys
 
 
-PRINTS = f"{KEY_TYPES}, name binary, sketch binary, bands binary"
+PRINTS = f"{KEY_TYPES}, name binary, sketch binary, bands binary, fp bigint"
 
 
 def _printed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +94,8 @@ def _printed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [piece.column(c) for c in KEY]
         arrays += [pa.array(_set_names(value, row, n), pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())]
         arrays += [pa.array([b.tobytes() if w else b"" for b, w in zip(bands, worded)], pa.binary())]
+        prints = [simhash.fingerprint(t) for t in piece.column("text").to_pylist()]
+        arrays += [pa.array(np.array(prints, np.uint64).view(np.int64))]
         yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in PRINTS.split(", ")])
 
 
@@ -305,6 +310,16 @@ def loose_links(sets: DataFrame, likeness: float = LIKENESS, crowd: int = CROWD)
     return reduce(DataFrame.unionByName, edges)
 
 
+def fingerprint_links(prints: DataFrame, crowd: int = simhash.CROWD) -> DataFrame:
+    """Edges (a, b) between names of `prints` (name, fp), which connect all sets whose fingerprints are equal or link."""
+    named = landed(prints.select("fp", "name").distinct(), "fingerprints")
+    leaders = landed(named.groupBy("fp").agg(F.min("name").alias("leader")), "leaders")
+    equal = salted_join(named, leaders, ["fp"], ["name"]).filter("name <> leader").select(F.col("leader").alias("a"), F.col("name").alias("b"))
+    links = simhash.links(leaders.select("fp"), crowd).withColumnsRenamed({"a": "fp", "b": "other"})
+    near = links.join(leaders.withColumnRenamed("leader", "a"), "fp").join(leaders.select(F.col("fp").alias("other"), F.col("leader").alias("b")), "other")
+    return equal.unionByName(near.select("a", "b"))
+
+
 def _grouped(docs: DataFrame, likeness: float, crowd: int, chunk: int) -> DataFrame:
     """(component, first): the key of the first document of each group."""
     texts = keyed(docs.select("doc_id", "text")).select(*KEY, "text")
@@ -312,7 +327,8 @@ def _grouped(docs: DataFrame, likeness: float, crowd: int, chunk: int) -> DataFr
     sets = landed(prints.select("name", "sketch", "bands").dropDuplicates(["name"]), "sets")
     first = landed(prints.groupBy("name").agg(F.min(F.struct(*KEY)).alias("first")), "firsts")
 
-    loose = components(loose_links(sets, likeness, crowd), "a", "b").withColumnRenamed("node", "name")
+    links = fingerprint_links(prints.select("name", "fp")).unionByName(loose_links(sets, likeness, crowd))
+    loose = components(links, "a", "b").withColumnRenamed("node", "name")
     wanted = first.join(loose, "name").select("first.*", "name", "component")
     found = texts.join(wanted.hint("shuffle_hash"), KEY).dropDuplicates(KEY)
     found = landed(found.select("text", "name", "component").mapInArrow(_fetched, SETS), "shingle_sets")

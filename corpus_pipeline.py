@@ -23,7 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their five-word shingles or more alike), that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id: texts whose SimHash fingerprints link, or that MinHash
+    brings together, are near copies if 0.8 of their five-word shingles or more are alike."""
     prepared(spark)
     return nearcopies.one_of_each(docs)
 

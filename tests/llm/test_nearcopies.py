@@ -132,3 +132,24 @@ def test_rows_that_differ_elsewhere(spark):
     rows = [(1, "a b c", x) for x in range(20)]
     make = lambda r: spark.createDataFrame(r, "doc_id bigint, text string, extra int").repartition(4)
     assert len({nc.one_of_each(make(r)).first().extra for r in (rows, rows[::-1])}) == 1
+
+
+def test_simhash_brings_near_copies_together(spark, monkeypatch):
+    """Also without MinHash the stage finds texts whose fingerprints link, and keeps those that are unlike all the same."""
+    base, refrain = prose(8, 400), (prose(3, 21) + " ") * 100
+    rows = [(5, base), (6, base + " end"), (20, prose(2, 400))]
+    rows += [(30, refrain + prose(4, 40)), (31, refrain + prose(5, 40)), (40, "a b c a b c"), (41, "a b c a b c a b c")]
+    apart = lambda x, y: (fingerprint(rows[x][1]) ^ fingerprint(rows[y][1])).bit_count()
+    assert apart(0, 1) <= 2 and apart(3, 4) <= 2 and apart(0, 2) > 2
+    docs = frame(spark, rows)
+    prints = nc.keyed(docs).select(*nc.KEY, "text").mapInArrow(nc._printed, nc.PRINTS)
+    assert nc.fingerprint_links(prints).distinct().count() >= 2
+    monkeypatch.setattr(nc, "loose_links", lambda *_: spark.createDataFrame([], nc.EDGES))
+    assert found(dict(corpus_pipeline.STAGES)["near copies"](spark, docs, "")) == [5, 20, 30, 31, 40, 41] == first_of_each(rows)
+
+
+def test_sets_of_one_fingerprint_are_tied_once(spark):
+    rows = [(bytes([n]) * 16, fp) for n, fp in enumerate([7, 7, 7, 6, 5, -1, -1, 1 << 40])]
+    links = nc.fingerprint_links(spark.createDataFrame(rows * 2, "name binary, fp bigint")).collect()
+    assert {(r.a[0], r.b[0]) for r in links if rows[r.a[0]][1] == rows[r.b[0]][1]} == {(0, 1), (0, 2), (5, 6)}
+    assert all(not {5, 6, 7} & {r.a[0], r.b[0]} or {r.a[0], r.b[0]} in ({5, 6}, {3, 7}, {0, 7}, {4, 7}) for r in links)
