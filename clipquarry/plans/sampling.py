@@ -18,6 +18,8 @@ OPENING_STAMP = 0.1
 FRAME_RATE = 24
 ZOOM_STEP, ZOOM_MAX = 0.0015, 1.10
 
+TWO_DIGITS = [f"{n:02d}" for n in range(100)]
+
 
 def clip_seconds(probed: Column) -> Column:
     """Length of a clip; a failed or zero probe counts as the default."""
@@ -141,9 +143,14 @@ def hash_schedule(requests: DataFrame) -> DataFrame:
 
 
 def frame_file(index: Column) -> Column:
-    """File name of a constant-rate frame."""
-    number = (index + 1).cast("string")
-    return F.concat(F.lit("frame_"), F.when(index < 9999, F.lpad(number, 4, "0")).otherwise(number), F.lit(".jpg"))
+    """File name of a constant-rate frame. Clips have thousands of them, so numbers of four digits are put together from a list of
+    two-digit ones instead of being formatted."""
+    number = index + 1
+    pair = lambda n: F.get(F.array(*[F.lit(p) for p in TWO_DIGITS]), n.cast("int"))
+    short = F.concat(F.lit("frame_"), pair(F.floor(number / 100)), pair(number % 100), F.lit(".jpg"))
+    plain = number.cast("string")
+    other = F.concat(F.lit("frame_"), F.when(index < 9999, F.lpad(plain, 4, "0")).otherwise(plain), F.lit(".jpg"))
+    return F.when((index >= 0) & (index < 9999), short).otherwise(other)
 
 
 def fixed_rate(clips: DataFrame, seconds: Column, rate: int = FRAME_RATE) -> DataFrame:

@@ -252,7 +252,8 @@ def plan_fixed_rate(spark, root):
     clips = fx.videos(spark, root).select("video_id", sampling.clip_seconds(F.col("probe_duration")).alias("seconds"))
     # A clip becomes thousands of frames, so clips are dealt out first; the figures then need no further shuffle.
     clips = clips.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id")
-    number = F.expr("cast(substring(name, 7, length(name) - 10) as bigint)")
+    # Names have one byte a character; bytes need no counting.
+    number = F.expr("cast(substring(name, 7, octet_length(name) - 10) as bigint)")
     return (
         sampling.fixed_rate(clips, F.col("seconds"))
         .groupBy("video_id")
@@ -262,7 +263,7 @@ def plan_fixed_rate(spark, root):
             F.round(F.sum("ts"), 3).alias("ts_sum"),
             F.max("ts").alias("last_ts"),
             F.sum(number).alias("name_sum"),
-            F.sum(F.length("name")).alias("name_length"),
+            F.sum(F.octet_length("name")).alias("name_length"),
         )
     )
 

@@ -636,3 +636,11 @@ def test_cap_per_group_sorts_cues_once(spark, data):
     plan = QUERIES["cap_per_group"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     # Once for the number of a cue, once for its rank.
     assert plan.count("row_number() windowspecdefinition") <= 2 and "Union" not in plan
+
+
+def test_frame_files_are_not_formatted_one_by_one(spark):
+    at = [None, -1, -3, *range(12_000), 123_456]
+    named = spark.createDataFrame([(i,) for i in at], "i bigint").select("i", sampling.frame_file(F.col("i")).alias("name"))
+    other = {None: None, -1: "frame_0000.jpg", -3: "frame_00-2.jpg"}
+    assert {r.i: r.name for r in named.collect()} == {i: other[i] if i in other else f"frame_{i + 1:04d}.jpg" for i in at}
+    assert "[00,01,02" in named._jdf.queryExecution().optimizedPlan().toString()
