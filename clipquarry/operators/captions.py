@@ -73,15 +73,6 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[str], cap: int |
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
 
 
-def first_per_caps(df: DataFrame, keys: list[str], order: list[str], caps: dict[str, int], name: str) -> DataFrame:
-    """The first rows of each group under each of several named caps, with the cap's name: the rows under the largest cap are found once,
-    and each goes to all caps that its rank is within."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    within = [F.when(F.col("_rank") <= cap, F.lit(cap_name)) for cap_name, cap in caps.items()]
-    ranked = df.withColumn("_rank", rank).filter(F.col("_rank") <= max(caps.values()))
-    return ranked.select(*df.columns, F.explode(F.array_compact(F.array(*within))).alias(name))
-
-
 def longest_chunk(words: DataFrame) -> DataFrame:
     return caption_chunks(words).groupBy("video_id").agg(F.max(utf16_length(F.col("text"))).alias("longest"))
 
