@@ -250,22 +250,26 @@ def params(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def gray_frames(spark: SparkSession, root: str) -> DataFrame:
-    """One row per frame with its 32x32 gray values, row by row; fifteen frames make a clip."""
+def gray_frames(spark: SparkSession, root: str, parts: int | None = None) -> DataFrame:
+    """One row per frame with its 32x32 gray values, row by row; fifteen frames make a clip. The short rows these come from may be
+    dealt to `parts` tasks, however few files they lie in."""
     pixel = (
         "transform(sequence(0, {n}), i -> cast(floor(least(greatest(128e0 + 400e0 * cast(embedding[i div {side}] as double) "
         "* cast(embedding[{side} + i % {side}] as double), 0e0), 255e0)) as int))"
     ).format(n=FRAME_SIDE * FRAME_SIDE - 1, side=FRAME_SIDE)
-    return table(spark, root, "embeddings").select(
+    vectors = table(spark, root, "embeddings")
+    if parts:
+        vectors = vectors.select("vec_id", "embedding").repartition(parts, "vec_id")
+    return vectors.select(
         F.expr("vec_id div 15").alias("video_id"),
         F.expr("cast(vec_id % 15 as int)").alias("frame_idx"),
         F.expr(pixel).alias("gray"),
     )
 
 
-def edited_frames(spark: SparkSession, root: str) -> DataFrame:
+def edited_frames(spark: SparkSession, root: str, parts: int | None = None) -> DataFrame:
     """Every frame three times: as it is (kind 0), brightened (1) and with a texture laid over (2)."""
-    frames_ = gray_frames(spark, root)
+    frames_ = gray_frames(spark, root, parts)
     edits = F.expr(
         "array(struct(0 as kind, gray as gray), "
         "struct(1 as kind, transform(gray, v -> cast(v + 5 as int)) as gray), "

@@ -13,6 +13,7 @@ from clipquarry.functions import draws, geometry, routing, text
 from clipquarry.functions import phash as hashing
 from clipquarry.functions.semantics import int_param, round_digits, round_half_up, utc_wall_time
 from clipquarry.operators import captions, detections, hashes, hashindex, jobs, profiles, reels, registry, speech
+from clipquarry.operators.links import landed
 from clipquarry.plans import sampling
 from clipquarry.session import bounded_batches
 from clipquarry.sources import media, requests, runs, sinks
@@ -178,8 +179,8 @@ def valid_sources(spark, root):
     return reels.valid_sources(fx.reel_requests(spark, root), fx.shots(spark, root))
 
 
-def _hashes(spark, root):
-    return hashes.hash_frames(fx.edited_frames(bounded_batches(spark), root)).select("clip_id", "frame_idx", "phash")
+def _hashes(spark, root, parts=None):
+    return hashes.hash_frames(fx.edited_frames(bounded_batches(spark), root, parts)).select("clip_id", "frame_idx", "phash")
 
 
 def _compare_requests(spark, root):
@@ -509,7 +510,9 @@ def near_duplicate_arrivals(spark, root):
     """Groups of near copies over three arrivals: each clip's group when it came, and when all have come."""
     index = hashindex.Index(spark, runs.scratch_folder(spark, "near_duplicate_arrivals"), buckets=8)
     arrival = F.expr("cast(clip_id div 2 % 3 + 1 as bigint)").alias("arrival")
-    hashed = _hashes(spark, root).select("*", arrival)
+    # Written once, as each arrival reads them.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = landed(_hashes(spark, root, parts).select("*", arrival), "hashes")
     then = []
     for number in (1, 2, 3):
         index.arrive(hashed.filter(F.col("arrival") == number).drop("arrival"), number)

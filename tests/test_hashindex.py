@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clipquarry import queries
 from clipquarry.operators import hashes, links
 from clipquarry.operators.hashindex import Index
 
@@ -144,3 +145,48 @@ def test_connected_groups(spark, heavy_rows):
                 least[a] = least[b] = min(least[a], least[b])
     assert _rows(got) == sorted(least.items())
     assert _rows(links.connected(spark.createDataFrame([], "a bigint, b bigint"), "a", "b")) == []
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 4, 10])
+def test_distances_dealt_to_any_frame(spark, threshold):
+    """Pairs of three frames with a sum right at the limit or one more, wherever it lies."""
+    rng = np.random.default_rng(threshold)
+    most = 3 * threshold
+    even = [threshold] * 3
+    dealt = [(most, 0, 0), (0, most, 0), (0, 0, most), even, (threshold + 1, threshold, threshold - 1), (threshold - 1, threshold, threshold + 1)]
+    dealt += [(threshold + 1, threshold, threshold), (threshold, threshold + 1, threshold), (threshold, threshold, threshold + 1), (0, 0, most + 1)]
+    clips = {}
+    for k, distances in enumerate(d for d in dealt if min(d) >= 0):
+        clip = [int(rng.integers(0, 2**63)) for _ in distances]
+        clips[2 * k] = clip
+        clips[2 * k + 1] = [h ^ sum(1 << int(bit) for bit in rng.choice(64, d, replace=False)) for h, d in zip(clip, distances)]
+    index = _index(spark)
+    for number in (1, 2):
+        assert index.arrive(_frame(spark, {c: h for c, h in clips.items() if c % 2 == number - 1}), number, threshold)
+    assert _rows(index.groups()) == _groups(clips, threshold)
+
+
+def test_frames_send_few_rows(spark):
+    index = _index(spark)
+    frames = spark.createDataFrame([(bytes([c]), pos, c * 77 + pos) for c in range(20) for pos in range(3)], "name binary, pos int, h bigint").coalesce(1)
+    sent = index.sent(frames, 10)
+    counts = {(r.pos, r["count"]) for r in sent.groupBy("a", "pos").count().collect()}
+    assert counts == {(0, 135), (1, 69), (2, 69)}
+    assert sent.distinct().count() == sent.count()
+    # A single task held them all.
+    assert sent.rdd.getNumPartitions() > 1
+
+
+def test_arrivals_read_frames_once(spark, monkeypatch):
+    clips = _near_clips(np.random.default_rng(3), 3, 10)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(queries, "_hashes", lambda spark, root, *_: _frame(spark, clips).mapInArrow(counted, CLIPS))
+    got = queries.QUERIES["near_duplicate_arrivals"](spark, "nowhere")
+    assert sorted((r.clip_id, r.group_id, r.group_clips) for r in got.collect()) == _groups(clips, 10)
+    assert seen.value == sum(map(len, clips.values()))
